@@ -207,7 +207,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, rows: int = 256) -
     return encoded.select("doc_id", "ids").mapInArrow(run, DECODED)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
+def digests(decoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Token count and SHA-256 of the ids (decimal, one space between) and of the decoded bytes."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *keep)

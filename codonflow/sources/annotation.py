@@ -16,7 +16,7 @@ def read_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     fields = F.split(line, "\t")
     rows = raw.filter((F.trim("value") != "") & ~F.col("value").startswith("#")).withColumn("_f", fields).filter(F.size("_f") >= 9)
     names = ["contig", "source", "feature", "start", "end", "score", "strand", "frame", "attrs"]
-    out = rows.select(*[F.col("_f")[i].alias(n) for i, n in enumerate(names)], "line_no", "path")
+    out = rows.select(*[F.get("_f", F.lit(i)).alias(n) for i, n in enumerate(names)], "line_no", "path")
     return out.withColumns({"start": F.col("start").try_cast("long"), "end": F.col("end").try_cast("long")})
 
 
@@ -25,7 +25,7 @@ def attribute(attrs: Column, key: str) -> Column:
 
     A chunk with '=' and no space before it reads ``key=value``, any other ``key "value"``.
     """
-    chunks = F.transform(F.split(attrs, ";"), F.trim)
+    chunks = F.transform(F.split(attrs, ";"), lambda c: F.trim(c))
     sep = lambda c: F.when(F.regexp_like(c, F.lit(r"^[^ =]*=")), F.lit("=")).otherwise(F.lit(" "))
     name = lambda c: F.trim(F.split_part(c, sep(c), F.lit(1)))
     hits = F.filter(chunks, lambda c: (c != "") & (name(c) == key) & (F.instr(c, " ") + F.instr(c, "=") > 0))

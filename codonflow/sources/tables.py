@@ -23,7 +23,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(species, path) of tab-separated lines; blank and '#' lines are skipped, the last column is the path."""
     fields = F.split(F.regexp_replace("value", "\r$", ""), "\t")
     rows = spark.read.text(path).filter((F.trim("value") != "") & ~F.trim("value").startswith("#")).withColumn("_f", fields)
-    return rows.select(F.when(F.size("_f") > 1, F.col("_f")[0]).alias("species"), F.element_at("_f", -1).alias("path"))
+    return rows.select(F.when(F.size("_f") > 1, F.get("_f", F.lit(0))).alias("species"), F.element_at("_f", -1).alias("path"))
 
 
 def write_manifest(stored: DataFrame, path: str) -> None:

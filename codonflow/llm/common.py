@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +33,51 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def one_off_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of actions in this block go when the action ends, as nothing reads them again."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that run actions of their own before they return a DataFrame."""
+    @wraps(f)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        with one_off_shuffles(df.sparkSession):
+            return f(df, *args, **options)
+
+    return run
+
+
 def stored(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", compression).parquet(path)
+    with one_off_shuffles(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
+    """The same in the warehouse, by hash of ``key``: joins and groupings on it then read it without an exchange."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    with one_off_shuffles(spark):
+        df.write.bucketBy(parts(spark), key).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonflow.llm.common import new_path, pack, parts, stored, to_arrow
+from codonflow.llm.common import new_path, pack, stored, tidy, to_arrow
 
 #: Fixed values of the format: magic of the dictionary's skippable frame, of an empty one, of a frame.
 DICT_MAGIC, SKIP_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
@@ -68,7 +68,9 @@ def train_dictionary(pages: DataFrame, sample_rows: int = 2000, sample_bytes: in
 
     Where the samples are too few to train on, their joined text is a raw-content dictionary; without any text it is empty.
     """
-    chosen = pages.filter(F.length("html") > 0).orderBy(F.xxhash64("page_id", "html")).limit(sample_rows).select(F.substring(F.col("html").cast("binary"), 1, sample_bytes).alias("x"))
+    texts = pages.filter(F.length("html") > 0).select(F.xxhash64("page_id", "html").alias("h"), F.substring(F.col("html").cast("binary"), 1, sample_bytes).alias("x"))
+    share = min(1.0, 1.5 * sample_rows / max(1, texts.count()))  # so that the tasks send little more than the sample
+    chosen = texts.filter(F.shiftrightunsigned("h", 11) < int(share * (1 << 53))).orderBy("h", "x").limit(sample_rows)
     samples = [bytes(r["x"]) for r in chosen.collect()]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -76,22 +78,32 @@ def train_dictionary(pages: DataFrame, sample_rows: int = 2000, sample_bytes: in
         return b"".join(samples)[-size:]
 
 
+@tidy
 def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Write one record for each row of ``pages`` to compressed archives under ``path``.
 
     Null payloads count as empty. Of rows with equal payloads of at least ``min_revisit_bytes`` bytes the
-    one with the smallest id is a response and the others revisit it; rows with a null id come last, and
-    equal ids are told apart by a stored row number. An empty table writes archives without records.
+    one with the smallest id is a response and the others revisit it; rows with a null id come last, equal
+    ids go by url, and of rows that are equal throughout one is the response. An empty table writes
+    archives without records.
+
+    The payloads are exchanged once, to meet the first row of their group.
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     words = train_dictionary(rows)
-    rows = stored(rows.withColumn("sha", F.unhex(F.sha2(F.col("html").cast("binary"), 256))).withColumn("row", F.monotonically_increasing_id()), "pages")
-    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("row").alias("row"))
-    first = rows.groupBy("sha").agg(F.min(order).alias("first"))
-    linked = rows.join(first, "sha").withColumn("revisit", (F.col("row") != F.col("first.row")) & (F.octet_length("html") >= min_revisit_bytes))
-    linked = linked.select("page_id", "url", F.col("html").cast("binary").alias("html"), F.when(F.col("revisit"), F.col("first.id")).alias("refers_to"), "revisit")
+    rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
+    rows = rows.withColumn("place", F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.coalesce("url", F.lit("")).alias("url"), F.col("url").isNull().alias("bare")))
+    equal = rows.groupBy("sha", "place").agg(F.count("*").alias("n"))
+    first = stored(equal.groupBy("sha").agg(F.min(F.struct("place", "n")).alias("first")), "first-pages")
+    linked = rows.join(first, "sha").withColumn("revisit", (F.col("place") != F.col("first.place")) & (F.octet_length("html") >= min_revisit_bytes))
+    twice = F.col("first.n") > 1
+    if not first.filter(twice).isEmpty():
+        again = (F.col("place") == F.col("first.place")) & twice & (F.octet_length("html") >= min_revisit_bytes)
+        copies = linked.filter(again).dropDuplicates(["sha"]).withColumn("revisit", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("first.n")), lambda i: i > 1)))
+        linked = linked.filter(~again).unionByName(copies)
+    linked = linked.select("page_id", "url", F.col("html").cast("binary").alias("html"), F.when(F.col("revisit"), F.col("first.place.id")).alias("refers_to"), "revisit")
     arrow = to_arrow("frame binary")
     shared = spark.sparkContext.broadcast(words)
 
@@ -152,5 +164,5 @@ def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFram
     """Write ``pages`` to new archives in the shared folder and read them back."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write_archives(pages.repartition(max(1, parts(spark))), path, min_revisit_bytes)
+    write_archives(pages, path, min_revisit_bytes)
     return read_archives(spark, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codonflow.llm.common import WORD, parts, stored
+from codonflow.llm.common import WORD, parts, stored, tidy
 
 MAX_EPOCHS = 3
 
@@ -31,6 +31,7 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (1
     return [(s, n, t) for (s, n), t in zip(order, out, strict=True)]
 
 
+@tidy
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_epochs: int = MAX_EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
     """How often each document is taken so that every source meets its share of all words.
 
@@ -46,9 +47,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     own = ["doc_id", "size", "source_size", "target", "epochs", "taken"]
-    extra = [c for c in carry if c not in own]
+    extra = {f"_p{i}": c for i, c in enumerate(carry) if c not in own}  # under names that cannot clash
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("_source"), size.alias("size"), F.monotonically_increasing_id().alias("_row"), *extra)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("_source"), size.alias("size"), F.monotonically_increasing_id().alias("_row"), *[F.col(c).alias(p) for p, c in extra.items()])
     rows = stored(rows.withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id"))), "mix")
     totals = rows.groupBy("_source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     n_rows = {r["_source"]: r["n"] for r in totals}
@@ -67,7 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     budget = F.col("target") - full * F.col("source_size")
     middle = F.col("_offset") + F.col("_upto") - F.col("size") / 2.0
     epochs = full + F.when((budget > 0) & (middle <= budget), 1).otherwise(0)
-    return rows.withColumn("epochs", epochs.cast("int")).select("doc_id", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"), *extra)
+    return rows.withColumn("epochs", epochs.cast("int")).select("doc_id", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"), *[F.col(p).alias(c) for p, c in extra.items()])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codonflow.llm.common import pack, parts, stored, to_arrow
+from codonflow.llm.common import pack, parts, stored, tidy, to_arrow
 
 LOW, HIGH = -(1 << 63), 1 << 63
 OVERHEAD = 16
@@ -81,6 +81,7 @@ def _around(edges: list[int], below: list[int], target: float) -> tuple[int, int
     return edges[i], edges[i + 1]
 
 
+@tidy
 def histogram_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", payload: tuple[str, ...] = (), tolerance: float = 0.001) -> DataFrame:
     """Shards of nearly equal bytes in which equal texts stay together.
 
@@ -95,8 +96,8 @@ def histogram_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id",
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    extra = [c for c in payload if c not in own]
-    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("_row"), *extra)
+    extra = {f"_p{i}": c for i, c in enumerate(payload) if c not in own}  # under names that cannot clash
+    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("_row"), *[F.col(c).alias(p) for p, c in extra.items()])
     keys = stored(keys, "shard-keys")
     splitters = find_splitters(keys, shards, tolerance)
     starts = [s for s in splitters if LOW < s < HIGH]
@@ -127,4 +128,4 @@ def histogram_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id",
         at[r["shard"]] = at.get(r["shard"], 0) + r["_n"]
     offsets = F.broadcast(spark.createDataFrame(before, "_part int, _first long, _before long"))
     slot = F.col("_pos") - F.col("_first") + F.col("_before")
-    return dealt.join(offsets, "_part").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *extra)
+    return dealt.join(offsets, "_part").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *[F.col(p).alias(c) for p, c in extra.items()])

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codonflow.llm.common import stored
+from codonflow.llm.common import stored, tidy
 
 SAFE = 2.0**52
 LONG = (-(1 << 63), (1 << 63) - 1)
@@ -69,7 +69,7 @@ def search(tree: KdTree, query_id: int, q: np.ndarray, bounds: np.ndarray, k: in
                     heapq.heappush(queue, (-bounds[c], int(c)))
             continue
         a, b = tree.start[node], tree.stop[node]
-        scores = tree.points[a:b] @ q
+        scores = clamped(tree.points[a:b] @ q)
         near = np.flatnonzero((scores >= floor) & (tree.ids[a:b] != query_id))
         for i in near:
             x = (int(scores[i]), -int(tree.ids[a + i]))
@@ -77,7 +77,12 @@ def search(tree: KdTree, query_id: int, q: np.ndarray, bounds: np.ndarray, k: in
                 heapq.heappush(best, x)
             elif x > best[0]:
                 heapq.heapreplace(best, x)
-    return [(min(max(s, LONG[0]), LONG[1]), -i) for s, i in sorted(best, reverse=True)]
+    return [(s, -i) for s, i in sorted(best, reverse=True)]
+
+
+def clamped(x: np.ndarray) -> np.ndarray:
+    """Python integers cut to the range of a long; doubles are within it by ``exact``."""
+    return np.minimum(np.maximum(x, LONG[0]), LONG[1]) if x.dtype == object else x
 
 
 def exact(points: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +103,7 @@ def search_block(tree: KdTree, block: tuple, k: int) -> pd.DataFrame:
     if points.dtype == object:
         low, high = np.vectorize(int, otypes=[object])(low), np.vectorize(int, otypes=[object])(high)
     tree = KdTree(tree.ids, points, low, high, tree.child, tree.start, tree.stop)
-    bounds = np.maximum(queries, 0) @ tree.high.T + np.minimum(queries, 0) @ tree.low.T
+    bounds = clamped(np.maximum(queries, 0) @ tree.high.T + np.minimum(queries, 0) @ tree.low.T)
     out = [(r, i, v, s) for r, i, q, b, kth in zip(rows, ids, queries, bounds, kths, strict=True) for s, v in search(tree, i, q, b, k, kth)]
     return pd.DataFrame(out, columns=["qrow", "query_id", "vec_id", "score"]).astype("int64")
 
@@ -109,6 +114,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & good).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
 
 
+@tidy
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, shard_rows: int = 8192, block_rows: int = 256) -> DataFrame:
     """The k highest integer inner products of each query: query_id, rank, vec_id, score.
 

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codonflow.llm.common import pack, parts, stored, to_arrow
+from codonflow.llm.common import pack, parts, stored, tidy, to_arrow
 
-PARTIAL = "h long, text binary, keep_id long, group_size long"
-CLASSES = "sha binary, keep_id long, group_size long"
+PARTIAL = "h long, text binary, keep_id long, keep_rows long, group_size long"
+CLASSES = "sha binary, keep_id long, keep_rows long, group_size long"
 
 
 class ContentTable:
@@ -34,6 +34,7 @@ class ContentTable:
         self.hashes: list[int] = []
         self.texts: list[bytes] = []
         self.keep: list[int | None] = []
+        self.rows: list[int] = []
         self.size: list[int] = []
         self.n_bytes = 0
 
@@ -49,15 +50,18 @@ class ContentTable:
                 i = (i + 1) & (n - 1)
             self.slot[i] = at
 
-    def add(self, h: int, text: bytes, keep: int | None, size: int) -> None:
+    def add(self, h: int, text: bytes, keep: int | None, rows: int, size: int) -> None:
+        """Count ``size`` rows of a text, of which ``rows`` have the id ``keep``, the largest."""
         if 2 * len(self.texts) >= len(self.slot):
             self._grow()
         mask = len(self.slot) - 1
         i = h & mask
         while (at := self.slot[i]) >= 0:
             if self.hashes[at] == h and self.texts[at] == text:
-                if keep is not None and (self.keep[at] is None or keep > self.keep[at]):
-                    self.keep[at] = keep
+                if keep == self.keep[at]:
+                    self.rows[at] += rows
+                elif keep is not None and (self.keep[at] is None or keep > self.keep[at]):
+                    self.keep[at], self.rows[at] = keep, rows
                 self.size[at] += size
                 return
             i = (i + 1) & mask
@@ -65,6 +69,7 @@ class ContentTable:
         self.hashes.append(h)
         self.texts.append(text)
         self.keep.append(keep)
+        self.rows.append(rows)
         self.size.append(size)
         self.n_bytes += len(text)
 
@@ -78,7 +83,7 @@ def _combine(table_bytes: int, final: bool):
             out = {"sha": [hashlib.sha256(x).digest() for x in t.texts]}
         else:
             out = {"h": t.hashes, "text": t.texts}
-        out = pack(out | {"keep_id": t.keep, "group_size": t.size}, arrow)
+        out = pack(out | {"keep_id": t.keep, "keep_rows": t.rows, "group_size": t.size}, arrow)
         t.clear()
         return out
 
@@ -86,12 +91,12 @@ def _combine(table_bytes: int, final: bool):
         table, bucket = ContentTable(), None
         for b in batches:
             ids = b.column("bucket").to_pylist() if final else [None] * b.num_rows
-            cols = [b.column(n).to_pylist() for n in ("h", "text", "keep_id", "group_size")]
-            for k, h, text, keep, size in zip(ids, *cols, strict=True):
+            cols = [b.column(n).to_pylist() for n in ("h", "text", "keep_id", "keep_rows", "group_size")]
+            for k, h, text, keep, rows, size in zip(ids, *cols, strict=True):
                 if (k != bucket if final else table.n_bytes >= table_bytes) and len(table):
                     yield flush(table)
                 bucket = k
-                table.add(h, text, keep, size)
+                table.add(h, text, keep, rows, size)
         if len(table):
             yield flush(table)
 
@@ -114,15 +119,23 @@ def split_buckets(counts: dict[int, int], level_bits: int, capacity: int) -> lis
     return out
 
 
-def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 16 << 20, level_bits: int = 14) -> DataFrame:
-    """One row for each distinct text: SHA-256, largest id, number of rows. Null texts count as empty."""
+@tidy
+def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 64 << 20, max_bits: int = 22) -> DataFrame:
+    """One row for each distinct text: SHA-256, largest id, rows with that id, all rows. Null texts count as empty.
+
+    ``table_bytes`` is what a task's table may hold; the histogram has about eight cells for each table
+    that is needed, 2**max_bits at most.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("h"), text.cast("binary").alias("text"), F.col(id_col).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    prefix = F.shiftrightunsigned("h", 64 - level_bits).cast("int")
+    rows = docs.select(F.xxhash64(text).alias("h"), text.cast("binary").alias("text"), F.col(id_col).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("keep_rows"), F.lit(1).cast("long").alias("group_size"))
     sizes = docs.select(F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("n")).groupBy("h").agg(F.max("n").alias("n"))
+    sizes = stored(sizes, "hashes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    capacity = max(1, min(table_bytes, total // (2 * parts(spark))))
+    level_bits = min(max_bits, max(4, (8 * total // capacity).bit_length()))
+    prefix = F.shiftrightunsigned("h", 64 - level_bits).cast("int")
     counts = {r[0]: r[1] for r in sizes.groupBy(prefix.alias("p")).agg(F.sum("n")).collect()}  # 2**level_bits rows at most
-    capacity = max(1, min(table_bytes, sum(counts.values()) // (2 * parts(spark))))
     buckets = split_buckets(counts, level_bits, capacity)
     bounds = spark.sparkContext.broadcast(np.array([lo for lo, _ in buckets], dtype=np.int64))
 
@@ -155,14 +168,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each distinct text, the one with the largest id; all columns stay.
 
-    Rows with equal id and text are told apart by a row number that is stored first.
+    Of rows with equal id and text any one stays.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keys = exact_classes(docs, id_col, text_col).select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"))
-    rows = docs.withColumn("_sha", F.unhex(F.sha2(text.cast("binary"), 256)))
-    best = rows.join(keys, (rows["_sha"] == keys["_sha"]) & rows[id_col].cast("long").eqNullSafe(keys["_keep"]), "left_semi")
-    best = best.withColumn("_row", F.monotonically_increasing_id())
-    best = stored(best, "exact")
-    first = best.groupBy("_sha").agg(F.min("_row").alias("_row")).select("_row")
-    return best.join(first, "_row", "left_semi").select(*docs.columns)
+    renamed = [f"_c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, renamed, strict=True))
+    docs = docs.toDF(*renamed)
+    text = F.coalesce(F.col(own[text_col]).cast("string"), F.lit(""))
+    keys = stored(exact_classes(docs, own[id_col], own[text_col]).select(F.col("sha").alias("key"), "keep_id", "keep_rows"), "classes")
+    rows = docs.withColumn("sha", F.unhex(F.sha2(text.cast("binary"), 256)))
+    kept = lambda k: rows.join(k, (F.col("sha") == F.col("key")) & F.col(own[id_col]).cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
+    best, twice = kept(keys.filter("keep_rows = 1")), keys.filter("keep_rows > 1")
+    if not twice.isEmpty():
+        best = best.unionByName(kept(twice).dropDuplicates(["sha"]))
+    return best.select(*[F.col(r).alias(c) for c, r in own.items()])

@@ -13,7 +13,6 @@ once in the corpus leave at once. The later passes go over the windows in each t
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codonflow.llm.common import pack, parts, stored, to_arrow
+from codonflow.llm.common import bucketed, pack, parts, stored, tidy, to_arrow
 
 GRAM = 64
 POSITION_BITS = np.uint64(31)
@@ -99,6 +98,7 @@ def _windows(b: dict[str, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return data, (np.cumsum(size) - size)[row] + within, row, np.array(b["first"])[row] + within
 
 
+@tidy
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = 20_000) -> DataFrame:
     """What is left of each text when every byte in a repeated ``length``-byte string is removed.
 
@@ -118,9 +118,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), key.alias("key"))
     distinct = docs.select(key.alias("key"), text.cast("binary").alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     # As many buckets as shuffle partitions: the aggregation's exchange already puts each bucket into one task.
-    table, buckets = f"texts_{uuid.uuid4().hex}", parts(spark)
-    distinct.write.bucketBy(buckets, "key").option("compression", "zstd").saveAsTable(table)
-    texts = spark.table(table)
+    texts = bucketed(distinct, "texts", "key")
 
     arrow = to_arrow(ANCHORS)
 

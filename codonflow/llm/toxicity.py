@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     shard = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(shards)).cast("int")
     rows = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "y").cache()
     size, z, n = (1 << BITS) + 1, np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    state = to_arrow("at int, z double, n double")
+    state = to_arrow("at binary, z binary, n binary")
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((z, n))  # 2**BITS coordinates, whatever the input
 
@@ -122,11 +122,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                     seen += 1
             if seen:
                 at = np.flatnonzero((model.z != shared.value[0]) | (model.n != shared.value[1]))
-                yield pack({"at": at.astype(np.int32), "z": model.z[at] - shared.value[0][at], "n": model.n[at] - shared.value[1][at]}, state)
+                moved = (model.z[at] - shared.value[0][at], model.n[at] - shared.value[1][at])
+                yield pack({"at": [at.astype(np.int32).tobytes()]} | {k: [v.astype(np.float32).tobytes()] for k, v in zip("zn", moved, strict=True)}, state)
 
-        moved = rows.mapInArrow(learn, "at int, z double, n double").groupBy("at").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()
-        z[moved["at"]] += moved["z"]
-        n[moved["at"]] += moved["n"]
+        for r in rows.mapInArrow(learn, "at binary, z binary, n binary").collect():  # one packed state a shard, 12 bytes a coordinate at most
+            at = np.frombuffer(r["at"], dtype=np.int32)
+            z[at] += np.frombuffer(r["z"], dtype=np.float32) / shards
+            n[at] += np.frombuffer(r["n"], dtype=np.float32) / shards
         shared.unpersist()
     rows.unpersist()
     model = Ftrl(size, alpha, beta, l1, l2)

@@ -36,7 +36,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """Encoder for one vocabulary; caches are bounded and only save time."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 300_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 250_000) -> None:
         import regex
 
         self.ranks, self.cache_size = ranks, cache_size
@@ -134,6 +134,11 @@ class Bpe:
                 cache.clear()
         return out
 
+    def forget(self) -> None:
+        """Empty the caches, so that an idle worker holds no more than the vocabulary."""
+        for cache in (self.plain, self.spaced, self.stable, self.short):
+            cache.clear()
+
     def bytes_of(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -169,26 +174,29 @@ def _bpe(path: str, pattern: str) -> Bpe:
     return _loaded[path, pattern]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
-    """doc_id and the token ids of the whole text, for every row.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, rows: int = 256) -> DataFrame:
+    """doc_id and the token ids of the whole text, for every row; with ``decoded`` also the bytes that the ids decode to.
 
     Null texts count as empty and have no ids. Null ids, repeated rows and empty tables pass through;
     other columns are ignored. ``ranks_path`` is a file of the vocabulary at the same place on each
     executor. Rows are independent: no shuffle.
     """
-    arrow = to_arrow(ENCODED)
+    schema = DECODED if decoded else ENCODED
+    arrow = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(ranks_path, pattern)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
-                ids = [np.array(bpe.encode(t or ""), dtype=np.int32) for t in b.column(1).to_pylist()]
+                found = [bpe.encode(t or "") for t in b.column(1).to_pylist()]
+                texts = [pa.array([bpe.bytes_of(x) for x in found], type=pa.binary())] if decoded else []
+                ids = [np.array(x, dtype=np.int32) for x in found]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.concatenate(ids))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists.cast(arrow.field("ids").type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([b.column(0), lists.cast(arrow.field("ids").type), *texts], schema=arrow)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ENCODED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, rows: int = 256) -> DataFrame:

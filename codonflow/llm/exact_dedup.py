@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from codonflow.llm.common import pack, parts, stored, tidy, to_arrow
 
-PARTIAL = "h long, text binary, keep_id long, keep_rows long, group_size long"
+PARTIAL = "bucket int, h long, text binary, keep_id long, keep_rows long, group_size long"
 CLASSES = "sha binary, keep_id long, keep_rows long, group_size long"
 
 
@@ -74,15 +74,20 @@ class ContentTable:
         self.n_bytes += len(text)
 
 
-def _combine(table_bytes: int, final: bool):
-    """Combine equal contents; a full table is flushed early when partial, never when final."""
+def _combine(table_bytes: int, final: bool, bounds=None, shift: int = 0):
+    """Combine equal contents; a full table is flushed early when partial, never when final.
+
+    The partial step also finds the bucket, from the hash without its ``shift`` low bits and the first
+    prefix of each bucket in the broadcast ``bounds``.
+    """
     arrow = to_arrow(CLASSES if final else PARTIAL)
 
     def flush(t: ContentTable) -> pa.RecordBatch:
         if final:
             out = {"sha": [hashlib.sha256(x).digest() for x in t.texts]}
         else:
-            out = {"h": t.hashes, "text": t.texts}
+            prefix = (np.array(t.hashes, dtype=np.int64).view(np.uint64) >> np.uint64(shift)).astype(np.int64)
+            out = {"bucket": (np.searchsorted(bounds.value, prefix, side="right") - 1).astype(np.int32), "h": t.hashes, "text": t.texts}
         out = pack(out | {"keep_id": t.keep, "keep_rows": t.rows, "group_size": t.size}, arrow)
         t.clear()
         return out
@@ -139,14 +144,8 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = split_buckets(counts, level_bits, capacity)
     bounds = spark.sparkContext.broadcast(np.array([lo for lo, _ in buckets], dtype=np.int64))
 
-    @F.pandas_udf("int")
-    def bucket_of(p):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(bounds.value, p.to_numpy(), side="right") - 1).astype("int32")
-
-    partial = rows.mapInArrow(_combine(table_bytes, False), PARTIAL)
-    dealt = partial.withColumn("bucket", bucket_of(prefix)).repartitionById(len(buckets), F.col("bucket"))
+    partial = rows.mapInArrow(_combine(table_bytes, False, bounds, 64 - level_bits), PARTIAL)
+    dealt = partial.repartitionById(len(buckets), F.col("bucket"))
     return dealt.mapInArrow(_combine(table_bytes, True), CLASSES)
 
 

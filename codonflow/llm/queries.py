@@ -34,8 +34,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
     import public_tokenizers
 
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(read(spark, sf_dir, "documents"), ranks_path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, ranks_path, public_tokenizers.PATTERN))
+    return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), ranks_path, public_tokenizers.PATTERN, decoded=True))
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

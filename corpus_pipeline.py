@@ -37,7 +37,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, ranks_path:
     from pyspark.sql import functions as F
 
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, ranks_path, public_tokenizers.PATTERN), ranks_path, public_tokenizers.PATTERN)
+    decoded = bpe.encode(docs, ranks_path, public_tokenizers.PATTERN, decoded=True)
     return bpe.digests(decoded, keep=("ids",)).select("doc_id", "n_tokens", F.col("ids"), "ids_sha256", "decoded_sha256")
 
 

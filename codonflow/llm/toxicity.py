@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codonflow.llm.common import crc_fold, pack, to_arrow
 
-BITS = 20
+BITS = 19
 SCORED = "doc_id long, score double"
 #: Odd 64-bit multipliers, one for each place in a gram.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -20,7 +20,7 @@ EDGES = ".,;:!?\"'()[]{}<>*#%&$|_-"
 
 
 #: Lengths of the word prefixes that are features beside the word, since insults are inflected.
-PREFIXES = (3, 4, 5, 7)
+PREFIXES = (3, 5, 7)
 
 
 class _Words(dict):
@@ -50,8 +50,8 @@ class _Words(dict):
 _words = _Words()
 
 
-def grams(text: str, bits: int = BITS) -> np.ndarray:
-    """Sorted distinct hashed features: words, their prefixes, word pairs, and pairs with one or two words between them."""
+def hashed(text: str, bits: int = BITS) -> np.ndarray:
+    """Features of the whole text: words, their prefixes, word pairs, and pairs with one or two words between them."""
     all_h = _words.hashes(text.lower().split())
     if not len(all_h):
         return np.zeros(0, dtype=np.int32)
@@ -60,7 +60,12 @@ def grams(text: str, bits: int = BITS) -> np.ndarray:
     out += [(h[:-k] * MIX[0]) ^ (h[k:] * MIX[k]) * MIX[1] for k in (1, 2, 3) if len(h) > k]
     x = np.concatenate(out)
     x ^= x >> np.uint64(29)
-    return np.unique((x * MIX[2] >> np.uint64(64 - bits)).astype(np.int32))
+    return (x * MIX[2] >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def grams(text: str) -> np.ndarray:
+    """The distinct features, sorted."""
+    return np.unique(hashed(text))
 
 
 class Ftrl:
@@ -145,8 +150,14 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros((1 << BITS) + 1)
         w[shared.value[0]] = shared.value[1]
+        used = w != 0
+
+        def margin(text: str) -> float:
+            x = hashed(text)
+            return w[np.unique(x[used[x]])].sum() + w[-1]  # few coordinates have a weight
+
         for b in batches:
-            m = np.array([w[grams(t or "")].sum() for t in b.column(1).to_pylist()]) + w[-1]
+            m = np.array([margin(t or "") for t in b.column(1).to_pylist()])
             yield pack({"doc_id": b.column(0), "score": 1 / (1 + np.exp(-np.clip(m, -35, 35)))}, arrow)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCORED)

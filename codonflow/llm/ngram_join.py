@@ -2,7 +2,7 @@
 
 Light sets (small ones) enumerate all their subsets of each size that a partner of a given size must
 share; two that meet on one are linked without any further look. Heavy sets scan inverted lists: of the
-grams that a partner cannot avoid (the rarest ones), with parity bitmaps to discard list neighbours whose
+grams that a partner cannot avoid (the rarest ones), with small histograms to discard list neighbours whose
 symmetric difference is surely too large, then an exact intersection. The boundary between the two is
 the set size that makes the estimated total of subsets and list reads smallest.
 
@@ -20,16 +20,19 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from codonflow.llm.common import pack, parts, stored, to_arrow
+from codonflow.llm.common import bucketed, pack, parts, stored, tidy, to_arrow
 from codonflow.llm.components import components
 
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-COUNT_BITS, BITMAP, BLOOM_BITS = 18, 512, 24
-SETS = "doc_id long, n int, print binary, prefix array<long>, bitmap binary"
+COUNT_BITS, BLOOM_BITS = 18, 24
+#: Least and most cells of a set's histogram.
+CELLS = (32, 512)
+FIRST, SECOND = np.array([0]), np.array([1])
+SETS = "doc_id long, n int, print binary, prefix array<long>, sketch binary"
 
 
 def gram_set(text: str | None, words: int, lower: bool) -> np.ndarray:
@@ -50,10 +53,45 @@ def gram_set(text: str | None, words: int, lower: bool) -> np.ndarray:
     return np.unique(out * K1)
 
 
-def bitmap(grams: np.ndarray) -> bytes:
-    """Parity of the grams in each of 512 cells: two bitmaps differ in at most as many bits as the sets in elements."""
-    cell = ((grams * K2) >> np.uint64(64 - 9)).astype(np.int64)
-    return np.packbits((np.bincount(cell, minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
+def histogram(grams: np.ndarray, percent: int) -> bytes:
+    """Elements in each cell of the hash space: two sets differ in at least as many elements as their histograms do.
+
+    There are as many cells as it takes to tell unrelated sets of this size apart; a coarser histogram is
+    got by adding neighbours. A set too large for one byte a cell has none, and is never discarded.
+    """
+    n = len(grams)
+    gap = 2 * (100 - percent) / (100 + percent)
+    cells = CELLS[0]
+    while cells < CELLS[1] and cells < max(min(n / 2, 128), 2 * gap * gap * n):
+        cells *= 2
+    count = np.bincount(((grams * K2) >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells)
+    return count.astype(np.uint8).tobytes() if count.max(initial=0) < 256 else b""
+
+
+def _differences(sketches: list[bytes]):
+    """A function of two index arrays: least possible symmetric differences of those pairs of sets."""
+    cells = np.array([len(x) for x in sketches])
+    data = {c: np.frombuffer(b"".join(x for x in sketches if len(x) == c), dtype=np.uint8).reshape(-1, c).astype(np.int16) for c in set(cells.tolist()) if c}
+    place = np.zeros(len(cells), dtype=np.int64)
+    for c in data:
+        place[cells == c] = np.arange(int((cells == c).sum()))
+
+    def rows(i: np.ndarray, c: int, level: int) -> np.ndarray:
+        x = data[c][place[i]]
+        return x if c == level else x.reshape(len(x), level, -1).sum(2, dtype=np.int16)
+
+    def pairs(r: np.ndarray, k: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(r), dtype=np.int64)
+        for a in data:
+            for b in data:
+                at = np.flatnonzero((cells[r] == a) & (cells[k] == b))
+                for j in range(0, len(at), 20_000):
+                    q = at[j : j + 20_000]
+                    level = min(a, b)
+                    out[q] = np.abs(rows(r[q], a, level) - rows(k[q], b, level)).sum(1)
+        return out
+
+    return pairs
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -107,7 +145,7 @@ def _gram_counts(docs: DataFrame, words: int, lower: bool) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, lower: bool, percent: int, counts: np.ndarray) -> DataFrame:
-    """For each row: the set's size, fingerprint, rarest grams and bitmap."""
+    """For each row: the set's size, fingerprint, rarest grams and histogram."""
     arrow, shared = to_arrow(SETS), docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,14 +153,14 @@ def _sets(docs: DataFrame, words: int, lower: bool, percent: int, counts: np.nda
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                out: dict[str, list] = {"doc_id": b.column(0), "n": [], "print": [], "prefix": [], "bitmap": []}
+                out: dict[str, list] = {"doc_id": b.column(0), "n": [], "print": [], "prefix": [], "sketch": []}
                 for t in b.column(1).to_pylist():
                     g = gram_set(t, words, lower)
                     rare = np.lexsort((g, counts[(g >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
                     out["n"].append(len(g))
                     out["print"].append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
                     out["prefix"].append(g[rare[: prefix_length(len(g), percent)]].view(np.int64))
-                    out["bitmap"].append(bitmap(g))
+                    out["sketch"].append(histogram(g, percent))
                 yield pack(out, arrow)
 
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
@@ -130,36 +168,60 @@ def _sets(docs: DataFrame, words: int, lower: bool, percent: int, counts: np.nda
 
 def _whole_sets(docs: DataFrame, words: int, lower: bool, bloom: np.ndarray | None) -> DataFrame:
     """Fingerprint and all grams of the rows whose id may be in the Bloom filter (all rows if there is none)."""
-    schema = "print binary, grams binary"
+    schema = "doc_id long, print binary, grams binary"
     arrow, shared = to_arrow(schema), docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                texts = whole.column(1).slice(at, 512).to_pylist()
+                ids, cells, texts = (whole.column(i).slice(at, 512) for i in range(3))
                 if shared.value is not None:
-                    cell = whole.column(0).slice(at, 512).to_numpy(zero_copy_only=False)
-                    texts = [t for t, hit in zip(texts, shared.value[cell >> 3] >> (cell & 7) & 1, strict=True) if hit]
-                sets = [gram_set(t, words, lower) for t in texts]
-                yield pack({"print": [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets], "grams": [g.tobytes() for g in sets]}, arrow)
+                    cell = cells.to_numpy(zero_copy_only=False)
+                    hit = pa.array(((shared.value[cell >> 3] >> (cell & 7)) & 1).astype(bool))
+                    ids, texts = ids.filter(hit), texts.filter(hit)
+                sets = [gram_set(t, words, lower) for t in texts.to_pylist()]
+                yield pack({"doc_id": ids, "print": [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets], "grams": [g.tobytes() for g in sets]}, arrow)
 
-    return docs.select(_cell("doc_id").alias("cell"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", _cell("doc_id").alias("cell"), "text").mapInArrow(run, schema)
 
 
 def _cell(col: str) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(col), 64 - BLOOM_BITS).cast("int")
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size (2 MB) over the ids; it only spares work, so its error grows without harm."""
-    cell = _cell("doc_id")
-    ids = ids.select(cell.alias("cell"))
-    words = ids.groupBy(F.shiftright("cell", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cell & 7)")).alias("bits")).toPandas()  # 2**21 rows at most
+def _bloom(cells: DataFrame) -> np.ndarray:
+    """A filter of fixed size (2 MB) over a column ``cell``; it only spares work, so its error grows without harm."""
+    words = cells.groupBy(F.shiftright("cell", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cell & 7)")).alias("bits")).toPandas()  # 2**21 rows at most
     out = np.zeros(1 << (BLOOM_BITS - 3), dtype=np.uint8)
     out[words["byte"]] = words["bits"]
     return out
 
 
+def _postings(classes: DataFrame) -> DataFrame:
+    """token, members, rid, n of the lists with two members or more.
+
+    Most grams are in one list only. They are found by counting half of each gram's bits, and are left out
+    by a filter of fixed size before the lists themselves are exchanged.
+    """
+    half = F.transform("prefix", lambda t: F.shiftright(t, 32).cast("int"))
+    often = classes.select(F.explode(half).alias("half")).groupBy("half").agg(F.count("*").alias("n")).filter("n > 1")
+    schema = "token long, rid long, n int"
+    arrow, shared = to_arrow(schema), classes.sparkSession.sparkContext.broadcast(_bloom(often.select(F.shiftrightunsigned("half", 32 - BLOOM_BITS).alias("cell"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            token = b.column(2).flatten().to_numpy()
+            size = b.column(2).value_lengths().to_numpy()
+            cell = (token.view(np.uint64) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
+            hit = ((shared.value[cell >> 3] >> (cell & 7)) & 1).astype(bool)
+            rid, n = (np.repeat(b.column(i).to_numpy(), size)[hit] for i in (0, 1))
+            yield pack({"token": token[hit], "rid": rid, "n": n}, arrow)
+
+    postings = classes.select("rid", "n", "prefix").mapInArrow(run, schema)
+    lists = postings.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
+    return postings.join(lists, "token")
+
+
 def _subset_links(light: DataFrame, percent: int) -> DataFrame:
     """Links among light classes (rid, n, grams): those that share a subset of the size that their two sizes ask for."""
     schema = "high long, low long, small int, large int, n int, rid long"
@@ -190,15 +252,16 @@ def _subset_links(light: DataFrame, percent: int) -> DataFrame:
 def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | None, block: int = 2048) -> DataFrame:
     """Pairs that meet in a list, may be similar, and are in different components: each class's ``nearest`` ones.
 
-    ``postings``: token, members, n, rid, comp, bitmap. Lists of more than ``block`` members are compared
+    ``postings``: token, members, n, rid, comp, sketch. Lists of more than ``block`` members are compared
     block against block, each two in a group of their own.
     """
     spark = postings.sparkSession
-    schema, arrow = "a long, b long, more boolean", to_arrow("a long, b long, more boolean")
+    schema = "a long, b long, apart int, more boolean"
+    arrow = to_arrow(schema)
 
-    def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n, rid, comp, tag = (np.array([r[i] for r in rows]) for i in (0, 1, 2, 4))
-        bits = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
+        differences = _differences([r[3] for r in rows])
         out = []
         for at in range(0, len(rows), 256):
             i = slice(at, at + 256)
@@ -208,29 +271,30 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
             if (tag != tag[0]).any():
                 ok &= tag[i, None] != tag[None, :]
             r, c = np.nonzero(ok)
-            apart = np.bitwise_count(bits[at + r] ^ bits[c]).sum(1)
-            fits = (100 + percent) * apart.astype(np.int64) <= (100 - percent) * total[r, c]
+            apart = differences(at + r, c)
+            fits = (100 + percent) * apart <= (100 - percent) * total[r, c]
             r, c, apart = r[fits], c[fits], apart[fits]
             if nearest is None:
                 more = np.zeros(len(r), dtype=bool)
             else:
                 order = np.lexsort((rid[c], apart, r))
-                r, c = r[order], c[order]
+                r, c, apart = r[order], c[order], apart[order]
                 first = np.searchsorted(r, r)
                 place = np.arange(len(r)) - first
                 more = (np.searchsorted(r, r, side="right") - first) > nearest
-                r, c, more = r[place < nearest], c[place < nearest], more[place < nearest]
-            out.append((rid[at + r], rid[c], more))
+                r, c, apart, more = (v[place < nearest] for v in (r, c, apart, more))
+            out.append((rid[at + r], rid[c], apart, more))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def solve_few(rows: list[tuple]) -> tuple[list, list, list]:
+    def solve_few(rows: list[tuple]) -> tuple[np.ndarray, ...]:
         """The same for a handful of members, all their pairs."""
         out = []
         for (n, r, c, x, t), (m, s, d, y, u) in combinations(rows, 2):
             if c != d and max(n, m) > light and 100 * min(n, m) >= percent * max(n, m) and (t != u or not mixed(rows)):
-                if (100 + percent) * (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= (100 - percent) * (n + m):
-                    out.append((r, s, False))
-        return tuple(np.array(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))
+                apart = int(_differences([x, y])(FIRST, SECOND)[0]) if len(x) != len(y) else int(np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)).sum())
+                if (100 + percent) * apart <= (100 - percent) * (n + m):
+                    out.append((r, s, apart, False))
+        return tuple(np.array(v) for v in zip(*out, strict=True)) if out else (*(np.zeros(0, int) for _ in range(3)), np.zeros(0, bool))
 
     def mixed(rows: list[tuple]) -> bool:
         return any(r[4] != rows[0][4] for r in rows)
@@ -239,8 +303,8 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
         group, key, out, size = [], None, [], 0
 
         def pairs() -> pa.RecordBatch:
-            a, b, more = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pack({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": more}, arrow)
+            a, b, apart, more = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pack({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": apart.astype(np.int32), "more": more}, arrow)
 
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
@@ -263,9 +327,16 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
     dealt = postings.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("long"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-    dealt = dealt.select("token", "cell", "n", "rid", "comp", "bitmap", F.col("own").alias("tag"))
+    dealt = dealt.select("token", "cell", "n", "rid", "comp", "sketch", F.col("own").alias("tag"))
     dealt = dealt.repartition(parts(spark), "token", "cell").sortWithinPartitions("token", "cell", "rid")
-    return dealt.mapInArrow(run, schema).groupBy("a", "b").agg(F.bool_or("more").alias("more"))
+    pairs = dealt.mapInArrow(run, schema).groupBy("a", "b").agg(F.min("apart").alias("apart"), F.bool_or("more").alias("more"))
+    if nearest is None:
+        return pairs.drop("apart")
+    # The nearest over all lists.
+    ends = pairs.select("a", "b", "apart", "more", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
+    near = Window.partitionBy("e.x")
+    ends = ends.withColumns({"place": F.row_number().over(near.orderBy("apart", "e.y")), "many": F.count("*").over(near) > nearest})
+    return ends.filter(F.col("place") <= nearest).groupBy("a", "b").agg(F.bool_or(F.col("more") | F.col("many")).alias("more"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -287,10 +358,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("rid").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("rid").alias("b"), F.col("grams").alias("y"))
+    # The sets are bucketed by rid, so that each is read in place and moves once for each pair.
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[int | None, ...] = (2, 16, None)) -> DataFrame:
+@tidy
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[int | None, ...] = (1, 4, None)) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``.
 
     A set is the distinct ``words``-word shingles of the whole text (A-Z lower-cased if ``lower``), or the
@@ -300,10 +373,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: b
     smallest id of their component, null if it has none. Repeated rows are equal sets. An empty table
     gives no rows.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = _gram_counts(docs, words, lower)
     sets = stored(_sets(docs, words, lower, percent, counts), "sets")
-    classes = sets.filter("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
+    classes = sets.filter("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     classes = stored(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
 
     sizes = {r["n"]: r["count"] for r in classes.filter("n <= 40").groupBy("n").count().collect()}
@@ -312,30 +386,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: b
     light = boundary(sizes, (lists[0] or 0) / (lists[1] or 1), percent)
 
     indexed = classes.filter(F.col("n") >= -(-percent * (light + 1) // 100))
-    postings = indexed.select("rid", "n", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
-    postings = postings.join(shared, "token")
-    postings = stored(postings.join(classes.select("rid", "bitmap"), "rid"), "postings")
+    postings = stored(_postings(indexed).join(classes.select("rid", "sketch"), "rid"), "postings")
 
     pairs = stored(_list_pairs(postings.withColumn("comp", F.col("rid")), percent, light, rounds[0]), "pairs")
     ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(classes.filter((F.col("n") <= light) & (F.col("n") >= 2)).select("rid")).distinct()
     wanted = stored(classes.join(ids, "rid", "left_semi").select("rid", "n", "print", "least"), "wanted")
-    grams = _whole_sets(docs, words, lower, _bloom(sets.join(wanted.select("print"), "print", "left_semi").groupBy("print").agg(F.min("doc_id").alias("doc_id"))))
-    grams = stored(wanted.join(grams.groupBy("print").agg(F.first("grams").alias("grams")), "print").select("rid", "n", "grams"), "grams")
+    # A row that repeats the id and set of its class comes again here; links do not change by that.
+    grams = _whole_sets(docs, words, lower, _bloom(wanted.select(_cell("least").alias("cell")))).withColumnRenamed("print", "_print")
+    grams = wanted.join(grams, (F.col("print") == F.col("_print")) & F.col("least").eqNullSafe(F.col("doc_id"))).select("rid", "n", "grams")
+    grams = bucketed(grams.repartition(parts(spark), "rid"), "grams", "rid")
 
     links = stored(_subset_links(grams.filter(F.col("n") <= light), percent).union(_verified(pairs.select("a", "b"), grams, percent)), "near")
-    roots = components(links)
+    roots = stored(components(links), "roots")
     tried = pairs.select("a", "b")
     for nearest in rounds[1:]:
         if not pairs.filter("more").limit(1).count():
             break
-        roots = stored(roots, "roots")
         now = postings.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
         pairs = stored(_list_pairs(now, percent, light, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(_verified(pairs.select("a", "b"), grams, percent), "near")
         tried = tried.union(pairs.select("a", "b"))
-        links = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
-        roots = components(links)
+        if not found.isEmpty():
+            links = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
+            roots = stored(components(links), "roots")
     labelled = classes.select("rid", "print", "least").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     ends = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = labelled.join(ends, "root").select("print", "component_id")

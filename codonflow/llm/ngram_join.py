@@ -30,7 +30,7 @@ from codonflow.llm.components import components
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 COUNT_BITS, BLOOM_BITS = 18, 24
 #: Least and most cells of a set's histogram.
-CELLS = (32, 512)
+CELLS = (32, 1024)
 FIRST, SECOND = np.array([0]), np.array([1])
 SETS = "doc_id long, n int, print binary, prefix array<long>, sketch binary"
 

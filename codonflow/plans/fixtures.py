@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BIN = 1_000
+CHARS = 2_000  # of each text in the fixtures whose SQL cuts it so; None in their place is the whole text
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 FROM, TO = LOWER + LOWER.upper(), "acgt" * 6 + "ac" + "ACGT" * 6 + "AC"
 
@@ -48,14 +49,15 @@ def stop_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("rid", start.alias("start"), (start + 3).alias("end"))
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("tx_id"), F.translate(F.substring("text", 1, 2000), FROM, TO).alias("seq"))
+def sequences(spark: SparkSession, sf_dir: str, chars: int | None = CHARS) -> DataFrame:
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    return table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("tx_id"), F.translate(text, FROM, TO).alias("seq"))
 
 
-def seq_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seq_labels(spark: SparkSession, sf_dir: str, chars: int | None = CHARS) -> DataFrame:
     n, d = F.length("seq").cast("long"), F.col("tx_id").cast("long")
     start = F.when(n >= 30, d % 7)
-    return sequences(spark, sf_dir).select("tx_id", n.alias("length"), start.alias("orf_start"), (start + 3 * F.floor((n - 10) / 3)).alias("orf_end"))
+    return sequences(spark, sf_dir, chars).select("tx_id", n.alias("length"), start.alias("orf_start"), (start + 3 * F.floor((n - 10) / 3)).alias("orf_end"))
 
 
 def label_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +133,11 @@ SQL = {
     "stop_parts": """SELECT rid, CASE WHEN strand = '+' THEN "end" ELSE start - 3 END AS start, CASE WHEN strand = '+' THEN "end" + 3 ELSE start END AS "end"
   FROM ref_a WHERE (strand = '+' AND is_last) OR (strand <> '+' AND is_first)""",
     "sequences": f"""SELECT doc_id::VARCHAR AS tx_id, translate(substr(text, 1, 2000), '{FROM}', '{TO}') AS seq FROM documents WHERE text IS NOT NULL""",
+    "whole_sequences": f"""SELECT doc_id::VARCHAR AS tx_id, translate(text, '{FROM}', '{TO}') AS seq FROM documents WHERE text IS NOT NULL""",
     "seq_labels": """SELECT tx_id, n AS length, s AS orf_start, s + 3 * ((n - 10) // 3) AS orf_end FROM (
   SELECT tx_id, length(seq)::BIGINT AS n, CASE WHEN length(seq) >= 30 THEN tx_id::BIGINT % 7 END AS s FROM sequences)""",
+    "whole_seq_labels": """SELECT tx_id, n AS length, s AS orf_start, s + 3 * ((n - 10) // 3) AS orf_end FROM (
+  SELECT tx_id, length(seq)::BIGINT AS n, CASE WHEN length(seq) >= 30 THEN tx_id::BIGINT % 7 END AS s FROM whole_sequences)""",
     "label_seq": """SELECT user_id::BIGINT AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos,
   CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 3 ELSE 4 END WHEN 'purchase' THEN 5 ELSE 0 END::INTEGER AS label FROM events""",
     "logits": """SELECT vec_id::BIGINT AS seq_id, pos::INTEGER AS pos, embedding[pos * 6 + 1 : pos * 6 + 6]::DOUBLE[] AS logits,

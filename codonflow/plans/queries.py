@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,22 @@ def query(sql: str | None = None, recursive: bool = False) -> Callable[[Query],
     return add
 
 
+def query_on_texts(sql: str) -> Callable[[Query], Query]:
+    """Register the query over the first ``fx.CHARS`` characters of each text, as its SQL has it, and name_whole over whole texts."""
+
+    def add(f: Query) -> Query:
+        query(sql)(f)
+
+        def whole(spark, sf):
+            return f(spark, sf, None)
+
+        whole.__name__ = f"{f.__name__}_whole"
+        query(re.sub(r"\b(sequences|seq_labels)\b", r"whole_\1", sql))(whole)
+        return f
+
+    return add
+
+
 # Sources and sinks
 
 
@@ -42,10 +59,10 @@ def ref_cds_table(spark, sf):
     return fx.ref_cds(spark, sf)
 
 
-@query("SELECT s.tx_id, '>' || s.tx_id || chr(10) || s.seq AS record FROM sequences s WHERE s.tx_id IN (SELECT tx_id FROM seq_labels WHERE orf_start IS NOT NULL)")
-def fasta_subset(spark, sf):
-    kept = fx.seq_labels(spark, sf).filter("orf_start is not null").select("tx_id")
-    return fx.sequences(spark, sf).join(kept, "tx_id", "left_semi").select("tx_id", F.concat(F.lit(">"), "tx_id", F.lit("\n"), "seq").alias("record"))
+@query_on_texts("SELECT s.tx_id, '>' || s.tx_id || chr(10) || s.seq AS record FROM sequences s WHERE s.tx_id IN (SELECT tx_id FROM seq_labels WHERE orf_start IS NOT NULL)")
+def fasta_subset(spark, sf, chars=fx.CHARS):
+    kept = fx.seq_labels(spark, sf, chars).filter("orf_start is not null").select("tx_id")
+    return fx.sequences(spark, sf, chars).join(kept, "tx_id", "left_semi").select("tx_id", F.concat(F.lit(">"), "tx_id", F.lit("\n"), "seq").alias("record"))
 
 
 # Projections
@@ -56,15 +73,15 @@ def ref_complete(spark, sf):
     return labeling.references(fx.ref_cds(spark, sf)).select("rid", "cds_len", "complete")
 
 
-@query("SELECT tx_id, translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234') AS codes FROM sequences")
-def nt_encode(spark, sf):
-    return fx.sequences(spark, sf).select("tx_id", F.array_join(fn.encode(F.col("seq")).cast("array<string>"), "").alias("codes"))
+@query_on_texts("SELECT tx_id, translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234') AS codes FROM sequences")
+def nt_encode(spark, sf, chars=fx.CHARS):
+    return fx.sequences(spark, sf, chars).select("tx_id", F.array_join(fn.encode(F.col("seq")).cast("array<string>"), "").alias("codes"))
 
 
-@query("""SELECT tx_id, k::INTEGER AS code, (length(c) - length(replace(c, k::VARCHAR, '')))::BIGINT AS n FROM (
+@query_on_texts("""SELECT tx_id, k::INTEGER AS code, (length(c) - length(replace(c, k::VARCHAR, '')))::BIGINT AS n FROM (
 SELECT tx_id, translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234') AS c FROM sequences), range(5) r(k)""")
-def nt_composition(spark, sf):
-    return windows.composition(fx.sequences(spark, sf))
+def nt_composition(spark, sf, chars=fx.CHARS):
+    return windows.composition(fx.sequences(spark, sf, chars))
 
 
 @query("SELECT seq_id, pos, k::INTEGER AS class_id, (label = k)::INTEGER AS hot FROM label_seq, range(6) r(k)")
@@ -73,20 +90,20 @@ def label_onehot(spark, sf):
     return rows.select("seq_id", "pos", F.posexplode(fn.one_hot(F.array("label"), 6)[0]).alias("class_id", "hot")).withColumn("hot", F.col("hot").cast("int"))
 
 
-@query("""SELECT tx_id, substr(rpad(translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234'), 500, '5'), 1, 500) AS codes FROM sequences""")
-def pad_fixed(spark, sf):
+@query_on_texts("""SELECT tx_id, substr(rpad(translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234'), 500, '5'), 1, 500) AS codes FROM sequences""")
+def pad_fixed(spark, sf, chars=fx.CHARS):
     padded = fn.pad_to(fn.encode(F.col("seq")), 500, fn.PAD)
-    return fx.sequences(spark, sf).select("tx_id", F.array_join(padded.cast("array<string>"), "").alias("codes"))
+    return fx.sequences(spark, sf, chars).select("tx_id", F.array_join(padded.cast("array<string>"), "").alias("codes"))
 
 
 DENSE = """SELECT tx_id, CASE WHEN orf_start IS NULL THEN repeat('0', length::INTEGER) ELSE
 repeat('0', orf_start::INTEGER) || '1' || substr(repeat('234', ((orf_end - orf_start) // 3 + 1)::INTEGER), 1, (orf_end - orf_start - 2)::INTEGER) || '5' || repeat('0', (length - orf_end)::INTEGER) END AS labels FROM seq_labels"""
 
 
-@query(DENSE)
-def dense_labels(spark, sf):
+@query_on_texts(DENSE)
+def dense_labels(spark, sf, chars=fx.CHARS):
     dense = fn.dense_labels(F.col("length"), F.col("orf_start"), F.col("orf_end"))
-    return fx.seq_labels(spark, sf).select("tx_id", F.array_join(dense.cast("array<string>"), "").alias("labels"))
+    return fx.seq_labels(spark, sf, chars).select("tx_id", F.array_join(dense.cast("array<string>"), "").alias("labels"))
 
 
 @query("SELECT name, accession, annotation, annotation IN ('RefSeq', 'BRAKER') AS valid FROM species")
@@ -107,9 +124,9 @@ def argmax_class(spark, sf):
     return fx.logits(spark, sf).select("seq_id", "pos", fn.argmax(F.col("logits")).alias("predicted"))
 
 
-@query("SELECT tx_id, reverse(translate(regexp_replace(seq, '[^ACGTacgt]', 'N', 'g'), 'ACGTacgt', 'TGCAtgca')) AS seq FROM sequences")
-def revcomp(spark, sf):
-    return fx.sequences(spark, sf).select("tx_id", fn.reverse_complement(F.regexp_replace("seq", "[^ACGTacgt]", "N")).alias("seq"))
+@query_on_texts("SELECT tx_id, reverse(translate(regexp_replace(seq, '[^ACGTacgt]', 'N', 'g'), 'ACGTacgt', 'TGCAtgca')) AS seq FROM sequences")
+def revcomp(spark, sf, chars=fx.CHARS):
+    return fx.sequences(spark, sf, chars).select("tx_id", fn.reverse_complement(F.regexp_replace("seq", "[^ACGTacgt]", "N")).alias("seq"))
 
 
 # Joins
@@ -129,9 +146,9 @@ def cds_projection(spark, sf):
     return labeling.project_cds(_pairs(spark, sf)).select("tid", "rid", "orf_start", "orf_end", "contained").fillna(NONE)
 
 
-@query("SELECT s.tx_id, l.length, coalesce(l.orf_start, -1) AS orf_start, coalesce(l.orf_end, -1) AS orf_end, length(s.seq)::BIGINT AS seq_length FROM sequences s JOIN seq_labels l ON s.tx_id = l.tx_id")
-def seq_label_join(spark, sf):
-    paired, _ = windows.pair_with_labels(fx.sequences(spark, sf), fx.seq_labels(spark, sf))
+@query_on_texts("SELECT s.tx_id, l.length, coalesce(l.orf_start, -1) AS orf_start, coalesce(l.orf_end, -1) AS orf_end, length(s.seq)::BIGINT AS seq_length FROM sequences s JOIN seq_labels l ON s.tx_id = l.tx_id")
+def seq_label_join(spark, sf, chars=fx.CHARS):
+    paired, _ = windows.pair_with_labels(fx.sequences(spark, sf, chars), fx.seq_labels(spark, sf, chars))
     return paired.select("tx_id", "length", "orf_start", "orf_end", F.length("seq").cast("long").alias("seq_length")).fillna(NONE)
 
 
@@ -324,10 +341,10 @@ def gtf_lines(spark, sf):
     return orf.gtf_lines(_segments(spark, sf))
 
 
-@query(f"""+ dense AS ({DENSE}), w AS (SELECT s.tx_id, translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234') AS c, labels, unnest(range(0, (length(seq) - 1) // {WIDTH} + 1)) AS chunk_idx FROM sequences s JOIN dense USING (tx_id))
+@query_on_texts(f"""+ dense AS ({DENSE}), w AS (SELECT s.tx_id, translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234') AS c, labels, unnest(range(0, (length(seq) - 1) // {WIDTH} + 1)) AS chunk_idx FROM sequences s JOIN dense USING (tx_id))
 SELECT tx_id, chunk_idx, least({WIDTH}, length(c) - chunk_idx * {WIDTH})::INTEGER AS real_len, rpad(substr(c, (chunk_idx * {WIDTH} + 1)::INTEGER, {WIDTH}), {WIDTH}, '5') AS x, rpad(substr(labels, (chunk_idx * {WIDTH} + 1)::INTEGER, {WIDTH}), {WIDTH}, '0') AS y FROM w""")
-def tile_windows(spark, sf):
-    tiled = windows.tile_windows(windows.pair_with_labels(fx.sequences(spark, sf), fx.seq_labels(spark, sf))[0], WIDTH)
+def tile_windows(spark, sf, chars=fx.CHARS):
+    tiled = windows.tile_windows(windows.pair_with_labels(fx.sequences(spark, sf, chars), fx.seq_labels(spark, sf, chars))[0], WIDTH)
     return tiled.withColumns({c: F.array_join(F.col(c).cast("array<string>"), "") for c in ("x", "y")})
 
 
@@ -410,7 +427,7 @@ def demo_scorer():
 
 @query()
 def score_windows(spark, sf):
-    tiled = windows.tile_sequences(fx.sequences(spark, sf), WIDTH)
+    tiled = windows.tile_sequences(fx.sequences(spark, sf, None), WIDTH)
     scored = decode.score_windows(tiled, demo_scorer, WIDTH)
     total = F.aggregate(F.flatten("logits"), F.lit(0.0), lambda a, v: a + v)
     return scored.select("tx_id", "chunk_idx", F.size("logits").alias("positions"), F.round(total, 6).alias("total"))

@@ -60,7 +60,8 @@ def gtf_lines(segments: DataFrame, source: str = "codonflow", frame_mode: str =
     return segments.select("tid", "start", line.alias("line"))
 
 
-def write_gtf(lines: DataFrame, path: str, partitions: int = 1) -> None:
-    """Text files in the order of transcript ids, as binary strings, then position."""
+def write_gtf(lines: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Text files in the order of transcript ids, as binary strings, then position; ``spark.sql.shuffle.partitions`` of them unless told otherwise."""
     order = F.col("tid").cast("string")
-    lines.repartitionByRange(partitions, order).sortWithinPartitions(order, "start").select("line").write.text(path)
+    count = partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(count, order).sortWithinPartitions(order, "start").select("line").write.text(path)

@@ -96,16 +96,19 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("run"), epoch.cast("long").alias("epoch"), F.col("value").cast("double").alias("val_loss"))
 
 
-def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sequences(spark, sf_dir).withColumn("d", F.col("tx_id").cast("long"))
-    parts = F.array_sort(F.collect_list(F.struct("d", "seq")))
-    return rows.groupBy(F.concat(F.lit("chr"), F.col("d") % 25).alias("contig")).agg(F.array_join(F.transform(parts, lambda p: p["seq"]), "").alias("seq"))
+def genome(spark: SparkSession, sf_dir: str, chars: int | None = CHARS) -> DataFrame:
+    """The sequences that make up each contig, joined in the order of d."""
+    d = F.col("tx_id").cast("long")
+    return sequences(spark, sf_dir, chars).select(F.concat(F.lit("chr"), d % 25).alias("contig"), d.alias("d"), "seq")
+
+
+def contig_lengths(spark: SparkSession, sf_dir: str, chars: int | None = CHARS) -> DataFrame:
+    return genome(spark, sf_dir, chars).groupBy("contig").agg(F.sum(F.length("seq").cast("long")).alias("n"))
 
 
 def genome_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exons moved into their contig: starts modulo the length, cut at its end."""
-    g = genome(spark, sf_dir).select("contig", F.length("seq").cast("long").alias("n"))
-    rows = tx_exon(spark, sf_dir).filter("line_no = 1").join(g, "contig")
+    """First exons moved into their contig: starts modulo the length, cut at its end."""
+    rows = tx_exon(spark, sf_dir).filter("line_no = 1").join(F.broadcast(contig_lengths(spark, sf_dir)), "contig")
     start = F.col("start") % F.col("n")
     return rows.select("tid", "contig", "strand", start.alias("start"), F.least(start + 60, F.col("n")).alias("end"), "line_no")
 

@@ -166,8 +166,11 @@ def pending_species(spark, sf):
 @query("""SELECT tid, CASE WHEN strand = '+' THEN s ELSE reverse(translate(s, 'ACGTacgt', 'TGCAtgca')) END AS seq FROM (
 SELECT e.tid, e.strand, regexp_replace(substr(g.seq, (e.start + 1)::INTEGER, (e."end" - e.start)::INTEGER), '[^ACGTacgt]', 'N', 'g') AS s FROM genome_exons e JOIN genome g ON e.contig = g.contig)""")
 def splice_sequence(spark, sf):
-    clean = fx.genome(spark, sf).withColumn("seq", F.regexp_replace("seq", "[^ACGTacgt]", "N"))
-    return seqs.splice(fx.genome_exons(spark, sf), seqs.genome_tiles(clean, 1000), 1000)
+    return seqs.splice(fx.genome_exons(spark, sf), _tiles(spark, sf, fx.CHARS), 1000)
+
+
+def _tiles(spark, sf, chars):
+    return seqs.document_tiles(fx.genome(spark, sf, chars).withColumn("seq", F.regexp_replace("seq", "[^ACGTacgt]", "N")), 1000)
 
 
 @query("SELECT DISTINCT name, number IN (SELECT number FROM base_species WHERE split = 'training') AS found FROM base_species WHERE number % 2 = 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codonflow.functions.labels import reverse_complement
@@ -32,6 +32,26 @@ def genome_tiles(genome: DataFrame, width: int = TILE) -> DataFrame:
     return tiles.select("contig", "tile", F.substring(F.col("seq"), (F.col("tile") * width + 1).cast("int"), F.lit(width)).alias("seq"))
 
 
+def document_tiles(documents: DataFrame, width: int = TILE, ids_a_range: int = 25_000) -> DataFrame:
+    """(contig, d, seq) to the tiles of contigs made by joining each contig's sequences in the order of d; no row holds a contig.
+
+    A sequence's offset in its contig is the length of all earlier ranges of d plus that of the rows before
+    it in its own range. Sequences are cut where tiles begin, and each tile joins its pieces.
+    """
+    rows = documents.select("contig", "d", "seq", F.length("seq").cast("long").alias("n"), F.floor(F.col("d") / ids_a_range).alias("range")).filter("n > 0")
+    totals = rows.groupBy("contig", "range").agg(F.sum("n").alias("total"))
+    before = Window.partitionBy("contig").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("contig", "range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("contig", "range").orderBy("d", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    at = rows.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(totals, ["contig", "range"]).withColumn("at", F.col("base") + F.col("inner"))
+    first = (width - F.col("at") % width).cast("int")
+    pieces = F.concat(F.array(F.substring(F.col("seq"), F.lit(1), first)), F.regexp_extract_all(F.substring(F.col("seq"), first + 1, F.length("seq")), F.lit(f"(?s).{{1,{width}}}"), F.lit(0)))
+    cut = at.select("contig", "at", F.posexplode(pieces).alias("k", "piece"))
+    cut = cut.select("contig", (F.floor(F.col("at") / width) + F.col("k")).alias("tile"), F.struct(F.when(F.col("k") == 0, F.col("at") % width).otherwise(0).alias("place"), "piece").alias("p"))
+    whole = cut.groupBy("contig", "tile").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return whole.select("contig", "tile", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("seq"))
+
+
 def splice(tx_exon: DataFrame, tiles: DataFrame, width: int = TILE) -> DataFrame:
     """tid and the spliced sequence of its exons, reverse-complemented unless the strand is '+'."""
     cut = tx_exon.filter("start < end").withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))

@@ -5,8 +5,10 @@ import random
 
 import pytest
 
+from codonflow.operators import orf
 from codonflow.plans import fixtures as fx
 from codonflow.plans import queries as q
+from codonflow.sources import sequences
 
 BASE = dict(zip(fx.FROM, fx.TO, strict=True))
 CODE = dict(zip("ACGTNacgtn", "0123401234", strict=True))
@@ -56,3 +58,21 @@ def test_windows_of_whole_texts(spark, texts):
     assert got == want
     scored = {(r["tx_id"], r["chunk_idx"]) for r in q.QUERIES["score_windows"](spark, top).collect()}
     assert scored == set(want)
+
+
+def test_tiles_of_documents_equal_tiles_of_contigs(spark):
+    rng = random.Random(5)
+    docs = [(f"c{i % 3}", i, "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 1, 6, 7, 8, 40])))) for i in rng.sample(range(-20, 200), 150)]
+    want = {}
+    for c, _, s in sorted(docs):
+        want[c] = want.get(c, "") + s
+    tiles = sequences.document_tiles(spark.createDataFrame(docs, "contig string, d long, seq string"), 7, 10)
+    assert {(r["contig"], r["tile"]): r["seq"] for r in tiles.collect()} == {(c, k): s[7 * k : 7 * k + 7] for c, s in want.items() for k in range(-(-len(s) // 7))}
+
+
+def test_gtf_is_written_by_several_tasks(spark, tmp_path):
+    lines = spark.createDataFrame([(i, s, f"{i} {s}") for i in range(200) for s in (5, 1)], "tid long, start long, line string")
+    orf.write_gtf(lines, str(tmp_path / "g"))
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "g").glob("part-*"))]
+    assert sum(map(bool, parts)) > 1
+    assert sum(parts, []) == [f"{i} {s}" for i in sorted(map(str, range(200))) for s in (1, 5)]

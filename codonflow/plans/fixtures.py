@@ -113,6 +113,17 @@ def genome_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("tid", "contig", "strand", start.alias("start"), F.least(start + 60, F.col("n")).alias("end"), "line_no")
 
 
+def whole_genome_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All exons. A transcript moves as a whole, so that it lies in its contig and its exons keep their order and distances; only a contig shorter than the transcript cuts it."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("tid")
+    rows = tx_exon(spark, sf_dir).withColumns({"first": F.min("start").over(w), "last": F.max("end").over(w)})
+    rows = rows.join(F.broadcast(contig_lengths(spark, sf_dir, None)), "contig")
+    move = F.col("first") % F.greatest(F.col("n") - F.col("last") + F.col("first") + 1, F.lit(1)) - F.col("first")
+    return rows.select("tid", "contig", "strand", (F.col("start") + move).alias("start"), F.least(F.col("end") + move, F.col("n")).alias("end"), "line_no").filter("start < end")
+
+
 def gene_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Reference exons, and sets a (two thirds) and b (a with outer ends moved)."""
     cols = [F.col("contig").alias("species"), "tid", "contig", "strand", "start", "end"]
@@ -155,6 +166,10 @@ SQL = {
     "genome": """SELECT 'chr' || (tx_id::BIGINT % 25) AS contig, string_agg(seq, '' ORDER BY tx_id::BIGINT) AS seq FROM sequences GROUP BY 1""",
     "genome_exons": """SELECT tid, e.contig, strand, start % n AS start, least(start % n + 60, n) AS "end", line_no
   FROM tx_exon e JOIN (SELECT contig, length(seq)::BIGINT AS n FROM genome) g ON e.contig = g.contig WHERE line_no = 1""",
+    "whole_genome": """SELECT 'chr' || (tx_id::BIGINT % 25) AS contig, string_agg(seq, '' ORDER BY tx_id::BIGINT) AS seq FROM whole_sequences GROUP BY 1""",
+    "whole_genome_exons": """SELECT tid, contig, strand, start + move AS start, least("end" + move, n) AS "end", line_no FROM (
+  SELECT e.*, n, lo % greatest(n - hi + lo + 1, 1) - lo AS move FROM (SELECT *, min(start) OVER (PARTITION BY tid) AS lo, max("end") OVER (PARTITION BY tid) AS hi FROM tx_exon) e
+  JOIN (SELECT contig, length(seq)::BIGINT AS n FROM whole_genome) g ON e.contig = g.contig) WHERE start + move < least("end" + move, n)""",
     "reference_exons": """SELECT contig AS species, tid, contig, strand, start, "end" FROM tx_exon""",
     "predicted_exons": """SELECT 'a' AS gene_set, contig AS species, tid, contig, strand, start, "end" FROM tx_exon WHERE tid % 3 <> 0
   UNION ALL SELECT 'b', contig, tid, contig, strand, start - CASE WHEN is_first THEN tid % 6 ELSE 0 END, "end" + CASE WHEN is_last THEN tid % 6 ELSE 0 END FROM exon_ends WHERE tid % 3 <> 0""",

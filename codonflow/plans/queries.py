@@ -173,6 +173,12 @@ def _tiles(spark, sf, chars):
     return seqs.document_tiles(fx.genome(spark, sf, chars).withColumn("seq", F.regexp_replace("seq", "[^ACGTacgt]", "N")), 1000)
 
 
+@query("""SELECT tid, CASE WHEN any_value(strand) = '+' THEN string_agg(s, '' ORDER BY start) ELSE reverse(translate(string_agg(s, '' ORDER BY start), 'ACGTacgt', 'TGCAtgca')) END AS seq FROM (
+SELECT e.tid, e.strand, e.start, regexp_replace(substr(g.seq, (e.start + 1)::INTEGER, (e."end" - e.start)::INTEGER), '[^ACGTacgt]', 'N', 'g') AS s FROM whole_genome_exons e JOIN whole_genome g ON e.contig = g.contig) GROUP BY tid""")
+def splice_sequence_whole(spark, sf):
+    return seqs.splice(fx.whole_genome_exons(spark, sf), _tiles(spark, sf, None), 1000)
+
+
 @query("SELECT DISTINCT name, number IN (SELECT number FROM base_species WHERE split = 'training') AS found FROM base_species WHERE number % 2 = 0")
 def species_subset(spark, sf):
     rows = fx.species(spark, sf).select("name", "number", "split")

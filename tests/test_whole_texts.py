@@ -60,6 +60,24 @@ def test_windows_of_whole_texts(spark, texts):
     assert scored == set(want)
 
 
+def test_splice_joins_all_exons(spark, texts):
+    top, found = texts
+    rng = random.Random(4)
+    lines = [(tid, k) for tid in range(0, 2500, 3) for k in rng.sample(range(1, 8), rng.randint(1, 7))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long").write.mode("overwrite").parquet(f"{top}/lineitem.parquet")
+    want = {}
+    for tid in {t for t, _ in lines}:
+        contig = bases(found.get(tid % 25, ""))  # one document a contig
+        starts = sorted(tid // 50 * 1000 + k * 100 for t, k in lines if t == tid)
+        move = starts[0] % max(len(contig) - (starts[-1] + 60 - starts[0]) + 1, 1) - starts[0]
+        seq = "".join("".join(c if c in "ACGTacgt" else "N" for c in contig[s + move : s + move + 60]) for s in starts)
+        if seq:
+            want[tid] = seq if tid % 2 == 0 else revcomp(seq)
+    got = {r["tid"]: r["seq"] for r in q.QUERIES["splice_sequence_whole"](spark, top).collect()}
+    assert got == want
+    assert max(map(len, got.values())) == 420
+
+
 def test_tiles_of_documents_equal_tiles_of_contigs(spark):
     rng = random.Random(5)
     docs = [(f"c{i % 3}", i, "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 1, 6, 7, 8, 40])))) for i in rng.sample(range(-20, 200), 150)]

@@ -39,7 +39,7 @@ def features(text: str) -> list[float]:
         np.log1p(len(text)), np.log1p(len(words)), float(lengths.mean()), len(counts) / m, max(counts.values(), default=0) / m,
         len(set(zip(words, words[1:], strict=False))) / m, (upper + lower + high) / n, upper / n, c[48:58].sum() / n, (c[32] + c[9:14].sum()) / n,
         c[[35, 36, 37, 38, 42, 43, 47, 60, 61, 62, 64, 92, 94, 95, 126]].sum() / n, c[[33, 44, 46, 58, 59, 63]].sum() / n, c[124] / n, c[[40, 41, 91, 93, 123, 125]].sum() / n, high / n, float(-(p * np.log2(p)).sum()),
-        np.log1p(len(lines)), len(text) / k, len(set(lines)) / k, sum(x.rstrip()[-1:] in ".!?" for x in lines) / k, sum(not any(map(str.isalpha, w[:8])) for w in counts) / max(1, len(counts)),
+        np.log1p(len(lines)), len(text) / k, len(set(lines)) / k, sum(x.rstrip()[-1:] in ".!?" for x in lines) / k, sum(not any(map(str.isalpha, w)) for w in counts) / max(1, len(counts)),
         sum(w[:1].isupper() for w in counts) / max(1, len(counts)), float((lengths > 15).mean()), float((lengths < 3).mean()),
     ]
 

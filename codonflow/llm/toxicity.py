@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codonflow.llm.common import crc_fold, pack, to_arrow
 
-BITS = 19
+BITS = 20
 SCORED = "doc_id long, score double"
 #: Odd 64-bit multipliers, one for each place in a gram.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -20,7 +20,7 @@ EDGES = ".,;:!?\"'()[]{}<>*#%&$|_-"
 
 
 #: Lengths of the word prefixes that are features beside the word, since insults are inflected.
-PREFIXES = (3, 5, 7)
+PREFIXES = (3, 4, 5, 7)
 
 
 class _Words(dict):
@@ -130,11 +130,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 moved = (model.z[at] - shared.value[0][at], model.n[at] - shared.value[1][at])
                 yield pack({"at": [at.astype(np.int32).tobytes()]} | {k: [v.astype(np.float32).tobytes()] for k, v in zip("zn", moved, strict=True)}, state)
 
-        for r in rows.mapInArrow(learn, "at binary, z binary, n binary").collect():  # one packed state a shard, 12 bytes a coordinate at most
+        states = rows.mapInArrow(learn, "at binary, z binary, n binary").cache()
+        states.count()  # all shards learn at once; their states then come to the driver one after another
+        for r in states.toLocalIterator():  # one packed state a shard, 12 bytes a coordinate at most
             at = np.frombuffer(r["at"], dtype=np.int32)
             z[at] += np.frombuffer(r["z"], dtype=np.float32) / shards
             n[at] += np.frombuffer(r["n"], dtype=np.float32) / shards
-        shared.unpersist()
+        states.unpersist(blocking=True)
+        shared.destroy()  # the driver's copy as well
     rows.unpersist()
     model = Ftrl(size, alpha, beta, l1, l2)
     model.z, model.n = z, n

@@ -1,6 +1,13 @@
 """Features of the classifiers."""
 
-from codonflow.llm import quality
+from codonflow.llm import quality, toxicity
+
+
+def test_words_share_a_four_letter_stem():
+    assert toxicity.BITS == 20
+    shared = lambda a, b: len(set(toxicity.grams(a)) & set(toxicity.grams(b)))
+    assert shared("snarfing", "snarled") == 2  # sna~ and snar~
+    assert shared("snarfing", "snail") == 1
 
 
 def test_letters_are_sought_in_whole_words():

@@ -399,9 +399,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: b
     links = stored(_subset_links(grams.filter(F.col("n") <= light), percent).union(_verified(pairs.select("a", "b"), grams, percent)), "near")
     roots = stored(components(links), "roots")
     tried = pairs.select("a", "b")
-    for nearest in rounds[1:]:
-        if not pairs.filter("more").limit(1).count():
-            break
+    # Later rounds lose tried pairs and their flag, so only the first one tells that no class has more partners.
+    for nearest in rounds[1:] if pairs.filter("more").limit(1).count() else ():
         now = postings.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
         pairs = stored(_list_pairs(now, percent, light, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(_verified(pairs.select("a", "b"), grams, percent), "near")

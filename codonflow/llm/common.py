@@ -19,11 +19,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests on one machine, a local folder is created and recorded there.
+    It is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset and Spark
+    runs on one machine, as in tests, a local folder is created and recorded there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="codonflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -66,16 +68,30 @@ def stored(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     path = new_path(spark, tag)
     with one_off_shuffles(spark):
         df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
-    """The same in the warehouse, by hash of ``key``: joins and groupings on it then read it without an exchange."""
+    """The same as a table by hash of ``key``: joins and groupings on it then read it without an exchange."""
     spark = df.sparkSession
-    name = f"{tag}_{uuid.uuid4().hex}"
+    name, path = f"{tag}_{uuid.uuid4().hex}", new_path(spark, tag)
     with one_off_shuffles(spark):
-        df.write.bucketBy(parts(spark), key).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+        df.write.bucketBy(parts(spark), key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._stored_at, out._table = path, name
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` or ``bucketed`` wrote; nothing that is still to run may read it."""
+    for df in tables:
+        spark = df.sparkSession
+        if hasattr(df, "_table"):
+            spark.sql(f"DROP TABLE IF EXISTS {df._table}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parts(spark: SparkSession) -> int:

@@ -1,20 +1,22 @@
 """Near-duplicate groups by a size-aware Jaccard join of word n-gram sets.
 
-Light sets (small ones) enumerate all their subsets of each size that a partner of a given size must
-share; two that meet on one are linked without any further look. Heavy sets scan inverted lists: of the
-grams that a partner cannot avoid (the rarest ones), with small histograms to discard list neighbours whose
-symmetric difference is surely too large, then an exact intersection. The boundary between the two is
-the set size that makes the estimated total of subsets and list reads smallest.
-
-Equal sets are one class from the start. Lists are not expanded into all pairs: a round takes each
-class's nearest neighbours that are not yet in its component, links what passes, and the next round
-looks only across components; the last round takes every pair that is left.
+Light sets (small ones) enumerate their subsets of each size that a partner of a given size must share;
+two that meet on one are linked without any further look. Heavy sets scan inverted lists. The boundary
+between the two is the set size for which the measured cost of both is least.
+
+A list belongs to two grams that follow each other when a set is sorted from rare to frequent grams: two
+sets that differ little have such a pair in common near the rare end, and two that only share a passage or
+some frequent words hardly ever do, so the lists hold little but near duplicates and grow in proportion to
+the input. Most lists have one member and are told by a filter before anything is written. In a list all
+members are first compared with one of them, and what passes is linked; only lists that still have members
+in different components are compared further, nearest ones first, and at last in full.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -24,15 +26,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from codonflow.llm.common import bucketed, pack, parts, stored, tidy, to_arrow
+from codonflow.llm.common import bucketed, discard, pack, parts, stored, tidy, to_arrow
 from codonflow.llm.components import components
 
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-COUNT_BITS, BLOOM_BITS = 18, 24
+COUNT_BITS, COUNT_SLICES = 18, 64
+#: Least and most bits of a broadcast filter: 8 kB to 32 MB. Beyond what the largest can tell apart it lets more through.
+FILTER_BITS = (16, 28)
+#: Members of a list that are compared with the same one, and rows of a block in which a list is compared in full.
+BLOCK = 2048
 #: Least and most cells of a set's histogram.
 CELLS = (32, 1024)
 FIRST, SECOND = np.array([0]), np.array([1])
-SETS = "doc_id long, n int, print binary, prefix array<long>, sketch binary"
 
 
 def gram_set(text: str | None, words: int, lower: bool) -> np.ndarray:
@@ -94,10 +99,7 @@ def _differences(sketches: list[bytes]):
     return pairs
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
-
-
+@lru_cache(maxsize=100_000)
 def overlap(a: int, b: int, percent: int) -> int:
     """Common elements that sets of sizes a and b must have: 100 * i >= percent * (a + b - i)."""
     return -(-percent * (a + b) // (100 + percent))
@@ -107,119 +109,285 @@ def partners(a: int, percent: int) -> range:
     return range(-(-percent * a // 100), 100 * a // percent + 1)
 
 
+def alone(n: int, percent: int) -> bool:
+    """Whether a set of ``n`` elements can be linked with equal sets only."""
+    return partners(n, percent) == range(n, n + 1) and overlap(n, n, percent) == n
+
+
+def chain_length(percent: int) -> int:
+    """Grams that make a list's key: two where any linked sets have two that follow each other in both, else one.
+
+    Of c common grams, c - 1 gaps lie between neighbours, and each of the D grams that only one set has
+    spoils at most one; so two are enough where c >= D + 2.
+    """
+    enough = all(3 * overlap(a, b, percent) >= a + b + 2 for a in range(1, 200) if not alone(a, percent) for b in partners(a, percent))
+    return 2 if enough else 1
+
+
+@lru_cache(maxsize=100_000)
+def prefix_length(n: int, percent: int, chain: int) -> int:
+    """Grams, from the rarest, among which a set of ``n`` has a chain in common with any partner.
+
+    Up to the first unspoiled gap lie at most D + 2 common grams and the n - c grams that the partner lacks.
+    The most is needed for one of the smallest partners.
+    """
+    if not n or alone(n, percent):
+        return 0
+    common = ((b, overlap(n, b, percent)) for b in partners(n, percent)[:8])
+    return min(n, max(chain + (chain - 1) * (n + b - 2 * c) + n - c for b, c in common))
+
+
+def n_keys(n: int, percent: int, chain: int) -> int:
+    return max(0, prefix_length(n, percent, chain) - chain + 1)
+
+
+def list_keys(grams: np.ndarray, rarity: np.ndarray, percent: int, chain: int) -> np.ndarray:
+    """The lists that a set is in. ``rarity``: a class from rare to frequent for each cell of the gram's first bits."""
+    take = prefix_length(len(grams), percent, chain)
+    if not take:
+        return grams[:0]
+    rank = (rarity[grams >> np.uint64(64 - COUNT_BITS)] << np.uint64(56)) | (grams >> np.uint64(8))
+    if take < len(rank):
+        rank = np.partition(rank, take - 1)[:take]
+    rank.sort()
+    x = rank * K1
+    x ^= x >> np.uint64(31)
+    if chain == 2:
+        x = (x[:-1] + rank[1:]) * K2
+    x ^= x >> np.uint64(29)
+    return x * K1
+
+
 def subset_cost(a: int, percent: int) -> int:
     return sum(comb(a, overlap(a, b, percent)) for b in partners(a, percent))
 
 
-def boundary(sizes: dict[int, int], list_length: float, percent: int, largest: int = 40, most: int = 5000) -> int:
-    """The largest light size: least total of subsets written by light sets and list entries read by heavy ones."""
-    best = (float("inf"), 0)
-    light, heavy = 0.0, sum(k * prefix_length(n, percent) * (1 + list_length) for n, k in sizes.items())
-    for x in range(largest + 1):
-        if x and x in sizes:
-            if subset_cost(x, percent) > most:
-                break
-            heavy -= sizes[x] * prefix_length(x, percent) * (1 + list_length)
-            light += sizes[x] * (subset_cost(x, percent) if subset_cost(x, percent) > len(partners(x, percent)) else 0)
-        best = min(best, (light + heavy, x), key=lambda v: v[0])
+def boundary(sets: dict[int, int], lists: dict[int, int], percent: int) -> int:
+    """The largest light size: least total of subsets that light sets write and of what heavy ones cost.
+
+    ``sets``: sets of each size; ``lists``: what lists cost the sets of each size, entries read and elements
+    moved to compare candidates. A subset, an entry and an element count alike.
+    """
+    light, heavy = 0, sum(lists.values())
+    best = (heavy, 0)
+    for n in sorted(sets):
+        light += 0 if alone(n, percent) else sets[n] * subset_cost(n, percent)
+        heavy -= lists.get(n, 0)
+        if light >= best[0]:  # it only grows
+            break
+        best = min(best, (light + heavy, n), key=lambda v: v[0])
     return best[1]
 
 
-def _gram_counts(docs: DataFrame, words: int, lower: bool) -> np.ndarray:
-    """How many sets hold a gram of each of 2**18 hash cells, over the whole corpus; orders grams from rare to frequent."""
-    arrow = to_arrow("cell int, n long")
+def _summaries(docs: DataFrame, words: int, lower: bool, percent: int, chain: int) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, rid (the set's hash), n, keys and sketch of every row; and how rare the grams of each of 2**18 hash cells are in the corpus."""
+    schema = "doc_id long, rid long, n int, keys int, sketch binary, slice int, cells binary"
+    arrow, packed = to_arrow(schema), to_arrow("slice int, cells binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                grams = [gram_set(t, words, lower) for t in b.column(0).slice(at, 512).to_pylist()]
+                ids, grams = b.column(0).slice(at, 512), [gram_set(t, words, lower) for t in b.column(1).slice(at, 512).to_pylist()]
                 total += np.bincount((np.concatenate(grams) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
-        cell = np.flatnonzero(total)
-        yield pack({"cell": cell.astype(np.int32), "n": total[cell]}, arrow)
+                none = [None] * len(grams)
+                yield pack({"doc_id": ids, "rid": [set_id(g) for g in grams], "n": [len(g) for g in grams], "keys": [n_keys(len(g), percent, chain) for g in grams], "sketch": [histogram(g, percent) for g in grams], "slice": none, "cells": none}, arrow)
+        some = [(i, x.astype(np.uint32).tobytes()) for i, x in enumerate(np.split(total, COUNT_SLICES)) if x.any()]
+        none = [None] * len(some)
+        yield pack({"doc_id": none, "rid": none, "n": none, "keys": none, "sketch": none, "slice": [i for i, _ in some], "cells": [x for _, x in some]}, arrow)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[i] = total.get(i, 0) + np.frombuffer(x, dtype=np.uint32).astype(np.int64)
+        yield pack({"slice": list(total), "cells": [x.tobytes() for x in total.values()]}, packed)
+
+    found = stored(docs.select("doc_id", "text").mapInArrow(run, schema), "sets")
+    slices = found.filter("slice is not null").select("slice", "cells").repartitionById(COUNT_SLICES, F.col("slice")).mapInArrow(add, "slice int, cells binary")
+    counts = np.zeros((COUNT_SLICES, (1 << COUNT_BITS) // COUNT_SLICES), dtype=np.int64)
+    for r in slices.collect():  # 2**18 counts in all, whatever the input
+        counts[r["slice"]] = np.frombuffer(r["cells"], dtype=np.int64)
+    return found, np.minimum(4 * np.log2(1 + counts.ravel()), 255).astype(np.uint64)
 
-    out = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-    got = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # 2**18 rows at most
-    out[got["cell"]] = got["n"]
-    return out
 
+def set_id(grams: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
-def _sets(docs: DataFrame, words: int, lower: bool, percent: int, counts: np.ndarray) -> DataFrame:
-    """For each row: the set's size, fingerprint, rarest grams and histogram."""
-    arrow, shared = to_arrow(SETS), docs.sparkSession.sparkContext.broadcast(counts)
+
+def _filter(slices: DataFrame, n_slices: int, bits: int, twice: bool) -> np.ndarray:
+    """A filter of 2**bits bits, put together slice by slice in tasks and collected packed: 2**bits / 8 bytes.
+
+    ``slices``: slice, cells (packed 32-bit hashes), tags (packed 16 bits of what has the hash). With ``twice``
+    only hashes that have two different tags are set.
+    """
+    own = bits - n_slices.bit_length() + 1
+    schema = to_arrow("slice int, bits binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                out: dict[str, list] = {"doc_id": b.column(0), "n": [], "print": [], "prefix": [], "sketch": []}
-                for t in b.column(1).to_pylist():
-                    g = gram_set(t, words, lower)
-                    rare = np.lexsort((g, counts[(g >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
-                    out["n"].append(len(g))
-                    out["print"].append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
-                    out["prefix"].append(g[rare[: prefix_length(len(g), percent)]].view(np.int64))
-                    out["sketch"].append(histogram(g, percent))
-                yield pack(out, arrow)
+        have: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for i, cells, tags in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                x = np.frombuffer(cells, dtype=np.uint32).astype(np.uint64) << np.uint64(16)
+                have.setdefault(i, []).append(x | np.frombuffer(tags, dtype=np.uint16))
+        for i, found in have.items():
+            x = np.sort(np.concatenate(found))
+            if twice:
+                x = x[1:][(x[1:] >> np.uint64(16) == x[:-1] >> np.uint64(16)) & (x[1:] != x[:-1])]
+            on = np.zeros(1 << own, dtype=bool)
+            on[(x >> np.uint64(48 - own)).astype(np.int64)] = True
+            yield pack({"slice": [i], "bits": [np.packbits(on, bitorder="little").tobytes()]}, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SETS)
+    out = np.zeros((n_slices, (1 << own) // 8), dtype=np.uint8)
+    for r in slices.repartitionById(n_slices, F.col("slice")).mapInArrow(run, "slice int, bits binary").collect():
+        out[r["slice"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.ravel()
 
 
-def _whole_sets(docs: DataFrame, words: int, lower: bool, bloom: np.ndarray | None) -> DataFrame:
-    """Fingerprint and all grams of the rows whose id may be in the Bloom filter (all rows if there is none)."""
-    schema = "doc_id long, print binary, grams binary"
-    arrow, shared = to_arrow(schema), docs.sparkSession.sparkContext.broadcast(bloom)
+def _hits(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    cell = (hashes >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                ids, cells, texts = (whole.column(i).slice(at, 512) for i in range(3))
-                if shared.value is not None:
-                    cell = cells.to_numpy(zero_copy_only=False)
-                    hit = pa.array(((shared.value[cell >> 3] >> (cell & 7)) & 1).astype(bool))
-                    ids, texts = ids.filter(hit), texts.filter(hit)
-                sets = [gram_set(t, words, lower) for t in texts.to_pylist()]
-                yield pack({"doc_id": ids, "print": [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets], "grams": [g.tobytes() for g in sets]}, arrow)
 
-    return docs.select("doc_id", _cell("doc_id").alias("cell"), "text").mapInArrow(run, schema)
+SLICES = "slice int, cells binary, tags binary"
+
+
+def _sliced(hashes: np.ndarray, tags: np.ndarray, n_slices: int, arrow: pa.Schema) -> pa.RecordBatch:
+    """64-bit hashes dealt to slices by their first bits; the next 32 bits of each are kept."""
+    bits = n_slices.bit_length() - 1
+    where = (hashes >> np.uint64(64 - bits)).astype(np.uint16)
+    order = np.argsort(where, kind="stable")
+    cells, tags = (hashes[order] >> np.uint64(32 - bits)).astype(np.uint32), tags[order]
+    ends = np.searchsorted(where[order], np.arange(n_slices + 1))
+    some = np.flatnonzero(np.diff(ends))
+    return pack({"slice": some.astype(np.int32), "cells": [cells[ends[i] : ends[i + 1]].tobytes() for i in some], "tags": [tags[ends[i] : ends[i + 1]].tobytes() for i in some]}, arrow)
+
 
+def _slices(spark) -> int:
+    """A power of two, as many slices as there are shuffle partitions or a little more."""
+    return 1 << min(13, max(4, (parts(spark) - 1).bit_length()))
 
-def _cell(col: str) -> F.Column:
-    return F.shiftrightunsigned(F.xxhash64(col), 64 - BLOOM_BITS).cast("int")
 
+def _filter_bits(n: int, n_slices: int) -> int:
+    return max(n_slices.bit_length() + 2, min(FILTER_BITS[1], max(FILTER_BITS[0], n.bit_length())))
 
-def _bloom(cells: DataFrame) -> np.ndarray:
-    """A filter of fixed size (2 MB) over a column ``cell``; it only spares work, so its error grows without harm."""
-    words = cells.groupBy(F.shiftright("cell", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cell & 7)")).alias("bits")).toPandas()  # 2**21 rows at most
-    out = np.zeros(1 << (BLOOM_BITS - 3), dtype=np.uint8)
-    out[words["byte"]] = words["bits"]
+
+def _postings(docs: DataFrame, words: int, lower: bool, percent: int, chain: int, rarity: np.ndarray, total: int) -> DataFrame:
+    """token, rid, n, members of the lists that have two members or more; ``total`` keys in all.
+
+    Near duplicates meet in many lists: of lists with the same members one stays.
+    """
+    spark = docs.sparkSession
+    n_slices, order = _slices(spark), spark.sparkContext.broadcast(rarity)
+    sliced, listed = to_arrow(SLICES), to_arrow("token long, rid long, n int")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The keys of some sets together, with the id and size of the set of each."""
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                sets = [gram_set(t, words, lower) for t in b.column(0).slice(at, 512).to_pylist()]
+                found = [list_keys(g, order.value, percent, chain) for g in sets]
+                size = [len(x) for x in found]
+                yield np.concatenate(found), np.repeat([set_id(g) if k else 0 for g, k in zip(sets, size, strict=True)], size), np.repeat([len(g) for g in sets], size)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, rid, _ in keys(batches):
+            held.append((k, rid.astype(np.uint16)))
+            if sum(len(x) for x, _ in held) > 1 << 19:
+                yield _sliced(*(np.concatenate(x) for x in zip(*held, strict=True)), n_slices, sliced)
+                held = []
+        if held:
+            yield _sliced(*(np.concatenate(x) for x in zip(*held, strict=True)), n_slices, sliced)
+
+    bits = _filter_bits(total, n_slices)
+    shared = spark.sparkContext.broadcast(_filter(docs.select("text").mapInArrow(count, SLICES), n_slices, bits, twice=True))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, rid, n in keys(batches):
+            hit = _hits(k, shared.value)
+            yield pack({"token": k[hit].view(np.int64), "rid": rid[hit], "n": n[hit].astype(np.int32)}, listed)
+
+    entries = stored(docs.select("text").mapInArrow(write, "token long, rid long, n int").distinct(), "entries")
+    shared.destroy()
+    lists = entries.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rid")).alias("who")).filter("members > 1")
+    lists = stored(lists.groupBy("members", "who").agg(F.min("token").alias("token")).drop("who"), "lists")
+    out = stored(entries.join(lists, "token"), "postings")
+    discard(entries, lists)
     return out
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """token, members, rid, n of the lists with two members or more.
+def _first_pairs(postings: DataFrame) -> DataFrame:
+    """Each member of a list with one other: with the first of its block, and the first of a block with the first of all."""
+    member = F.struct("rid", "n")
+    dealt = postings.withColumn("block", F.pmod(F.xxhash64("rid"), F.ceil(F.col("members") / BLOCK).cast("long")))
+    firsts = stored(dealt.groupBy("token", "block").agg(F.min(member).alias("first")), "firsts")
+    tops = stored(firsts.groupBy("token").agg(F.min("first").alias("top"), F.count("*").alias("blocks")).filter("blocks > 1"), "tops")
+    inner = dealt.join(firsts, ["token", "block"]).select(F.col("first").alias("x"), member.alias("y"))
+    outer = firsts.join(tops, "token").select(F.col("top").alias("x"), F.col("first").alias("y"))
+    pairs = inner.union(outer).filter("x.rid != y.rid").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    pairs = stored(pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.least("x.n", "y.n").alias("small"), F.greatest("x.n", "y.n").alias("large")).distinct(), "pairs")
+    discard(firsts, tops)
+    return pairs
+
+
+def _whole_sets(docs: DataFrame, words: int, lower: bool, wanted: DataFrame) -> DataFrame:
+    """rid, n and all grams of the ``wanted`` sets (rid, least), read again from the row with the least id.
 
-    Most grams are in one list only. They are found by counting half of each gram's bits, and are left out
-    by a filter of fixed size before the lists themselves are exchanged.
+    A filter over those ids spares hashing most other rows; what it lets through besides does no harm.
     """
-    half = F.transform("prefix", lambda t: F.shiftright(t, 32).cast("int"))
-    often = classes.select(F.explode(half).alias("half")).groupBy("half").agg(F.count("*").alias("n")).filter("n > 1")
-    schema = "token long, rid long, n int"
-    arrow, shared = to_arrow(schema), classes.sparkSession.sparkContext.broadcast(_bloom(often.select(F.shiftrightunsigned("half", 32 - BLOOM_BITS).alias("cell"))))
+    spark = docs.sparkSession
+    n_slices, sliced = _slices(spark), to_arrow(SLICES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            token = b.column(2).flatten().to_numpy()
-            size = b.column(2).value_lengths().to_numpy()
-            cell = (token.view(np.uint64) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
-            hit = ((shared.value[cell >> 3] >> (cell & 7)) & 1).astype(bool)
-            rid, n = (np.repeat(b.column(i).to_numpy(), size)[hit] for i in (0, 1))
-            yield pack({"token": token[hit], "rid": rid, "n": n}, arrow)
+            x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            if len(x):
+                yield _sliced(x, np.zeros(len(x), dtype=np.uint16), n_slices, sliced)
+
+    bits = _filter_bits(8 * wanted.count(), n_slices)
+    schema = "rid long, n int, grams binary"
+    arrow = to_arrow(schema)
+    shared = spark.sparkContext.broadcast(_filter(wanted.select(F.xxhash64("least")).mapInArrow(cells, SLICES), n_slices, bits, twice=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                h, texts = (whole.column(i).slice(at, 512) for i in range(2))
+                hit = _hits(h.to_numpy(zero_copy_only=False).view(np.uint64), shared.value)
+                new = {set_id(g): g for g in (gram_set(t, words, lower) for t in texts.filter(pa.array(hit)).to_pylist())}
+                out = [(i, len(g), g.tobytes()) for i, g in new.items() if i not in seen]
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen.update(new)
+                if out:
+                    yield pack(dict(zip(arrow.names, zip(*out, strict=True), strict=True)), arrow)
+
+    found = docs.select(F.xxhash64("doc_id"), "text").mapInArrow(run, schema).join(wanted.select("rid"), "rid", "left_semi")
+    # The exchange of the grouping deals the rows to the buckets.
+    out = bucketed(found.groupBy("rid").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "grams", "rid")
+    shared.destroy()
+    return out
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b, small, large) without those whose histograms say that the sets differ too much."""
+    schema = "a long, b long, small int, large int"
+    arrow = to_arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                x, y = (b.column(i).to_pylist() for i in (4, 5))
+                n = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+                places = np.arange(b.num_rows)
+                apart = _differences(x + y)(places, b.num_rows + places)
+                yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array((100 + percent) * apart <= (100 - percent) * n)) for i in range(4)], schema=arrow)
 
-    postings = classes.select("rid", "n", "prefix").mapInArrow(run, schema)
-    lists = postings.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
-    return postings.join(lists, "token")
+    left, right = (classes.select(F.col("rid").alias(k), F.col("sketch").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "small", "large", "x", "y").mapInArrow(run, schema)
 
 
 def _subset_links(light: DataFrame, percent: int) -> DataFrame:
@@ -249,17 +417,17 @@ def _subset_links(light: DataFrame, percent: int) -> DataFrame:
     return subsets.join(met.select(*keys, "a"), keys).filter("rid != a").select("a", F.col("rid").alias("b"))
 
 
-def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | None, block: int = 2048) -> DataFrame:
+def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | None, block: int = BLOCK) -> DataFrame:
     """Pairs that meet in a list, may be similar, and are in different components: each class's ``nearest`` ones.
 
     ``postings``: token, members, n, rid, comp, sketch. Lists of more than ``block`` members are compared
     block against block, each two in a group of their own.
     """
     spark = postings.sparkSession
-    schema = "a long, b long, apart int, more boolean"
+    schema = "a long, b long, apart int"
     arrow = to_arrow(schema)
 
-    def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def solve(rows: list[tuple]) -> tuple[np.ndarray, ...]:
         n, rid, comp, tag = (np.array([r[i] for r in rows]) for i in (0, 1, 2, 4))
         differences = _differences([r[3] for r in rows])
         out = []
@@ -274,16 +442,12 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
             apart = differences(at + r, c)
             fits = (100 + percent) * apart <= (100 - percent) * total[r, c]
             r, c, apart = r[fits], c[fits], apart[fits]
-            if nearest is None:
-                more = np.zeros(len(r), dtype=bool)
-            else:
+            if nearest is not None:
                 order = np.lexsort((rid[c], apart, r))
                 r, c, apart = r[order], c[order], apart[order]
-                first = np.searchsorted(r, r)
-                place = np.arange(len(r)) - first
-                more = (np.searchsorted(r, r, side="right") - first) > nearest
-                r, c, apart, more = (v[place < nearest] for v in (r, c, apart, more))
-            out.append((rid[at + r], rid[c], apart, more))
+                near = np.arange(len(r)) - np.searchsorted(r, r) < nearest
+                r, c, apart = r[near], c[near], apart[near]
+            out.append((rid[at + r], rid[c], apart))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def solve_few(rows: list[tuple]) -> tuple[np.ndarray, ...]:
@@ -293,8 +457,8 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
             if c != d and max(n, m) > light and 100 * min(n, m) >= percent * max(n, m) and (t != u or not mixed(rows)):
                 apart = int(_differences([x, y])(FIRST, SECOND)[0]) if len(x) != len(y) else int(np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)).sum())
                 if (100 + percent) * apart <= (100 - percent) * (n + m):
-                    out.append((r, s, apart, False))
-        return tuple(np.array(v) for v in zip(*out, strict=True)) if out else (*(np.zeros(0, int) for _ in range(3)), np.zeros(0, bool))
+                    out.append((r, s, apart))
+        return tuple(np.array(v) for v in zip(*out, strict=True)) if out else tuple(np.zeros(0, int) for _ in range(3))
 
     def mixed(rows: list[tuple]) -> bool:
         return any(r[4] != rows[0][4] for r in rows)
@@ -303,8 +467,8 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
         group, key, out, size = [], None, [], 0
 
         def pairs() -> pa.RecordBatch:
-            a, b, apart, more = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pack({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": apart.astype(np.int32), "more": more}, arrow)
+            a, b, apart = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pack({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": apart.astype(np.int32)}, arrow)
 
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
@@ -329,14 +493,13 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
     dealt = dealt.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
     dealt = dealt.select("token", "cell", "n", "rid", "comp", "sketch", F.col("own").alias("tag"))
     dealt = dealt.repartition(parts(spark), "token", "cell").sortWithinPartitions("token", "cell", "rid")
-    pairs = dealt.mapInArrow(run, schema).groupBy("a", "b").agg(F.min("apart").alias("apart"), F.bool_or("more").alias("more"))
+    pairs = dealt.mapInArrow(run, schema).groupBy("a", "b").agg(F.min("apart").alias("apart"))
     if nearest is None:
         return pairs.drop("apart")
     # The nearest over all lists.
-    ends = pairs.select("a", "b", "apart", "more", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
-    near = Window.partitionBy("e.x")
-    ends = ends.withColumns({"place": F.row_number().over(near.orderBy("apart", "e.y")), "many": F.count("*").over(near) > nearest})
-    return ends.filter(F.col("place") <= nearest).groupBy("a", "b").agg(F.bool_or(F.col("more") | F.col("many")).alias("more"))
+    ends = pairs.select("a", "b", "apart", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
+    place = F.row_number().over(Window.partitionBy("e.x").orderBy("apart", "e.y"))
+    return ends.withColumn("place", place).filter(F.col("place") <= nearest).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -362,56 +525,75 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
+def _open_lists(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """``postings`` with comp, of the lists whose members are not all in one component. Those of two members have been compared."""
+    now = postings.filter("members > 2").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
+    several = stored(now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("token"), "open")
+    return now.join(several, "token", "left_semi")
+
+
 @tidy
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[int | None, ...] = (1, 4, None)) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[int | None, ...] = (4, None)) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``.
 
     A set is the distinct ``words``-word shingles of the whole text (A-Z lower-cased if ``lower``), or the
     whole word sequence if it has fewer words. Two rows are linked when 100 * intersection >= ``percent`` *
     union; component_id is the smallest id reachable by links. Rows without words or text have no shingles,
     are linked with nothing and are their own component. Rows with a null id link others, and take the
-    smallest id of their component, null if it has none. Repeated rows are equal sets. An empty table
-    gives no rows.
+    smallest id of their component, null if it has none. Repeated rows are equal sets. A very long text is
+    one set like any other. An empty table gives no rows.
+
+    Equal sets are one class. After all members of a list are compared with one of them, lists whose members
+    are in different components go through ``rounds``: the nearest members outside the own component, then
+    (None) all; a round that leaves no such list is the last.
     """
     spark = docs.sparkSession
+    chain = chain_length(percent)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = _gram_counts(docs, words, lower)
-    sets = stored(_sets(docs, words, lower, percent, counts), "sets")
-    classes = sets.filter("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    classes = stored(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
-
-    sizes = {r["n"]: r["count"] for r in classes.filter("n <= 40").groupBy("n").count().collect()}
-    small = classes.filter("n <= 40").select(F.explode("prefix").alias("token")).groupBy("token").count()
-    lists = small.agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
-    light = boundary(sizes, (lists[0] or 0) / (lists[1] or 1), percent)
-
-    indexed = classes.filter(F.col("n") >= -(-percent * (light + 1) // 100))
-    postings = stored(_postings(indexed).join(classes.select("rid", "sketch"), "rid"), "postings")
-
-    pairs = stored(_list_pairs(postings.withColumn("comp", F.col("rid")), percent, light, rounds[0]), "pairs")
-    ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(classes.filter((F.col("n") <= light) & (F.col("n") >= 2)).select("rid")).distinct()
-    wanted = stored(classes.join(ids, "rid", "left_semi").select("rid", "n", "print", "least"), "wanted")
-    # A row that repeats the id and set of its class comes again here; links do not change by that.
-    grams = _whole_sets(docs, words, lower, _bloom(wanted.select(_cell("least").alias("cell")))).withColumnRenamed("print", "_print")
-    grams = wanted.join(grams, (F.col("print") == F.col("_print")) & F.col("least").eqNullSafe(F.col("doc_id"))).select("rid", "n", "grams")
-    grams = bucketed(grams.repartition(parts(spark), "rid"), "grams", "rid")
-
-    links = stored(_subset_links(grams.filter(F.col("n") <= light), percent).union(_verified(pairs.select("a", "b"), grams, percent)), "near")
+    found, rarity = _summaries(docs, words, lower, percent, chain)
+    sets = found.filter("slice is null").select("doc_id", "rid", "n", "sketch")
+    classes = stored(sets.filter("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    total = found.agg(F.sum("keys")).first()[0] or 0
+    postings = _postings(docs, words, lower, percent, chain, rarity, total)
+    first = _first_pairs(postings)
+    pairs = stored(_alike(first.filter(100 * F.col("small") >= percent * F.col("large")), classes, percent), "pairs")
+
+    reach = 600 // (100 - percent) + 1 if percent < 100 else 0  # six elements less than that are more subsets than any list has entries
+    small = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= reach).groupBy("n").count().collect()}
+    cost = {n: k * n_keys(n, percent, chain) for n, k in small.items()}
+    read = postings.filter(F.col("n") <= reach).groupBy("n").agg(F.sum("members").alias("k"))
+    moved = pairs.filter(F.col("large") <= reach).groupBy(F.col("large").alias("n")).agg(F.sum(F.col("small") + F.col("large")).alias("k"))
+    for r in read.union(moved).collect():
+        cost[r["n"]] = cost.get(r["n"], 0) + r["k"]
+    light = boundary(small, cost, percent)
+    by_subset = [n for n in small if n <= light and not alone(n, percent)]
+
+    heavy = stored(pairs.filter(F.col("large") > light).select("a", "b"), "heavy")
+    ids = heavy.select(F.col("a").alias("rid")).union(heavy.select("b")).union(classes.filter(F.col("n").isin(by_subset)).select("rid")).distinct()
+    wanted = stored(classes.join(ids, "rid", "left_semi").select("rid", "least"), "wanted")
+    grams = _whole_sets(docs, words, lower, wanted)
+    links = stored(_subset_links(grams.filter(F.col("n").isin(by_subset)), percent).union(_verified(heavy, grams, percent)), "near")
     roots = stored(components(links), "roots")
-    tried = pairs.select("a", "b")
-    # Later rounds lose tried pairs and their flag, so only the first one tells that no class has more partners.
-    for nearest in rounds[1:] if pairs.filter("more").limit(1).count() else ():
-        now = postings.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
-        pairs = stored(_list_pairs(now, percent, light, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = stored(_verified(pairs.select("a", "b"), grams, percent), "near")
-        tried = tried.union(pairs.select("a", "b"))
-        if not found.isEmpty():
-            links = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
-            roots = stored(components(links), "roots")
-    labelled = classes.select("rid", "print", "least").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    ends = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = labelled.join(ends, "root").select("print", "component_id")
-    out = sets.select("doc_id", "n", "print").join(labelled, "print", "left")
+    tried = stored(first.select("a", "b"), "tried")
+    scratch = [first, pairs, heavy, wanted, links, tried, grams]
+    for nearest in rounds:
+        left = stored(_open_lists(postings, roots).join(classes.select("rid", "sketch"), "rid"), "open-lists")
+        if left.isEmpty():
+            break
+        pairs = stored(_list_pairs(left, percent, light, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        wanted = stored(classes.join(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), "rid", "left_semi").select("rid", "least"), "wanted")
+        grams = _whole_sets(docs, words, lower, wanted)
+        near = stored(_verified(pairs, grams, percent), "near")
+        tried = tried.union(pairs)
+        scratch += [left, pairs, wanted, grams, near]
+        if not near.isEmpty():
+            roots = stored(components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(near)), "roots")
+    ends = roots.withColumnRenamed("node", "rid").join(classes.select("rid", "least"), "rid")
+    least = ends.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = roots.withColumnRenamed("node", "rid").join(least, "root")
+    labels = stored(classes.join(named, "rid", "left").select("rid", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "labels")
+    discard(postings, classes, *scratch)
+    out = sets.drop("sketch").join(labels, "rid", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

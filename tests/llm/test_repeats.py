@@ -96,9 +96,58 @@ def test_join_of_odd_rows(odd, none):
 
 
 def test_subset_sizes_and_boundary():
-    assert ngram_join.overlap(10, 9, 90) == 9 and ngram_join.overlap(20, 20, 90) == 19 and ngram_join.prefix_length(10, 90) == 2
+    assert ngram_join.overlap(10, 9, 90) == 9 and ngram_join.overlap(20, 20, 90) == 19 and ngram_join.prefix_length(10, 90, 1) == 2
     assert list(ngram_join.partners(10, 90)) == [9, 10, 11]
-    assert ngram_join.boundary({12: 5, 30: 5}, 1e6, 90) > ngram_join.boundary({12: 5, 30: 5}, 0.0, 90)
+    assert ngram_join.boundary({12: 5, 30: 5}, {12: 10**6, 30: 10**6}, 90) == 30 > ngram_join.boundary({12: 5, 30: 5}, {12: 40, 30: 40}, 90) == 0
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 90, 97])
+def test_linked_sets_share_a_list(percent):
+    """Prefixes are long enough for every partner, and random linked sets have a key in common."""
+    chain, rng = ngram_join.chain_length(percent), random.Random(percent)
+    for n in range(1, 300):
+        need = [chain + (chain - 1) * (n + b - 2 * c) + n - c for b in ngram_join.partners(n, percent) for c in [ngram_join.overlap(n, b, percent)]]
+        assert ngram_join.prefix_length(n, percent, chain) == (0 if ngram_join.alone(n, percent) else min(n, max(need)))
+    rarity = np.array([rng.randrange(8) for _ in range(1 << ngram_join.COUNT_BITS)], dtype=np.uint64)
+    for _ in range(2000):
+        a = rng.randint(1, 80)
+        b = rng.choice(ngram_join.partners(a, percent))
+        common = ngram_join.overlap(a, b, percent)
+        if ngram_join.alone(a, percent) or common > min(a, b):
+            continue
+        pool = np.array(rng.sample(range(1 << 62), a + b - common), dtype=np.uint64) * ngram_join.K1
+        keys = [ngram_join.list_keys(np.sort(x), rarity, percent, chain) for x in (pool[:a], np.concatenate([pool[:common], pool[a:]]))]
+        assert set(keys[0].tolist()) & set(keys[1].tolist())
+
+
+def test_subsets_make_links_at_the_boundary_that_cost_chooses(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = list(enumerate(text for base in range(12) for text in family(rng, 12, 16, 1, 30)))
+    whole, chosen, made = ngram_join._subset_links, [], []
+    real = ngram_join.boundary
+    monkeypatch.setattr(ngram_join, "boundary", lambda *a: chosen.append(real(*a)) or chosen[-1])
+
+    def counted(light, percent):
+        out = whole(light, percent)
+        made.append(out.filter("a != b").count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_subset_links", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near(df, words=1, percent=90) == brute_components(rows, 1, 90, True)
+    assert chosen[0] >= 10 and made[0] > 0, (chosen, made)
+
+
+def test_link_that_ranks_behind_nearer_looking_pairs(spark):
+    """x and y are linked, and each has four partners just below the threshold."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(44)]
+    change = lambda words, places: [f"n{rng.randrange(10**9)}" if i in places else w for i, w in enumerate(words)]
+    x, y = base, change(base, {43})
+    texts = [x, y, *(change(x, {0, 43 - k}) for k in range(4)), *(change(y, {1, 20 + k}) for k in range(4))]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near(df, words=3, percent=90) == brute_components(rows, 3, 90, True)
 
 
 def test_components(spark):

@@ -1,24 +1,26 @@
-"""The rounds of nearest partners in the n-gram join."""
+"""The rounds of the n-gram join after the first comparison in each list."""
 
-from pyspark.sql import functions as F
+import random
+
+from test_repeats import brute_components, near
 
 from codonflow.llm import ngram_join
 
 
-def test_last_round_runs_when_all_nearest_partners_were_tried(spark, monkeypatch):
-    """The second round offers nothing new, as for a class whose nearest partners all failed in the first."""
-    words = [f"w{i}" for i in range(120)]
-    texts = [(1, words), (2, [*words[:-1], "x"]), (3, [*words[:100], *(f"y{i}" for i in range(20))])]
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+def test_full_round_runs_while_lists_hold_several_components(spark, monkeypatch):
+    """A round of nearest members that offers nothing does not end the search."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(f"n{rng.randrange(10**9)}" if i in cut else w for i, w in enumerate(base)) for cut in (set(range(0, 150, 30)) if k % 2 else {7 * k} for k in range(12))]
+    rows = list(enumerate(texts))
     whole, asked = ngram_join._list_pairs, []
 
     def offered(postings, percent, light, nearest):
         asked.append(nearest)
-        if nearest is None:
-            return whole(postings, percent, light, None)
-        ids = postings.select("rid", "n").distinct().orderBy("rid").collect()
-        return spark.createDataFrame([(ids[0]["rid"], ids[0]["rid"], 0, True)], "a long, b long, apart int, more boolean").filter(F.lit(nearest == 1))
+        found = whole(postings, percent, light, nearest)
+        return found if nearest is None else found.limit(0)
 
     monkeypatch.setattr(ngram_join, "_list_pairs", offered)
-    ngram_join.near_duplicates(docs).collect()
-    assert asked == [1, 4, None]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near(df, words=3, percent=90) == brute_components(rows, 3, 90, True)
+    assert asked == [4, None]

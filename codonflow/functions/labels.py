@@ -42,7 +42,7 @@ def code_string(seq: Column) -> Column:
 
 def encode(seq: Column) -> Column:
     """Channel codes as array<tinyint>; an empty sequence is an empty array."""
-    return F.when(F.length(seq) == 0, F.array().cast("array<tinyint>")).otherwise(F.split(code_string(seq), "").cast("array<tinyint>"))
+    return digits(code_string(seq))
 
 
 def one_hot(codes: Column, width: int, blank: int | None = None) -> Column:
@@ -61,6 +61,24 @@ def pad_mask(codes: Column) -> Column:
     return F.transform(codes, lambda c: c == PAD)
 
 
+def label_string(real: Column, orf_start: Column, orf_end: Column) -> Column:
+    """One digit a base for ``real`` bases and an ORF whose ends may lie outside them; no ORF where it is null."""
+    low = F.least(F.greatest(orf_start, F.lit(0)), real).cast("int")
+    high = F.least(F.greatest(orf_end, F.lit(0)), real).cast("int")
+    n = high - low
+    cycle = F.repeat(F.lit("234"), (F.floor(n / 3) + 2).cast("int"))
+    body = F.substring(cycle, (F.pmod(low - orf_start - 1, F.lit(3)) + 1).cast("int"), n)
+    body = F.when((n > 0) & (orf_start == low), F.concat(F.lit("1"), F.substring(body, F.lit(2), n - 1))).otherwise(body)
+    body = F.when((n > 0) & (orf_end == high), F.concat(F.substring(body, F.lit(1), n - 1), F.lit("5"))).otherwise(body)
+    none = F.repeat(F.lit("0"), real.cast("int"))
+    return F.when(orf_start.isNull() | (n <= 0), none).otherwise(F.concat(F.repeat(F.lit("0"), low), body, F.repeat(F.lit("0"), real.cast("int") - high)))
+
+
+def digits(text: Column) -> Column:
+    """A string of digits as array<tinyint>; an empty one is an empty array."""
+    return F.when(F.length(text) == 0, F.array().cast("array<tinyint>")).otherwise(F.split(text, "").cast("array<tinyint>"))
+
+
 def dense_labels(length: Column, orf_start: Column, orf_end: Column) -> Column:
     """Per-base labels of a sequence with the half-open ORF, or of none where it is null."""
     def label(i: Column) -> Column:

@@ -5,26 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import predict_batch_udf
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from codonflow.functions.labels import TRANSITIONS, argmax
+from codonflow.functions.labels import PAD, TRANSITIONS, argmax
+from codonflow.operators.keys import keyed
 
 FORBIDDEN = -1e30
-STATES = 6
+STATES, CHANNELS = 6, 6
+
+
+def model_input(x: pa.Array, width: int) -> np.ndarray:
+    """float32 [n, width, 6] of windows as strings of digits: one-hot, padding all zeros."""
+    hot = np.eye(CHANNELS, dtype=np.float32)
+    hot[PAD] = 0.0
+    codes = np.frombuffer("".join(x.to_pylist()).encode("ascii"), dtype=np.uint8).reshape(len(x), width) - ord("0")
+    return hot[codes]
 
 
 def score_windows(windows: DataFrame, make_predict_fn: Callable, width: int, batch_size: int = 64) -> DataFrame:
-    """``windows`` with logits, array<array<double>>[width][6].
+    """``windows`` (x as a string of digits) with logits, array<double> of width * 6 values, six for each base.
 
-    ``make_predict_fn()`` is called once for each Python worker and returns f(int array [n, width]) -> [n, width * 6].
+    ``make_predict_fn()`` is called once for each Python worker's partition and returns f(one-hot float array
+    [n, width, 6], padding all zeros) -> [n, width, 6] or [n, width * 6].
     """
-    score = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=[[width]])
-    flat = windows.withColumn("_flat", score(F.col("x").cast("array<double>")))
-    return flat.withColumn("logits", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.slice("_flat", i * STATES + 1, F.lit(STATES)))).drop("_flat")
+    schema = T.StructType([*windows.schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = make_predict_fn()
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch_size):
+                b = whole.slice(at, batch_size)
+                scores = np.asarray(predict(model_input(b.column("x"), width)), dtype=np.float64).reshape(-1)
+                ends = np.arange(b.num_rows + 1, dtype=np.int32) * (width * STATES)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, scores).cast(arrow.field("logits").type)], schema=arrow)
+
+    return windows.mapInArrow(run, schema)
+
+
+def log_probabilities(scores: np.ndarray) -> np.ndarray:
+    top = scores - scores.max(1, keepdims=True)
+    return top - np.log(np.exp(top).sum(1, keepdims=True))
 
 
 def decode_batch(emissions: list[np.ndarray], allowed: list[tuple[int, int]]) -> list[np.ndarray]:
@@ -57,18 +82,31 @@ def decode_batch(emissions: list[np.ndarray], allowed: list[tuple[int, int]]) ->
     return [out[:n, i] for i, n in enumerate(length)]
 
 
-def constrained_decode(stitched: DataFrame, key: str = "seq_id", scores: str = "logits", transitions: str = "reference", batch_bases: int = 500_000) -> DataFrame:
-    """(key, labels) from log-scores array<array<double>>, by the named transition table.
+def constrained_decode(stitched: DataFrame, key: str = "seq_id", scores: str = "logits", transitions: str = "reference", batch_bases: int = 500_000, normalise: bool = False) -> DataFrame:
+    """(key, labels) from log-scores, by the named transition table.
 
-    The recurrence is sequential in a sequence, so this is an Arrow function; sequences are sorted by length
-    and go through it in groups of at most ``batch_bases`` padded positions. An empty array gives an empty one.
+    Scores are array<array<double>> or, flat, array<double> with six values for each base; ``normalise``
+    makes them log-probabilities first. The recurrence is sequential in a sequence, so this is an Arrow
+    function; sequences are sorted by length and go through it in groups of at most ``batch_bases`` padded
+    positions. An empty array gives an empty one.
     """
-    allowed = TRANSITIONS[transitions]
-    schema = T.StructType([stitched.schema[key], T.StructField("labels", T.ArrayType(T.ByteType()))])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [np.array([list(p) for p in x], dtype=float).reshape(-1, STATES) if x is not None else np.zeros((0, STATES)) for x in pdf["_scores"]]
+    allowed, keys = TRANSITIONS[transitions], keyed(stitched, key)
+    flat = dict(stitched.dtypes)[scores] == "array<double>"
+    schema = T.StructType([*[stitched.schema[k] for k in keys], T.StructField("labels", T.ArrayType(T.ByteType()))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(keys))
+            size = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            ends = np.cumsum(size)
+            values = lists.flatten()
+            data = (values if flat else values.flatten()).to_numpy(zero_copy_only=False).astype(float).reshape(-1, STATES)
+            if normalise and len(data):
+                data = log_probabilities(data)
+            if flat:
+                ends = ends // STATES
+            rows = np.split(data, ends[:-1]) if len(ends) else []
             order, out, group = np.argsort([len(r) for r in rows], kind="stable"), [None] * len(rows), []
 
             def flush(group: list[int]) -> None:
@@ -82,9 +120,11 @@ def constrained_decode(stitched: DataFrame, key: str = "seq_id", scores: str = "
                 group.append(int(i))
             if group:
                 flush(group)
-            yield pd.DataFrame({key: pdf[key], "labels": out})
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in out])]).astype(np.int32)
+            labels = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else np.zeros(0), type=pa.int8()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], labels.cast(arrow.field("labels").type)], schema=arrow)
 
-    return stitched.select(key, F.col(scores).alias("_scores")).mapInPandas(run, schema)
+    return stitched.select(*keys, F.col(scores).alias("_scores")).mapInArrow(run, schema)
 
 
 def argmax_decode(rows: DataFrame, scores: str = "logits") -> DataFrame:

@@ -57,12 +57,13 @@ def _rates(predicted: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def _for_each_set(reference: DataFrame, predictions: DataFrame) -> DataFrame:
+    """What was made of the reference once, for each set."""
     return reference.crossJoin(F.broadcast(predictions.select("gene_set").distinct()))  # a handful of set names
 
 
 def exon_level(reference: DataFrame, predictions: DataFrame, tolerance: int = 3) -> DataFrame:
     """gene_set, species, sn, pr, f1 over distinct exons."""
-    q, r = _exons(predictions, ["gene_set", "species"]), _exons(_for_each_set(reference, predictions), ["gene_set", "species"])
+    q, r = _exons(predictions, ["gene_set", "species"]), _for_each_set(_exons(reference, ["species"]), predictions)
     keys = ["gene_set", "species", "contig", "strand", "left_free", "right_free"]
     own = ["start", "end"]
     a = q.withColumn("_bin", _near("start", tolerance))
@@ -76,7 +77,7 @@ def exon_level(reference: DataFrame, predictions: DataFrame, tolerance: int = 3)
 
 def _matched(reference: DataFrame, predictions: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:
     """Predicted and reference transcripts with hit: equal intron chains, free ends within tolerance."""
-    q, r = _chains(predictions, ["gene_set", "species"]), _chains(_for_each_set(reference, predictions), ["gene_set", "species"])
+    q, r = _chains(predictions, ["gene_set", "species"]), _for_each_set(_chains(reference, ["species"]), predictions)
     keys = ["gene_set", "species", "contig", "strand", "chain"]
     a = q.withColumn("_bin", _near("span_start", tolerance))
     b = r.select(*keys, F.col("tid").alias("ref_tid"), F.col("span_start").alias("ref_start"), F.col("span_end").alias("ref_end"), F.floor(F.col("span_start") / BIN).alias("_bin"))

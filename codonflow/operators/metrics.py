@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codonflow.functions.labels import LABEL_NAMES, argmax, log_softmax, ratio_epsilon, ratio_or_zero
 
+#: The default class weights of the loss.
 CLASS_WEIGHTS = (1.0, 10.0, 1.0, 1.0, 1.0, 10.0)
 BOUNDARY = (1, 5)
 

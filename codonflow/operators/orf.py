@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codonflow.functions.labels import START, STOP, TRANSITIONS
+from codonflow.functions.labels import START, STOP, TRANSITIONS, shift_out
 from codonflow.operators.intervals import exon_offsets
+from codonflow.operators.keys import keyed, shared
 
 
 def explode_labels(dense: DataFrame, key: str = "tx_id", labels: str = "labels") -> DataFrame:
-    return dense.select(F.col(key), F.posexplode(labels).alias("pos", "label")).withColumn("pos", F.col("pos").cast("long"))
+    return dense.select(*keyed(dense, key), F.posexplode(labels).alias("pos", "label")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def extract_orfs(rows: DataFrame, key: str = "seq_id") -> DataFrame:
@@ -20,14 +21,14 @@ def extract_orfs(rows: DataFrame, key: str = "seq_id") -> DataFrame:
     coding are sorted.
     """
     marks = rows.filter(~F.col("label").isin(2, 3, 4))
-    before = F.lag(F.struct("label", "pos")).over(Window.partitionBy(key).orderBy("pos"))
+    before = F.lag(F.struct("label", "pos")).over(Window.partitionBy(*keyed(rows, key)).orderBy("pos"))
     found = marks.withColumn("_b", before).filter((F.col("label") == STOP) & (F.col("_b.label") == START))
-    return found.select(key, F.col("_b.pos").alias("orf_start"), (F.col("pos") + 1).alias("orf_end"))
+    return found.select(*keyed(rows, key), F.col("_b.pos").alias("orf_start"), (F.col("pos") + 1).alias("orf_end"))
 
 
 def transition_audit(rows: DataFrame, transitions: str = "reference", key: str = "seq_id") -> DataFrame:
     """Counts of adjacent label pairs that the transition table forbids."""
-    w = Window.partitionBy(key).orderBy("pos")
+    w = Window.partitionBy(*keyed(rows, key)).orderBy("pos")
     pairs = rows.withColumn("from_label", F.lag("label").over(w)).filter(F.col("from_label").isNotNull()).withColumnRenamed("label", "to_label")
     allowed = rows.sparkSession.createDataFrame(TRANSITIONS[transitions], "from_label int, to_label int")
     bad = pairs.join(F.broadcast(allowed), ["from_label", "to_label"], "left_anti")
@@ -40,12 +41,12 @@ def orf_segments(orfs: DataFrame, tx_exon: DataFrame) -> DataFrame:
     ``frame`` is the distance of the segment's first base from the ORF's start modulo 3, ``phase`` the
     bases until the next codon begins.
     """
-    both = exon_offsets(tx_exon).join(orfs, "tid")
+    both = exon_offsets(tx_exon).join(orfs, shared(tx_exon, orfs, "tid"))
     low, high = F.greatest("orf_start", "tx_offset"), F.least(F.col("orf_end"), F.col("tx_offset") + F.col("end") - F.col("start"))
     first, last = low - F.col("tx_offset"), high - F.col("tx_offset")
     forward = F.col("strand") == "+"
     out = both.filter(low < high).select(
-        "tid", "contig", "strand", "orf_start", "orf_end",
+        *keyed(both, "tid"), "contig", "strand", "orf_start", "orf_end",
         F.when(forward, F.col("start") + first).otherwise(F.col("end") - last).alias("start"),
         F.when(forward, F.col("start") + last).otherwise(F.col("end") - first).alias("end"),
         ((low - F.col("orf_start")) % 3).cast("int").alias("frame"),
@@ -56,8 +57,9 @@ def orf_segments(orfs: DataFrame, tx_exon: DataFrame) -> DataFrame:
 def gtf_lines(segments: DataFrame, source: str = "codonflow", frame_mode: str = "frame") -> DataFrame:
     """One nine-column CDS line a segment, 1-based inclusive; ``frame_mode`` is ``frame`` or ``phase``."""
     name = F.col("tid").cast("string")
-    line = F.concat_ws("\t", "contig", F.lit(source), F.lit("CDS"), (F.col("start") + 1).cast("string"), F.col("end").cast("string"), F.lit("."), "strand", F.col(frame_mode).cast("string"), F.concat(F.lit('transcript_id "'), name, F.lit('"; gene_id "'), name, F.lit('";')))
-    return segments.select("tid", "start", line.alias("line"))
+    first, last = shift_out(F.col("start"), F.col("end"))
+    line = F.concat_ws("\t", "contig", F.lit(source), F.lit("CDS"), first.cast("string"), last.cast("string"), F.lit("."), "strand", F.col(frame_mode).cast("string"), F.concat(F.lit('transcript_id "'), name, F.lit('"; gene_id "'), name, F.lit('";')))
+    return segments.select(*keyed(segments, "tid"), "start", line.alias("line"))
 
 
 def write_gtf(lines: DataFrame, path: str, partitions: int | None = None) -> None:

@@ -2,58 +2,84 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codonflow.functions.labels import PAD, code_string, dense_labels, encode, pad_to
+from codonflow.functions.labels import PAD, code_string, digits, label_string
+from codonflow.operators.keys import keyed, shared
 
 WIDTH = 9_999
 
 
 def pair_with_labels(sequences: DataFrame, labels: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Sequences with a label row, and the rejects whose lengths differ. If ``strict``, such a row is an error when read."""
-    both = sequences.join(labels, "tx_id")
+    both = sequences.join(labels, shared(sequences, labels, "tx_id"))
     equal = F.length("seq") == F.col("length")
-    rejects = both.filter(~equal).select("tx_id", F.length("seq").alias("seq_length"), "length")
+    rejects = both.filter(~equal).select(*keyed(both, "tx_id"), F.length("seq").alias("seq_length"), "length")
     if strict:
         told = F.raise_error(F.concat(F.lit("sequence and labels differ in length: "), F.col("tx_id")))
         return both.withColumn("length", F.when(equal, F.col("length")).otherwise(told.cast("long"))), rejects
     return both.filter(equal), rejects
 
 
-def tile_windows(paired: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Non-overlapping windows (tx_id, chunk_idx, real_len, x, y), the last one padded. An empty sequence gives none.
+def tile_text(paired: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Non-overlapping windows (tx_id, chunk_idx, real_len, x, y), the last one padded; x and y are strings of digits.
 
-    Labels are made for one window at a time from the ORF interval; the whole label array never exists.
+    A sequence is cut in one pass. Labels are made for one window at a time from the ORF interval; the whole
+    label array never exists. An empty sequence gives no window.
     """
-    n = F.length("seq")
-    cut = paired.filter(n > 0).withColumn("chunk_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / width))))
-    start = F.col("chunk_idx") * width
-    real = F.least(F.lit(width), n - start).cast("int")
-    x = pad_to(encode(F.substring(F.col("seq"), (start + 1).cast("int"), F.lit(width))), width, PAD)
-    y = pad_to(dense_labels(real, F.col("orf_start") - start, F.col("orf_end") - start), width, 0)
-    return cut.select(*[c for c in ("species",) if c in paired.columns], "tx_id", "chunk_idx", real.alias("real_len"), x.alias("x"), y.alias("y"))
+    pieces = F.regexp_extract_all(code_string(F.col("seq")), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    cut = paired.select(*keyed(paired, "tx_id"), "orf_start", "orf_end", F.posexplode(pieces).alias("_k", "_x"))
+    start, real = F.col("_k").cast("long") * width, F.length("_x")
+    y = F.rpad(label_string(real, F.col("orf_start") - start, F.col("orf_end") - start), width, "0")
+    return cut.select(*keyed(cut, "tx_id"), F.col("_k").cast("long").alias("chunk_idx"), real.alias("real_len"), F.rpad("_x", width, str(PAD)).alias("x"), y.alias("y"))
+
+
+def tile_windows(paired: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The same windows with x and y as array<tinyint>."""
+    return tile_text(paired, width).withColumns({c: digits(F.col(c)) for c in ("x", "y")})
 
 
-def tile_sequences(sequences: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Windows of sequences without labels."""
+def without_labels(sequences: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
-    return tile_windows(sequences.withColumns({"orf_start": none, "orf_end": none}), width).drop("y")
+    return sequences.withColumns({"orf_start": none, "orf_end": none})
+
+
+def tile_sequences(sequences: DataFrame, width: int = WIDTH, text: bool = False) -> DataFrame:
+    """Windows of sequences without labels; x is a string of digits if ``text``."""
+    return (tile_text if text else tile_windows)(without_labels(sequences), width).drop("y")
 
 
 def stitch(windows: DataFrame, key: str, index: str, values: str, length: str | None = None) -> DataFrame:
-    """Concatenate the ``values`` arrays of each key by ``index``, cut to ``length`` if given."""
+    """Concatenate the ``values`` arrays or strings of each key (of a species, if there is one) by ``index``, cut to ``length`` if given."""
+    keys = keyed(windows, key)
     parts = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(values).alias("v"))))
-    out = windows.groupBy(key).agg(parts.alias("_parts"), *([F.max(length).alias("_n")] if length else []))
-    whole = F.flatten(F.transform("_parts", lambda p: p["v"]))
-    return out.select(key, (F.slice(whole, F.lit(1), F.col("_n").cast("int")) if length else whole).alias(values))
+    out = windows.groupBy(*keys).agg(parts.alias("_parts"), *([F.max(length).alias("_n")] if length else []))
+    text = dict(windows.dtypes)[values] == "string"
+    items = F.transform("_parts", lambda p: p["v"])
+    whole = F.array_join(items, "") if text else F.flatten(items)
+    if length:
+        whole = (F.substring if text else F.slice)(whole, F.lit(1), F.col("_n").cast("int"))
+    return out.select(*keys, whole.alias(values))
+
+
+#: Windows of a training shard where its number is not given.
+SHARD_ROWS = 1_000_000
 
 
-def training_batches(windows: DataFrame, keys: list[str], batch_size: int, shards: int = 8, seed: str = "7", drop_remainder: bool = True) -> DataFrame:
+def training_batches(windows: DataFrame, keys: list[str], batch_size: int, shards: int | None = None, seed: str = "7", drop_remainder: bool = True, epochs: int = 1) -> DataFrame:
     """``windows`` with shard, batch and place: seeded random order in shards, no window over the whole table.
 
-    The order depends on the seed and the keys only.
+    The order depends on the seed and the keys only. Unless given, the number of shards is that of
+    ``SHARD_ROWS`` rows each. More than one of ``epochs`` repeats all windows, each time in another order,
+    with a column epoch.
     """
+    if epochs > 1:
+        again = lambda e: training_batches(windows, keys, batch_size, shards, f"{seed}/{e}", drop_remainder).withColumn("epoch", F.lit(e))
+        return reduce(DataFrame.unionByName, map(again, range(epochs)))
+    shards = shards or max(1, -(-windows.count() // SHARD_ROWS))
     h = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
     shard = F.conv(F.substring(h, 1, 7), 16, 10).cast("long") % shards
     w = Window.partitionBy("shard").orderBy("_h", *keys)
@@ -67,14 +93,19 @@ def training_batches(windows: DataFrame, keys: list[str], batch_size: int, shard
 
 def composition(sequences: DataFrame) -> DataFrame:
     """Bases of each channel in each sequence, long form."""
-    digits = code_string(F.col("seq"))
-    counts = F.array(*[F.struct(F.lit(k).alias("code"), (F.length(digits) - F.length(F.replace(digits, F.lit(str(k)), F.lit("")))).cast("long").alias("n")) for k in range(5)])
+    codes = code_string(F.col("seq"))
+    counts = F.array(*[F.struct(F.lit(k).alias("code"), (F.length(codes) - F.length(F.replace(codes, F.lit(str(k)), F.lit("")))).cast("long").alias("n")) for k in range(5)])
     return sequences.select("tx_id", F.inline(counts))
 
 
 def write_windows(windows: DataFrame, path: str) -> None:
-    """Parquet, one folder a species, so that reading a species prunes the rest."""
-    windows.write.partitionBy("species").parquet(path)
+    """Parquet, one folder a species, so that reading a species prunes the rest.
+
+    Files hold ranges of transcript ids, sorted by id and window, whatever the order of the input.
+    """
+    order = ["species", "tx_id", "chunk_idx"]
+    count = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows.repartitionByRange(count, "species", "tx_id").sortWithinPartitions(*order).write.partitionBy("species").parquet(path)
 
 
 def read_windows(spark: SparkSession, path: str, species: list[str] | None = None) -> DataFrame:

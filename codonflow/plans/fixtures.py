@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BIN = 1_000
-CHARS = 2_000  # of each text in the fixtures whose SQL cuts it so; None in their place is the whole text
+POSITIONS = 11  # of six values in a vector of 64
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 FROM, TO = LOWER + LOWER.upper(), "acgt" * 6 + "ac" + "ACGT" * 6 + "AC"
 
@@ -49,15 +49,16 @@ def stop_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("rid", start.alias("start"), (start + 3).alias("end"))
 
 
-def sequences(spark: SparkSession, sf_dir: str, chars: int | None = CHARS) -> DataFrame:
-    text = F.col("text") if chars is None else F.substring("text", 1, chars)
-    return table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("tx_id"), F.translate(text, FROM, TO).alias("seq"))
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text as bases; a null text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("tx_id"), F.translate(text, FROM, TO).alias("seq"))
 
 
-def seq_labels(spark: SparkSession, sf_dir: str, chars: int | None = CHARS) -> DataFrame:
+def seq_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, d = F.length("seq").cast("long"), F.col("tx_id").cast("long")
     start = F.when(n >= 30, d % 7)
-    return sequences(spark, sf_dir, chars).select("tx_id", n.alias("length"), start.alias("orf_start"), (start + 3 * F.floor((n - 10) / 3)).alias("orf_end"))
+    return sequences(spark, sf_dir).select("tx_id", n.alias("length"), start.alias("orf_start"), (start + 3 * F.floor((n - 10) / 3)).alias("orf_end"))
 
 
 def label_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +71,10 @@ def label_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pos = F.explode(F.sequence(F.lit(0), F.lit(9)))
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("seq_id"), "label", "embedding", pos.alias("pos"))
+    """Six values a position over the whole vector; the last position is filled with zeros."""
+    pos = F.explode(F.sequence(F.lit(0), F.lit(POSITIONS - 1)))
+    filled = F.concat("embedding", F.array_repeat(F.lit(0.0).cast("float"), 6 * POSITIONS - 64))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("seq_id"), "label", filled.alias("embedding"), pos.alias("pos"))
     return rows.select("seq_id", "pos", F.slice("embedding", F.col("pos") * 6 + 1, F.lit(6)).cast("array<double>").alias("logits"), ((F.col("seq_id") + F.col("pos")) % 6).cast("int").alias("true_class"), ((F.col("pos") >= 8) & (F.col("label") % 2 == 0)).alias("pad"))
 
 
@@ -96,34 +99,33 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("run"), epoch.cast("long").alias("epoch"), F.col("value").cast("double").alias("val_loss"))
 
 
-def genome(spark: SparkSession, sf_dir: str, chars: int | None = CHARS) -> DataFrame:
+def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequences that make up each contig, joined in the order of d."""
     d = F.col("tx_id").cast("long")
-    return sequences(spark, sf_dir, chars).select(F.concat(F.lit("chr"), d % 25).alias("contig"), d.alias("d"), "seq")
+    return sequences(spark, sf_dir).select(F.concat(F.lit("chr"), d % 25).alias("contig"), d.alias("d"), "seq")
 
 
-def contig_lengths(spark: SparkSession, sf_dir: str, chars: int | None = CHARS) -> DataFrame:
-    return genome(spark, sf_dir, chars).groupBy("contig").agg(F.sum(F.length("seq").cast("long")).alias("n"))
+def contig_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genome(spark, sf_dir).groupBy("contig").agg(F.sum(F.length("seq").cast("long")).alias("n"))
 
 
 def genome_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First exons moved into their contig: starts modulo the length, cut at its end."""
-    rows = tx_exon(spark, sf_dir).filter("line_no = 1").join(F.broadcast(contig_lengths(spark, sf_dir)), "contig")
-    start = F.col("start") % F.col("n")
-    return rows.select("tid", "contig", "strand", start.alias("start"), F.least(start + 60, F.col("n")).alias("end"), "line_no")
-
-
-def whole_genome_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All exons. A transcript moves as a whole, so that it lies in its contig and its exons keep their order and distances; only a contig shorter than the transcript cuts it."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("tid")
     rows = tx_exon(spark, sf_dir).withColumns({"first": F.min("start").over(w), "last": F.max("end").over(w)})
-    rows = rows.join(F.broadcast(contig_lengths(spark, sf_dir, None)), "contig")
+    rows = rows.join(F.broadcast(contig_lengths(spark, sf_dir)), "contig")
     move = F.col("first") % F.greatest(F.col("n") - F.col("last") + F.col("first") + 1, F.lit(1)) - F.col("first")
     return rows.select("tid", "contig", "strand", (F.col("start") + move).alias("start"), F.least(F.col("end") + move, F.col("n")).alias("end"), "line_no").filter("start < end")
 
 
+def annotation_lines(rows: DataFrame, feature: str, key: str, attrs: F.Column) -> DataFrame:
+    """``rows`` (key, contig, strand, start, end) as lines of an annotation file (value, line_no)."""
+    fields = [F.col("contig"), F.lit("fixture"), F.lit(feature), (F.col("start") + 1).cast("string"), F.col("end").cast("string"), F.lit("."), F.col("strand"), F.lit("."), attrs]
+    return rows.select(F.concat_ws("\t", *fields).alias("value"), F.struct(F.col(key), F.col("start")).alias("line_no"))
+
+
 def gene_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Reference exons, and sets a (two thirds) and b (a with outer ends moved)."""
     cols = [F.col("contig").alias("species"), "tid", "contig", "strand", "start", "end"]
@@ -146,16 +148,13 @@ SQL = {
   UNION ALL SELECT tid + 2000000, contig, strand, start + 15, "end" - 15 FROM exon_ends WHERE tid % 4 = 0 AND is_first""",
     "stop_parts": """SELECT rid, CASE WHEN strand = '+' THEN "end" ELSE start - 3 END AS start, CASE WHEN strand = '+' THEN "end" + 3 ELSE start END AS "end"
   FROM ref_a WHERE (strand = '+' AND is_last) OR (strand <> '+' AND is_first)""",
-    "sequences": f"""SELECT doc_id::VARCHAR AS tx_id, translate(substr(text, 1, 2000), '{FROM}', '{TO}') AS seq FROM documents WHERE text IS NOT NULL""",
-    "whole_sequences": f"""SELECT doc_id::VARCHAR AS tx_id, translate(text, '{FROM}', '{TO}') AS seq FROM documents WHERE text IS NOT NULL""",
+    "sequences": f"""SELECT doc_id::VARCHAR AS tx_id, translate(coalesce(text, ''), '{FROM}', '{TO}') AS seq FROM documents""",
     "seq_labels": """SELECT tx_id, n AS length, s AS orf_start, s + 3 * ((n - 10) // 3) AS orf_end FROM (
   SELECT tx_id, length(seq)::BIGINT AS n, CASE WHEN length(seq) >= 30 THEN tx_id::BIGINT % 7 END AS s FROM sequences)""",
-    "whole_seq_labels": """SELECT tx_id, n AS length, s AS orf_start, s + 3 * ((n - 10) // 3) AS orf_end FROM (
-  SELECT tx_id, length(seq)::BIGINT AS n, CASE WHEN length(seq) >= 30 THEN tx_id::BIGINT % 7 END AS s FROM whole_sequences)""",
     "label_seq": """SELECT user_id::BIGINT AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos,
   CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 3 ELSE 4 END WHEN 'purchase' THEN 5 ELSE 0 END::INTEGER AS label FROM events""",
     "logits": """SELECT vec_id::BIGINT AS seq_id, pos::INTEGER AS pos, embedding[pos * 6 + 1 : pos * 6 + 6]::DOUBLE[] AS logits,
-  ((vec_id + pos) % 6)::INTEGER AS true_class, pos >= 8 AND label % 2 = 0 AS pad FROM embeddings, range(10) t(pos)""",
+  ((vec_id + pos) % 6)::INTEGER AS true_class, pos >= 8 AND label % 2 = 0 AS pad FROM (SELECT vec_id, label, list_concat(embedding, [0.0::FLOAT, 0.0::FLOAT]) AS embedding FROM embeddings), range(11) t(pos)""",
     "log_probs": """SELECT *, list_transform(logits, lambda v: v - list_max(logits) - ln(list_sum(list_transform(logits, lambda u: exp(u - list_max(logits)))))) AS lp FROM logits""",
     "classed": """SELECT *, (list_position(logits, list_max(logits)) - 1)::INTEGER AS predicted FROM logits""",
     "base_species": """SELECT s_name AS name, 'GCF_' || s_suppkey AS accession, CASE s_suppkey % 3 WHEN 0 THEN 'RefSeq' WHEN 1 THEN 'BRAKER' ELSE 'Other' END AS annotation,
@@ -164,12 +163,9 @@ SQL = {
     "section_lines": """SELECT doc_id, generate_subscripts(p, 1) - 1 AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)""",
     "run_log": """SELECT user_id::BIGINT AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch, value::DOUBLE AS val_loss FROM events""",
     "genome": """SELECT 'chr' || (tx_id::BIGINT % 25) AS contig, string_agg(seq, '' ORDER BY tx_id::BIGINT) AS seq FROM sequences GROUP BY 1""",
-    "genome_exons": """SELECT tid, e.contig, strand, start % n AS start, least(start % n + 60, n) AS "end", line_no
-  FROM tx_exon e JOIN (SELECT contig, length(seq)::BIGINT AS n FROM genome) g ON e.contig = g.contig WHERE line_no = 1""",
-    "whole_genome": """SELECT 'chr' || (tx_id::BIGINT % 25) AS contig, string_agg(seq, '' ORDER BY tx_id::BIGINT) AS seq FROM whole_sequences GROUP BY 1""",
-    "whole_genome_exons": """SELECT tid, contig, strand, start + move AS start, least("end" + move, n) AS "end", line_no FROM (
+    "genome_exons": """SELECT tid, contig, strand, start + move AS start, least("end" + move, n) AS "end", line_no FROM (
   SELECT e.*, n, lo % greatest(n - hi + lo + 1, 1) - lo AS move FROM (SELECT *, min(start) OVER (PARTITION BY tid) AS lo, max("end") OVER (PARTITION BY tid) AS hi FROM tx_exon) e
-  JOIN (SELECT contig, length(seq)::BIGINT AS n FROM whole_genome) g ON e.contig = g.contig) WHERE start + move < least("end" + move, n)""",
+  JOIN (SELECT contig, length(seq)::BIGINT AS n FROM genome) g ON e.contig = g.contig) WHERE start + move < least("end" + move, n)""",
     "reference_exons": """SELECT contig AS species, tid, contig, strand, start, "end" FROM tx_exon""",
     "predicted_exons": """SELECT 'a' AS gene_set, contig AS species, tid, contig, strand, start, "end" FROM tx_exon WHERE tid % 3 <> 0
   UNION ALL SELECT 'b', contig, tid, contig, strand, start - CASE WHEN is_first THEN tid % 6 ELSE 0 END, "end" + CASE WHEN is_last THEN tid % 6 ELSE 0 END FROM exon_ends WHERE tid % 3 <> 0""",

@@ -7,27 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codonflow.functions.labels import log_softmax
+from codonflow.functions.labels import digits, pad_mask
 from codonflow.operators import decode, geneset, labeling, metrics, orf, runlog, species, windows
+from codonflow.operators.keys import keyed, shared
 from codonflow.sources import annotation, sequences
 
 
 def label(features_tx: DataFrame, features_ref: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Annotation lines of transcripts and references to labels and category counts."""
+    """Annotation lines of transcripts and references to labels and category counts, by species if the lines have it."""
     labelled = labeling.label_transcripts(annotation.exon_table(features_tx), annotation.ref_cds_table(features_ref), annotation.stop_codon_table(features_ref))
-    return labelled, labeling.category_stats(labelled)
+    return labelled, labeling.category_stats(labelled, tuple(keyed(labelled)))
 
 
 def make_windows(seqs: DataFrame, labels: DataFrame, width: int = windows.WIDTH, strict: bool = True) -> DataFrame:
-    return windows.tile_windows(windows.pair_with_labels(seqs, labels, strict)[0], width)
+    """Windows of sequences and their labels, x and y as strings of digits."""
+    return windows.tile_text(windows.pair_with_labels(seqs, labels, strict)[0], width)
 
 
 def decode_windows(tiled: DataFrame, make_predict_fn: Callable, width: int, batch_size: int = 64, transitions: str = "reference") -> DataFrame:
     """Windows to labels of whole sequences: score, stitch, normalise, decode, cut to the true length."""
-    scored = decode.score_windows(tiled, make_predict_fn, width, batch_size)
-    whole = windows.stitch(scored, "tx_id", "chunk_idx", "logits").withColumn("logits", F.transform("logits", log_softmax))
-    lengths = tiled.groupBy("tx_id").agg(F.sum("real_len").cast("int").alias("n"))
-    return decode.constrained_decode(whole, "tx_id", transitions=transitions).join(lengths, "tx_id").select("tx_id", F.slice("labels", F.lit(1), F.col("n")).alias("labels"))
+    keys = keyed(tiled, "tx_id")
+    whole = windows.stitch(decode.score_windows(_text(tiled, "x"), make_predict_fn, width, batch_size), "tx_id", "chunk_idx", "logits")
+    lengths = tiled.groupBy(*keys).agg(F.sum("real_len").cast("int").alias("n"))
+    labels = decode.constrained_decode(whole, "tx_id", transitions=transitions, normalise=True)
+    return labels.join(lengths, keys).select(*keys, F.slice("labels", F.lit(1), F.col("n")).alias("labels"))
+
+
+def _text(tiled: DataFrame, *columns: str) -> DataFrame:
+    """``tiled`` with arrays of digits as strings."""
+    arrays = [c for c in columns if dict(tiled.dtypes)[c] != "string"]
+    return tiled.withColumns({c: F.array_join(F.col(c).cast("array<string>"), "") for c in arrays}) if arrays else tiled
 
 
 def _to_gtf(labels: DataFrame, tx_exon: DataFrame, source: str) -> DataFrame:
@@ -39,25 +48,33 @@ def annotate(tx_exon: DataFrame, make_predict_fn: Callable, seqs: DataFrame | No
     """Exons and sequences (or genome tiles to splice them from) to GTF lines."""
     if seqs is None:
         seqs = sequences.splice(tx_exon, tiles, tile_width).withColumnRenamed("tid", "tx_id")
-    known = seqs.join(tx_exon.select(F.col("tid").alias("tx_id")).distinct(), "tx_id", "left_semi")
-    return _to_gtf(decode_windows(windows.tile_sequences(known, width), make_predict_fn, width), tx_exon, "prediction")
+    ids = tx_exon.withColumnRenamed("tid", "tx_id")
+    keys = shared(seqs, ids, "tx_id")
+    known = seqs.join(ids.select(*keys).distinct(), keys, "left_semi")
+    return _to_gtf(decode_windows(windows.tile_sequences(known, width, text=True), make_predict_fn, width), tx_exon, "prediction")
 
 
 def predict(tiled: DataFrame, tx_exon: DataFrame, make_predict_fn: Callable, width: int = windows.WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Windows with species and labels to reference lines, predicted lines, and a summary of each species."""
-    truth = windows.stitch(tiled.withColumn("y", F.slice("y", F.lit(1), F.col("real_len"))), "tx_id", "chunk_idx", "y").withColumnRenamed("y", "labels")
+    """Windows with species and labels to reference lines, predicted lines, and a summary of each species.
+
+    Where exons have a species, ids of different species are told apart; else they must be unique.
+    """
+    tiled = _text(tiled, "x", "y")
+    truth = windows.stitch(tiled.withColumn("y", F.substring(F.col("y"), F.lit(1), F.col("real_len"))), "tx_id", "chunk_idx", "y")
+    truth = truth.select(*keyed(truth, "tx_id"), digits(F.col("y")).alias("labels"))
     owner = tiled.select(F.col("tx_id").alias("tid"), "species").distinct()
-    lines = [_to_gtf(x, tx_exon, s).join(owner, "tid") for x, s in ((truth, "reference"), (decode_windows(tiled, make_predict_fn, width), "prediction"))]
+    lines = [_to_gtf(x, tx_exon, s) for x, s in ((truth, "reference"), (decode_windows(tiled, make_predict_fn, width), "prediction"))]
     return lines[0], lines[1], metrics.species_summary(owner, *lines)
 
 
-def evaluate_positions(tiled: DataFrame, make_predict_fn: Callable, width: int = windows.WIDTH, batch_size: int = 64) -> DataFrame:
-    """Precision, recall and F1 of each class, decoding window by window; no window is dropped."""
-    scored = decode.score_windows(tiled, make_predict_fn, width, batch_size).withColumn("w", F.concat_ws(":", "tx_id", F.col("chunk_idx").cast("string")))
-    paths = decode.constrained_decode(scored.select("w", F.transform("logits", log_softmax).alias("logits")), "w")
-    rows = scored.select("w", "x", "y").join(paths, "w").select(F.inline(F.arrays_zip(F.col("x"), F.col("y"), F.col("labels"))))
-    rows = rows.select(F.col("labels").alias("predicted"), F.col("y").alias("true_class"), (F.col("x") == 5).alias("pad"))
-    return metrics.class_prf(metrics.confusion_counts(rows, F.col("predicted")))
+def evaluate_positions(tiled: DataFrame, make_predict_fn: Callable, width: int = windows.WIDTH, batch_size: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """Precision, recall and F1 of each class (and of each ``by``), decoding window by window; no window is dropped."""
+    name = F.struct(*keyed(tiled, "tx_id", "chunk_idx"))
+    scored = decode.score_windows(_text(tiled, "x", "y"), make_predict_fn, width, batch_size).withColumn("w", F.to_json(name))
+    paths = decode.constrained_decode(scored.select("w", "logits"), "w", normalise=True)
+    x = digits(F.col("x"))
+    rows = scored.join(paths, "w").select(*by, F.inline(F.arrays_zip(pad_mask(x).alias("pad"), digits(F.col("y")).alias("true_class"), F.col("labels").alias("predicted"))))
+    return metrics.class_prf(metrics.confusion_counts(rows, F.col("predicted"), by))
 
 
 def evaluate_gene_sets(sets: dict[str, DataFrame], reference: DataFrame, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +93,10 @@ def species_splits(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def run_report(logs: DataFrame) -> DataFrame:
-    """Best epoch and early-stop epoch of each run."""
-    return runlog.best_epochs(logs).join(runlog.early_stop(logs), "run", "left")
+    """Best epoch, early-stop epoch and learning-rate steps (epoch, lr) of each run; no steps are an empty list."""
+    steps = runlog.plateau_steps(logs).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", "lr"))).alias("lr_steps"))
+    none = F.array().cast("array<struct<epoch:bigint,lr:double>>")
+    out = runlog.best_epochs(logs).join(runlog.early_stop(logs), "run", "left").join(steps, "run", "left")
+    return out.withColumn("lr_steps", F.coalesce("lr_steps", none))
 
 

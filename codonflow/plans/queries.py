@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from codonflow.functions import labels as fn
 from codonflow.operators import decode, geneset, intervals, labeling, metrics, orf, runlog, species, windows
 from codonflow.plans import fixtures as fx
+from codonflow.sources import annotation
 from codonflow.sources import sequences as seqs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,39 +30,37 @@ def query(sql: str | None = None, recursive: bool = False) -> Callable[[Query],
     return add
 
 
-def query_on_texts(sql: str) -> Callable[[Query], Query]:
-    """Register the query over the first ``fx.CHARS`` characters of each text, as its SQL has it, and name_whole over whole texts."""
-
-    def add(f: Query) -> Query:
-        query(sql)(f)
-
-        def whole(spark, sf):
-            return f(spark, sf, None)
-
-        whole.__name__ = f"{f.__name__}_whole"
-        query(re.sub(r"\b(sequences|seq_labels)\b", r"whole_\1", sql))(whole)
-        return f
-
-    return add
-
-
 # Sources and sinks
 
 
 @query('SELECT tid, contig, strand, start, "end" FROM tx_exon')
 def exon_table(spark, sf):
-    return fx.tx_exon(spark, sf).drop("line_no")
+    rows = fx.tx_exon(spark, sf)
+    lines = fx.annotation_lines(rows, "exon", "tid", F.format_string('gene_id "g%s"; transcript_id "%s";', "tid", "tid"))
+    return annotation.exon_table(annotation.parse_features(lines)).drop("line_no").withColumn("tid", F.col("tid").cast("long"))
 
 
 @query('SELECT rid, contig, strand, start, "end" FROM ref_cds')
 def ref_cds_table(spark, sf):
-    return fx.ref_cds(spark, sf)
+    """One half of the lines names its parent, the other its transcript; other features are passed over."""
+    rows = fx.ref_cds(spark, sf)
+    attrs = F.when(F.col("rid") % 2 == 0, F.format_string("ID=cds-%s;Parent=%s", "rid", "rid")).otherwise(F.format_string('gene_id "g"; transcript_id "%s";', "rid"))
+    lines = fx.annotation_lines(rows, "CDS", "rid", attrs).union(fx.annotation_lines(rows, "mRNA", "rid", attrs))
+    return annotation.ref_cds_table(annotation.parse_features(lines)).drop("line_no").withColumn("rid", F.col("rid").cast("long"))
+
+
+@query("""SELECT rid, start, "end" FROM stop_parts WHERE rid IN (SELECT rid FROM ref_cds)""")
+def stop_codon_table(spark, sf):
+    parts = fx.stop_parts(spark, sf).withColumns({"contig": F.lit("c"), "strand": F.lit("+")})
+    attrs = F.format_string('transcript_id "%s"', "rid")
+    cds = fx.ref_cds(spark, sf)
+    lines = fx.annotation_lines(cds, "CDS", "rid", attrs).union(fx.annotation_lines(parts, "stop_codon", "rid", attrs))
+    return annotation.stop_codon_table(annotation.parse_features(lines)).select(F.col("rid").cast("long").alias("rid"), "start", "end")
 
 
-@query_on_texts("SELECT s.tx_id, '>' || s.tx_id || chr(10) || s.seq AS record FROM sequences s WHERE s.tx_id IN (SELECT tx_id FROM seq_labels WHERE orf_start IS NOT NULL)")
-def fasta_subset(spark, sf, chars=fx.CHARS):
-    kept = fx.seq_labels(spark, sf, chars).filter("orf_start is not null").select("tx_id")
-    return fx.sequences(spark, sf, chars).join(kept, "tx_id", "left_semi").select("tx_id", F.concat(F.lit(">"), "tx_id", F.lit("\n"), "seq").alias("record"))
+@query("SELECT s.tx_id, '>' || s.tx_id || chr(10) || s.seq AS record FROM sequences s WHERE s.tx_id IN (SELECT tx_id FROM seq_labels WHERE orf_start IS NOT NULL)")
+def fasta_subset(spark, sf):
+    return seqs.fasta_records(fx.sequences(spark, sf), fx.seq_labels(spark, sf).filter("orf_start is not null"))
 
 
 # Projections
@@ -73,15 +71,15 @@ def ref_complete(spark, sf):
     return labeling.references(fx.ref_cds(spark, sf)).select("rid", "cds_len", "complete")
 
 
-@query_on_texts("SELECT tx_id, translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234') AS codes FROM sequences")
-def nt_encode(spark, sf, chars=fx.CHARS):
-    return fx.sequences(spark, sf, chars).select("tx_id", F.array_join(fn.encode(F.col("seq")).cast("array<string>"), "").alias("codes"))
+@query("SELECT tx_id, translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234') AS codes FROM sequences")
+def nt_encode(spark, sf):
+    return fx.sequences(spark, sf).select("tx_id", fn.code_string(F.col("seq")).alias("codes"))
 
 
-@query_on_texts("""SELECT tx_id, k::INTEGER AS code, (length(c) - length(replace(c, k::VARCHAR, '')))::BIGINT AS n FROM (
+@query("""SELECT tx_id, k::INTEGER AS code, (length(c) - length(replace(c, k::VARCHAR, '')))::BIGINT AS n FROM (
 SELECT tx_id, translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234') AS c FROM sequences), range(5) r(k)""")
-def nt_composition(spark, sf, chars=fx.CHARS):
-    return windows.composition(fx.sequences(spark, sf, chars))
+def nt_composition(spark, sf):
+    return windows.composition(fx.sequences(spark, sf))
 
 
 @query("SELECT seq_id, pos, k::INTEGER AS class_id, (label = k)::INTEGER AS hot FROM label_seq, range(6) r(k)")
@@ -90,20 +88,19 @@ def label_onehot(spark, sf):
     return rows.select("seq_id", "pos", F.posexplode(fn.one_hot(F.array("label"), 6)[0]).alias("class_id", "hot")).withColumn("hot", F.col("hot").cast("int"))
 
 
-@query_on_texts("""SELECT tx_id, substr(rpad(translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234'), 500, '5'), 1, 500) AS codes FROM sequences""")
-def pad_fixed(spark, sf, chars=fx.CHARS):
+@query("""SELECT tx_id, substr(rpad(translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234'), 500, '5'), 1, 500) AS codes FROM sequences""")
+def pad_fixed(spark, sf):
     padded = fn.pad_to(fn.encode(F.col("seq")), 500, fn.PAD)
-    return fx.sequences(spark, sf, chars).select("tx_id", F.array_join(padded.cast("array<string>"), "").alias("codes"))
+    return fx.sequences(spark, sf).select("tx_id", F.array_join(padded.cast("array<string>"), "").alias("codes"))
 
 
 DENSE = """SELECT tx_id, CASE WHEN orf_start IS NULL THEN repeat('0', length::INTEGER) ELSE
 repeat('0', orf_start::INTEGER) || '1' || substr(repeat('234', ((orf_end - orf_start) // 3 + 1)::INTEGER), 1, (orf_end - orf_start - 2)::INTEGER) || '5' || repeat('0', (length - orf_end)::INTEGER) END AS labels FROM seq_labels"""
 
 
-@query_on_texts(DENSE)
-def dense_labels(spark, sf, chars=fx.CHARS):
-    dense = fn.dense_labels(F.col("length"), F.col("orf_start"), F.col("orf_end"))
-    return fx.seq_labels(spark, sf, chars).select("tx_id", F.array_join(dense.cast("array<string>"), "").alias("labels"))
+@query(DENSE)
+def dense_labels(spark, sf):
+    return fx.seq_labels(spark, sf).select("tx_id", fn.label_string(F.col("length"), F.col("orf_start"), F.col("orf_end")).alias("labels"))
 
 
 @query("SELECT name, accession, annotation, annotation IN ('RefSeq', 'BRAKER') AS valid FROM species")
@@ -124,9 +121,9 @@ def argmax_class(spark, sf):
     return fx.logits(spark, sf).select("seq_id", "pos", fn.argmax(F.col("logits")).alias("predicted"))
 
 
-@query_on_texts("SELECT tx_id, reverse(translate(regexp_replace(seq, '[^ACGTacgt]', 'N', 'g'), 'ACGTacgt', 'TGCAtgca')) AS seq FROM sequences")
-def revcomp(spark, sf, chars=fx.CHARS):
-    return fx.sequences(spark, sf, chars).select("tx_id", fn.reverse_complement(F.regexp_replace("seq", "[^ACGTacgt]", "N")).alias("seq"))
+@query("SELECT tx_id, reverse(translate(regexp_replace(seq, '[^ACGTacgt]', 'N', 'g'), 'ACGTacgt', 'TGCAtgca')) AS seq FROM sequences")
+def revcomp(spark, sf):
+    return fx.sequences(spark, sf).select("tx_id", fn.reverse_complement(F.regexp_replace("seq", "[^ACGTacgt]", "N")).alias("seq"))
 
 
 # Joins
@@ -146,9 +143,9 @@ def cds_projection(spark, sf):
     return labeling.project_cds(_pairs(spark, sf)).select("tid", "rid", "orf_start", "orf_end", "contained").fillna(NONE)
 
 
-@query_on_texts("SELECT s.tx_id, l.length, coalesce(l.orf_start, -1) AS orf_start, coalesce(l.orf_end, -1) AS orf_end, length(s.seq)::BIGINT AS seq_length FROM sequences s JOIN seq_labels l ON s.tx_id = l.tx_id")
-def seq_label_join(spark, sf, chars=fx.CHARS):
-    paired, _ = windows.pair_with_labels(fx.sequences(spark, sf, chars), fx.seq_labels(spark, sf, chars))
+@query("SELECT s.tx_id, l.length, coalesce(l.orf_start, -1) AS orf_start, coalesce(l.orf_end, -1) AS orf_end, length(s.seq)::BIGINT AS seq_length FROM sequences s JOIN seq_labels l ON s.tx_id = l.tx_id")
+def seq_label_join(spark, sf):
+    paired, _ = windows.pair_with_labels(fx.sequences(spark, sf), fx.seq_labels(spark, sf))
     return paired.select("tx_id", "length", "orf_start", "orf_end", F.length("seq").cast("long").alias("seq_length")).fillna(NONE)
 
 
@@ -163,20 +160,11 @@ def pending_species(spark, sf):
     return species.pending(rows, rows.filter("number % 5 = 0"), rows.filter("number % 7 != 0").distinct()).select("name", "split")
 
 
-@query("""SELECT tid, CASE WHEN strand = '+' THEN s ELSE reverse(translate(s, 'ACGTacgt', 'TGCAtgca')) END AS seq FROM (
-SELECT e.tid, e.strand, regexp_replace(substr(g.seq, (e.start + 1)::INTEGER, (e."end" - e.start)::INTEGER), '[^ACGTacgt]', 'N', 'g') AS s FROM genome_exons e JOIN genome g ON e.contig = g.contig)""")
-def splice_sequence(spark, sf):
-    return seqs.splice(fx.genome_exons(spark, sf), _tiles(spark, sf, fx.CHARS), 1000)
-
-
-def _tiles(spark, sf, chars):
-    return seqs.document_tiles(fx.genome(spark, sf, chars).withColumn("seq", F.regexp_replace("seq", "[^ACGTacgt]", "N")), 1000)
-
-
 @query("""SELECT tid, CASE WHEN any_value(strand) = '+' THEN string_agg(s, '' ORDER BY start) ELSE reverse(translate(string_agg(s, '' ORDER BY start), 'ACGTacgt', 'TGCAtgca')) END AS seq FROM (
-SELECT e.tid, e.strand, e.start, regexp_replace(substr(g.seq, (e.start + 1)::INTEGER, (e."end" - e.start)::INTEGER), '[^ACGTacgt]', 'N', 'g') AS s FROM whole_genome_exons e JOIN whole_genome g ON e.contig = g.contig) GROUP BY tid""")
-def splice_sequence_whole(spark, sf):
-    return seqs.splice(fx.whole_genome_exons(spark, sf), _tiles(spark, sf, None), 1000)
+SELECT e.tid, e.strand, e.start, regexp_replace(substr(g.seq, (e.start + 1)::INTEGER, (e."end" - e.start)::INTEGER), '[^ACGTacgt]', 'N', 'g') AS s FROM genome_exons e JOIN genome g ON e.contig = g.contig) GROUP BY tid""")
+def splice_sequence(spark, sf):
+    tiles = seqs.document_tiles(fx.genome(spark, sf).withColumn("seq", F.regexp_replace("seq", "[^ACGTacgt]", "N")), 1000)
+    return seqs.splice(fx.genome_exons(spark, sf), tiles, 1000)
 
 
 @query("SELECT DISTINCT name, number IN (SELECT number FROM base_species WHERE split = 'training') AS found FROM base_species WHERE number % 2 = 0")
@@ -250,6 +238,18 @@ def label_stats(spark, sf):
     return labeling.category_stats(_labelled(spark, sf))
 
 
+def _several(df):
+    """The rows for three species that use the same ids."""
+    return df.withColumn("species", F.explode(F.array(*[F.lit(f"s{i}") for i in range(3)])))
+
+
+@query("SELECT s.species, category, count(*) AS n FROM labelled, (VALUES ('s0'), ('s1'), ('s2')) s(species) GROUP BY ALL")
+def label_stats_by_species(spark, sf):
+    """Three species with equal ids and places: no transcript meets another species' reference."""
+    labelled = labeling.label_transcripts(_several(fx.tx_exon(spark, sf)), _several(fx.ref_cds(spark, sf)), bin_width=fx.BIN)
+    return labeling.category_stats(labelled, ("species",))
+
+
 @query("SELECT predictor, class_id, class_name, tp, fp, fn FROM counts")
 def confusion_counts(spark, sf):
     return metrics.confusion_counts(fx.logits(spark, sf))
@@ -350,11 +350,10 @@ def gtf_lines(spark, sf):
     return orf.gtf_lines(_segments(spark, sf))
 
 
-@query_on_texts(f"""+ dense AS ({DENSE}), w AS (SELECT s.tx_id, translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234') AS c, labels, unnest(range(0, (length(seq) - 1) // {WIDTH} + 1)) AS chunk_idx FROM sequences s JOIN dense USING (tx_id))
+@query(f"""+ dense AS ({DENSE}), w AS (SELECT s.tx_id, translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '0123401234') AS c, labels, unnest(range(0, (length(seq) - 1) // {WIDTH} + 1)) AS chunk_idx FROM sequences s JOIN dense USING (tx_id))
 SELECT tx_id, chunk_idx, least({WIDTH}, length(c) - chunk_idx * {WIDTH})::INTEGER AS real_len, rpad(substr(c, (chunk_idx * {WIDTH} + 1)::INTEGER, {WIDTH}), {WIDTH}, '5') AS x, rpad(substr(labels, (chunk_idx * {WIDTH} + 1)::INTEGER, {WIDTH}), {WIDTH}, '0') AS y FROM w""")
-def tile_windows(spark, sf, chars=fx.CHARS):
-    tiled = windows.tile_windows(windows.pair_with_labels(fx.sequences(spark, sf, chars), fx.seq_labels(spark, sf, chars))[0], WIDTH)
-    return tiled.withColumns({c: F.array_join(F.col(c).cast("array<string>"), "") for c in ("x", "y")})
+def tile_windows(spark, sf):
+    return windows.tile_text(windows.pair_with_labels(fx.sequences(spark, sf), fx.seq_labels(spark, sf))[0], WIDTH)
 
 
 @query("SELECT seq_id, string_agg(predicted::VARCHAR, '' ORDER BY pos) AS classes FROM classed WHERE pos < 9 GROUP BY seq_id")
@@ -415,7 +414,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY h, seq_id, pos) -
 SELECT seq_id, pos, shard, k // 32 AS batch, k % 32 AS place FROM r WHERE k // 32 < n // 32""")
 def training_batches(spark, sf):
     rows = fx.logits(spark, sf).select("seq_id", "pos")
-    return windows.training_batches(rows, ["seq_id", "pos"], 32).withColumn("place", F.col("place").cast("long"))
+    return windows.training_batches(rows, ["seq_id", "pos"], 32, shards=8).withColumn("place", F.col("place").cast("long"))
 
 
 # Scoring and decoding
@@ -426,20 +425,24 @@ def demo_scorer():
     import numpy as np
 
     def predict(x):
-        x = np.asarray(x)
-        left, right = np.roll(x, 1, 1), np.roll(x, -1, 1)
+        value = np.asarray(x) @ np.arange(1.0, 7.0)  # 1 to 5; padding, without a channel, is 0
+        left, right = np.zeros_like(value), np.zeros_like(value)
+        left[:, 1:], right[:, :-1] = value[:, :-1], value[:, 1:]
         k = np.arange(6)
-        return np.cos(x[:, :, None] * 1.3 + left[:, :, None] * 0.7 * (k + 1) + right[:, :, None] * 0.4 + k).reshape(len(x), -1)
+        return (value[:, :, None] * (k + 2) + 3 * left[:, :, None] + 5 * right[:, :, None]) % 7 / 7
 
     return predict
 
 
-@query()
+@query(f"""+ w AS (SELECT tx_id, unnest(range(0, (length(seq) - 1) // {WIDTH} + 1)) AS chunk_idx, translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', '1234512345') AS c FROM sequences WHERE length(seq) > 0),
+v AS (SELECT tx_id, chunk_idx, list_transform(string_split(rpad(substr(c, (chunk_idx * {WIDTH} + 1)::INTEGER, {WIDTH}), {WIDTH}, '0'), ''), lambda d: d::INTEGER) AS b FROM w),
+k AS (SELECT tx_id, chunk_idx, [list_sum(list_transform(range(1, {WIDTH} + 1), lambda i: (b[i] * (k + 2) + 3 * coalesce(b[i - 1], 0) + 5 * coalesce(b[i + 1], 0)) % 7)) for k in range(6)] AS s FROM v)
+SELECT tx_id, chunk_idx, {WIDTH} AS positions, round(list_sum(s) / 7.0, 6)::DOUBLE AS total FROM k""")
 def score_windows(spark, sf):
-    tiled = windows.tile_sequences(fx.sequences(spark, sf, None), WIDTH)
+    tiled = windows.tile_sequences(fx.sequences(spark, sf), WIDTH, text=True)
     scored = decode.score_windows(tiled, demo_scorer, WIDTH)
-    total = F.aggregate(F.flatten("logits"), F.lit(0.0), lambda a, v: a + v)
-    return scored.select("tx_id", "chunk_idx", F.size("logits").alias("positions"), F.round(total, 6).alias("total"))
+    total = F.aggregate("logits", F.lit(0.0), lambda a, v: a + v)
+    return scored.select("tx_id", "chunk_idx", (F.size("logits") / decode.STATES).cast("int").alias("positions"), F.round(total, 6).alias("total"))
 
 
 @query("""+ steps(a, b) AS (VALUES (0, 0), (0, 1), (1, 2), (2, 3), (3, 4), (4, 2), (4, 5), (5, 0)),
@@ -447,7 +450,7 @@ lp AS MATERIALIZED (SELECT seq_id, pos, lp FROM log_probs),
 paths(seq_id, pos, s, score, path) AS (
 SELECT seq_id, pos, k, lp[k + 1], k::VARCHAR FROM lp, (VALUES (0), (1), (2), (3), (4), (5)) c(k) WHERE pos = 0
 UNION ALL SELECT p.seq_id, p.pos + 1, t.b, p.score + l.lp[t.b + 1], p.path || t.b FROM paths p JOIN steps t ON t.a = p.s JOIN lp l ON l.seq_id = p.seq_id AND l.pos = p.pos + 1)
-SELECT seq_id, arg_max(path, score) AS path FROM paths WHERE pos = 9 GROUP BY seq_id""", recursive=True)
+SELECT seq_id, arg_max(path, score) AS path FROM paths WHERE pos = 10 GROUP BY seq_id""", recursive=True)
 def constrained_decode(spark, sf):
     rows = fx.logits(spark, sf).select("seq_id", "pos", F.array(fn.log_softmax(F.col("logits"))).alias("logits"))
     whole = windows.stitch(rows, "seq_id", "pos", "logits")

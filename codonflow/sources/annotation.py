@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codonflow.functions.labels import shift_in
+from codonflow.operators.keys import keyed
+
 
 def read_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row for each annotation line with at least nine tab-separated fields; blank and '#' lines are skipped.
 
     ``line_no`` orders lines as the files do: by path, then block, then place in the block.
     """
-    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_no"))
+    return parse_features(spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_no")))
+
+
+def parse_features(raw: DataFrame) -> DataFrame:
+    """The same from lines (value, line_no) with any other columns, as path or species, which stay."""
     line = F.rtrim(F.regexp_replace("value", "\r$", ""))
     fields = F.split(line, "\t")
+    kept = [c for c in raw.columns if c != "value"]
     rows = raw.filter((F.trim("value") != "") & ~F.col("value").startswith("#")).withColumn("_f", fields).filter(F.size("_f") >= 9)
     names = ["contig", "source", "feature", "start", "end", "score", "strand", "frame", "attrs"]
-    out = rows.select(*[F.get("_f", F.lit(i)).alias(n) for i, n in enumerate(names)], "line_no", "path")
+    out = rows.select(*[F.get("_f", F.lit(i)).alias(n) for i, n in enumerate(names)], *kept)
     return out.withColumns({"start": F.col("start").try_cast("long"), "end": F.col("end").try_cast("long")})
 
 
@@ -35,14 +43,16 @@ def attribute(attrs: Column, key: str) -> Column:
 def exon_table(features: DataFrame) -> DataFrame:
     """tid, contig, strand, start, end (0-based half-open), line_no of the exon lines with a transcript id."""
     out = features.filter("feature = 'exon'").withColumn("tid", attribute(F.col("attrs"), "transcript_id"))
-    return out.filter("tid is not null and tid != ''").select("tid", "contig", "strand", (F.col("start") - 1).alias("start"), "end", "line_no")
+    start, end = shift_in(F.col("start"), F.col("end"))
+    return out.filter("tid is not null and tid != ''").select(*keyed(out, "tid"), "contig", "strand", start.alias("start"), end.alias("end"), "line_no")
 
 
 def _reference_parts(features: DataFrame, kind: str) -> DataFrame:
     attrs = F.col("attrs")
     rid = F.coalesce(F.nullif(attribute(attrs, "transcript_id"), F.lit("")), F.nullif(attribute(attrs, "Parent"), F.lit("")))
     out = features.filter(F.col("feature") == kind).withColumn("rid", rid).filter("rid is not null")
-    return out.select("rid", "contig", "strand", (F.col("start") - 1).alias("start"), "end", "line_no")
+    start, end = shift_in(F.col("start"), F.col("end"))
+    return out.select(*keyed(out, "rid"), "contig", "strand", start.alias("start"), end.alias("end"), "line_no")
 
 
 def ref_cds_table(features: DataFrame) -> DataFrame:
@@ -52,4 +62,5 @@ def ref_cds_table(features: DataFrame) -> DataFrame:
 
 def stop_codon_table(features: DataFrame) -> DataFrame:
     """The stop_codon parts of references that have CDS lines."""
-    return _reference_parts(features, "stop_codon").join(ref_cds_table(features).select("rid").distinct(), "rid", "left_semi")
+    keys = keyed(features, "rid")
+    return _reference_parts(features, "stop_codon").join(ref_cds_table(features).select(*keys).distinct(), keys, "left_semi")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codonflow.functions.labels import reverse_complement
+from codonflow.operators.keys import keyed, shared
 
 TILE = 65_536
 
@@ -19,10 +20,20 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.groupBy("tx_id").agg(F.max_by("seq", "_at").alias("seq"))
 
 
-def write_fasta(sequences: DataFrame, path: str, kept: DataFrame | None = None) -> None:
-    """One record a sequence; only the ids in ``kept`` if given. ``sequences.join(kept)`` counts them."""
-    rows = sequences if kept is None else sequences.join(kept.select("tx_id"), "tx_id", "left_semi")
-    rows.select(F.concat(F.lit(">"), "tx_id", F.lit("\n"), "seq").alias("value")).write.text(path)
+def fasta_records(sequences: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """tx_id and record of each sequence; only of the ids in ``kept`` if given."""
+    rows = sequences
+    if kept is not None:
+        keys = shared(sequences, kept, "tx_id")
+        rows = sequences.join(kept.select(*keys), keys, "left_semi")
+    return rows.select(*keyed(rows, "tx_id"), F.concat(F.lit(">"), "tx_id", F.lit("\n"), "seq").alias("record"))
+
+
+def write_fasta(sequences: DataFrame, path: str, kept: DataFrame | None = None) -> int:
+    """Write one record a sequence, only of the ids in ``kept`` if given; the number of records written."""
+    seen = Observation()
+    fasta_records(sequences, kept).select(F.col("record").alias("value")).observe(seen, F.count("*").alias("n")).write.text(path)
+    return seen.get["n"]
 
 
 def genome_tiles(genome: DataFrame, width: int = TILE) -> DataFrame:
@@ -56,7 +67,8 @@ def splice(tx_exon: DataFrame, tiles: DataFrame, width: int = TILE) -> DataFrame
     """tid and the spliced sequence of its exons, reverse-complemented unless the strand is '+'."""
     cut = tx_exon.filter("start < end").withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
     low, high = F.greatest(F.col("start"), F.col("tile") * width), F.least(F.col("end"), (F.col("tile") + 1) * width)
-    pieces = cut.join(tiles, ["contig", "tile"]).select("tid", "strand", low.alias("at"), F.substring(F.col("seq"), (low - F.col("tile") * width + 1).cast("int"), (high - low).cast("int")).alias("piece"))
-    whole = pieces.groupBy("tid").agg(F.first("strand").alias("strand"), F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    own = keyed(tx_exon, "tid")
+    pieces = cut.join(tiles, shared(cut, tiles, "contig", "tile")).select(*own, "strand", low.alias("at"), F.substring(F.col("seq"), (low - F.col("tile") * width + 1).cast("int"), (high - low).cast("int")).alias("piece"))
+    whole = pieces.groupBy(*own).agg(F.first("strand").alias("strand"), F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
     seq = F.array_join(F.transform("p", lambda x: x["piece"]), "")
-    return whole.select("tid", F.when(F.col("strand") == "+", seq).otherwise(reverse_complement(seq)).alias("seq"))
+    return whole.select(*own, F.when(F.col("strand") == "+", seq).otherwise(reverse_complement(seq)).alias("seq"))

@@ -5,22 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from codonflow.operators.keys import keyed
+from codonflow.operators.labeling import category_stats
+
 ARRIVAL = "species string, tid string, contig string, strand string, start long, end long, line_no long"
 
 
-def label_arrivals(spark: SparkSession, arrivals: str, label: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int | None = None) -> StreamingQuery:
+def label_arrivals(spark: SparkSession, arrivals: str, label: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int | None = None, stats: str | None = None, manifest: str | None = None) -> StreamingQuery:
     """Label every Parquet file that arrives under ``arrivals`` (schema ARRIVAL, one species a file) into ``out``.
 
-    ``label`` is the batch operator. A batch writes to its own folder and overwrites it when repeated, so
-    each file counts once even after a restart. The query processes what is there and ends.
+    ``label`` is the batch operator. A batch writes its labels to ``out`` and, where these paths are given,
+    their category counts to ``stats`` and the files it labelled to ``manifest``, each to a folder of its own
+    that is overwritten when the batch is repeated; so each file counts once even after a restart. The
+    query processes what is there and ends.
     """
     reader = spark.readStream.schema(ARRIVAL)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def once(batch: DataFrame, number: int) -> None:
-        label(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return reader.parquet(arrivals).writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        write = lambda df, path: df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        write(label(batch.drop("_file")), out)
+        if stats:
+            labelled = spark.read.parquet(f"{out}/batch={number}")
+            write(category_stats(labelled, tuple(keyed(labelled))), stats)
+        if manifest:
+            write(batch.groupBy("species", F.col("_file").alias("path")).agg(F.countDistinct("tid").alias("transcripts")), manifest)
+
+    found = reader.parquet(arrivals).withColumn("_file", F.col("_metadata.file_path"))
+    return found.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

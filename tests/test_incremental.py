@@ -15,7 +15,7 @@ def test_stream_equals_batch_and_counts_each_file_once(spark, tmp_path):
         spark.createDataFrame([(name, "t", "c", "+", start, start + 40, 0)], ARRIVAL).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
 
     def run():
-        label_arrivals(spark, f"{tmp_path}/in/*", label, f"{tmp_path}/out", f"{tmp_path}/cp", 1).awaitTermination()
+        label_arrivals(spark, f"{tmp_path}/in/*", label, f"{tmp_path}/out", f"{tmp_path}/cp", 1, f"{tmp_path}/stats", f"{tmp_path}/manifest").awaitTermination()
         return sorted((r["tid"], r["category"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
 
     arrive("s1", 0)
@@ -25,3 +25,6 @@ def test_stream_equals_batch_and_counts_each_file_once(spark, tmp_path):
     assert got == [("s1:t", "kept_single"), ("s2:t", "ir_only")] == run()
     batch = label(spark.read.schema(ARRIVAL).parquet(f"{tmp_path}/in/*"))
     assert sorted((r["tid"], r["category"]) for r in batch.collect()) == got
+    assert sorted((r["category"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/stats").collect()) == [("ir_only", 1), ("kept_single", 1)]
+    manifest = spark.read.parquet(f"{tmp_path}/manifest").collect()
+    assert sorted((r["species"], r["transcripts"]) for r in manifest) == [("s1", 1), ("s2", 1)] and all(f"/{r['species']}/" in r["path"] for r in manifest)

@@ -34,7 +34,7 @@ def test_fasta(spark, tmp_path):
     df = sequences.read_fasta(spark, str(tmp_path / "s.fa"))
     assert {r["tx_id"]: r["seq"] for r in df.collect()} == {"one": "TTT", "two": "GGTT", "none": ""}
     kept = spark.createDataFrame([("two",), ("absent",)], "tx_id string")
-    sequences.write_fasta(df, str(tmp_path / "out"), kept)
+    assert sequences.write_fasta(df, str(tmp_path / "out"), kept) == 1
     assert {r["tx_id"]: r["seq"] for r in sequences.read_fasta(spark, str(tmp_path / "out")).collect()} == {"two": "GGTT"}
 
 

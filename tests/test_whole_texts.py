@@ -39,11 +39,11 @@ def texts(spark, tmp_path_factory):
 
 def test_encode_and_labels_of_whole_texts(spark, texts):
     top, found = texts
-    got = {r["tx_id"]: r["codes"] for r in q.QUERIES["nt_encode_whole"](spark, top).collect()}
+    got = {r["tx_id"]: r["codes"] for r in q.QUERIES["nt_encode"](spark, top).collect()}
     assert got == {str(i): codes(bases(t)) for i, t in found.items()}
-    got = {r["tx_id"]: r["seq"] for r in q.QUERIES["revcomp_whole"](spark, top).collect()}
+    got = {r["tx_id"]: r["seq"] for r in q.QUERIES["revcomp"](spark, top).collect()}
     assert got == {str(i): revcomp(bases(t)) for i, t in found.items()}
-    got = {r["tx_id"]: r["labels"] for r in q.QUERIES["dense_labels_whole"](spark, top).collect()}
+    got = {r["tx_id"]: r["labels"] for r in q.QUERIES["dense_labels"](spark, top).collect()}
     for i, t in found.items():
         n = len(t)
         orf = 3 * ((n - 10) // 3)
@@ -54,7 +54,7 @@ def test_encode_and_labels_of_whole_texts(spark, texts):
 def test_windows_of_whole_texts(spark, texts):
     top, found = texts
     want = {(str(i), k): codes(bases(t))[k * q.WIDTH : (k + 1) * q.WIDTH] for i, t in found.items() for k in range(-(-len(t) // q.WIDTH))}
-    got = {(r["tx_id"], r["chunk_idx"]): r["x"][: r["real_len"]] for r in q.QUERIES["tile_windows_whole"](spark, top).collect()}
+    got = {(r["tx_id"], r["chunk_idx"]): r["x"][: r["real_len"]] for r in q.QUERIES["tile_windows"](spark, top).collect()}
     assert got == want
     scored = {(r["tx_id"], r["chunk_idx"]) for r in q.QUERIES["score_windows"](spark, top).collect()}
     assert scored == set(want)
@@ -73,7 +73,7 @@ def test_splice_joins_all_exons(spark, texts):
         seq = "".join("".join(c if c in "ACGTacgt" else "N" for c in contig[s + move : s + move + 60]) for s in starts)
         if seq:
             want[tid] = seq if tid % 2 == 0 else revcomp(seq)
-    got = {r["tid"]: r["seq"] for r in q.QUERIES["splice_sequence_whole"](spark, top).collect()}
+    got = {r["tid"]: r["seq"] for r in q.QUERIES["splice_sequence"](spark, top).collect()}
     assert got == want
     assert max(map(len, got.values())) == 420
 

@@ -3,12 +3,14 @@ import random
 import sys
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from codonflow.functions import labels as fn
-from codonflow.operators import decode, geneset, metrics, runlog, windows
+from codonflow.operators import decode, geneset, intervals, labeling, metrics, runlog, windows
 from codonflow.plans import pipelines
 from codonflow.plans.queries import demo_scorer
 
@@ -94,18 +96,25 @@ def test_decode_groups_of_any_size_agree(spark):
 
 
 def test_scores_equal_the_model(spark):
-    tiled = windows.tile_sequences(seqs(spark, [("a", "ACGTACGTACC"), ("b", "TTTT")]), 5)
+    tiled = windows.tile_sequences(seqs(spark, [("a", "ACGTACGTACC"), ("b", "TTTT")]), 5, text=True)
     for r in decode.score_windows(tiled, demo_scorer, 5, batch_size=2).collect():
-        assert np.allclose(np.array(r["logits"]).reshape(-1), demo_scorer()(np.array([r["x"]], dtype=float))[0])
+        hot = np.array([[float(c == k) if c != fn.PAD else 0.0 for k in range(6)] for c in map(int, r["x"])])
+        assert np.allclose(np.array(r["logits"]), demo_scorer()(hot[None])[0].reshape(-1))
+
+
+def test_padding_carries_no_signal(spark):
+    x = decode.model_input(pa.array(["0125", "4555"]), 4)
+    assert x.shape == (2, 4, 6) and x.sum() == 4 and x[:, :, 5].sum() == 0 and x[0, 2, 2] == 1
 
 
 def perfect():
     """Scores that give away the label: bases A C G T stand for IR START coding STOP in these tests."""
     def predict(x):
-        out = np.zeros((*np.asarray(x).shape, 6))
-        for base, state in ((0, 0), (1, 1), (3, 5)):
-            out[..., state][np.asarray(x) == base] = 9.0
-        out[..., 2:5][np.asarray(x) == 2] = 5.0
+        base = np.where(np.asarray(x).sum(-1) > 0, np.asarray(x).argmax(-1), 5)
+        out = np.zeros((*base.shape, 6))
+        for k, state in ((0, 0), (1, 1), (3, 5)):
+            out[..., state][base == k] = 9.0
+        out[..., 2:5][base == 2] = 5.0
         return out.reshape(len(out), -1)
 
     return predict
@@ -128,6 +137,67 @@ def test_evaluate_positions_counts_every_window(spark):
     assert sum(r["tp"] + r["fn"] for r in got) == 16
 
 
+def test_two_species_with_equal_ids(spark):
+    """Labels, windows, predictions and accuracy of each species are those of the species alone."""
+    columns = "species string, tid string, contig string, strand string, start long, end long, line_no long"
+    exons = spark.createDataFrame([("s1", "t", "c", "+", 100, 112, 0), ("s2", "t", "c", "+", 500, 512, 0)], columns)
+    cds = spark.createDataFrame([("s1", "r", "c", "+", 102, 111, 0), ("s2", "r", "c", "+", 900, 909, 0)], columns.replace("tid", "rid"))
+    got = {(r["species"], r["tid"]): (r["category"], r["length"], r["orf_start"]) for r in labeling.label_transcripts(exons, cds).collect()}
+    assert got == {("s1", "t"): ("kept_single", 12, 2), ("s2", "t"): ("ir_only", 12, None)}
+    seq = spark.createDataFrame([("s1", "t", "AACGGGGGGGTA"), ("s2", "t", "AAAAAAAAAAAA")], "species string, tx_id string, seq string")
+    store = spark.createDataFrame([("s1", "t", 12, 2, 11), ("s2", "t", 12, None, None)], "species string, tx_id string, length long, orf_start long, orf_end long")
+    tiled = pipelines.make_windows(seq, store, 5)
+    assert tiled.count() == 6
+    paths = {r["species"]: len(r["labels"]) for r in pipelines.decode_windows(tiled, perfect, 5).collect()}
+    assert paths == {"s1": 12, "s2": 12}
+    ref, pred, summary = pipelines.predict(tiled, exons, perfect, 5)
+    assert {r["species"]: r["line"].split("\t")[3] for r in ref.collect()} == {"s1": "103"}
+    assert {r["species"]: r["reference_cds"] for r in summary.collect()} == {"s1": 1, "s2": 0} and pred.count() <= 1
+    whole = pipelines.evaluate_positions(tiled, perfect, 5).filter("predictor = 'model'").collect()
+    assert sum(r["tp"] + r["fn"] for r in whole) == 24
+    each = pipelines.evaluate_positions(tiled, perfect, 5, by=("species",)).filter("predictor = 'model'").collect()
+    assert {s: sum(r["tp"] + r["fn"] for r in each if r["species"] == s) for s in ("s1", "s2")} == {"s1": 12, "s2": 12}
+
+
+def test_windows_are_stored_in_order(spark, tmp_path):
+    rows = [(f"t{i:02}", "ACGTACGTAC" * (i % 3 + 1)) for i in range(30)]
+    df = windows.tile_sequences(seqs(spark, rows), 4).withColumn("species", F.lit("s"))
+    windows.write_windows(df.repartition(7, "chunk_idx"), str(tmp_path / "w"))
+    files = sorted((tmp_path / "w" / "species=s").glob("*.parquet"))
+    read = [[(r["tx_id"], r["chunk_idx"]) for r in pq.read_table(f, columns=["tx_id", "chunk_idx"]).to_pylist()] for f in files]
+    assert all(x == sorted(x) for x in read) and sorted(sum(read, [])) == sorted((r["tx_id"], r["chunk_idx"]) for r in df.collect())
+    assert len({t for x in read for t, _ in x}) == sum(len({t for t, _ in x}) for x in read)
+
+
+def test_label_text_equals_label_arrays(spark):
+    cases = [(n, a, b) for n in (0, 1, 5, 9) for a in (None, -7, -1, 0, 2, 8) for b in (None, 1, 3, 6, 9, 14) if (a is None) == (b is None) and (a is None or a < b)]
+    df = spark.createDataFrame(cases, "n int, a long, b long")
+    for r in df.select("*", fn.label_string(F.col("n"), F.col("a"), F.col("b")).alias("text"), fn.dense_labels(F.col("n"), F.col("a"), F.col("b")).alias("items")).collect():
+        assert r["text"] == "".join(map(str, r["items"])), r
+
+
+def test_epochs_repeat_in_other_orders(spark):
+    df = spark.range(100).withColumnRenamed("id", "k")
+    got = windows.training_batches(df, ["k"], 10, epochs=2).collect()
+    orders = {e: [r["k"] for r in sorted((r for r in got if r["epoch"] == e), key=lambda r: (r["shard"], r["batch"], r["place"]))] for e in (0, 1)}
+    assert sorted(orders[0]) == sorted(orders[1]) == list(range(100)) and orders[0] != orders[1]
+
+
+def test_loci_over_many_bins(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice("ab"), "+", s, s + rng.choice([3, 40, 900])) for i, s in enumerate(rng.randint(0, 5000) for _ in range(60))]
+    df = spark.createDataFrame(rows, "tid long, contig string, strand string, span_start long, span_end long")
+    plain = {}
+    for c in "ab":
+        end, n = None, 0
+        for t, _, _, s, e in sorted((r for r in rows if r[1] == c), key=lambda r: (r[3], r[4], r[0])):
+            n += end is None or s >= end
+            end = e if end is None else max(end, e)
+            plain[t] = n
+    for width in (50, 1000, 100_000):
+        assert {r["tid"]: r["locus"] for r in intervals.locus_clusters(df, width).collect()} == plain
+
+
 def test_metric_edge_cases(spark):
     rows = spark.createDataFrame([([1.0, 1.0, 0.0, 0.0, 0.0, 0.0], 0, False), ([0.0, 0.0, 0.0, 0.0, 0.0, 9.0], 3, True)], "logits array<double>, true_class int, pad boolean")
     prf = {(r["predictor"], r["class_id"]): r for r in metrics.class_prf(metrics.confusion_counts(rows)).collect()}
@@ -157,3 +227,5 @@ def test_run_logs(spark):
     assert [tuple(r) for r in runlog.early_stop(log.filter("run = 'a'"), 3).collect()] == [("a", 4)]
     steps = runlog.plateau_steps(log.filter("run = 'a'"), 2, 0.1, 1e-3, 1e-2).collect()
     assert [(r["epoch"], round(r["lr"], 9)) for r in steps] == [(3, 1e-3)]
+    report = {r["run"]: r for r in pipelines.run_report(log).collect()}
+    assert report["a"]["best_epoch"] == 1 and report["b"]["lr_steps"] == [] and set(report) == {"a", "b"}

@@ -25,6 +25,8 @@ ENCODED = "doc_id long, ids array<int>"
 #: Bytes up to which the merge loop goes over a plain list, and up to which the tree is not split further.
 SHORT, LEAF, NONE = 32, 8, 1 << 62
 DECODED = "doc_id long, ids array<int>, decoded binary"
+#: Fixed value: the published pattern for which the short cuts of ``Bpe.encode`` hold. Others go through the expression alone.
+WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,7 +38,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """Encoder for one vocabulary; caches are bounded and only save time."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 250_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 500_000) -> None:
         import regex
 
         self.ranks, self.cache_size = ranks, cache_size
@@ -47,8 +49,8 @@ class Bpe:
         self.stable: dict[tuple[int, int], bool] = {}
         self.short: dict[bytes, list[int]] = {}
         self.plain, self.spaced = _Cache(self, ""), _Cache(self, " ")
-        # A space before a non-space always begins a match of the pattern, so texts are cut there first.
-        self.cut = re.compile(r" (?=\S)").split
+        # A space before a non-space always begins a match of that pattern, so texts are cut there first.
+        self.cut = re.compile(r" (?=\S)").split if pattern == WORDS_PATTERN else None
 
     def greedy(self, data: bytes) -> list[int]:
         """Merge the lowest-ranked adjacent pair, leftmost first, until none is left."""
@@ -127,6 +129,8 @@ class Bpe:
 
     def encode(self, text: str) -> list[int]:
         """Ids of every match of the pattern, one after another."""
+        if self.cut is None:
+            return list(chain.from_iterable(self.encode_piece(p.encode()) for p in self.find(text)))
         first, *rest = self.cut(text)
         out = list(chain(self.plain[first], chain.from_iterable(map(self.spaced.__getitem__, rest))))
         for cache in (self.plain, self.spaced):
@@ -134,11 +138,6 @@ class Bpe:
                 cache.clear()
         return out
 
-    def forget(self) -> None:
-        """Empty the caches, so that an idle worker holds no more than the vocabulary."""
-        for cache in (self.plain, self.spaced, self.stable, self.short):
-            cache.clear()
-
     def bytes_of(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 

@@ -1,10 +1,8 @@
 """Exact deduplication by Grace hashing.
 
-Records are combined where they are read (an open-addressing table that compares complete texts),
-exchanged once by bucket, and combined again bucket by bucket. Buckets come from recursive splitting
-of the hash space by a byte histogram: a bucket whose texts would not fit the table is split by
-further hash bits until it fits or only one hash value is left, which the combining step has already
-reduced to one record for each reading task. Spark's shuffle files are the spill files.
+Records are combined where they are read (an open-addressing table that compares complete texts) and
+partitioned by hash into buckets, a task each. A bucket whose distinct texts outgrow the table is spilled
+to the shared folder and partitioned again by another hash, until every bucket fits.
 """
 
 from __future__ import annotations
@@ -12,15 +10,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonflow.llm.common import pack, parts, stored, tidy, to_arrow
 
-PARTIAL = "bucket int, h long, text binary, keep_id long, keep_rows long, group_size long"
-CLASSES = "sha binary, keep_id long, keep_rows long, group_size long"
+PARTIAL = "h long, text binary, keep_id long, keep_rows long, group_size long"
+#: A class has no text; a spilled record has no sha.
+FITTED = "sha binary, h long, text binary, keep_id long, keep_rows long, group_size long"
 
 
 class ContentTable:
@@ -74,79 +72,83 @@ class ContentTable:
         self.n_bytes += len(text)
 
 
-def _combine(table_bytes: int, final: bool, bounds=None, shift: int = 0):
-    """Combine equal contents; a full table is flushed early when partial, never when final.
+def _columns(t: ContentTable) -> dict[str, list]:
+    return {"keep_id": t.keep, "keep_rows": t.rows, "group_size": t.size}
 
-    The partial step also finds the bucket, from the hash without its ``shift`` low bits and the first
-    prefix of each bucket in the broadcast ``bounds``.
-    """
-    arrow = to_arrow(CLASSES if final else PARTIAL)
+
+def _combine(table_bytes: int):
+    """Combine equal contents as far as a table reaches; a full one is written out and begun again."""
+    arrow = to_arrow(PARTIAL)
 
     def flush(t: ContentTable) -> pa.RecordBatch:
-        if final:
-            out = {"sha": [hashlib.sha256(x).digest() for x in t.texts]}
-        else:
-            prefix = (np.array(t.hashes, dtype=np.int64).view(np.uint64) >> np.uint64(shift)).astype(np.int64)
-            out = {"bucket": (np.searchsorted(bounds.value, prefix, side="right") - 1).astype(np.int32), "h": t.hashes, "text": t.texts}
-        out = pack(out | {"keep_id": t.keep, "keep_rows": t.rows, "group_size": t.size}, arrow)
+        out = pack({"h": t.hashes, "text": t.texts} | _columns(t), arrow)
         t.clear()
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bucket = ContentTable(), None
+        table = ContentTable()
         for b in batches:
-            ids = b.column("bucket").to_pylist() if final else [None] * b.num_rows
-            cols = [b.column(n).to_pylist() for n in ("h", "text", "keep_id", "keep_rows", "group_size")]
-            for k, h, text, keep, rows, size in zip(ids, *cols, strict=True):
-                if (k != bucket if final else table.n_bytes >= table_bytes) and len(table):
+            for row in zip(*(b.column(n).to_pylist() for n in ("h", "text", "keep_id", "keep_rows", "group_size")), strict=True):
+                table.add(*row)
+                if table.n_bytes >= table_bytes:
                     yield flush(table)
-                bucket = k
-                table.add(h, text, keep, rows, size)
         if len(table):
             yield flush(table)
 
     return run
 
 
-def split_buckets(counts: dict[int, int], level_bits: int, capacity: int) -> list[tuple[int, int]]:
-    """Recursive halving of the hash prefixes 0 .. 2**level_bits - 1 until a bucket's bytes fit ``capacity``."""
-    total = np.zeros((1 << level_bits) + 1, dtype=np.int64)
-    for k, v in counts.items():
-        total[k + 1] = v
-    below, out, todo = np.cumsum(total), [], [(0, 1 << level_bits)]
-    while todo:
-        lo, hi = todo.pop()
-        if hi - lo > 1 and below[hi] - below[lo] > capacity:
-            mid = (lo + hi) // 2
-            todo += [(mid, hi), (lo, mid)]
-        else:
-            out.append((lo, hi))
-    return out
+def _fit(table_bytes: int):
+    """A bucket's classes, or all its records again if its distinct texts outgrow the table.
+
+    Texts of one hash value are not spilled, since no hash could part them.
+    """
+    arrow = to_arrow(FITTED)
+
+    def write(t: ContentTable, spill: bool) -> pa.RecordBatch:
+        none = [None] * len(t)
+        out = {"sha": none, "h": t.hashes, "text": t.texts} if spill else {"sha": [hashlib.sha256(x).digest() for x in t.texts], "h": none, "text": none}
+        out = pack(out | _columns(t), arrow)
+        t.clear()
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, spill = ContentTable(), False
+        for b in batches:
+            for row in zip(*(b.column(n).to_pylist() for n in ("h", "text", "keep_id", "keep_rows", "group_size")), strict=True):
+                table.add(*row)
+                if table.n_bytes > table_bytes and (spill or len(set(table.hashes)) > 1):
+                    spill = True
+                    yield write(table, True)
+        if len(table):
+            yield write(table, spill)
+
+    return run
 
 
 @tidy
-def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 64 << 20, max_bits: int = 22) -> DataFrame:
+def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 64 << 20) -> DataFrame:
     """One row for each distinct text: SHA-256, largest id, rows with that id, all rows. Null texts count as empty.
 
-    ``table_bytes`` is what a task's table may hold; the histogram has about eight cells for each table
-    that is needed, 2**max_bits at most.
+    ``table_bytes`` is what a task's table may hold; four times as many buckets are made as that needs on
+    the average, so that few are partitioned again.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("h"), text.cast("binary").alias("text"), F.col(id_col).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("keep_rows"), F.lit(1).cast("long").alias("group_size"))
-    sizes = docs.select(F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("n")).groupBy("h").agg(F.max("n").alias("n"))
-    sizes = stored(sizes, "hashes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    capacity = max(1, min(table_bytes, total // (2 * parts(spark))))
-    level_bits = min(max_bits, max(4, (8 * total // capacity).bit_length()))
-    prefix = F.shiftrightunsigned("h", 64 - level_bits).cast("int")
-    counts = {r[0]: r[1] for r in sizes.groupBy(prefix.alias("p")).agg(F.sum("n")).collect()}  # 2**level_bits rows at most
-    buckets = split_buckets(counts, level_bits, capacity)
-    bounds = spark.sparkContext.broadcast(np.array([lo for lo, _ in buckets], dtype=np.int64))
-
-    partial = rows.mapInArrow(_combine(table_bytes, False, bounds, 64 - level_bits), PARTIAL)
-    dealt = partial.repartitionById(len(buckets), F.col("bucket"))
-    return dealt.mapInArrow(_combine(table_bytes, True), CLASSES)
+    one = F.lit(1).cast("long")
+    rows = docs.select(F.xxhash64(text).alias("h"), text.cast("binary").alias("text"), F.col(id_col).cast("long").alias("keep_id"), one.alias("keep_rows"), one.alias("group_size"))
+    todo, total, classes, level = rows, docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0, None, 0
+    while True:
+        buckets = max(parts(spark), -(-4 * total // table_bytes))
+        bucket = F.pmod(F.xxhash64(F.lit(level), F.col("h")), F.lit(buckets)).cast("int")
+        dealt = todo.mapInArrow(_combine(table_bytes), PARTIAL).withColumn("bucket", bucket).repartitionById(buckets, F.col("bucket"))
+        fitted = stored(dealt.drop("bucket").mapInArrow(_fit(table_bytes), FITTED), "buckets")
+        done = fitted.filter("sha is not null").select("sha", "keep_id", "keep_rows", "group_size")
+        classes = done if classes is None else classes.union(done)
+        todo, level = fitted.filter("sha is null").select("h", "text", "keep_id", "keep_rows", "group_size"), level + 1
+        total = todo.agg(F.sum(F.octet_length("text").cast("long"))).first()[0]
+        if total is None:
+            return classes
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,7 +158,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays. Null texts count as empty texts. Rows with a null id count in their group, and stay only if
     no row of the group has an id (keep_id is then null). If the kept id itself occurs on several equal
     rows, all of these are marked kept, since the id does not tell them apart; ``drop_copies`` leaves one.
-    An empty table gives an empty result; other columns are ignored.
+    A very long text is a record like any other. An empty table gives an empty result; other columns are
+    ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"))
@@ -167,13 +170,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each distinct text, the one with the largest id; all columns stay.
 
-    Of rows with equal id and text any one stays.
+    Of rows with equal id and text any one stays. Null texts count as empty ones; a row with a null id stays
+    only if no equal text has an id. An empty table stays empty.
     """
     renamed = [f"_c{i}" for i in range(len(docs.columns))]
     own = dict(zip(docs.columns, renamed, strict=True))
     docs = docs.toDF(*renamed)
     text = F.coalesce(F.col(own[text_col]).cast("string"), F.lit(""))
-    keys = stored(exact_classes(docs, own[id_col], own[text_col]).select(F.col("sha").alias("key"), "keep_id", "keep_rows"), "classes")
+    keys = exact_classes(docs, own[id_col], own[text_col]).select(F.col("sha").alias("key"), "keep_id", "keep_rows")
     rows = docs.withColumn("sha", F.unhex(F.sha2(text.cast("binary"), 256)))
     kept = lambda k: rows.join(k, (F.col("sha") == F.col("key")) & F.col(own[id_col]).cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
     best, twice = kept(keys.filter("keep_rows = 1")), keys.filter("keep_rows > 1")

@@ -211,7 +211,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Only labels of ids whose crc32 is not ``held`` modulo ``folds`` are learnt. Null ids are hashed as the
-    empty text and scored like others; repeated rows are scored each; an empty table gives no rows.
+    empty text and scored like others; repeated rows and equal texts are scored each, alike; a very long text
+    counts as a whole; an empty table gives no rows.
     """
     model = train(docs, labels.filter(crc_fold("doc_id", folds) != held), **options)
     out = score(docs, model)
@@ -219,7 +220,10 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int = 3, held: int = 1) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``threshold``."""
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``.
+
+    Null texts are judged as empty ones, null ids and repeated rows like any other; an empty table stays empty.
+    """
     model = train(docs, labels.filter(crc_fold("doc_id", folds) != held))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

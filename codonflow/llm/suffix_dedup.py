@@ -7,7 +7,8 @@ windows that occur more than once.
 The first pass is the exchange. Its digit is not the window's first bytes but the window's least 64-byte
 gram (by hash): equal windows have equal grams there, and neighbouring windows mostly share it, so one
 record with its context stands for all windows of a run, about one record for 170 bytes. Grams that occur
-once in the corpus leave at once. The later passes go over the windows in each task, 200 bytes a digit.
+once in the corpus leave at once. The later passes take 200 bytes a digit (by hash, since only equality
+counts): inside tasks for the windows of most grams, and as exchanges for those of very frequent ones.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codonflow.llm.common import bucketed, pack, parts, stored, tidy, to_arrow
+from codonflow.llm.common import bucketed, discard, pack, parts, stored, tidy, to_arrow
 
 GRAM = 64
 POSITION_BITS = np.uint64(31)
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: A fixed random-looking 64-bit value for each byte.
 BYTES = (np.arange(1, 257, dtype=np.uint64) * K1) ^ ((np.arange(1, 257, dtype=np.uint64) * K2) >> np.uint64(23))
-ANCHORS = "gram long, key binary, first int, n int"
+#: Windows of a record, and windows that are looked at together: both bound memory, whatever the text.
+RECORD, CHUNK = 4096, 1 << 20
+ANCHORS = "gram long, key binary, first int, n int, own boolean"
 CONTEXTS = "gram long, key binary, first int, n int, context binary"
 RUNS = "key binary, start int, stop int"
 
@@ -55,11 +58,17 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
-def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with the same least gram: the gram's hash, the run's first window, its number of windows."""
-    if len(data) < length:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
+def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with the same least gram: the gram's hash, the run's first window, its number of windows, and
+    whether windows of the run can be equal to one another (only if the gram is there twice).
+
+    A run ends where the least hash changes, not its place, so periodic text makes no more records than other text.
+    """
+    found = [_anchors(data[s : s + CHUNK + length - 1], length, gram, s) for s in range(0, len(data) - length + 1, CHUNK)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (*(np.zeros(0, dtype=np.int64),) * 3, np.zeros(0, dtype=bool))
+
+
+def _anchors(data: np.ndarray, length: int, gram: int, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     g = rolling(data, gram)
     low = (g >> POSITION_BITS << POSITION_BITS) | np.arange(len(g), dtype=np.uint64)  # ties: the leftmost
     width, size = length - gram + 1, 1
@@ -69,8 +78,16 @@ def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray
     if size < width:
         low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
     at = (low & ((np.uint64(1) << POSITION_BITS) - np.uint64(1))).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-    return g[at[first]].view(np.int64), first, np.diff(np.append(first, len(at)))
+    moved = np.flatnonzero(np.diff(at)) + 1
+    place = np.concatenate([[0], moved])
+    value = g[at[place]]
+    new = np.concatenate([[True], value[1:] != value[:-1]])
+    first = place[new]
+    n, own = np.diff(np.append(first, len(at))), np.diff(np.append(np.flatnonzero(new), len(place))) > 1
+    pieces = -(-n // RECORD)
+    value, own = np.repeat(value[new], pieces), np.repeat(own, pieces)
+    within = RECORD * (np.arange(len(value)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return value.view(np.int64), offset + np.repeat(first, pieces) + within, np.minimum(np.repeat(n, pieces) - within, RECORD), own
 
 
 def repeated(digits: np.ndarray, starts: np.ndarray, length: int, step: int) -> np.ndarray:
@@ -99,16 +116,18 @@ def _windows(b: dict[str, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 @tidy
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = 16 << 20) -> DataFrame:
     """What is left of each text when every byte in a repeated ``length``-byte string is removed.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``with_text``, the kept bytes (binary,
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, trimmed (anything was removed) and, if ``with_text``, the kept bytes (binary,
     since a span can end inside a character). A string counts as repeated if it also starts anywhere else,
     in another row or the same one, overlaps included; all strings are judged on the input. Null texts are
     empty; texts shorter than ``length`` lose nothing; equal texts in two rows, if long enough, go whole.
-    Null ids and repeated rows are rows like any other. An empty table gives no rows.
+    Null ids and repeated rows are rows like any other; very long texts are looked at in chunks. An empty
+    table gives no rows.
 
-    Grams with more than ``hot`` records are not gathered in a task: their windows are counted as rows.
+    Grams whose records have more than ``hot`` bytes are not gathered in a task: the passes over their
+    windows are exchanges. The windows are the same ones, and so is the result.
     """
     spark = docs.sparkSession
     if length < 2 * GRAM:
@@ -130,15 +149,19 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                     found = anchors(np.frombuffer(t, dtype=np.uint8), length)
                     keys += [k] * len(found[0])
                     out.append(found)
-                gram, first, n = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pack({"gram": gram, "key": keys, "first": first.astype(np.int32), "n": n.astype(np.int32)}, arrow)
+                gram, first, n, own = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pack({"gram": gram, "key": keys, "first": first.astype(np.int32), "n": n.astype(np.int32), "own": own}, arrow)
 
     found = stored(texts.filter(F.octet_length("text") >= length).select("key", "text").mapInArrow(find, ANCHORS), "anchors")
-    live = found.groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1")
-    found = stored(found.join(live, "gram"), "live-anchors")
-    runs = _runs(texts, found.filter(F.col("members") <= hot), length)
-    if not found.filter(F.col("members") > hot).isEmpty():
-        runs = runs.union(_hot_runs(texts, found.filter(F.col("members") > hot), length))
+    n_bytes = F.sum((F.col("n") + (length - 1)).cast("long"))
+    live = stored(found.groupBy("gram").agg(F.count("*").alias("members"), n_bytes.alias("bytes"), F.bool_or("own").alias("own")).filter("members > 1 or own").select("gram", "bytes"), "live-grams")
+    records = stored(found.drop("own").join(live, "gram"), "live-anchors")
+    discard(found, live)
+    scratch = [texts, records]
+    runs = _runs(texts, records.filter(F.col("bytes") <= hot).drop("bytes"), length)
+    if not records.filter(F.col("bytes") > hot).isEmpty():
+        hot_runs, used = _hot_runs(texts, records.filter(F.col("bytes") > hot).drop("bytes"), length)
+        runs, scratch = runs.union(hot_runs), scratch + used
     spans = runs.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).hint("shuffle_hash")
     schema = "key binary, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     out_arrow = to_arrow(schema)
@@ -155,8 +178,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                             out[name].append(x)
                 yield pack(out, out_arrow)
 
-    done = texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(cut, schema)
-    return rows.join(done, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
+    done = stored(texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(cut, schema), "trimmed")
+    discard(*scratch)
+    return rows.join(done, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("trimmed"), *(["kept"] if with_text else []))
 
 
 def _kept(text: bytes, spans: list[dict] | None, length: int) -> tuple[bytes, int]:
@@ -223,9 +247,13 @@ def _runs(texts: DataFrame, found: DataFrame, length: int, batch_bytes: int = 8
     return _contexts(texts, found, length).repartition(parts(spark), "gram").sortWithinPartitions("gram").mapInArrow(run, RUNS)
 
 
-def _hot_runs(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of very frequent grams: one row for each window, counted by content over all tasks."""
-    schema, step = "high long, low long, key binary, start int", _step(length)
+def _hot_runs(texts: DataFrame, found: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Repeated windows of very frequent grams, and the stored tables they are read from.
+
+    Each pass deals the windows by one more digit and drops those that are alone with it. Windows that are
+    equal within one record are known to be repeated; one row stands for them.
+    """
+    schema, step = "high long, low long, key binary, start int, stop int, n int", _step(length)
     arrow = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +262,26 @@ def _hot_runs(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
                 b = whole.slice(at, 1024).to_pydict()
                 data, starts, row, place = _windows(b)
                 d = rolling(data, step).view(np.int64)
-                yield pack({"high": d[starts], "low": d[starts + length - step], "key": [b["key"][i] for i in row], "start": place.astype(np.int32)}, arrow)
+                high, low = d[starts], d[starts + length - step]
+                order = np.lexsort((low, high, row))
+                first = np.concatenate([[True], (np.diff(row[order]) != 0) | (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)])
+                size = np.diff(np.append(np.flatnonzero(first), len(order)))
+                single, again = order[first][size == 1], order[first][size > 1]
+                known = np.zeros(len(order), dtype=bool)
+                known[order] = np.repeat(size > 1, size)
+                begin = np.flatnonzero(known & np.concatenate([[True], ~known[:-1] | (np.diff(row) != 0)]))
+                end = np.flatnonzero(known & np.append(~known[1:] | (np.diff(row) != 0), True))
+                asked, none = np.concatenate([single, again]), [None] * len(begin)
+                yield pack({
+                    "high": high[asked].tolist() + none, "low": low[asked].tolist() + none, "key": [b["key"][i] for i in np.concatenate([row[asked], row[begin]])],
+                    "start": np.concatenate([place[asked], place[begin]]).astype(np.int32), "stop": np.concatenate([place[asked], place[end]]).astype(np.int32) + 1,
+                    "n": np.concatenate([np.ones(len(single)), np.full(len(again), 2), np.zeros(len(begin))]).astype(np.int32),
+                }, arrow)
 
     windows = stored(_contexts(texts, found, length).mapInArrow(run, schema), "hot-windows")
-    many = windows.groupBy("high", "low").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return windows.join(many, ["high", "low"]).select("key", "start", (F.col("start") + 1).alias("stop"))
+    used, alive = [windows], windows.filter("n > 0")
+    for digits in (["high"], ["high", "low"]):
+        several = stored(alive.groupBy(*digits).agg(F.sum("n").alias("k")).filter("k > 1").drop("k"), "digit-groups")
+        alive = stored(alive.join(several, digits), "digit-pass")
+        used += [several, alive]
+    return windows.filter("n = 0").union(alive.select(windows.columns)).select("key", "start", "stop"), used

@@ -11,10 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codonflow.llm.common import stored, tidy
+from codonflow.llm.common import parts, stored, tidy
 
 SAFE = 2.0**52
 LONG = (-(1 << 63), (1 << 63) - 1)
+BLOCKS_A_TREE = 64
 PARTIAL = "qrow long, query_id long, vec_id long, score long"
 
 
@@ -126,7 +127,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
 
     Rows are hashed to shards of about ``shard_rows``; each is one task's KD-tree. Queries travel in
     blocks; a first pass over one shard finds each query's kth score so far, which then bounds the
-    traversal in all other shards.
+    traversal in all other shards. A task loads a shard's tree once for up to ``BLOCKS_A_TREE`` blocks.
     """
     spark = vectors.sparkSession
     rows = stored(usable(vectors, id_col, vector_col).withColumn("qrow", F.monotonically_increasing_id()), "vectors")
@@ -153,16 +154,29 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         return pd.DataFrame({"block": [key[0]], "queries": [pickle.dumps((pdf["qrow"].tolist(), pdf["vec_id"].tolist(), matrix(pdf), kth))]})
 
     def answer(batches):
+        tree = None
         for pdf in batches:
-            for tree, block in zip(pdf["tree"], pdf["queries"], strict=True):
-                yield search_block(pickle.loads(tree), pickle.loads(block), k)
+            for is_tree, data in zip(pdf["block"] < 0, pdf["data"], strict=True):
+                if is_tree:
+                    tree = pickle.loads(data)
+                else:
+                    yield search_block(tree, pickle.loads(data), k)
+
+    def answers(asked: DataFrame) -> DataFrame:
+        """Scores of ``asked`` (block, shard, queries): each tree goes before the blocks that ask it."""
+        part = F.floor(F.col("block") / BLOCKS_A_TREE).cast("int")
+        asked = asked.select("shard", part.alias("part"), "block", F.col("queries").alias("data"))
+        copies = F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // BLOCKS_A_TREE)))
+        both = asked.union(trees.select("shard", copies.alias("part"), F.lit(-1).alias("block"), F.col("tree").alias("data")))
+        both = both.repartition(parts(spark), "shard", "part").sortWithinPartitions("shard", "part", "block")
+        return both.select("block", "data").mapInPandas(answer, PARTIAL)
 
     queries = rows.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("qrow"), F.lit(blocks)).cast("int"))
     seeds = queries.groupBy("block").applyInPandas(to_block, "block int, queries binary").withColumn("shard", F.pmod("block", F.lit(shards)))
-    first = stored(seeds.join(trees, "shard").select("tree", "queries").mapInPandas(answer, PARTIAL), "seeded")
+    first = stored(answers(seeds), "seeded")
     kth = first.groupBy("qrow").agg(F.count("*").alias("n"), F.min("score").alias("kth")).select("qrow", F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
     known = queries.join(kth, "qrow", "left").groupBy("block").applyInPandas(to_block, "block int, queries binary")
     every_shard = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("shard") != F.pmod("block", F.lit(shards)))
-    rest = every_shard.join(trees, "shard").select("tree", "queries").mapInPandas(answer, PARTIAL)
+    rest = answers(every_shard)
     best = Window.partitionBy("qrow").orderBy(F.desc("score"), "vec_id")
     return first.union(rest).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

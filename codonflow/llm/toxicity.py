@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from codonflow.llm.common import crc_fold, pack, to_arrow
 
@@ -35,7 +35,7 @@ class _Words(dict):
         bare = word.strip(EDGES) or word
         for j, part in enumerate((bare, *(f"{bare[:k]}~" for k in PREFIXES))):
             raw = part.encode("utf-8", "surrogatepass")
-            self.table[at, j] = zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5BD1E995)
+            self.table[at, j] = xxh3_64_intdigest(raw)
         return at
 
     def hashes(self, words: list[str]) -> np.ndarray:
@@ -170,7 +170,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Only labels of ids whose crc32 is not ``held`` modulo ``folds`` are learnt. Null ids are hashed as the
-    empty text and scored like others; repeated rows are scored each; an empty table gives no rows.
+    empty text and scored like others; repeated rows and equal texts are scored each, alike; a very long text
+    counts with every word; an empty table gives no rows.
     """
     out = score(docs, train(docs, labels.filter(crc_fold("doc_id", folds) != held), **options))
     return out.select("doc_id", (crc_fold("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

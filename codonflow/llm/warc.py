@@ -38,10 +38,10 @@ def _number(value: int | None) -> str:
     return "" if value is None else str(value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record; a revisit has no block of its own."""
-    block = b"" if revisit else payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{_number(page_id)}>", f"WARC-Payload-Digest: sha1:{payload_digest}", f"X-Payload-Length: {len(payload)}"]
+def record(page_id: int | None, url: str | None, payload: bytes | None, length: int, payload_digest: str, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record; a revisit (without payload) has no block of its own."""
+    revisit, block = payload is None, payload or b""
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{_number(page_id)}>", f"WARC-Payload-Digest: sha1:{payload_digest}", f"X-Payload-Length: {length}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_header_text(url)}")
     if revisit:
@@ -63,14 +63,31 @@ def parse(raw: bytes) -> dict:
     return {"page_id": name(fields["WARC-Record-ID"]), "payload_bytes": int(fields["X-Payload-Length"]) if revisit else len(block), "payload_digest": told, "record_type": kind, "refers_to": name(fields["WARC-Refers-To"]) if revisit else None, "target_uri": fields.get("WARC-Target-URI"), "payload": None if revisit else block}
 
 
+def sample_record(page_id: int | None, url: str | None, payload: bytes, h: int, most: int) -> bytes:
+    """A page's record for training, some as revisits; of a longer one its head and a piece at a hashed place."""
+    one = record(page_id, url, None if h % 8 == 0 else payload, len(payload), digest(payload), page_id)
+    if len(one) <= most:
+        return one
+    at = most // 2 + h // 8 % (len(one) - most + 1)
+    return one[: most // 2] + one[at : at + most // 2]
+
+
 def train_dictionary(pages: DataFrame, sample_rows: int = 2000, sample_bytes: int = 8192, size: int = 112_640) -> bytes:
-    """A Zstandard dictionary from at most ``sample_rows`` records (smallest hash of the row), each cut to ``sample_bytes`` (both bounds are these parameters).
+    """A Zstandard dictionary from the records of at most ``sample_rows`` pages (smallest hash of the row), at most ``sample_bytes`` of each (both bounds are these parameters).
 
     Where the samples are too few to train on, their joined text is a raw-content dictionary; without any text it is empty.
     """
-    texts = pages.filter(F.length("html") > 0).select(F.xxhash64("page_id", "html").alias("h"), F.substring(F.col("html").cast("binary"), 1, sample_bytes).alias("x"))
+    h = F.xxhash64("page_id", "html")
+    texts = pages.filter(F.length("html") > 0).select(F.shiftrightunsigned(h, 11).alias("h"), "page_id", "url", F.col("html").cast("binary").alias("html"))
     share = min(1.0, 1.5 * sample_rows / max(1, texts.count()))  # so that the tasks send little more than the sample
-    chosen = texts.filter(F.shiftrightunsigned("h", 11) < int(share * (1 << 53))).orderBy("h", "x").limit(sample_rows)
+    schema = "h long, x binary"
+    arrow = to_arrow(schema)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pack({"h": b.column(0), "x": [sample_record(i, u, x, h, sample_bytes) for h, i, u, x in zip(*b.to_pydict().values(), strict=True)]}, arrow)
+
+    chosen = texts.filter(F.col("h") < int(share * (1 << 53))).mapInArrow(build, schema).orderBy("h", "x").limit(sample_rows)
     samples = [bytes(r["x"]) for r in chosen.collect()]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -79,7 +96,7 @@ def train_dictionary(pages: DataFrame, sample_rows: int = 2000, sample_bytes: in
 
 
 @tidy
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = 64 << 20) -> None:
     """Write one record for each row of ``pages`` to compressed archives under ``path``.
 
     Null payloads count as empty. Of rows with equal payloads of at least ``min_revisit_bytes`` bytes the
@@ -87,23 +104,27 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_c
     ids go by url, and of rows that are equal throughout one is the response. An empty table writes
     archives without records.
 
-    The payloads are exchanged once, to meet the first row of their group.
+    The payloads are exchanged once, to meet the first row of their group. A new archive, with the
+    dictionary of its own in front, is begun after as many records as have ``archive_bytes`` of payload on
+    the average.
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     words = train_dictionary(rows)
     rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
+    mean = rows.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    most = max(2, int(archive_bytes / (mean + 512)))  # records of an archive, with the dictionary
     rows = rows.withColumn("place", F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.coalesce("url", F.lit("")).alias("url"), F.col("url").isNull().alias("bare")))
     equal = rows.groupBy("sha", "place").agg(F.count("*").alias("n"))
     first = stored(equal.groupBy("sha").agg(F.min(F.struct("place", "n")).alias("first")), "first-pages")
-    linked = rows.join(first, "sha").withColumn("revisit", (F.col("place") != F.col("first.place")) & (F.octet_length("html") >= min_revisit_bytes))
+    linked = rows.withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary")))).join(first, "sha").withColumn("revisit", (F.col("place") != F.col("first.place")) & (F.octet_length("html") >= min_revisit_bytes))
     twice = F.col("first.n") > 1
     if not first.filter(twice).isEmpty():
         again = (F.col("place") == F.col("first.place")) & twice & (F.octet_length("html") >= min_revisit_bytes)
         copies = linked.filter(again).dropDuplicates(["sha"]).withColumn("revisit", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("first.n")), lambda i: i > 1)))
         linked = linked.filter(~again).unionByName(copies)
-    linked = linked.select("page_id", "url", F.col("html").cast("binary").alias("html"), F.when(F.col("revisit"), F.col("first.place.id")).alias("refers_to"), "revisit")
+    linked = linked.select("page_id", "url", F.when(~F.col("revisit"), F.col("html").cast("binary")).alias("html"), F.octet_length("html").alias("n"), "sha1", F.when(F.col("revisit"), F.col("first.place.id")).alias("refers_to"))
     arrow = to_arrow("frame binary")
     shared = spark.sparkContext.broadcast(words)
 
@@ -111,13 +132,20 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_c
         words = shared.value
         known = zstandard.ZstdCompressionDict(words) if words else None
         packer = zstandard.ZstdCompressor(level=3, dict_data=known, write_checksum=True)
-        yield pack({"frame": [struct.pack("<II", DICT_MAGIC, len(words)) + words]}, arrow)
+        lead, sent = struct.pack("<II", DICT_MAGIC, len(words)) + words, 1
+        yield pack({"frame": [lead]}, arrow)
         for b in batches:
-            cols = b.to_pydict()
-            yield pack({"frame": [packer.compress(record(i, u, x, digest(x), r, v)) for i, u, x, r, v in zip(*cols.values(), strict=True)]}, arrow)
-
-    frames = linked.mapInArrow(compress, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).option("compression", "none").text(path)
+            out = []
+            for i, u, x, n, sha1, r in zip(*b.to_pydict().values(), strict=True):
+                if sent % most == 0:  # the sink begins a new file here
+                    out.append(lead)
+                    sent += 1
+                out.append(packer.compress(record(i, u, x, n, base64.b32encode(sha1).decode(), r)))
+                sent += 1
+            yield pack({"frame": out}, arrow)
+
+    frames = linked.mapInArrow(compress, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    frames.write.option("lineSep", EMPTY_FRAME).option("compression", "none").option("maxRecordsPerFile", most).text(path)
 
 
 def frames_of(raw: bytes) -> Iterator[bytes]:

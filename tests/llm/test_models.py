@@ -51,6 +51,52 @@ def test_classifiers_on_odd_rows(spark, odd, none, module, column):
         assert kept.columns == odd.columns and quality.keep_good(none, some).count() == 0
 
 
+def plain_quality(model, text):
+    """The additive model's score, feature by feature and bin by bin."""
+    x = quality.features(text)
+    at = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+    margin = model.intercept + sum(t[i] for t, i in zip(model.tables, at, strict=True)) + sum(t[at[i]][at[j]] for (i, j), t in model.pairs.items())
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_op9_query_against_brute_force(spark):
+    d, labels = spark.read.parquet(f"{TOP}/documents.parquet"), spark.read.parquet(f"{TOP}/labels.parquet")
+    learnt = {r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    model = quality.train(d, labels.filter(labels["doc_id"].isin(learnt)))
+    text = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    rows = queries.op9_quality(spark, TOP).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(text)
+    for r in rows:
+        assert r["score"] == pytest.approx(plain_quality(model, text[r["doc_id"]]), abs=1e-9)
+        assert r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def plain_toxicity(weights, text):
+    """The logistic score over features written out one by one."""
+    from xxhash import xxh3_64_intdigest
+
+    mask, mix, words = (1 << 64) - 1, [int(m) for m in toxicity.MIX], text.lower().split()
+    h = lambda s: xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
+    bare = [w.strip(toxicity.EDGES) or w for w in words]
+    codes = [h(b) * mix[0] for b in bare] + [h(f"{b[:k]}~") * mix[0] for b in bare for k in (3, 4, 5, 7)]
+    codes += [(h(a) * mix[0] & mask) ^ ((h(b) * mix[k] & mask) * mix[1] & mask) for k in (1, 2, 3) for a, b in zip(bare, bare[k:], strict=False)]
+    cells = {((((c & mask) ^ ((c & mask) >> 29)) * mix[2]) & mask) >> (64 - toxicity.BITS) for c in codes}
+    margin = sum(weights.get(c, 0.0) for c in cells) + weights.get(1 << toxicity.BITS, 0.0)
+    return 1 / (1 + np.exp(-max(-35, min(35, margin))))
+
+
+def test_op4_query_against_brute_force(spark):
+    d, labels = spark.read.parquet(f"{TOP}/documents.parquet"), spark.read.parquet(f"{TOP}/labels.parquet")
+    learnt = {r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0}
+    at, w = toxicity.train(d, labels.filter(labels["doc_id"].isin(learnt)))
+    weights = dict(zip(at.tolist(), w.tolist(), strict=True))
+    text = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    rows = queries.op4_toxicity(spark, TOP).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(text)
+    for r in rows:
+        assert r["score"] == pytest.approx(plain_toxicity(weights, text[r["doc_id"]]), abs=1e-9)
+
+
 def test_weights_are_sparse(spark):
     top = "/root/testdata/sf0.01"
     at, w = toxicity.train(spark.read.parquet(f"{top}/documents.parquet"), spark.read.parquet(f"{top}/labels.parquet"))
@@ -77,6 +123,16 @@ def test_encoding_of_random_texts(coder, official):
         assert coder.encode(text) == official.encode_ordinary(text)
 
 
+def test_another_pattern_goes_through_the_expression(coder):
+    """Pieces of two characters: what the short cuts assume does not hold."""
+    pattern = r"\S\S?|\s"
+    other = bpe.Bpe(coder.ranks, pattern)
+    own = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=coder.ranks, special_tokens={})
+    for text in ("hello, world. some words", "a b  c", "straße 12.5", ""):
+        assert other.encode(text) == own.encode_ordinary(text)
+    assert bpe.WORDS_PATTERN == public_tokenizers.PATTERN
+
+
 def test_joins_far_from_the_boundary(coder, official):
     rng = random.Random(2)
     for text in ["a" * 3001, "ab" * 900, "=-" * 1200, " " * 999, "\n" * 77 + "x", "".join(rng.choice("abcdefgh") for _ in range(6000))]:
@@ -157,6 +213,24 @@ def test_archives_begin_with_their_dictionary(spark, tmp_path):
             list(warc.frames_of(raw[:-20]))
 
 
+def test_archives_roll(spark, tmp_path):
+    """Small archives: each begins with the dictionary, and together they hold every record once."""
+    pages = spark.read.parquet(f"{TOP}/pages.parquet")
+    warc.write_archives(pages, str(tmp_path / "w"), archive_bytes=40_000)
+    files = list((tmp_path / "w").glob("part-*"))
+    assert len(files) > 4 and all(int.from_bytes(f.read_bytes()[:4], "little") == warc.DICT_MAGIC for f in files)
+    got, whole = ((sorted(tuple(r)[:5] for r in x.collect())) for x in (warc.read_archives(spark, str(tmp_path / "w")), warc.archive_round_trip(pages)))
+    assert [str(r) for r in got] == [str(r) for r in whole] and len(got) == pages.count()
+
+
+def test_dictionary_is_made_of_records(spark):
+    pages = spark.read.parquet(f"{TOP}/pages.parquet")
+    words = warc.train_dictionary(pages)
+    assert words == warc.train_dictionary(pages.repartition(3)) and b"WARC-Payload-Digest: sha1:" in words
+    long = warc.sample_record(1, "u", b"x" * 50_000, 17, 8192)
+    assert len(long) == 8192 and long.startswith(b"WARC/1.1")
+
+
 def test_pipeline_stages(spark, official):
     """Each stage against a plain form on what it was given."""
     import corpus_pipeline as p
@@ -169,6 +243,9 @@ def test_pipeline_stages(spark, official):
         if len(outs) < len(p.STAGES):
             assert outs[-1].columns == table.columns
     first, exact, near, mixed, tokens = ([r.asDict() for r in o.collect()] for o in outs)
+    labels = spark.read.parquet(f"{TOP}/labels.parquet")
+    model = quality.train(table, labels.filter(labels["doc_id"].isin([r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1])))
+    assert sorted(r["doc_id"] for r in first) == sorted(r["doc_id"] for r in table.collect() if plain_quality(model, r["text"] or "") >= 0.5)
     assert 0 < len(first) < table.count()
     best = {}
     for r in first:

@@ -184,7 +184,7 @@ def test_repeats_of_documents(docs, small):
     assert repeats(docs) == brute_repeats([(i, t.encode()) for i, t in small], 400)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [1 << 24, 1])
 def test_repeats_with_shared_passages(spark, hot):
     rng = random.Random(6)
     make = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
@@ -196,6 +196,36 @@ def test_repeats_with_shared_passages(spark, hot):
     assert got == brute_repeats([(i, t.encode()) for i, t in rows], 128)
 
 
+@pytest.mark.parametrize("hot", [1 << 24, 1])
+def test_repeats_in_periodic_text(spark, hot):
+    rng = random.Random(5)
+    noise = "".join(rng.choice("abcdefgh") for _ in range(300))
+    texts = ["a" * 3000, noise + "xyz" * 900, "b" * 128, "b" * 129, noise[:100] + "xyz" * 60 + noise, "".join(rng.choice("ab") for _ in range(100)) * 5, ("p" * 90 + "q" * 90) * 6]
+    rows = list(enumerate(texts))
+    got = repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=128, hot=hot)
+    assert got == brute_repeats([(i, t.encode()) for i, t in rows], 128)
+
+
+def test_a_megabyte_of_one_character(spark):
+    df = spark.createDataFrame([(1, "a" * 1_000_000), (2, "ab" * 500)], "doc_id long, text string")
+    gram, first, n, own = suffix_dedup.anchors(np.full(3_000_000, 97, dtype=np.uint8), 400)
+    assert len(gram) == len(set(zip(gram, first, strict=True))) < 800 and int(n.sum()) == 3_000_000 - 399 and own.sum() >= len(own) - 3
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["trimmed"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {1: (1_000_000, 1, True), 2: (1000, 1, True)}
+
+
+def test_runs_hold_every_window_once():
+    rng = np.random.default_rng(3)
+    data = np.concatenate([rng.integers(97, 123, 9000), np.full(9000, 97), np.tile([97, 98, 99], 700), rng.integers(97, 100, 500)]).astype(np.uint8)
+    for chunk in (1 << 20, 1000):
+        suffix_dedup.CHUNK, before = chunk, suffix_dedup.CHUNK
+        gram, first, n, _ = suffix_dedup.anchors(data, 400)
+        suffix_dedup.CHUNK = before
+        assert (first == np.concatenate([[0], np.cumsum(n)[:-1]])).all() and first[-1] + n[-1] == len(data) - 399 and n.max() <= suffix_dedup.RECORD
+        least = np.lib.stride_tricks.sliding_window_view(suffix_dedup.rolling(data, 64) >> suffix_dedup.POSITION_BITS, 337).min(1)
+        assert (np.repeat(gram.view(np.uint64) >> suffix_dedup.POSITION_BITS, n) == least).all()
+
+
 def test_repeats_of_odd_rows(odd, none):
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in odd.collect()]
     out = suffix_dedup.remove_repeats(odd, with_text=True).collect()

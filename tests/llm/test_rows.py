@@ -106,8 +106,78 @@ def test_content_table_tells_colliding_hashes_apart():
     assert len(t) == 10 and sorted(t.keep) == list(range(40, 50)) and set(t.size) == {5}
 
 
-def test_buckets_split_until_they_fit():
-    counts = {0: 5, 1: 5, 2: 100, 7: 8}
-    parts = exact_dedup.split_buckets(counts, 3, 10)
-    assert [p[0] for p in parts] == sorted(p[0] for p in parts) and parts[0][0] == 0 and parts[-1][1] == 8
-    assert all(sum(counts.get(k, 0) for k in range(a, b)) <= 10 or b - a == 1 for a, b in parts)
+def test_buckets_are_partitioned_again_until_they_fit(spark, monkeypatch):
+    """A table of 2 kB, texts of up to 3 kB, and one text on a third of all rows."""
+    texts = [f"{i % 40} " * (10 + 20 * (i % 40)) for i in range(160)] + ["hot " * 100] * 80 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    levels, whole = [], exact_dedup.stored
+    monkeypatch.setattr(exact_dedup, "stored", lambda *a: levels.append(1) or whole(*a))
+    got = {bytes(r["sha"]).hex(): (r["keep_id"], r["keep_rows"], r["group_size"]) for r in exact_dedup.exact_classes(df, table_bytes=2000).collect()}
+    expect = {}
+    for i, t in enumerate(texts):
+        h = hashlib.sha256((t or "").encode()).hexdigest()
+        expect[h] = (i, 1, expect.get(h, (0, 0, 0))[2] + 1)
+    assert got == expect and len(levels) > 1
+
+
+def test_op1_query_against_brute_force(spark):
+    """Shards of the registered query cut the texts, in the order of their hash, into 40 runs of equal bytes."""
+    from pyspark.sql import functions as F
+
+    rows = queries.op1_histogram_shards(spark, TOP).collect()
+    plain = spark.read.parquet(f"{TOP}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    sizes = check_shards(rows, [r["text"] for r in plain], 40)
+    shard = {r["doc_id"]: r["shard"] for r in rows}
+    group = defaultdict(int)
+    for r in plain:
+        group[r["h"]] += len(r["text"].encode()) + 16
+    order = sorted((r["h"], shard[r["doc_id"]]) for r in plain)
+    assert [s for _, s in order] == sorted(s for _, s in order)
+    below, total, cuts = 0, sum(sizes), {}
+    for h in sorted(group):  # brute force: the boundary nearest to each target
+        for k in range(1, 40):
+            for at in (below, below + group[h]):
+                cuts[k] = min(cuts.get(k, total), abs(at - k * total / 40))
+        below += group[h]
+    edge = 0
+    for k in range(1, 40):
+        edge += sizes[k - 1]
+        assert abs(edge - k * total / 40) <= cuts[k] + 0.001 * total / 40 + 1
+
+
+def plain_targets(sizes):
+    """Pour all words by weight, a little at a time, into sources that stop at three times their size."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    target, left = dict.fromkeys(order, 0.0), float(sum(sizes.values()))
+    while left > 1e-6:
+        room = [s for s in order if target[s] < 3 * sizes[s] - 1e-9]
+        share = left / sum(weight[s] for s in room)
+        share = min(share, min((3 * sizes[s] - target[s]) / weight[s] for s in room))
+        for s in room:
+            target[s] += share * weight[s]
+        left -= share * sum(weight[s] for s in room)
+    return target
+
+
+def test_op2_query_against_plain_targets(spark):
+    rows = queries.op2_source_mix(spark, TOP).collect()
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{TOP}/documents.parquet").collect()}
+    sizes, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in docs.values():
+        n = len((r["text"] or "").encode().split())
+        sizes[r["source"]] += n
+        largest[r["source"]] = max(largest[r["source"]], n)
+    for r in rows:
+        source, n = docs[r["doc_id"]]["source"], len((docs[r["doc_id"]]["text"] or "").encode().split())
+        assert r["size"] == n and r["taken"] in (0, n, 2 * n, 3 * n) and r["source_size"] == sizes[source]
+        assert r["target"] == pytest.approx(plain_targets(sizes)[source])
+        taken[source] += r["taken"]
+    assert all(abs(taken[s] - t) <= largest[s] / 2 + 1 for s, t in plain_targets(sizes).items())
+
+
+def test_reruns_of_the_mix_agree_however_the_table_is_split(spark):
+    rows = [(i % 7 if i % 3 else None, f"word{i} " * (i % 9), "ab"[i % 2]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, other = (sorted(map(str, mixing.mix(x, carry=("text",)).collect())) for x in (df.coalesce(1), df.repartition(5, "text")))
+    assert one == other

@@ -260,3 +260,17 @@ def test_pipeline_stages(spark, official):
         assert r["ids"] == official.encode_ordinary(text[r["doc_id"]])
         assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
     assert len(tokens) == len(mixed) == p.run(spark, TOP).count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    """Nulls, empties, repeats and clashing names go through every stage without loss of columns."""
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        for table in (odd, none):
+            out = stage(spark, table, TOP)
+            rows = out.collect()
+            if name == "tokens":
+                assert len(rows) == table.count() and all(r["n_tokens"] == len(r["ids"]) for r in rows)
+            else:
+                assert out.columns == odd.columns and {str(r) for r in rows} <= {str(r) for r in table.collect()}

@@ -50,7 +50,11 @@ def _chains(df: DataFrame, keys: list[str]) -> DataFrame:
 def _rates(predicted: DataFrame, reference: DataFrame) -> DataFrame:
     """Rates from rows (gene_set, species, hit) and (gene_set, species, hit)."""
     rate = lambda df, name: df.groupBy("gene_set", "species").agg(F.round(100.0 * F.avg(F.col("hit").cast("double")), 2).alias(name))
-    out = rate(reference, "sn").join(rate(predicted, "pr"), ["gene_set", "species"], "full")
+    return _both(rate(reference, "sn"), rate(predicted, "pr"))
+
+
+def _both(sn: DataFrame, pr: DataFrame) -> DataFrame:
+    out = sn.join(pr, ["gene_set", "species"], "full")
     nan = F.lit(float("nan"))
     out = out.withColumns({"sn": F.coalesce("sn", nan), "pr": F.coalesce("pr", nan)})
     return out.withColumn("f1", f1_or_nan(F.col("sn"), F.col("pr")))
@@ -62,17 +66,23 @@ def _for_each_set(reference: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def exon_level(reference: DataFrame, predictions: DataFrame, tolerance: int = 3) -> DataFrame:
-    """gene_set, species, sn, pr, f1 over distinct exons."""
-    q, r = _exons(predictions, ["gene_set", "species"]), _for_each_set(_exons(reference, ["species"]), predictions)
-    keys = ["gene_set", "species", "contig", "strand", "left_free", "right_free"]
-    own = ["start", "end"]
-    a = q.withColumn("_bin", _near("start", tolerance))
-    b = r.withColumnsRenamed({c: f"ref_{c}" for c in own}).withColumn("_bin", F.floor(F.col("ref_start") / BIN))
+    """gene_set, species, sn, pr, f1 over distinct exons.
+
+    One join finds all matches; what is matched is then counted, without a join back to the exons. A start
+    that must be equal is a key itself, a free one by its bin.
+    """
+    q, r = _exons(predictions, ["gene_set", "species"]), _exons(reference, ["species"])
+    own, place = ["start", "end"], ["contig", "strand", "left_free", "right_free"]
+    near = F.array_distinct(F.array(F.floor((F.col("start") - tolerance) / BIN), F.floor((F.col("start") + tolerance) / BIN)))
+    a = q.withColumn("_key", F.explode(F.when(F.col("left_free"), near).otherwise(F.array("start"))))
+    b = r.withColumnsRenamed({c: f"ref_{c}" for c in own}).withColumn("_key", F.when(F.col("left_free"), F.floor(F.col("ref_start") / BIN)).otherwise(F.col("ref_start")))
     fits = lambda c, free: F.when(F.col(free), F.abs(F.col(c) - F.col(f"ref_{c}")) <= tolerance).otherwise(F.col(c) == F.col(f"ref_{c}"))
-    pairs = a.join(b, [*keys, "_bin"]).filter(fits("start", "left_free") & fits("end", "right_free"))
-    hit_q, hit_r = pairs.select(*keys, *own).distinct(), pairs.select(*keys, *[f"ref_{c}" for c in own]).toDF(*keys, *own).distinct()
-    mark = lambda df, hits: df.join(hits.withColumn("hit", F.lit(True)), [*keys, *own], "left").select("gene_set", "species", F.coalesce("hit", F.lit(False)).alias("hit"))
-    return _rates(mark(q, hit_q), mark(r, hit_r))
+    pairs = a.join(b, ["species", *place, "_key"]).filter(fits("start", "left_free") & fits("end", "right_free"))
+    count = lambda df, *cols: df.select("gene_set", "species", *cols).distinct().groupBy("gene_set", "species").agg(F.count("*").alias("k"))
+    total = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n"))
+    share = lambda all_, hits, name: all_.join(hits, ["gene_set", "species"], "left").select("gene_set", "species", F.round(100.0 * (F.coalesce("k", F.lit(0)) / F.col("n")), 2).alias(name))
+    sn = share(_for_each_set(total(r, "species"), predictions), count(pairs, *place, "ref_start", "ref_end"), "sn")
+    return _both(sn, share(total(q, "gene_set", "species"), count(pairs, *place, *own), "pr"))
 
 
 def _matched(reference: DataFrame, predictions: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:

@@ -57,7 +57,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     n_rows = {r["_source"]: r["n"] for r in totals}
     all_rows = max(1, sum(n_rows.values()))
     plan = [(i, s, n, t, max(1, -(-8 * parts(spark) * n_rows[s] // all_rows))) for i, (s, n, t) in enumerate(targets([(r["_source"], r["size"]) for r in totals], weights, share, max_epochs))]
-    plan_df = spark.createDataFrame(plan, "_sid int, _source string, source_size long, target double, _ranges long")
+    # Stored, so that Spark knows its size: it is broadcast while it is small.
+    plan_df = stored(spark.createDataFrame(plan, "_sid int, _source string, source_size long, target double, _ranges long"), "mix-plan")
     rows = rows.join(plan_df, rows["_source"].eqNullSafe(plan_df["_source"])).drop("_source")
     unit = F.shiftrightunsigned("_key", 33).cast("double") / F.lit(float(1 << 31))  # uniform, so equal ranges of it are even
     rows = rows.withColumn("_range", F.floor(unit * F.col("_ranges")))

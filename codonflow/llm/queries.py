@@ -27,7 +27,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), length=400)
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), length=400, passage_words=51)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:

@@ -9,17 +9,22 @@ gram (by hash): equal windows have equal grams there, and neighbouring windows m
 record with its context stands for all windows of a run, about one record for 170 bytes. Grams that occur
 once in the corpus leave at once. The later passes take 200 bytes a digit (by hash, since only equality
 counts): inside tasks for the windows of most grams, and as exchanges for those of very frequent ones.
+
+The same passes over words instead of bytes tell which texts hold a passage of so many words that occurs
+elsewhere, however short its words are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from codonflow.llm.common import bucketed, discard, pack, parts, stored, tidy, to_arrow
 
@@ -35,6 +40,27 @@ CONTEXTS = "gram long, key binary, first int, n int, context binary"
 RUNS = "key binary, start int, stop int"
 
 
+def _bytes(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, dtype=np.uint8)
+
+
+def _words(text: bytes) -> np.ndarray:
+    words = text.split()
+    return np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What windows are made of: a text's items, and how many of them make a gram."""
+
+    items: Callable[[bytes], np.ndarray]
+    size: int
+    gram: int
+
+
+BYTE, WORD = Unit(_bytes, 1, GRAM), Unit(_words, 8, 8)
+
+
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * K1
     x ^= x >> np.uint64(29)
@@ -44,8 +70,8 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each ``width`` bytes, by doubling."""
-    level, size, out, done = BYTES[data], 1, None, 0
+    """A 64-bit hash of each ``width`` bytes (or of as many hashes of words), by doubling."""
+    level, size, out, done = BYTES[data] if data.dtype == np.uint8 else data, 1, None, 0
     while True:
         if width & size:
             # Blocks are joined in a fixed order, the smallest first.
@@ -105,10 +131,10 @@ def repeated(digits: np.ndarray, starts: np.ndarray, length: int, step: int) ->
     return out
 
 
-def _windows(b: dict[str, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(b: dict[str, list], unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All contexts in one array, and for each window: its start there, its row, its place in the document."""
-    data = np.frombuffer(b"".join(b["context"]), dtype=np.uint8)
-    size = np.array([len(x) for x in b["context"]])
+    data = np.frombuffer(b"".join(b["context"]), dtype=np.uint8 if unit.size == 1 else np.uint64)
+    size = np.array([len(x) for x in b["context"]]) // unit.size
     n = np.array(b["n"])
     row = np.repeat(np.arange(len(n)), n)
     within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -116,11 +142,13 @@ def _windows(b: dict[str, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 @tidy
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = 16 << 20, passage_words: int | None = None) -> DataFrame:
     """What is left of each text when every byte in a repeated ``length``-byte string is removed.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, trimmed (anything was removed) and, if ``with_text``, the kept bytes (binary,
-    since a span can end inside a character). A string counts as repeated if it also starts anywhere else,
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, trimmed (anything was removed); with
+    ``passage_words`` also n_passage_words, the words covered by passages of so many words that occur anywhere
+    else (they are counted, not removed); and, if ``with_text``, the kept bytes (binary, since a span can end
+    inside a character). A string counts as repeated if it also starts anywhere else,
     in another row or the same one, overlaps included; all strings are judged on the input. Null texts are
     empty; texts shorter than ``length`` lose nothing; equal texts in two rows, if long enough, go whole.
     Null ids and repeated rows are rows like any other; very long texts are looked at in chunks. An empty
@@ -139,6 +167,40 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     # As many buckets as shuffle partitions: the aggregation's exchange already puts each bucket into one task.
     texts = bucketed(distinct, "texts", "key")
 
+    spans, scratch = _spans(texts, length, BYTE, hot)
+    found = texts.join(spans, "key", "left")
+    if passage_words:
+        passages, more = _spans(texts, passage_words, WORD, hot)
+        found, scratch = found.join(passages.withColumnRenamed("spans", "passages"), "key", "left"), scratch + more
+    else:
+        found = found.withColumn("passages", F.lit(None))
+    found = found.select("key", "text", "copies", "spans", F.col("passages").cast("array<struct<start:int,stop:int>>").alias("passages"))
+    schema = "key binary, n_removed long, n_spans long, kept_sha256 string" + (", n_passage_words long" if passage_words else "") + (", kept binary" if with_text else "")
+    out_arrow = to_arrow(schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512).to_pydict()
+                out: dict[str, list] = {f.name: [] for f in out_arrow}
+                for k, t, copies, spans, passages in zip(*(b[c] for c in ("key", "text", "copies", "spans", "passages")), strict=True):
+                    kept, n = _kept(t, spans if copies == 1 or len(t) < length else [{"start": 0, "stop": len(t) - length + 1}], length)
+                    for name, x in (("key", k), ("n_removed", len(t) - len(kept)), ("n_spans", n), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept)):
+                        if name in out:
+                            out[name].append(x)
+                    if passage_words:
+                        n_words = len(t.split()) if copies > 1 else 0
+                        out["n_passage_words"].append(n_words if n_words >= passage_words else _covered(passages, passage_words))
+                yield pack(out, out_arrow)
+
+    done = stored(found.mapInArrow(cut, schema), "trimmed")
+    discard(texts, *scratch)
+    more = [*(["n_passage_words"] if passage_words else []), *(["kept"] if with_text else [])]
+    return rows.join(done, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("trimmed"), *more)
+
+
+def _spans(texts: DataFrame, length: int, unit: Unit, hot: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The spans of window starts that are repeated, a list for each text that has any; and the stored tables they are read from."""
     arrow = to_arrow(ANCHORS)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,41 +208,32 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
             for at in range(0, b.num_rows, 512):
                 keys, out = [], []
                 for k, t in zip(b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist(), strict=True):
-                    found = anchors(np.frombuffer(t, dtype=np.uint8), length)
+                    found = anchors(unit.items(t), length, unit.gram)
                     keys += [k] * len(found[0])
                     out.append(found)
                 gram, first, n, own = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pack({"gram": gram, "key": keys, "first": first.astype(np.int32), "n": n.astype(np.int32), "own": own}, arrow)
 
     found = stored(texts.filter(F.octet_length("text") >= length).select("key", "text").mapInArrow(find, ANCHORS), "anchors")
-    n_bytes = F.sum((F.col("n") + (length - 1)).cast("long"))
+    n_bytes = F.sum((F.col("n") + (length - 1)).cast("long") * unit.size)
     live = stored(found.groupBy("gram").agg(F.count("*").alias("members"), n_bytes.alias("bytes"), F.bool_or("own").alias("own")).filter("members > 1 or own").select("gram", "bytes"), "live-grams")
     records = stored(found.drop("own").join(live, "gram"), "live-anchors")
     discard(found, live)
-    scratch = [texts, records]
-    runs = _runs(texts, records.filter(F.col("bytes") <= hot).drop("bytes"), length)
+    used = [records]
+    runs = _runs(texts, records.filter(F.col("bytes") <= hot).drop("bytes"), length, unit)
     if not records.filter(F.col("bytes") > hot).isEmpty():
-        hot_runs, used = _hot_runs(texts, records.filter(F.col("bytes") > hot).drop("bytes"), length)
-        runs, scratch = runs.union(hot_runs), scratch + used
-    spans = runs.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).hint("shuffle_hash")
-    schema = "key binary, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    out_arrow = to_arrow(schema)
+        hot_runs, more = _hot_runs(texts, records.filter(F.col("bytes") > hot).drop("bytes"), length, unit)
+        runs, used = runs.union(hot_runs), used + more
+    return runs.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).hint("shuffle_hash"), used
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512).to_pydict()
-                out: dict[str, list] = {f.name: [] for f in out_arrow}
-                for k, t, copies, spans in zip(b["key"], b["text"], b["copies"], b["spans"], strict=True):
-                    kept, n = _kept(t, spans if copies == 1 or len(t) < length else [{"start": 0, "stop": len(t) - length + 1}], length)
-                    for name, x in (("key", k), ("n_removed", len(t) - len(kept)), ("n_spans", n), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept)):
-                        if name in out:
-                            out[name].append(x)
-                yield pack(out, out_arrow)
 
-    done = stored(texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(cut, schema), "trimmed")
-    discard(*scratch)
-    return rows.join(done, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("trimmed"), *(["kept"] if with_text else []))
+def _covered(spans: list[dict] | None, length: int) -> int:
+    """Items inside any window that starts in ``spans``."""
+    n = at = 0
+    for start, stop in sorted((s["start"], s["stop"] - 1 + length) for s in spans or ()):
+        n += max(0, stop - max(at, start))
+        at = max(at, stop)
+    return n
 
 
 def _kept(text: bytes, spans: list[dict] | None, length: int) -> tuple[bytes, int]:
@@ -194,8 +247,8 @@ def _kept(text: bytes, spans: list[dict] | None, length: int) -> tuple[bytes, in
     return b"".join(out) + text[at:], n
 
 
-def _contexts(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """Each record with the bytes of all its windows, cut from its text."""
+def _contexts(texts: DataFrame, found: DataFrame, length: int, unit: Unit) -> DataFrame:
+    """Each record with the items of all its windows, cut from its text."""
     lists = found.groupBy("key").agg(F.collect_list(F.struct("gram", "first", "n")).alias("places")).hint("shuffle_hash")
     arrow = to_arrow(CONTEXTS)
 
@@ -203,7 +256,8 @@ def _contexts(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 b = whole.slice(at, 128).to_pydict()
-                every = [(p["gram"], k, p["first"], p["n"], t[p["first"] : p["first"] + p["n"] - 1 + length]) for k, t, places in zip(b["key"], b["text"], b["places"], strict=True) for p in places]
+                texts_of = zip(b["key"], map(unit.items, b["text"]), b["places"], strict=True)
+                every = [(p["gram"], k, p["first"], p["n"], t[p["first"] : p["first"] + p["n"] - 1 + length].tobytes()) for k, t, places in texts_of for p in places]
                 yield pack(dict(zip(arrow.names, zip(*every, strict=True), strict=True)), arrow)
 
     return texts.join(lists, "key").select("key", "text", "places").mapInArrow(cut, CONTEXTS)
@@ -213,12 +267,12 @@ def _step(length: int) -> int:
     return -(-length // 2)
 
 
-def _runs(texts: DataFrame, found: DataFrame, length: int, batch_bytes: int = 8 << 20) -> DataFrame:
+def _runs(texts: DataFrame, found: DataFrame, length: int, unit: Unit, batch_bytes: int = 8 << 20) -> DataFrame:
     """Runs of repeated windows, group by group of equal grams."""
     arrow, step, names = to_arrow(RUNS), _step(length), to_arrow(CONTEXTS).names
 
     def solve(b: dict[str, list]) -> pa.RecordBatch:
-        data, starts, row, place = _windows(b)
+        data, starts, row, place = _windows(b, unit)
         same = repeated(rolling(data, step), starts, length, step)
         edge = np.concatenate([[True], (row[1:] != row[:-1]) | (same[1:] != same[:-1])])
         first = np.flatnonzero(edge)
@@ -244,10 +298,10 @@ def _runs(texts: DataFrame, found: DataFrame, length: int, batch_bytes: int = 8
             yield solve(have)
 
     spark = texts.sparkSession
-    return _contexts(texts, found, length).repartition(parts(spark), "gram").sortWithinPartitions("gram").mapInArrow(run, RUNS)
+    return _contexts(texts, found, length, unit).repartition(parts(spark), "gram").sortWithinPartitions("gram").mapInArrow(run, RUNS)
 
 
-def _hot_runs(texts: DataFrame, found: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+def _hot_runs(texts: DataFrame, found: DataFrame, length: int, unit: Unit) -> tuple[DataFrame, list[DataFrame]]:
     """Repeated windows of very frequent grams, and the stored tables they are read from.
 
     Each pass deals the windows by one more digit and drops those that are alone with it. Windows that are
@@ -260,7 +314,7 @@ def _hot_runs(texts: DataFrame, found: DataFrame, length: int) -> tuple[DataFram
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024).to_pydict()
-                data, starts, row, place = _windows(b)
+                data, starts, row, place = _windows(b, unit)
                 d = rolling(data, step).view(np.int64)
                 high, low = d[starts], d[starts + length - step]
                 order = np.lexsort((low, high, row))
@@ -278,7 +332,7 @@ def _hot_runs(texts: DataFrame, found: DataFrame, length: int) -> tuple[DataFram
                     "n": np.concatenate([np.ones(len(single)), np.full(len(again), 2), np.zeros(len(begin))]).astype(np.int32),
                 }, arrow)
 
-    windows = stored(_contexts(texts, found, length).mapInArrow(run, schema), "hot-windows")
+    windows = stored(_contexts(texts, found, length, unit).mapInArrow(run, schema), "hot-windows")
     used, alive = [windows], windows.filter("n > 0")
     for digits in (["high"], ["high", "low"]):
         several = stored(alive.groupBy(*digits).agg(F.sum("n").alias("k")).filter("k > 1").drop("k"), "digit-groups")

@@ -226,11 +226,30 @@ def test_runs_hold_every_window_once():
         assert (np.repeat(gram.view(np.uint64) >> suffix_dedup.POSITION_BITS, n) == least).all()
 
 
+@pytest.mark.parametrize("hot", [1 << 24, 1])
+def test_words_in_repeated_passages(spark, hot):
+    """Passages of 51 words and more are counted, however short the words are and whatever white space is between them."""
+    rng = random.Random(13)
+    make = lambda n: [rng.choice(["a", "be", "sea", "deed", f"w{rng.randrange(99)}"]) for _ in range(n)]
+    passages = [make(n) for n in (50, 51, 60, 120)]
+    texts = [make(rng.randint(0, 40)) + rng.choice(passages) + make(rng.randint(0, 40)) for _ in range(30)] + [["x"] * 200, passages[1], passages[1], passages[0], []]
+    texts = [rng.choice([" ", "\n", "  "]).join(t) for t in texts]
+    count = Counter(tuple(t.split()[i : i + 51]) for t in texts for i in range(len(t.split()) - 50))
+    want = {}
+    for k, t in enumerate(texts):
+        w = t.split()
+        want[k] = len({j for i in range(len(w) - 50) if count[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_passage_words"] for r in suffix_dedup.remove_repeats(df, passage_words=51, hot=hot).collect()}
+    assert got == want and 0 in want.values() and len(set(want.values())) > 5
+
+
 def test_repeats_of_odd_rows(odd, none):
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in odd.collect()]
     out = suffix_dedup.remove_repeats(odd, with_text=True).collect()
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in out), key=str) == brute_repeats(rows, 400)
-    assert repeats(none) == []
+    assert repeats(none) == [] and suffix_dedup.remove_repeats(none, passage_words=51).count() == 0
+    assert {r["doc_id"]: r["n_passage_words"] for r in suffix_dedup.remove_repeats(odd, passage_words=51).collect() if r["doc_id"] in (1, 6, 7)} == {1: 0, 6: 12_000, 7: 12_000}
 
 
 def test_rolling_hashes_depend_on_content_only():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,17 +27,29 @@ def model_input(x: pa.Array, width: int) -> np.ndarray:
     return hot[codes]
 
 
+_models: dict[str, Callable] = {}
+
+
+def _model(name: str, make_predict_fn: Callable) -> Callable:
+    """One model for each Python worker, the last that was asked for."""
+    if name not in _models:
+        _models.clear()
+        _models[name] = make_predict_fn()
+    return _models[name]
+
+
 def score_windows(windows: DataFrame, make_predict_fn: Callable, width: int, batch_size: int = 64) -> DataFrame:
     """``windows`` (x as a string of digits) with logits, array<double> of width * 6 values, six for each base.
 
-    ``make_predict_fn()`` is called once for each Python worker's partition and returns f(one-hot float array
+    ``make_predict_fn()`` is called once for each Python worker and returns f(one-hot float array
     [n, width, 6], padding all zeros) -> [n, width, 6] or [n, width * 6].
     """
+    name = uuid.uuid4().hex
     schema = T.StructType([*windows.schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = make_predict_fn()
+        predict = _model(name, make_predict_fn)
         for whole in batches:
             for at in range(0, whole.num_rows, batch_size):
                 b = whole.slice(at, batch_size)

@@ -185,10 +185,10 @@ def test_epochs_repeat_in_other_orders(spark):
 
 def test_loci_over_many_bins(spark):
     rng = random.Random(12)
-    rows = [(i, rng.choice("ab"), "+", s, s + rng.choice([3, 40, 900])) for i, s in enumerate(rng.randint(0, 5000) for _ in range(60))]
+    rows = [(i, rng.choice(["a", "b", None]), "+", s, s + rng.choice([3, 40, 900])) for i, s in enumerate(rng.randint(0, 5000) for _ in range(60))]
     df = spark.createDataFrame(rows, "tid long, contig string, strand string, span_start long, span_end long")
     plain = {}
-    for c in "ab":
+    for c in ("a", "b", None):
         end, n = None, 0
         for t, _, _, s, e in sorted((r for r in rows if r[1] == c), key=lambda r: (r[3], r[4], r[0])):
             n += end is None or s >= end

@@ -15,7 +15,7 @@ in different components are compared further, nearest ones first, and at last in
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 from math import comb
@@ -218,24 +218,25 @@ def set_id(grams: np.ndarray) -> int:
 def _filter(slices: DataFrame, n_slices: int, bits: int, twice: bool) -> np.ndarray:
     """A filter of 2**bits bits, put together slice by slice in tasks and collected packed: 2**bits / 8 bytes.
 
-    ``slices``: slice, cells (packed 32-bit hashes), tags (packed 16 bits of what has the hash). With ``twice``
-    only hashes that have two different tags are set.
+    ``slices``: slice, cells (packed 32-bit hashes), owners (packed 64-bit ids of what has the hash). With
+    ``twice`` only hashes that have two different owners are set.
     """
     own = bits - n_slices.bit_length() + 1
     schema = to_arrow("slice int, bits binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[int, list[np.ndarray]] = {}
+        have: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for b in batches:
-            for i, cells, tags in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                x = np.frombuffer(cells, dtype=np.uint32).astype(np.uint64) << np.uint64(16)
-                have.setdefault(i, []).append(x | np.frombuffer(tags, dtype=np.uint16))
-        for i, found in have.items():
-            x = np.sort(np.concatenate(found))
+            for i, cells, owners in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                have.setdefault(i, []).append((np.frombuffer(cells, dtype=np.uint32), np.frombuffer(owners, dtype=np.int64)))
+        for i in list(have):
+            x, owner = (np.concatenate(v) for v in zip(*have.pop(i), strict=True))
             if twice:
-                x = x[1:][(x[1:] >> np.uint64(16) == x[:-1] >> np.uint64(16)) & (x[1:] != x[:-1])]
+                order = np.argsort(x, kind="stable")
+                x, owner = x[order], owner[order]
+                x = x[1:][(x[1:] == x[:-1]) & (owner[1:] != owner[:-1])]  # of different owners some two are neighbours
             on = np.zeros(1 << own, dtype=bool)
-            on[(x >> np.uint64(48 - own)).astype(np.int64)] = True
+            on[(x >> np.uint32(32 - own)).astype(np.int64)] = True
             yield pack({"slice": [i], "bits": [np.packbits(on, bitorder="little").tobytes()]}, schema)
 
     out = np.zeros((n_slices, (1 << own) // 8), dtype=np.uint8)
@@ -249,18 +250,18 @@ def _hits(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
 
 
-SLICES = "slice int, cells binary, tags binary"
+SLICES = "slice int, cells binary, owners binary"
 
 
-def _sliced(hashes: np.ndarray, tags: np.ndarray, n_slices: int, arrow: pa.Schema) -> pa.RecordBatch:
-    """64-bit hashes dealt to slices by their first bits; the next 32 bits of each are kept."""
+def _sliced(hashes: np.ndarray, owners: np.ndarray, n_slices: int, arrow: pa.Schema) -> pa.RecordBatch:
+    """64-bit hashes dealt to slices by their first bits; the next 32 bits of each are kept. ``owners`` may be empty."""
     bits = n_slices.bit_length() - 1
     where = (hashes >> np.uint64(64 - bits)).astype(np.uint16)
     order = np.argsort(where, kind="stable")
-    cells, tags = (hashes[order] >> np.uint64(32 - bits)).astype(np.uint32), tags[order]
+    cells, owners = (hashes[order] >> np.uint64(32 - bits)).astype(np.uint32), owners[order] if len(owners) else owners
     ends = np.searchsorted(where[order], np.arange(n_slices + 1))
     some = np.flatnonzero(np.diff(ends))
-    return pack({"slice": some.astype(np.int32), "cells": [cells[ends[i] : ends[i + 1]].tobytes() for i in some], "tags": [tags[ends[i] : ends[i + 1]].tobytes() for i in some]}, arrow)
+    return pack({"slice": some.astype(np.int32), "cells": [cells[ends[i] : ends[i + 1]].tobytes() for i in some], "owners": [owners[ends[i] : ends[i + 1]].tobytes() for i in some]}, arrow)
 
 
 def _slices(spark) -> int:
@@ -272,28 +273,23 @@ def _filter_bits(n: int, n_slices: int) -> int:
     return max(n_slices.bit_length() + 2, min(FILTER_BITS[1], max(FILTER_BITS[0], n.bit_length())))
 
 
-def _postings(docs: DataFrame, words: int, lower: bool, percent: int, chain: int, rarity: np.ndarray, total: int) -> DataFrame:
-    """token, rid, n, members of the lists that have two members or more; ``total`` keys in all.
+#: Keys of some sets together, with the id and the size of the set of each.
+Keys = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def postings(source: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Keys], total: int) -> DataFrame:
+    """token, rid, n, members of the lists that have two members or more; ``total`` keys in all, which ``keys`` makes of ``source``.
 
     Near duplicates meet in many lists: of lists with the same members one stays.
     """
-    spark = docs.sparkSession
-    n_slices, order = _slices(spark), spark.sparkContext.broadcast(rarity)
+    spark = source.sparkSession
+    n_slices = _slices(spark)
     sliced, listed = to_arrow(SLICES), to_arrow("token long, rid long, n int")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The keys of some sets together, with the id and size of the set of each."""
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                sets = [gram_set(t, words, lower) for t in b.column(0).slice(at, 512).to_pylist()]
-                found = [list_keys(g, order.value, percent, chain) for g in sets]
-                size = [len(x) for x in found]
-                yield np.concatenate(found), np.repeat([set_id(g) if k else 0 for g, k in zip(sets, size, strict=True)], size), np.repeat([len(g) for g in sets], size)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for k, rid, _ in keys(batches):
-            held.append((k, rid.astype(np.uint16)))
+            held.append((k, rid))
             if sum(len(x) for x, _ in held) > 1 << 19:
                 yield _sliced(*(np.concatenate(x) for x in zip(*held, strict=True)), n_slices, sliced)
                 held = []
@@ -301,14 +297,14 @@ def _postings(docs: DataFrame, words: int, lower: bool, percent: int, chain: int
             yield _sliced(*(np.concatenate(x) for x in zip(*held, strict=True)), n_slices, sliced)
 
     bits = _filter_bits(total, n_slices)
-    shared = spark.sparkContext.broadcast(_filter(docs.select("text").mapInArrow(count, SLICES), n_slices, bits, twice=True))
+    shared = spark.sparkContext.broadcast(_filter(source.mapInArrow(count, SLICES), n_slices, bits, twice=True))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, rid, n in keys(batches):
             hit = _hits(k, shared.value)
             yield pack({"token": k[hit].view(np.int64), "rid": rid[hit], "n": n[hit].astype(np.int32)}, listed)
 
-    entries = stored(docs.select("text").mapInArrow(write, "token long, rid long, n int").distinct(), "entries")
+    entries = stored(source.mapInArrow(write, "token long, rid long, n int").distinct(), "entries")
     shared.destroy()
     lists = entries.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rid")).alias("who")).filter("members > 1")
     lists = stored(lists.groupBy("members", "who").agg(F.min("token").alias("token")).drop("who"), "lists")
@@ -317,6 +313,22 @@ def _postings(docs: DataFrame, words: int, lower: bool, percent: int, chain: int
     return out
 
 
+def _prefix_keys(spark, words: int, lower: bool, percent: int, chain: int, rarity: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Keys]:
+    """Keys of the lists that each text's set is in."""
+    order = spark.sparkContext.broadcast(rarity)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Keys:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                sets = [gram_set(t, words, lower) for t in b.column(0).slice(at, 512).to_pylist()]
+                found = [list_keys(g, order.value, percent, chain) for g in sets]
+                size = [len(x) for x in found]
+                ids = np.array([set_id(g) if k else 0 for g, k in zip(sets, size, strict=True)], dtype=np.int64)
+                yield np.concatenate(found), np.repeat(ids, size), np.repeat([len(g) for g in sets], size)
+
+    return keys
+
+
 def _first_pairs(postings: DataFrame) -> DataFrame:
     """Each member of a list with one other: with the first of its block, and the first of a block with the first of all."""
     member = F.struct("rid", "n")
@@ -343,7 +355,7 @@ def _whole_sets(docs: DataFrame, words: int, lower: bool, wanted: DataFrame) ->
         for b in batches:
             x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             if len(x):
-                yield _sliced(x, np.zeros(len(x), dtype=np.uint16), n_slices, sliced)
+                yield _sliced(x, FIRST[:0], n_slices, sliced)
 
     bits = _filter_bits(8 * wanted.count(), n_slices)
     schema = "rid long, n int, grams binary"
@@ -532,52 +544,30 @@ def _open_lists(postings: DataFrame, roots: DataFrame) -> DataFrame:
     return now.join(several, "token", "left_semi")
 
 
-@tidy
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[int | None, ...] = (4, None)) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``.
-
-    A set is the distinct ``words``-word shingles of the whole text (A-Z lower-cased if ``lower``), or the
-    whole word sequence if it has fewer words. Two rows are linked when 100 * intersection >= ``percent`` *
-    union; component_id is the smallest id reachable by links. Rows without words or text have no shingles,
-    are linked with nothing and are their own component. Rows with a null id link others, and take the
-    smallest id of their component, null if it has none. Repeated rows are equal sets. A very long text is
-    one set like any other. An empty table gives no rows.
+def group_lists(docs: DataFrame, words: int, lower: bool, percent: int, sets: DataFrame, posted: DataFrame, rounds: tuple[int | None, ...], keys_of: Callable[[int], int] | None = None) -> DataFrame:
+    """doc_id, n and component_id of ``sets`` (doc_id, rid, n, sketch), from the lists in which linked sets meet.
 
-    Equal sets are one class. After all members of a list are compared with one of them, lists whose members
-    are in different components go through ``rounds``: the nearest members outside the own component, then
-    (None) all; a round that leaves no such list is the last.
+    Every pair is confirmed on the full sets, which are hashed again from the texts. ``keys_of``, the lists
+    of a set by its size, is given where small sets may enumerate subsets; else only lists are scanned.
     """
-    spark = docs.sparkSession
-    chain = chain_length(percent)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found, rarity = _summaries(docs, words, lower, percent, chain)
-    sets = found.filter("slice is null").select("doc_id", "rid", "n", "sketch")
     classes = stored(sets.filter("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    total = found.agg(F.sum("keys")).first()[0] or 0
-    postings = _postings(docs, words, lower, percent, chain, rarity, total)
-    first = _first_pairs(postings)
+    first = _first_pairs(posted)
     pairs = stored(_alike(first.filter(100 * F.col("small") >= percent * F.col("large")), classes, percent), "pairs")
-
-    reach = 600 // (100 - percent) + 1 if percent < 100 else 0  # six elements less than that are more subsets than any list has entries
-    small = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= reach).groupBy("n").count().collect()}
-    cost = {n: k * n_keys(n, percent, chain) for n, k in small.items()}
-    read = postings.filter(F.col("n") <= reach).groupBy("n").agg(F.sum("members").alias("k"))
-    moved = pairs.filter(F.col("large") <= reach).groupBy(F.col("large").alias("n")).agg(F.sum(F.col("small") + F.col("large")).alias("k"))
-    for r in read.union(moved).collect():
-        cost[r["n"]] = cost.get(r["n"], 0) + r["k"]
-    light = boundary(small, cost, percent)
-    by_subset = [n for n in small if n <= light and not alone(n, percent)]
+    light, by_subset = _light_sizes(classes, posted, pairs, percent, keys_of) if keys_of else (0, [])
 
     heavy = stored(pairs.filter(F.col("large") > light).select("a", "b"), "heavy")
     ids = heavy.select(F.col("a").alias("rid")).union(heavy.select("b")).union(classes.filter(F.col("n").isin(by_subset)).select("rid")).distinct()
     wanted = stored(classes.join(ids, "rid", "left_semi").select("rid", "least"), "wanted")
     grams = _whole_sets(docs, words, lower, wanted)
-    links = stored(_subset_links(grams.filter(F.col("n").isin(by_subset)), percent).union(_verified(heavy, grams, percent)), "near")
+    links = _verified(heavy, grams, percent)
+    if by_subset:
+        links = links.union(_subset_links(grams.filter(F.col("n").isin(by_subset)), percent))
+    links = stored(links, "near")
     roots = stored(components(links), "roots")
     tried = stored(first.select("a", "b"), "tried")
     scratch = [first, pairs, heavy, wanted, links, tried, grams]
     for nearest in rounds:
-        left = stored(_open_lists(postings, roots).join(classes.select("rid", "sketch"), "rid"), "open-lists")
+        left = stored(_open_lists(posted, roots).join(classes.select("rid", "sketch"), "rid"), "open-lists")
         if left.isEmpty():
             break
         pairs = stored(_list_pairs(left, percent, light, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -592,11 +582,48 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: b
     least = ends.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.withColumnRenamed("node", "rid").join(least, "root")
     labels = stored(classes.join(named, "rid", "left").select("rid", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "labels")
-    discard(postings, classes, *scratch)
+    discard(posted, classes, *scratch)
     out = sets.drop("sketch").join(labels, "rid", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _light_sizes(classes: DataFrame, posted: DataFrame, pairs: DataFrame, percent: int, keys_of: Callable[[int], int]) -> tuple[int, list[int]]:
+    """The boundary by measured cost, and the sizes up to it that enumerate subsets."""
+    reach = 600 // (100 - percent) + 1 if percent < 100 else 0  # six elements less than that are more subsets than any list has entries
+    small = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= reach).groupBy("n").count().collect()}
+    cost = {n: k * keys_of(n) for n, k in small.items()}
+    read = posted.filter(F.col("n") <= reach).groupBy("n").agg(F.sum("members").alias("k"))
+    moved = pairs.filter(F.col("large") <= reach).groupBy(F.col("large").alias("n")).agg(F.sum(F.col("small") + F.col("large")).alias("k"))
+    for r in read.union(moved).collect():
+        cost[r["n"]] = cost.get(r["n"], 0) + r["k"]
+    light = boundary(small, cost, percent)
+    return light, [n for n in small if n <= light and not alone(n, percent)]
+
+
+@tidy
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[int | None, ...] = (4, None)) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``; its other columns, whatever their names, play no part.
+
+    A set is the distinct ``words``-word shingles of the whole text (A-Z lower-cased if ``lower``), or the
+    whole word sequence if it has fewer words. Two rows are linked when 100 * intersection >= ``percent`` *
+    union; component_id is the smallest id reachable by links. Rows without words or text have no shingles,
+    are linked with nothing and are their own component. Rows with a null id link others, and take the
+    smallest id of their component, null if it has none. Repeated rows are equal sets. A very long text is
+    one set like any other. An empty table gives no rows.
+
+    Equal sets are one class. After all members of a list are compared with one of them, lists whose members
+    are in different components go through ``rounds``: the nearest members outside the own component, then
+    (None) all; a round that leaves no such list is the last.
+    """
+    chain = chain_length(percent)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found, rarity = _summaries(docs, words, lower, percent, chain)
+    total = found.agg(F.sum("keys")).first()[0] or 0
+    posted = postings(docs.select("text"), _prefix_keys(docs.sparkSession, words, lower, percent, chain, rarity), total)
+    sets = found.filter("slice is null").select("doc_id", "rid", "n", "sketch")
+    return group_lists(docs, words, lower, percent, sets, posted, rounds, lambda n: n_keys(n, percent, chain))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, the one with the smallest id; all columns stay.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codonflow.llm import bpe, exact_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, topk, toxicity, warc
+from codonflow.llm import bpe, exact_dedup, minhash, mixing, ngram_join, quality, sharding, suffix_dedup, topk, toxicity, warc
 from codonflow.llm.common import read
 
 
@@ -54,20 +54,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-OP3_SQL = r"""
+def op11_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minmax_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80, lower=True)
+
+
+def _components_sql(words: int, percent: int, more: str = "") -> str:
+    """Links of all pairs of shingle sets, and the smallest id that links reach."""
+    shingle = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(words))
+    return rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: {shingle})) END AS s FROM words),
 grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 links AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
-reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = doc_id), doc_id)) AS component_id FROM sets
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+found AS (SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = doc_id), doc_id)) AS component_id FROM sets)
+SELECT doc_id, n_shingles, component_id{more} FROM found
 """
 
+
+OP3_SQL = _components_sql(3, 90)
+OP11_SQL = _components_sql(4, 80, ", doc_id = component_id AS kept")
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
@@ -96,9 +108,9 @@ FROM q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_histogram_shards, op2_source_mix, op3_ngram_join, op4_toxicity, op5_suffix_dedup, op6_byte_bpe, op7_top_k, op8_exact_dedup, op9_quality, op10_warc)
+    ops = (op1_histogram_shards, op2_source_mix, op3_ngram_join, op4_toxicity, op5_suffix_dedup, op6_byte_bpe, op7_top_k, op8_exact_dedup, op9_quality, op10_warc, op11_minmax_dedup)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3_SQL, "op7_top_k": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op7_top_k": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_warc": OP10_SQL, "op11_minmax_dedup": OP11_SQL}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from compare import assert_same
 
-from codonflow.llm import ngram_join, queries, suffix_dedup
+from codonflow.llm import minhash, ngram_join, queries, suffix_dedup
 from codonflow.llm.components import components
 
 TOP = "/root/testdata/sf0.001"
@@ -95,6 +95,82 @@ def test_join_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 3, 4, 5, 6, 7, 8, None} and ngram_join.drop_near_duplicates(none).count() == 0
 
 
+def test_sets_whose_ids_agree_in_their_low_bits_are_linked(spark):
+    """Two linked sets that meet nobody else, with ids equal in the low 16 bits."""
+    words, seen, pair = [f"w{i}" for i in range(60)], {}, None
+    for i in range(5000):
+        text = " ".join([*words[:-1], f"x{i}"])
+        low = ngram_join.set_id(ngram_join.gram_set(text, 3, True)) & 0xFFFF
+        if low in seen:
+            pair = (seen[low], text)
+            break
+        seen[low] = text
+    df = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
+    assert [r[2] for r in near(df, words=3, percent=90)] == [0, 0]
+
+
+def test_recall_on_many_linked_pairs(spark):
+    """Families far apart from one another; within one, all pairs are looked at by brute force."""
+    rng, rows, want, pairs = random.Random(8), [], [], 0
+    for f in range(40):
+        base = [f"f{f}w{i}" for i in range(60)]
+        texts = []
+        for _ in range(90):
+            own = list(base)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+        family_rows = [(len(rows) + i, t) for i, t in enumerate(texts)]
+        sets = [{tuple(t.split()[i : i + 3]) for i in range(58)} for t in texts]
+        pairs += sum(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+        want += brute_components(family_rows, 3, 80, True)
+        rows += family_rows
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pairs > 100_000
+    assert near(df, words=3, percent=80) == sorted(want, key=str) == minmax(df, words=3, percent=80)
+
+
+def minmax(df, **options):
+    out = minhash.minmax_duplicates(df, **options).collect()
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
+    return sorted((tuple(r)[:3] for r in out), key=str)
+
+
+def test_minmax_equals_sql(spark, duck):
+    assert_same(queries.op11_minmax_dedup(spark, TOP), duck, queries.OP11_SQL)
+
+
+@pytest.mark.parametrize("words", [4, 1])
+def test_minmax_equals_brute_force_near_the_threshold(spark, words):
+    rng = random.Random(words)
+    texts = family(rng, 40, 150, 12) + family(rng, 30, 24, 3) + family(rng, 20, 14, 2) + family(rng, 25, 12, 3, 6) + family(rng, 15, 3, 1, 4)
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert minmax(df, words=words, percent=80) == brute_components(rows, words, 80, True)
+
+
+def test_minmax_of_odd_rows(odd, none):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert minmax(odd, words=4, percent=80) == brute_components(rows, 4, 80, True)
+    assert minmax(none) == []
+
+
+def test_both_ends_of_a_permutation_estimate_similarity():
+    """Minima and maxima of 256 permutations are as good as 512 minima, and hardly depend on one another."""
+    rng = np.random.default_rng(5)
+    a, c = minhash.permutations(256)
+    by_two, by_min = [], []
+    for _ in range(200):
+        x = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+        same = minhash.signature(x[:110], a, c) == minhash.signature(x[10:], a, c)
+        by_two.append(same.mean())
+        by_min.append(same[:, 0].mean())
+    want = 100 / 120
+    assert abs(np.mean(by_two) - want) < 0.01 and np.var(by_two) < 0.7 * np.var(by_min)
+    assert not minhash.signature(x, a, c).tobytes() == minhash.signature(x[1:], a, c).tobytes()
+
+
 def test_subset_sizes_and_boundary():
     assert ngram_join.overlap(10, 9, 90) == 9 and ngram_join.overlap(20, 20, 90) == 19 and ngram_join.prefix_length(10, 90, 1) == 2
     assert list(ngram_join.partners(10, 90)) == [9, 10, 11]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codonflow.llm import bpe, exact_dedup, minhash, mixing, ngram_join, quality, sharding, suffix_dedup, topk, toxicity, warc
+from codonflow.llm import bpe, exact_dedup, minhash, mixing, ngram_join, quality, repair, sharding, suffix_dedup, topk, toxicity, warc
 from codonflow.llm.common import read
 
 
@@ -58,6 +58,10 @@ def op11_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minmax_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80, lower=True)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(read(spark, sf_dir, "conversations"))
+
+
 def _components_sql(words: int, percent: int, more: str = "") -> str:
     """Links of all pairs of shingle sets, and the smallest id that links reach."""
     shingle = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(words))
@@ -107,10 +111,68 @@ FROM q
 """
 
 
+#: Best value of each grammar state (start, after s, u, a) with up to two inserts before it.
+_INSERTED = """[list_sort([w[1], {'c': 5 + w[3].c, 't': 'I' || w[3].t}, {'c': 10 + w[4].c, 't': 'II' || w[4].t}])[1],
+    list_sort([w[2], {'c': 5 + w[3].c, 't': 'I' || w[3].t}, {'c': 10 + w[4].c, 't': 'II' || w[4].t}])[1],
+    list_sort([w[3], {'c': 5 + w[4].c, 't': 'I' || w[4].t}, {'c': 10 + w[3].c, 't': 'II' || w[3].t}])[1],
+    list_sort([w[4], {'c': 5 + w[3].c, 't': 'I' || w[3].t}, {'c': 10 + w[4].c, 't': 'II' || w[4].t}])[1]]"""
+
+
+def _edited(q: int) -> str:
+    """The cheapest edit of one row in state ``q``: v has the values after it, sign the row's symbol."""
+    to = (3, 3, 4, 3)[q]
+    keeps = {0: {"s": 2, "u": 3}, 1: {"u": 3}, 2: {"a": 4}, 3: {"u": 3}}[q]
+    extra = "CASE WHEN sign = upper(sign) THEN 5 ELSE 0 END"
+    options = [f"{{'c': 2 + v[{q + 1}].c, 't': 'D' || v[{q + 1}].t}}"]
+    options += [f"{{'c': CASE WHEN lower(sign) = '{k}' THEN {extra} ELSE 1000000000 END + v[{n}].c, 't': 'K' || v[{n}].t}}" for k, n in keeps.items()]
+    options.append(f"{{'c': CASE WHEN sign = 'X' THEN 1000000000 ELSE 1 + {extra} END + v[{to}].c, 't': 'R' || v[{to}].t}}")
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE bytes AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: unicode(c)::BIGINT) AS b FROM conversations),
+steps AS (SELECT list(t ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i::BIGINT) AS t FROM range(256) r(i))),
+kinds AS (SELECT b.*, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(1 + (xor(c, x) & 255))::INTEGER]), 4294967295::BIGINT), 4294967295) % 20 AS kind FROM bytes b, steps),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt),
+told AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'whole' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM placed),
+signs AS MATERIALIZED (
+  SELECT conv_id, i, role, text, CASE WHEN fault IN ('blank', 'duplicate') THEN 'X' WHEN fault = 'truncated' THEN upper(l) ELSE l END AS sign
+  FROM (SELECT *, CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'o' END AS l FROM told)),
+figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM told GROUP BY conv_id),
+togo(conv_id, i, v) AS (
+  SELECT conv_id, n, (SELECT {_INSERTED} FROM (SELECT [{{'c': 0::BIGINT, 't': ''}}, {{'c': 1000000000::BIGINT, 't': ''}}, {{'c': 1000000000::BIGINT, 't': ''}}, {{'c': 0::BIGINT, 't': ''}}] AS w)) FROM figures
+  UNION ALL
+  SELECT conv_id, i, {_INSERTED} FROM (
+    SELECT g.conv_id, g.i - 1 AS i, [{", ".join(_edited(q) for q in range(4))}] AS w FROM togo g JOIN signs s ON s.conv_id IS NOT DISTINCT FROM g.conv_id AND s.i = g.i)),
+best AS MATERIALIZED (SELECT conv_id, v[1].c AS cost, v[1].t AS audit FROM togo WHERE i = 0),
+walk(conv_id, k, i, q, made, audit) AS (
+  SELECT conv_id, 1, 1, 'n', []::VARCHAR[], audit FROM best
+  UNION ALL
+  SELECT conv_id, k + 1, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE WHEN e = 'D' THEN q WHEN e = 'K' THEN substr(role, 1, 1) WHEN q = 'u' THEN 'a' ELSE 'u' END,
+    CASE WHEN e = 'D' THEN made ELSE list_append(made, CASE WHEN e = 'K' THEN role WHEN q = 'u' THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END) END, audit
+  FROM (SELECT w.*, substr(w.audit, w.k, 1) AS e, s.role, s.text FROM walk w LEFT JOIN signs s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.i = w.i WHERE w.k <= length(w.audit))),
+done AS (SELECT conv_id, array_to_string(made, chr(10)) AS made FROM walk WHERE k = length(audit) + 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(made, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_histogram_shards, op2_source_mix, op3_ngram_join, op4_toxicity, op5_suffix_dedup, op6_byte_bpe, op7_top_k, op8_exact_dedup, op9_quality, op10_warc, op11_minmax_dedup)
+    ops = (op1_histogram_shards, op2_source_mix, op3_ngram_join, op4_toxicity, op5_suffix_dedup, op6_byte_bpe, op7_top_k, op8_exact_dedup, op9_quality, op10_warc, op11_minmax_dedup, op12_conversation_repair)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3_SQL, "op7_top_k": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_warc": OP10_SQL, "op11_minmax_dedup": OP11_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op7_top_k": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_warc": OP10_SQL, "op11_minmax_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codonflow.llm import bpe, exact_dedup, minhash, mixing, ngram_join, quality, repair, sharding, suffix_dedup, topk, toxicity, warc
+from codonflow.llm import bpe, divergence, exact_dedup, minhash, mixing, ngram_join, quality, repair, sharding, suffix_dedup, topk, toxicity, warc
 from codonflow.llm.common import read
 
 
@@ -62,6 +62,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(read(spark, sf_dir, "conversations"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
 def _components_sql(words: int, percent: int, more: str = "") -> str:
     """Links of all pairs of shingle sets, and the smallest id that links reach."""
     shingle = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(words))
@@ -141,7 +145,8 @@ hurt AS (
     unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds WHERE kind <> 0),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt),
 told AS (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
       WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'whole' END AS fault,
     lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM placed),
 signs AS MATERIALIZED (
@@ -169,10 +174,33 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures f ON f.con
 """
 
 
+OP13_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+size AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+dense AS (
+  SELECT g.lang, g.source, k.term, v, coalesce(n, 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM docs) g JOIN kept k ON k.lang = g.lang JOIN size s ON s.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+likely AS MATERIALIZED (
+  SELECT lang, source, term, n, (1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v))::HUGEINT AS p,
+    (1 + 1000000000 * (sum(n) OVER (PARTITION BY lang, term) + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v))::HUGEINT AS q FROM dense),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM likely a JOIN likely b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM (SELECT DISTINCT lang, source FROM docs) a JOIN (SELECT DISTINCT lang, source FROM docs) b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM likely WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM rows) WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_histogram_shards, op2_source_mix, op3_ngram_join, op4_toxicity, op5_suffix_dedup, op6_byte_bpe, op7_top_k, op8_exact_dedup, op9_quality, op10_warc, op11_minmax_dedup, op12_conversation_repair)
+    ops = (op1_histogram_shards, op2_source_mix, op3_ngram_join, op4_toxicity, op5_suffix_dedup, op6_byte_bpe, op7_top_k, op8_exact_dedup, op9_quality, op10_warc, op11_minmax_dedup, op12_conversation_repair, op13_source_divergence)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3_SQL, "op7_top_k": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_warc": OP10_SQL, "op11_minmax_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op7_top_k": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_warc": OP10_SQL, "op11_minmax_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_source_divergence": OP13_SQL}

@@ -14,21 +14,23 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonflow.llm.common import discard, pack, parts, stored, tidy, to_arrow
 
 #: Postings that a task holds before it spills a run.
-RUN_POSTINGS = 300_000
+RUN_POSTINGS = 600_000
+#: Terms of a batch in which a run is written.
+BLOCK_TERMS = 20_000
 SCALE = 1_000_000_000
 #: Letters of A-Z in lower case; every byte that is neither a letter nor part of a character beyond ASCII ends a term.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-POSTING = "lang string, term string, source string, n long, docs long"
+RUN = "lang string, term string, docs long, sources array<string>, counts array<long>"
 KEPT = "lang string, term string, source string, n long, lang_n long, head int"
 
 
@@ -37,33 +39,54 @@ def terms(text: str) -> list[bytes]:
 
 
 class Postings:
-    """Occurrences and documents of each term in each (language, source)."""
+    """Occurrences of each term in each source of a language, and its documents in the language."""
 
     def __init__(self) -> None:
-        self.found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        self.docs: dict[str, Counter] = {}
+        self.counts: dict[str, dict[str, Counter]] = {}
         self.size = 0
 
     def add(self, lang: str, source: str, text: str) -> None:
-        count, docs = self.found.setdefault((lang, source), (Counter(), Counter()))
-        before, words = len(count), terms(text)
+        words = terms(text)
+        count = self.counts.setdefault(lang, {}).setdefault(source, Counter())
+        before = len(count)
         count.update(words)
-        docs.update(set(words))
         self.size += len(count) - before
+        self.docs.setdefault(lang, Counter()).update(set(words))
 
-    def spill(self) -> list[tuple[str, str, str, int, int]]:
-        """All postings, sorted by language, term and source; the memory is free again."""
-        out = [(lang, term, source, n, docs[term]) for (lang, source), (count, docs) in self.found.items() for term, n in count.items()]
-        out.sort(key=itemgetter(0, 1, 2))
+    def spill(self) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+        """For each language its sorted terms, their documents, where the postings of each end, and the postings' sources (by number) and counts; the memory is free again."""
+        docs, counts = self.docs, self.counts
         self.__init__()
-        return [(lang, term.decode("utf-8", "surrogatepass"), source, n, d) for lang, term, source, n, d in out]
+        for lang in sorted(docs):
+            found = sorted(docs[lang])
+            place = {t: i for i, t in enumerate(found)}
+            names, own = list(counts[lang]), list(counts[lang].values())
+            at = np.array([place[t] for c in own for t in c], dtype=np.int64)
+            source = np.repeat(np.arange(len(own)), [len(c) for c in own])
+            n = np.fromiter((v for c in own for v in c.values()), dtype=np.int64, count=len(at))
+            order = np.argsort(at, kind="stable")
+            ends = np.cumsum(np.bincount(at, minlength=len(found)))
+            yield lang, found, np.array([docs[lang][t] for t in found], dtype=np.int64), ends, source[order], n[order], names
 
 
-def _runs(docs: DataFrame, run_postings: int) -> DataFrame:
-    arrow = to_arrow(POSTING)
+def _lists(ends: np.ndarray, values: pa.Array, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values).cast(kind)
+
 
-    def rows(run: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(run), 20_000):
-            yield pack(dict(zip(arrow.names, zip(*run[at : at + 20_000], strict=True), strict=True)), arrow)
+def _runs(docs: DataFrame, run_postings: int) -> DataFrame:
+    """Spilled runs: a row for each term of a run, sorted by language and term."""
+    arrow = to_arrow(RUN)
+
+    def rows(held: Postings) -> Iterator[pa.RecordBatch]:
+        for lang, found, n_docs, ends, source, n, names in held.spill():
+            for at in range(0, len(found), BLOCK_TERMS):
+                here = slice(at, at + BLOCK_TERMS)
+                first = int(ends[at - 1]) if at else 0
+                own = slice(first, int(ends[here][-1]))
+                texts = pa.array([t.decode("utf-8", "surrogatepass") for t in found[here]], pa.string())
+                lists = (_lists(ends[here] - first, v, arrow.field(c).type) for c, v in (("sources", pa.array(names, pa.string()).take(pa.array(source[own]))), ("counts", pa.array(n[own]))))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(texts), pa.string()), texts, pa.array(n_docs[here]), *lists], schema=arrow)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Postings()
@@ -72,39 +95,68 @@ def _runs(docs: DataFrame, run_postings: int) -> DataFrame:
                 for row in zip(*whole.slice(at, 256).to_pydict().values(), strict=True):
                     held.add(*row)
                     if held.size >= run_postings:
-                        yield from rows(held.spill())
-        yield from rows(held.spill())
-
-    return docs.select("lang", "source", "text").mapInArrow(index, POSTING)
+                        yield from rows(held)
+        yield from rows(held)
+
+    return docs.select("lang", "source", "text").mapInArrow(index, RUN)
+
+
+def _starts(lang: pa.Array, term: pa.Array) -> np.ndarray:
+    """The rows at which another term begins."""
+    if len(term) < 2:
+        return np.arange(len(term))
+    other = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1]))
+    return np.concatenate([[0], 1 + np.flatnonzero(other.to_numpy(zero_copy_only=False))])
+
+
+def add_up(rows: pa.RecordBatch, least_docs: int, schema: pa.Schema) -> pa.RecordBatch:
+    """The sorted rows of runs, whole terms only, as frequencies of the terms with enough documents."""
+    starts = _starts(rows.column(0), rows.column(1))
+    size = np.diff(np.append(starts, rows.num_rows))
+    kept = np.add.reduceat(rows.column(2).to_numpy(), starts) >= least_docs
+    rows = rows.filter(pa.array(np.repeat(kept, size)))
+    if not rows.num_rows:
+        return pa.RecordBatch.from_pylist([], schema=schema)
+    size = size[kept]
+    lists = rows.column(3)
+    term = np.repeat(np.repeat(np.arange(len(size)), size), lists.value_lengths().to_numpy())
+    names = lists.flatten().dictionary_encode()
+    code, n = term * len(names.dictionary) + names.indices.to_numpy(), rows.column(4).flatten().to_numpy()
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    term, n, source = code[first] // len(names.dictionary), np.add.reduceat(n, first), code[first] % len(names.dictionary)
+    head = np.concatenate([[True], term[1:] != term[:-1]])
+    total = np.add.reduceat(n, np.flatnonzero(head))[term]
+    at = pa.array((np.cumsum(size) - size)[term])
+    return pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), names.dictionary.take(pa.array(source)), pa.array(n), pa.array(total), pa.array(head.astype(np.int32))], schema=schema)
 
 
 def _frequencies(runs: DataFrame, least_docs: int) -> DataFrame:
-    """Postings (lang, term, source, n) of the terms in at least ``least_docs`` documents of a language, with lang_n, the term's count in the language, and head, 1 at one posting of each term."""
+    """Postings (lang, term, source, n) of the terms in at least ``least_docs`` documents of a language, with lang_n, the term's count in the language, and head, 1 at one posting of each term.
+
+    A shard's runs arrive merged by language and term; a task holds the rows of a batch and of one term.
+    """
     arrow = to_arrow(KEPT)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, docs, out = None, {}, 0, []
-
-        def close() -> None:
-            if docs >= least_docs:
-                total = sum(held.values())
-                out.extend((*key, source, n, total, int(i == 0)) for i, (source, n) in enumerate(held.items()))
-
+        held: list[pa.RecordBatch] = []  # rows of the term that the last batch ended with
         for b in batches:
-            for lang, term, source, n, d in zip(*b.to_pydict().values(), strict=True):
-                if (lang, term) != key:
-                    close()
-                    key, held, docs = (lang, term), {}, 0
-                held[source] = held.get(source, 0) + n
-                docs += d
-            if len(out) > 10_000:
-                yield pack(dict(zip(arrow.names, zip(*out, strict=True), strict=True)), arrow)
-                out.clear()
-        close()
-        if out:
-            yield pack(dict(zip(arrow.names, zip(*out, strict=True), strict=True)), arrow)
-
-    shards = runs.repartition(parts(runs.sparkSession), "lang", "term").sortWithinPartitions("lang", "term", "source")
+            if not b.num_rows:
+                continue
+            starts = _starts(b.column(0), b.column(1))
+            same = bool(held) and b.column(0)[0] == held[0].column(0)[0] and b.column(1)[0] == held[0].column(1)[0]
+            if same and len(starts) == 1:
+                held.append(b)
+                continue
+            whole = pa.concat_batches([*held, b.slice(0, starts[-1])])
+            if whole.num_rows:
+                yield add_up(whole, least_docs, arrow)
+            held = [b.slice(starts[-1])]
+        if held:
+            yield add_up(pa.concat_batches(held), least_docs, arrow)
+
+    shards = runs.repartition(parts(runs.sparkSession), "lang", "term").sortWithinPartitions("lang", "term")
     return stored(shards.mapInArrow(merged, KEPT), "frequencies")
 
 

@@ -102,5 +102,5 @@ def minmax_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower:
     found = _signed(docs, words, lower, percent, bands, width)
     total = found.filter("n > 0").count() * bands
     posted = postings(found.select("rid", "n", "bands"), _unpacked, total)
-    out = group_lists(docs, words, lower, percent, found.select("doc_id", "rid", "n", "sketch"), posted, rounds)
+    out = group_lists(docs, words, lower, percent, found.select("doc_id", "rid", "n", "sketch"), posted, rounds, few_lists=True)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

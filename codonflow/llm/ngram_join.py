@@ -432,14 +432,16 @@ def _subset_links(light: DataFrame, percent: int) -> DataFrame:
 def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | None, block: int = BLOCK) -> DataFrame:
     """Pairs that meet in a list, may be similar, and are in different components: each class's ``nearest`` ones.
 
-    ``postings``: token, members, n, rid, comp, sketch. Lists of more than ``block`` members are compared
-    block against block, each two in a group of their own.
+    ``postings``: token, members, n, rid, comp, sketch, lists. Lists of more than ``block`` members are
+    compared block against block, each two in a group of their own. Where ``lists`` has all the lists that a
+    member is in, a pair that meets in several comes out of the one with the least token only.
     """
     spark = postings.sparkSession
     schema = "a long, b long, apart int"
     arrow = to_arrow(schema)
 
-    def solve(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    def solve(token: int, rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        first = first_meeting(token, rows)
         n, rid, comp, tag = (np.array([r[i] for r in rows]) for i in (0, 1, 2, 4))
         differences = _differences([r[3] for r in rows])
         out = []
@@ -450,9 +452,13 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
             ok = (100 * low >= percent * high) & (high > light) & (comp[i, None] != comp[None, :])
             if (tag != tag[0]).any():
                 ok &= tag[i, None] != tag[None, :]
+            if nearest is None:  # each pair once
+                ok = np.triu(ok, at + 1)
             r, c = np.nonzero(ok)
             apart = differences(at + r, c)
             fits = (100 + percent) * apart <= (100 - percent) * total[r, c]
+            if first:
+                fits[fits] = [first(at + i, j) for i, j in zip(r[fits].tolist(), c[fits].tolist(), strict=True)]
             r, c, apart = r[fits], c[fits], apart[fits]
             if nearest is not None:
                 order = np.lexsort((rid[c], apart, r))
@@ -462,16 +468,22 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
             out.append((rid[at + r], rid[c], apart))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def solve_few(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    def solve_few(token: int, rows: list[tuple]) -> tuple[np.ndarray, ...]:
         """The same for a handful of members, all their pairs."""
-        out = []
-        for (n, r, c, x, t), (m, s, d, y, u) in combinations(rows, 2):
-            if c != d and max(n, m) > light and 100 * min(n, m) >= percent * max(n, m) and (t != u or not mixed(rows)):
+        out, first = [], first_meeting(token, rows)
+        for (i, (n, r, c, x, t, _)), (j, (m, s, d, y, u, _)) in combinations(enumerate(rows), 2):
+            if c != d and (not first or first(i, j)) and max(n, m) > light and 100 * min(n, m) >= percent * max(n, m) and (t != u or not mixed(rows)):
                 apart = int(_differences([x, y])(FIRST, SECOND)[0]) if len(x) != len(y) else int(np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)).sum())
                 if (100 + percent) * apart <= (100 - percent) * (n + m):
                     out.append((r, s, apart))
         return tuple(np.array(v) for v in zip(*out, strict=True)) if out else tuple(np.zeros(0, int) for _ in range(3))
 
+    def first_meeting(token: int, rows: list[tuple]) -> Callable[[int, int], bool] | None:
+        if rows[0][5] is None:
+            return None
+        lists = [frozenset(np.frombuffer(r[5], dtype=np.int64).tolist()) for r in rows]
+        return lambda i, j: min(lists[i] & lists[j]) == token
+
     def mixed(rows: list[tuple]) -> bool:
         return any(r[4] != rows[0][4] for r in rows)
 
@@ -487,7 +499,7 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
                 for token, cell, *row in zip(*whole.slice(at, 2048).to_pydict().values(), strict=True):
                     if (token, cell) != key:
                         if len(group) > 1:
-                            out.append(solve_few(group) if len(group) <= 6 else solve(group))
+                            out.append((solve_few if len(group) <= 6 else solve)(key[0], group))
                             size += len(out[-1][0])
                         if size > 50_000:
                             yield pairs()
@@ -495,7 +507,7 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
                         group, key = [], (token, cell)
                     group.append(row)
         if len(group) > 1:
-            out.append(solve_few(group) if len(group) <= 6 else solve(group))
+            out.append((solve_few if len(group) <= 6 else solve)(key[0], group))
         if out:
             yield pairs()
 
@@ -503,7 +515,7 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
     dealt = postings.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("long"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-    dealt = dealt.select("token", "cell", "n", "rid", "comp", "sketch", F.col("own").alias("tag"))
+    dealt = dealt.select("token", "cell", "n", "rid", "comp", "sketch", F.col("own").alias("tag"), "lists")
     dealt = dealt.repartition(parts(spark), "token", "cell").sortWithinPartitions("token", "cell", "rid")
     pairs = dealt.mapInArrow(run, schema).groupBy("a", "b").agg(F.min("apart").alias("apart"))
     if nearest is None:
@@ -544,11 +556,27 @@ def _open_lists(postings: DataFrame, roots: DataFrame) -> DataFrame:
     return now.join(several, "token", "left_semi")
 
 
-def group_lists(docs: DataFrame, words: int, lower: bool, percent: int, sets: DataFrame, posted: DataFrame, rounds: tuple[int | None, ...], keys_of: Callable[[int], int] | None = None) -> DataFrame:
+def _with_lists(opened: DataFrame, few_lists: bool) -> DataFrame:
+    """``opened`` with the packed tokens of all its lists that a member is in, if those are few; else null."""
+    if not few_lists:
+        return opened.withColumn("lists", F.lit(None).cast("binary"))
+    schema = "rid long, lists binary"
+    arrow = to_arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pack({"rid": b.column(0), "lists": [np.array(x, dtype=np.int64).tobytes() for x in b.column(1).to_pylist()]}, arrow)
+
+    lists = opened.groupBy("rid").agg(F.collect_list("token").alias("lists")).mapInArrow(run, schema)
+    return opened.join(lists, "rid")
+
+
+def group_lists(docs: DataFrame, words: int, lower: bool, percent: int, sets: DataFrame, posted: DataFrame, rounds: tuple[int | None, ...], keys_of: Callable[[int], int] | None = None, few_lists: bool = False) -> DataFrame:
     """doc_id, n and component_id of ``sets`` (doc_id, rid, n, sketch), from the lists in which linked sets meet.
 
     Every pair is confirmed on the full sets, which are hashed again from the texts. ``keys_of``, the lists
     of a set by its size, is given where small sets may enumerate subsets; else only lists are scanned.
+    ``few_lists`` says that no set is in many lists, so that a pair can be told from its earlier meetings.
     """
     classes = stored(sets.filter("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     first = _first_pairs(posted)
@@ -567,7 +595,9 @@ def group_lists(docs: DataFrame, words: int, lower: bool, percent: int, sets: Da
     tried = stored(first.select("a", "b"), "tried")
     scratch = [first, pairs, heavy, wanted, links, tried, grams]
     for nearest in rounds:
-        left = stored(_open_lists(posted, roots).join(classes.select("rid", "sketch"), "rid"), "open-lists")
+        opened = stored(_open_lists(posted, roots), "opened")
+        left = stored(_with_lists(opened, few_lists).join(classes.select("rid", "sketch"), "rid"), "open-lists")
+        scratch.append(opened)
         if left.isEmpty():
             break
         pairs = stored(_list_pairs(left, percent, light, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")

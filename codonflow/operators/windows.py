@@ -95,7 +95,7 @@ def composition(sequences: DataFrame) -> DataFrame:
     """Bases of each channel in each sequence, long form."""
     codes = code_string(F.col("seq"))
     counts = F.array(*[F.struct(F.lit(k).alias("code"), (F.length(codes) - F.length(F.replace(codes, F.lit(str(k)), F.lit("")))).cast("long").alias("n")) for k in range(5)])
-    return sequences.select("tx_id", F.inline(counts))
+    return sequences.select(*keyed(sequences, "tx_id"), F.inline(counts))
 
 
 def write_windows(windows: DataFrame, path: str) -> None:

@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonflow.functions.labels import shift_in
-from codonflow.operators.keys import keyed
+from codonflow.operators.keys import keyed, read_lines
 
 
-def read_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_features(spark: SparkSession, paths: str | list[str], root: str | None = None) -> DataFrame:
     """One row for each annotation line with at least nine tab-separated fields; blank and '#' lines are skipped.
 
-    ``line_no`` orders lines as the files do: by path, then block, then place in the block.
+    ``line_no`` orders lines as the files do: by path, then block, then place in the block. Files in
+    ``species=<name>`` folders (under ``root``) have the species as a column.
     """
-    return parse_features(spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_no")))
+    raw = read_lines(spark, paths, root)
+    path, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    return parse_features(raw.select(*keyed(raw, "value"), path.alias("path"), F.struct(path.alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_no")))
 
 
 def parse_features(raw: DataFrame) -> DataFrame:
@@ -40,6 +43,13 @@ def attribute(attrs: Column, key: str) -> Column:
     return F.get(F.transform(hits, lambda c: F.regexp_replace(F.trim(F.substring(c, F.length(F.split_part(c, sep(c), F.lit(1))) + 2, F.length(c))), '^"+|"+$', "")), F.lit(0))
 
 
+def unplaced(features: DataFrame) -> DataFrame:
+    """The exon, CDS and stop_codon lines whose places cannot be read, or that hold no base; no transcript or reference can have them."""
+    start, end = shift_in(F.col("start"), F.col("end"))
+    readable = F.coalesce((start >= 0) & (start < end), F.lit(False))
+    return features.filter(F.col("feature").isin("exon", "CDS", "stop_codon") & ~readable)
+
+
 def exon_table(features: DataFrame) -> DataFrame:
     """tid, contig, strand, start, end (0-based half-open), line_no of the exon lines with a transcript id."""
     out = features.filter("feature = 'exon'").withColumn("tid", attribute(F.col("attrs"), "transcript_id"))

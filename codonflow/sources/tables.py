@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonflow.functions.labels import dense_labels
+from codonflow.operators.keys import keyed
 
 
 def read_species(spark: SparkSession, path: str) -> DataFrame:
@@ -38,8 +39,9 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_labels(labelled: DataFrame, path: str) -> None:
-    """The sparse label store: length and ORF interval of each kept transcript."""
-    labelled.filter(F.col("category").startswith("kept") | (F.col("category") == "ir_only")).select("tid", "length", "orf_start", "orf_end").write.parquet(path)
+    """The sparse label store: length and ORF interval of each kept transcript, with its species if there are several."""
+    kept = labelled.filter(F.col("category").startswith("kept") | (F.col("category") == "ir_only"))
+    kept.select(*keyed(labelled, "tid"), "length", "orf_start", "orf_end").write.parquet(path)
 
 
 def read_labels(spark: SparkSession, path: str, dense: bool = False) -> DataFrame:

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from codonflow.operators import species
+from codonflow.operators import labeling, species, windows
 from codonflow.sources import annotation, sequences, tables
 
 
@@ -77,3 +77,62 @@ def test_manifest_logs_labels_reports(spark, tmp_path):
     assert got == {"a": [0, 0, 1, 2, 3, 4, 2, 3, 4, 2, 5, 0], "b": [0, 0, 0]}
     tables.write_report(spark.createDataFrame([("x", 0.5)], "k string, v double"), str(tmp_path / "report"))
     assert spark.read.csv(str(tmp_path / "report"), sep="\t", header=True).first()["v"] == "0.500000"
+
+
+def test_fasta_straight_to_tiles(spark, tmp_path):
+    """Lines of unequal length, contigs over many input splits, equal ids, empty records and two species."""
+    import random
+
+    rng = random.Random(4)
+    for name in ("a", "b"):
+        folder = tmp_path / f"species={name}"
+        folder.mkdir()
+        for f in range(2):
+            out = ["", "ACGT"] if f else []  # bases before any header belong to no record
+            for c in [f"chr{f}", f"alt{f} some words", "twice", "none", f"last{f}"]:
+                bases = "".join(rng.choice("ACGTN") for _ in range(0 if c == "none" else rng.choice([3, 700, 5000])))
+                out.append(f">{c}")
+                while bases:
+                    n = rng.choice([1, 7, 60, 61, 400])
+                    out.append(bases[:n] + rng.choice(["", "\r", " "]))
+                    bases = bases[n:]
+            (folder / f"g{f}.fa").write_text("\n".join(out) + "\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    whole = sequences.read_fasta(spark, str(tmp_path)).withColumnRenamed("tx_id", "contig")
+    rows = lambda df: sorted(tuple(r) for r in df.select("species", "contig", "tile", "seq").collect())
+    want = rows(sequences.genome_tiles(whole.filter("contig != ''"), 128))
+    before = spark.conf.get(key)
+    for split in ("997", "64", before):
+        spark.conf.set(key, split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1" if split != before else "4194304")
+        got = sequences.fasta_tiles(spark, str(tmp_path), 128)
+        assert rows(got) == want, split
+        if split == "997":
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    spark.conf.set(key, before)
+    spark.conf.set("spark.sql.files.openCostInBytes", "4194304")
+    assert {r[0] for r in want} == {"a", "b"} and max(len(r[3]) for r in want) == 128
+    assert rows(sequences.fasta_tiles(spark, f"{tmp_path}/species=a/*.fa", 128)) == [r for r in want if r[0] == "a"]
+
+
+def test_species_stay_apart_from_files_to_the_store(spark, tmp_path):
+    """Two species with equal transcript ids, through annotation files, sequences, labels and the label store."""
+    for name, end, seq in (("a", 12, "ACGTACGTACGT"), ("b", 30, "T" * 30)):
+        folder = tmp_path / f"in/species={name}"
+        folder.mkdir(parents=True)
+        (folder / "tx.gtf").write_text(f'c\tx\texon\t1\t{end}\t.\t+\t.\ttranscript_id "t1";\nc\tx\texon\tnine\t12\t.\t+\t.\ttranscript_id "t2";\n')
+        (folder / "tx.fa").write_text(f">t1\n{seq}\n")
+    features = annotation.read_features(spark, f"{tmp_path}/in/*/*.gtf", root=f"{tmp_path}/in")
+    assert sorted((r["species"], r["end"]) for r in annotation.exon_table(features).filter("tid = 't1'").collect()) == [("a", 12), ("b", 30)]
+    assert {(r["species"], r["feature"]) for r in annotation.unplaced(features).collect()} == {("a", "exon"), ("b", "exon")}
+    good, rejects = labeling.placed(annotation.exon_table(features))
+    assert sorted(tuple(r) for r in rejects.collect()) == [("a", "t2", 1, 1), ("b", "t2", 1, 1)]
+    labelled = labeling.label_transcripts(good, annotation.ref_cds_table(features))
+    tables.write_labels(labelled, f"{tmp_path}/labels")
+    back = tables.read_labels(spark, f"{tmp_path}/labels")
+    assert sorted((r["species"], r["tid"], r["length"]) for r in back.collect()) == [("a", "t1", 12), ("b", "t1", 30)]
+    seqs = sequences.read_fasta(spark, f"{tmp_path}/in/*/*.fa", root=f"{tmp_path}/in")
+    assert sorted(tuple(r) for r in seqs.collect()) == [("a", "t1", "ACGTACGTACGT"), ("b", "t1", "T" * 30)]
+    assert {(r["species"], r["code"], r["n"]) for r in windows.composition(seqs).filter("n > 0").collect()} == {("a", k, 3) for k in range(4)} | {("b", 3, 30)}
+    paired, bad = windows.pair_with_labels(seqs, back.withColumnRenamed("tid", "tx_id"))
+    assert paired.count() == 2 and bad.count() == 0

@@ -30,7 +30,7 @@ def model_input(x: pa.Array, width: int) -> np.ndarray:
 _models: dict[str, Callable] = {}
 
 
-def _model(name: str, make_predict_fn: Callable) -> Callable:
+def cached_model(name: str, make_predict_fn: Callable) -> Callable:
     """One model for each Python worker, the last that was asked for."""
     if name not in _models:
         _models.clear()
@@ -49,7 +49,7 @@ def score_windows(windows: DataFrame, make_predict_fn: Callable, width: int, bat
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = _model(name, make_predict_fn)
+        predict = cached_model(name, make_predict_fn)
         for whole in batches:
             for at in range(0, whole.num_rows, batch_size):
                 b = whole.slice(at, batch_size)
@@ -143,3 +143,32 @@ def constrained_decode(stitched: DataFrame, key: str = "seq_id", scores: str = "
 def argmax_decode(rows: DataFrame, scores: str = "logits") -> DataFrame:
     """Rows with their most likely class, without grammar."""
     return rows.withColumn("predicted", argmax(F.col(scores)))
+
+
+def confusion_cells(windows: DataFrame, make_predict_fn: Callable, width: int, batch_size: int = 64, transitions: str = "reference", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by,) t, p, n: positions of each true and decoded class, padding left out, from windows with x and y as strings of digits.
+
+    One pass scores, decodes and counts: the model sees each window once, and a task gives at most 36 cells
+    for each ``by``.
+    """
+    name, allowed = uuid.uuid4().hex, TRANSITIONS[transitions]
+    schema = T.StructType([*[windows.schema[c] for c in by], *T.StructType.fromDDL("t int, p int, n long").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict, cells = cached_model(name, make_predict_fn), {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch_size):
+                b = whole.slice(at, batch_size)
+                scores = np.asarray(predict(model_input(b.column("x"), width)), dtype=np.float64).reshape(-1, STATES)
+                paths = np.concatenate(decode_batch(list(log_probabilities(scores).reshape(b.num_rows, width, STATES)), allowed)).reshape(b.num_rows, width)
+                x, y = (np.frombuffer("".join(b.column(c).to_pylist()).encode("ascii"), dtype=np.uint8).reshape(b.num_rows, width) - ord("0") for c in ("x", "y"))
+                owners = list(zip(*(b.column(c).to_pylist() for c in by), strict=True)) if by else [()] * b.num_rows
+                for i, owner in enumerate(owners):
+                    real = x[i] != PAD
+                    cells[owner] = cells.get(owner, 0) + np.bincount(y[i][real].astype(np.int64) * STATES + paths[i][real], minlength=STATES * STATES)
+        rows = [(*owner, k // STATES, k % STATES, int(n)) for owner, count in cells.items() for k, n in enumerate(count) if n]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return windows.select(*by, "x", "y").mapInArrow(run, schema)

@@ -15,7 +15,11 @@ BOUNDARY = (1, 5)
 def confusion_counts(rows: DataFrame, predicted: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """tp, fp, fn of each class for the model and for a baseline that says IR everywhere."""
     p = argmax(F.col("logits")) if predicted is None else predicted
-    cells = rows.filter(~F.col("pad")).groupBy(*by, F.col("true_class").alias("t"), p.alias("p")).agg(F.count("*").alias("n"))
+    return expand_cells(rows.filter(~F.col("pad")).groupBy(*by, F.col("true_class").alias("t"), p.alias("p")).agg(F.count("*").alias("n")), by)
+
+
+def expand_cells(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same from counts n of true class t and predicted class p; a cell may come in several rows."""
     both = F.array(F.struct(F.lit("model").alias("predictor"), F.col("p").alias("q")), F.struct(F.lit("all_ir").alias("predictor"), F.lit(0).alias("q")))
     cells = cells.select(*by, "t", "n", F.inline(both))
     classes = F.array(*[F.struct(F.lit(i).alias("class_id"), F.lit(n).alias("class_name")) for i, n in enumerate(LABEL_NAMES)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonflow.functions.labels import START, STOP, TRANSITIONS, shift_out
@@ -26,6 +26,29 @@ def extract_orfs(rows: DataFrame, key: str = "seq_id") -> DataFrame:
     return found.select(*keyed(rows, key), F.col("_b.pos").alias("orf_start"), (F.col("pos") + 1).alias("orf_end"))
 
 
+#: An ORF in a string of labels: a START, any coding labels, a STOP.
+FRAME = "1[234]*5"
+
+
+def find_orfs(packed: DataFrame, key: str = "tx_id", labels: str = "labels") -> DataFrame:
+    """The ORFs that ``extract_orfs`` finds, from one string of label digits a sequence.
+
+    They are found run by run inside the row: nothing is exchanged, and no row stands for a base. A null
+    string has none.
+    """
+    hits = F.regexp_extract_all(F.col(labels), F.lit(FRAME), F.lit(0))
+    sizes = packed.select(*keyed(packed, key), F.transform(F.split(F.col(labels), FRAME, -1), F.length).alias("gaps"), F.transform(hits, F.length).alias("hits"))
+
+    def step(done: Column, x: Column) -> Column:
+        start = done["at"] + x["gap"]
+        found = F.struct(start.alias("orf_start"), (start + x["hit"]).alias("orf_end"))
+        return F.struct((start + x["hit"]).alias("at"), F.concat(done["found"], F.array(found)).alias("found"))
+
+    pairs = F.zip_with(F.slice("gaps", F.lit(1), F.size("hits")), "hits", lambda g, h: F.struct(g.cast("long").alias("gap"), h.cast("long").alias("hit")))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<orf_start:bigint,orf_end:bigint>>").alias("found"))
+    return sizes.filter(F.size("hits") > 0).select(*keyed(packed, key), F.inline(F.aggregate(pairs, none, step)["found"]))
+
+
 def transition_audit(rows: DataFrame, transitions: str = "reference", key: str = "seq_id") -> DataFrame:
     """Counts of adjacent label pairs that the transition table forbids."""
     w = Window.partitionBy(*keyed(rows, key)).orderBy("pos")

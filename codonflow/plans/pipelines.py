@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codonflow.functions.labels import digits, pad_mask
-from codonflow.operators import decode, geneset, labeling, metrics, orf, runlog, species, windows
+from codonflow.operators import decode, geneset, labeling, maxplus, metrics, orf, runlog, species, windows
 from codonflow.operators.keys import keyed, shared
 from codonflow.sources import annotation, sequences
 
@@ -25,12 +24,9 @@ def make_windows(seqs: DataFrame, labels: DataFrame, width: int = windows.WIDTH,
 
 
 def decode_windows(tiled: DataFrame, make_predict_fn: Callable, width: int, batch_size: int = 64, transitions: str = "reference") -> DataFrame:
-    """Windows to labels of whole sequences: score, stitch, normalise, decode, cut to the true length."""
-    keys = keyed(tiled, "tx_id")
-    whole = windows.stitch(decode.score_windows(_text(tiled, "x"), make_predict_fn, width, batch_size), "tx_id", "chunk_idx", "logits")
-    lengths = tiled.groupBy(*keys).agg(F.sum("real_len").cast("int").alias("n"))
-    labels = decode.constrained_decode(whole, "tx_id", transitions=transitions, normalise=True)
-    return labels.join(lengths, keys).select(*keys, F.slice("labels", F.lit(1), F.col("n")).alias("labels"))
+    """Windows to labels of whole sequences, a string of digits each: scored and summed up in one pass, put together in order, cut to the true length."""
+    transfers = maxplus.score_transfers(_text(tiled, "x"), make_predict_fn, width, batch_size, transitions)
+    return maxplus.reduce_transfers(transfers, "tx_id", "chunk_idx", "real_len")
 
 
 def _text(tiled: DataFrame, *columns: str) -> DataFrame:
@@ -40,8 +36,7 @@ def _text(tiled: DataFrame, *columns: str) -> DataFrame:
 
 
 def _to_gtf(labels: DataFrame, tx_exon: DataFrame, source: str) -> DataFrame:
-    orfs = orf.extract_orfs(orf.explode_labels(labels), "tx_id").withColumnRenamed("tx_id", "tid")
-    return orf.gtf_lines(orf.orf_segments(orfs, tx_exon), source)
+    return orf.gtf_lines(orf.orf_segments(orf.find_orfs(labels).withColumnRenamed("tx_id", "tid"), tx_exon), source)
 
 
 def annotate(tx_exon: DataFrame, make_predict_fn: Callable, seqs: DataFrame | None = None, tiles: DataFrame | None = None, width: int = windows.WIDTH, tile_width: int = sequences.TILE) -> DataFrame:
@@ -61,20 +56,16 @@ def predict(tiled: DataFrame, tx_exon: DataFrame, make_predict_fn: Callable, wid
     """
     tiled = _text(tiled, "x", "y")
     truth = windows.stitch(tiled.withColumn("y", F.substring(F.col("y"), F.lit(1), F.col("real_len"))), "tx_id", "chunk_idx", "y")
-    truth = truth.select(*keyed(truth, "tx_id"), digits(F.col("y")).alias("labels"))
+    truth = truth.withColumnRenamed("y", "labels")
     owner = tiled.select(F.col("tx_id").alias("tid"), "species").distinct()
     lines = [_to_gtf(x, tx_exon, s) for x, s in ((truth, "reference"), (decode_windows(tiled, make_predict_fn, width), "prediction"))]
     return lines[0], lines[1], metrics.species_summary(owner, *lines)
 
 
 def evaluate_positions(tiled: DataFrame, make_predict_fn: Callable, width: int = windows.WIDTH, batch_size: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
-    """Precision, recall and F1 of each class (and of each ``by``), decoding window by window; no window is dropped."""
-    name = F.struct(*keyed(tiled, "tx_id", "chunk_idx"))
-    scored = decode.score_windows(_text(tiled, "x", "y"), make_predict_fn, width, batch_size).withColumn("w", F.to_json(name))
-    paths = decode.constrained_decode(scored.select("w", "logits"), "w", normalise=True)
-    x = digits(F.col("x"))
-    rows = scored.join(paths, "w").select(*by, F.inline(F.arrays_zip(pad_mask(x).alias("pad"), digits(F.col("y")).alias("true_class"), F.col("labels").alias("predicted"))))
-    return metrics.class_prf(metrics.confusion_counts(rows, F.col("predicted"), by))
+    """Precision, recall and F1 of each class (and of each ``by``), decoding window by window; no window is dropped, and each is scored once."""
+    cells = decode.confusion_cells(_text(tiled, "x", "y"), make_predict_fn, width, batch_size, by=by)
+    return metrics.class_prf(metrics.expand_cells(cells, by))
 
 
 def evaluate_gene_sets(sets: dict[str, DataFrame], reference: DataFrame, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonflow.functions import labels as fn
-from codonflow.operators import decode, geneset, intervals, labeling, metrics, orf, runlog, species, windows
+from codonflow.operators import decode, geneset, intervals, labeling, maxplus, metrics, orf, runlog, species, windows
 from codonflow.plans import fixtures as fx
 from codonflow.sources import annotation
 from codonflow.sources import sequences as seqs
@@ -330,6 +330,12 @@ def extract_orfs(spark, sf):
     return orf.extract_orfs(fx.label_seq(spark, sf))
 
 
+@query("SELECT seq_id, orf_start, orf_end FROM orfs")
+def find_orfs(spark, sf):
+    """The same from one string of labels a sequence, without a row a base."""
+    return orf.find_orfs(windows.stitch(fx.label_seq(spark, sf).withColumn("label", F.col("label").cast("string")), "seq_id", "pos", "label"), "seq_id", "label")
+
+
 @query("SELECT tid, rid, cds_len FROM fits WHERE k = 1")
 def longest_cds(spark, sf):
     return labeling.longest_cds(labeling.project_cds(_pairs(spark, sf)))
@@ -445,18 +451,30 @@ def score_windows(spark, sf):
     return scored.select("tx_id", "chunk_idx", (F.size("logits") / decode.STATES).cast("int").alias("positions"), F.round(total, 6).alias("total"))
 
 
-@query("""+ steps(a, b) AS (VALUES (0, 0), (0, 1), (1, 2), (2, 3), (3, 4), (4, 2), (4, 5), (5, 0)),
+DECODED = """+ steps(a, b) AS (VALUES (0, 0), (0, 1), (1, 2), (2, 3), (3, 4), (4, 2), (4, 5), (5, 0)),
 lp AS MATERIALIZED (SELECT seq_id, pos, lp FROM log_probs),
 paths(seq_id, pos, s, score, path) AS (
 SELECT seq_id, pos, k, lp[k + 1], k::VARCHAR FROM lp, (VALUES (0), (1), (2), (3), (4), (5)) c(k) WHERE pos = 0
 UNION ALL SELECT p.seq_id, p.pos + 1, t.b, p.score + l.lp[t.b + 1], p.path || t.b FROM paths p JOIN steps t ON t.a = p.s JOIN lp l ON l.seq_id = p.seq_id AND l.pos = p.pos + 1)
-SELECT seq_id, arg_max(path, score) AS path FROM paths WHERE pos = 10 GROUP BY seq_id""", recursive=True)
+SELECT seq_id, arg_max(path, score) AS path FROM paths WHERE pos = 10 GROUP BY seq_id"""
+
+
+@query(DECODED, recursive=True)
 def constrained_decode(spark, sf):
     rows = fx.logits(spark, sf).select("seq_id", "pos", F.array(fn.log_softmax(F.col("logits"))).alias("logits"))
     whole = windows.stitch(rows, "seq_id", "pos", "logits")
     return decode.constrained_decode(whole).select("seq_id", F.array_join(F.col("labels").cast("array<string>"), "").alias("path"))
 
 
+@query(DECODED, recursive=True)
+def windowed_decode(spark, sf):
+    """The same paths from windows of four positions, by their max-plus transfers; a window's scores stay where they are."""
+    rows = fx.logits(spark, sf).select("seq_id", "pos", fn.log_softmax(F.col("logits")).alias("logits"), F.floor(F.col("pos") / 4).alias("chunk_idx"))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "logits")))
+    scored = rows.groupBy("seq_id", "chunk_idx").agg(F.flatten(F.transform(parts, lambda p: p["logits"])).alias("logits"))
+    return maxplus.reduce_transfers(maxplus.window_transfers(scored), "seq_id").withColumnRenamed("labels", "path")
+
+
 @query("SELECT seq_id, string_agg(predicted::VARCHAR, '' ORDER BY pos) AS path FROM classed GROUP BY seq_id")
 def argmax_decode(spark, sf):
     rows = decode.argmax_decode(fx.logits(spark, sf)).withColumn("one", F.array("predicted"))

@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from codonflow.functions import labels as fn
-from codonflow.operators import decode, geneset, intervals, labeling, metrics, runlog, windows
+from codonflow.operators import decode, geneset, intervals, labeling, maxplus, metrics, orf, runlog, windows
 from codonflow.plans import pipelines
 from codonflow.plans.queries import demo_scorer
 
@@ -229,3 +229,73 @@ def test_run_logs(spark):
     assert [(r["epoch"], round(r["lr"], 9)) for r in steps] == [(3, 1e-3)]
     report = {r["run"]: r for r in pipelines.run_report(log).collect()}
     assert report["a"]["best_epoch"] == 1 and report["b"]["lr_steps"] == [] and set(report) == {"a", "b"}
+
+
+@pytest.mark.parametrize("name", ["reference", "label_cycle"])
+@pytest.mark.parametrize("width", [1, 2, 7, 50])
+def test_windows_decode_like_whole_sequences(name, width):
+    """Ties included: scores of few whole values tie often, and their sums are exact."""
+    rng = np.random.default_rng(width)
+    allowed = fn.TRANSITIONS[name]
+    for n in (1, 2, 5, 13, 50, 121):
+        for values in (2, 3, 1000):
+            data = [rng.integers(0, values, (n, 6)).astype(float) for _ in range(6)]
+            want = ["".join(map(str, p)) for p in decode.decode_batch(data, allowed)]
+            for e, path in zip(data, want, strict=True):
+                parts = [e[i : i + width] for i in range(0, n, width)]
+                made = maxplus._transfers(parts, np.arange(len(parts)) == 0, allowed)
+                assert maxplus.joined(made) == path
+
+
+def test_paths_of_a_window_are_packed_by_what_they_share():
+    rng = np.random.default_rng(1)
+    data = decode.log_probabilities(3 * rng.normal(size=(2000, 6)))
+    gain, heads, core, tails = maxplus._transfers([data], np.array([False]), fn.TRANSITIONS["label_cycle"])[0]
+    assert len(gain) == 36 and len(core) > 1900 and max(map(len, heads)) + max(map(len, tails)) == 2000 - len(core)
+
+
+def test_each_window_is_scored_once_and_scores_are_not_exchanged(spark, tmp_path):
+    def make():
+        whole = perfect()
+
+        def predict(x):
+            with open(f"{tmp_path}/calls", "a") as f:
+                f.write("x" * len(x))
+            return whole(x)
+
+        return predict
+
+    seq = seqs(spark, [(f"t{i}", "AACGGGGGGGTAAAAAACGGGGTA"[: 12 + i]) for i in range(12)])
+    stored = labels(spark, [(f"t{i}", 12 + i, 2, 11) for i in range(12)])
+    tiled = windows.tile_windows(windows.pair_with_labels(seq, stored)[0], 6)
+    count = tiled.count()
+    got = pipelines.evaluate_positions(tiled, make, 6).filter("predictor = 'model'").collect()
+    assert (tmp_path / "calls").stat().st_size == count and sum(r["tp"] + r["fn"] for r in got) == sum(range(12, 24))
+    (tmp_path / "calls").unlink()
+    decoded = pipelines.decode_windows(tiled, make, 6)
+    whole = windows.stitch(decode.score_windows(pipelines._text(tiled, "x"), perfect, 6), "tx_id", "chunk_idx", "logits")
+    want = {r["tx_id"]: "".join(map(str, r["labels"])) for r in decode.constrained_decode(whole, "tx_id", normalise=True).collect()}
+    got = {r["tx_id"]: r["labels"] for r in decoded.collect()}
+    assert got == {k: v[: len(got[k])] for k, v in want.items()} and len(got["t5"]) == 17
+    assert (tmp_path / "calls").stat().st_size == count
+    plan = decoded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "logits" not in plan
+    rows = decode.score_windows(pipelines._text(tiled, "x", "y"), perfect, 6)
+    flat = decode.constrained_decode(rows.withColumn("w", F.concat_ws(":", "tx_id", "chunk_idx")).select("w", "logits"), "w", normalise=True)
+    old = rows.withColumn("w", F.concat_ws(":", "tx_id", "chunk_idx")).join(flat, "w").select(F.inline(F.arrays_zip(fn.pad_mask(fn.digits(F.col("x"))).alias("pad"), fn.digits(F.col("y")).alias("true_class"), F.col("labels").alias("predicted"))))
+    columns = ["predictor", "class_id", "tp", "fp", "fn"]
+    assert sorted(tuple(r) for r in metrics.confusion_counts(old, F.col("predicted")).select(*columns).collect()) == sorted(tuple(r) for r in pipelines.evaluate_positions(tiled, perfect, 6).select(*columns).collect())
+
+
+def test_orfs_in_packed_labels(spark):
+    """Equal to the row form on random labels; nothing is exchanged."""
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("012345", [1, 3, 2, 2, 2, 3], k=rng.randint(0, 80))) for _ in range(200)] + ["", "15", "5", "1", "115", "1" + "234" * 5000 + "5", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "tx_id long, labels string")
+    found = orf.find_orfs(df)
+    long = df.filter("labels != ''").select("tx_id", fn.digits(F.col("labels")).alias("labels"))
+    want = sorted(tuple(r) for r in orf.extract_orfs(orf.explode_labels(long), "tx_id").collect())
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 300
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()

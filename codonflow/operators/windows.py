@@ -108,6 +108,15 @@ def write_windows(windows: DataFrame, path: str) -> None:
     windows.repartitionByRange(count, "species", "tx_id").sortWithinPartitions(*order).write.partitionBy("species").parquet(path)
 
 
-def read_windows(spark: SparkSession, path: str, species: list[str] | None = None) -> DataFrame:
+def read_windows(spark: SparkSession, path: str, species: list[str] | None = None, manifest: DataFrame | None = None) -> DataFrame:
+    """Stored windows: all, those of ``species``, or those of the species that a ``manifest`` (species, path) names.
+
+    A manifest's species are known when the query runs; the folders of others are pruned then and not read.
+    """
     df = spark.read.parquet(path)
-    return df if species is None else df.filter(F.col("species").isin(species))
+    df = df.withColumn("species", F.col("species").cast("string")) if dict(df.dtypes)["species"] != "string" else df
+    if species is not None:
+        df = df.filter(F.col("species").isin(species))
+    if manifest is not None:
+        df = df.join(manifest.select("species").filter("species != ''").distinct(), "species", "left_semi")
+    return df

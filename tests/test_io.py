@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from codonflow.operators import labeling, species, windows
-from codonflow.sources import annotation, sequences, tables
+from codonflow.sources import annotation, inventory, sequences, tables
 
 
 def test_features_and_exons(spark, tmp_path):
@@ -136,3 +136,31 @@ def test_species_stay_apart_from_files_to_the_store(spark, tmp_path):
     assert {(r["species"], r["code"], r["n"]) for r in windows.composition(seqs).filter("n > 0").collect()} == {("a", k, 3) for k in range(4)} | {("b", 3, 30)}
     paired, bad = windows.pair_with_labels(seqs, back.withColumnRenamed("tid", "tx_id"))
     assert paired.count() == 2 and bad.count() == 0
+
+
+def test_inventory_of_a_folder_tree(spark, tmp_path):
+    for path in ("win/species=a/p0.parquet", "win/species=b/p0.parquet", "win/species=b/p1.parquet", "win/species=E%20coli/p0.parquet", "gtf/species=a/tx.gtf", "gtf/species=c/tx.gtf", "gtf/species=b/tx.gtf", "gtf/species=b/notes.txt", "gtf/stray.gtf", "out/species=b/prediction.gtf"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x" * 7)
+    kinds = {"windows": (f"{tmp_path}/win", "*.parquet"), "exons": (f"{tmp_path}/gtf", "*.gtf"), "done": (f"{tmp_path}/out", "*.gtf"), "none": (f"{tmp_path}/absent", "*")}
+    found = inventory.inventory(spark, kinds)
+    assert sorted((r["species"], r["kind"], r["bytes"]) for r in found.collect()) == sorted([("a", "windows", 7), ("b", "windows", 7), ("b", "windows", 7), ("E coli", "windows", 7), ("a", "exons", 7), ("b", "exons", 7), ("c", "exons", 7), ("b", "done", 7)])
+    read = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in line]
+    assert read and all("content" not in line.split("ReadSchema")[1] for line in read)
+    ready, waiting = inventory.pending(found, None, ["windows", "exons"], "done")
+    assert [(r["species"], len(r["windows"]), r["exons"][0].split("/")[-1]) for r in ready.collect()] == [("a", 1, "tx.gtf")]
+    assert sorted(tuple(r) for r in waiting.collect()) == [("E coli", "exons"), ("c", "windows")]
+    asked = spark.createDataFrame([("a",), ("b",), ("new",)], "species string")
+    ready, waiting = inventory.pending(found, asked, ["windows", "exons"], "done")
+    assert [r["species"] for r in ready.collect()] == ["a"] and sorted(tuple(r) for r in waiting.collect()) == [("new", "exons"), ("new", "windows")]
+    both = {r["species"]: (r["windows"] and len(r["windows"]), r["exons"] is not None) for r in inventory.siblings(found, ["windows", "exons"]).collect()}
+    assert both == {"a": (1, True), "b": (2, True), "c": (None, True), "E coli": (1, False)}
+
+
+def test_windows_read_by_manifest(spark, tmp_path):
+    rows = [(s, "t", 0, 4, "0123") for s in ("a", "b", "c", "d", "e")]
+    windows.write_windows(spark.createDataFrame(rows, "species string, tx_id string, chunk_idx long, real_len int, x string"), f"{tmp_path}/w")
+    (tmp_path / "m.tsv").write_text("# two of five\nb\tx/b\nd\tx/d\nd\ty/d\n\n")
+    got = windows.read_windows(spark, f"{tmp_path}/w", manifest=tables.read_manifest(spark, f"{tmp_path}/m.tsv"))
+    assert sorted(r["species"] for r in got.collect()) == ["b", "d"]
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString().lower()

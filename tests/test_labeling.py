@@ -147,3 +147,26 @@ def test_segments_on_both_strands(spark):
     assert lines[0] == 'c\ts\tCDS\t8\t10\t.\t-\t0\ttranscript_id "m"; gene_id "m";'
     shifted = orf.orf_segments(spark.createDataFrame([("p", 5, 14)], "tid string, orf_start long, orf_end long"), tx)
     assert sorted((r["frame"], r["phase"]) for r in shifted.collect()) == [(0, 0), (2, 1)]
+
+
+def test_hot_bin_is_split(spark):
+    """One bin with 10^4 left and 300 right rows: shares are even, and pairs those of the plain join."""
+    left = spark.range(10_000).selectExpr("id AS a", "'c' AS contig", "(id * 7) % 900 AS s", "(id * 7) % 900 + 1 + id % 5 AS e").unionByName(spark.createDataFrame([(-1, "c", 5000, 5010), (-2, None, 0, 9)], "a long, contig string, s long, e long"))
+    right = spark.range(300).selectExpr("id AS b", "'c' AS contig", "id * 3 AS s2", "id * 3 + 4 AS e2")
+    bounds = ("s", "e", "s2", "e2")
+    pairs = lambda **o: sorted(((r["a"], r["b"]) for r in intervals.overlap_join(left, right, ["contig"], bounds, 1000, **o).collect()), key=str)
+    plain = pairs()
+    assert pairs(split_pairs=100_000) == plain and len(plain) > 10_000
+    assert pairs(split_pairs=100_000, keep_left=True) == pairs(keep_left=True)
+    bins = [df.selectExpr("contig", "0 AS _bin") for df in (left.filter("a >= 0"), right)]
+    assert intervals.bin_shares(*bins, ["contig", "_bin"], 100_000).first()["_shares"] == 30
+    joined = intervals.overlap_join(left, right, ["contig"], bounds, 1000, split_pairs=100_000)
+    sizes = left.filter("a >= 0").groupBy(F.pmod(F.xxhash64("a", "contig", "s", "e"), F.lit(30))).count().agg(F.max("count"), F.min("count")).first()
+    assert sizes[0] < 2 * sizes[1] and "_share" in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_interval_arrays_do_not_go_through_the_bins(spark):
+    tx, ref, _ = frames(spark, [("t", "c", "+", 0, 900)], [("r", "c", "+", 9, 30)])
+    plan = labeling.candidates(labeling.transcripts(tx), labeling.references(ref), 50)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(joins) >= 2 and all("exons" not in line and "cds" not in line for line in joins)

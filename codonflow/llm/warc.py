@@ -11,6 +11,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
@@ -22,6 +23,9 @@ from codonflow.llm.common import new_path, pack, stored, tidy, to_arrow
 #: Fixed values of the format: magic of the dictionary's skippable frame, of an empty one, of a frame.
 DICT_MAGIC, SKIP_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 EMPTY_FRAME = struct.pack("<II", SKIP_MAGIC, 0).decode("ascii")
+EPOCH = "1970-01-01T00:00:00Z"
+#: Rows of the text sink that make an archive, and bytes of a row: more than half of the rows are left when an archive is full.
+ARCHIVE_ROWS, ROW_SHARE = 1_024, 500
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, payload binary"
 
 
@@ -38,12 +42,12 @@ def _number(value: int | None) -> str:
     return "" if value is None else str(value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes | None, length: int, payload_digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit (without payload) has no block of its own."""
+def record(page_id: int | None, url: str | None, payload: bytes | None, length: int, payload_digest: str, refers_to: int | None, date: str = EPOCH) -> bytes:
+    """One WARC/1.1 record; a revisit (without payload) has no block of its own, and a page without url its name as URI."""
     revisit, block = payload is None, payload or b""
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{_number(page_id)}>", f"WARC-Payload-Digest: sha1:{payload_digest}", f"X-Payload-Length: {length}"]
-    if url is not None:
-        head.append(f"WARC-Target-URI: {_header_text(url)}")
+    name = f"urn:page:{_number(page_id)}"
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{payload_digest}", f"X-Payload-Length: {length}"]
+    head += [f"WARC-Target-URI: {name}", "X-No-Url: 1"] if url is None else [f"WARC-Target-URI: {_header_text(url)}"]
     if revisit:
         head += [f"WARC-Refers-To: <urn:page:{_number(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head.append(f"Content-Length: {len(block)}")
@@ -60,7 +64,7 @@ def parse(raw: bytes) -> dict:
     told = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if not revisit and digest(block) != told:
         raise ValueError(f"record {fields['WARC-Record-ID']}: its payload doesn't have the digest {told}")
-    return {"page_id": name(fields["WARC-Record-ID"]), "payload_bytes": int(fields["X-Payload-Length"]) if revisit else len(block), "payload_digest": told, "record_type": kind, "refers_to": name(fields["WARC-Refers-To"]) if revisit else None, "target_uri": fields.get("WARC-Target-URI"), "payload": None if revisit else block}
+    return {"page_id": name(fields["WARC-Record-ID"]), "payload_bytes": int(fields["X-Payload-Length"]) if revisit else len(block), "payload_digest": told, "record_type": kind, "refers_to": name(fields["WARC-Refers-To"]) if revisit else None, "target_uri": None if "X-No-Url" in fields else fields["WARC-Target-URI"], "payload": None if revisit else block}
 
 
 def sample_record(page_id: int | None, url: str | None, payload: bytes, h: int, most: int) -> bytes:
@@ -96,7 +100,7 @@ def train_dictionary(pages: DataFrame, sample_rows: int = 2000, sample_bytes: in
 
 
 @tidy
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = 64 << 20) -> None:
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = 64 << 20, date: str | None = None) -> None:
     """Write one record for each row of ``pages`` to compressed archives under ``path``.
 
     Null payloads count as empty. Of rows with equal payloads of at least ``min_revisit_bytes`` bytes the
@@ -104,17 +108,17 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_c
     ids go by url, and of rows that are equal throughout one is the response. An empty table writes
     archives without records.
 
-    The payloads are exchanged once, to meet the first row of their group. A new archive, with the
-    dictionary of its own in front, is begun after as many records as have ``archive_bytes`` of payload on
-    the average.
+    The payloads are exchanged once, to meet the first row of their group. A new archive, with a dictionary
+    of its own in front, is begun as soon as one has ``archive_bytes`` of payload or of its own, so none has
+    more than that and one record. A very long payload is one record like any other. ``date`` is the WARC-Date of all records, by
+    default the time of writing. Further columns, whatever their names, play no part.
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     words = train_dictionary(rows)
     rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
-    mean = rows.agg(F.avg(F.octet_length("html"))).first()[0] or 0
-    most = max(2, int(archive_bytes / (mean + 512)))  # records of an archive, with the dictionary
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = rows.withColumn("place", F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.coalesce("url", F.lit("")).alias("url"), F.col("url").isNull().alias("bare")))
     equal = rows.groupBy("sha", "place").agg(F.count("*").alias("n"))
     first = stored(equal.groupBy("sha").agg(F.min(F.struct("place", "n")).alias("first")), "first-pages")
@@ -132,20 +136,30 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_c
         words = shared.value
         known = zstandard.ZstdCompressionDict(words) if words else None
         packer = zstandard.ZstdCompressor(level=3, dict_data=known, write_checksum=True)
-        lead, sent = struct.pack("<II", DICT_MAGIC, len(words)) + words, 1
-        yield pack({"frame": [lead]}, arrow)
+        lead = struct.pack("<II", DICT_MAGIC, len(words)) + words
+        held, size, rows, full, told, begun = [lead], len(lead), 0, 0, 0, False  # of the next row; and what the archive has already, told: of payload
         for b in batches:
             out = []
             for i, u, x, n, sha1, r in zip(*b.to_pydict().values(), strict=True):
-                if sent % most == 0:  # the sink begins a new file here
-                    out.append(lead)
-                    sent += 1
-                out.append(packer.compress(record(i, u, x, n, base64.b32encode(sha1).decode(), r)))
-                sent += 1
-            yield pack({"frame": out}, arrow)
+                frame = packer.compress(record(i, u, x, n, base64.b32encode(sha1).decode(), r, date))
+                held.append(frame)
+                size += len(frame)
+                told += len(x or b"")
+                over = max(full + size + 8 * ARCHIVE_ROWS, told) >= archive_bytes
+                if over or size >= archive_bytes // ROW_SHARE:
+                    out.append(b"".join(held))
+                    held, size, rows, full = [], 0, rows + 1, full + size
+                if over:  # the sink begins a new file after ARCHIVE_ROWS rows
+                    out += [b""] * (ARCHIVE_ROWS - rows)
+                    held, size, rows, full, told = [lead], len(lead), 0, 0, 0
+            if out:
+                yield pack({"frame": out}, arrow)
+                begun = True
+        if held and held != [lead] or not begun:
+            yield pack({"frame": [b"".join(held)]}, arrow)
 
     frames = linked.mapInArrow(compress, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    frames.write.option("lineSep", EMPTY_FRAME).option("compression", "none").option("maxRecordsPerFile", most).text(path)
+    frames.write.option("lineSep", EMPTY_FRAME).option("compression", "none").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
 
 
 def frames_of(raw: bytes) -> Iterator[bytes]:
@@ -189,7 +203,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` to new archives in the shared folder and read them back."""
+    """``pages`` written to new archives in the shared folder and read back; odd rows are as in ``write_archives``."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, min_revisit_bytes)

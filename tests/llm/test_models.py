@@ -223,6 +223,23 @@ def test_archives_roll(spark, tmp_path):
     assert [str(r) for r in got] == [str(r) for r in whole] and len(got) == pages.count()
 
 
+def test_no_archive_is_larger_than_its_bound_and_one_record(spark, tmp_path):
+    rng = random.Random(4)
+    noise = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n // 3))
+    rows = [(i, f"http://x/{i}" if i % 3 else None, f"<p>{i}</p>" * 20) for i in range(3000)] + [(3000 + i, "u", noise(400_000)) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    bound = 400_000
+    warc.write_archives(pages, str(tmp_path / "w"), archive_bytes=bound, date="2024-05-06T07:08:09Z")
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 5 and max(sizes) < bound + 420_000 and sum(s > bound for s in sizes) <= 6
+    for f in (tmp_path / "w").glob("part-*"):
+        for x in warc.frames_of(f.read_bytes()):
+            head = x.split(b"\r\n\r\n")[0]
+            assert b"WARC-Date: 2024-05-06T07:08:09Z" in head and b"WARC-Target-URI: " in head
+    got = sorted((r["page_id"], r["target_uri"]) for r in warc.read_archives(spark, str(tmp_path / "w")).collect())
+    assert got == [(i, u) for i, u, _ in rows]
+
+
 def test_dictionary_is_made_of_records(spark):
     pages = spark.read.parquet(f"{TOP}/pages.parquet")
     words = warc.train_dictionary(pages)

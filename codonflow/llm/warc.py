@@ -109,8 +109,8 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_c
     archives without records.
 
     The payloads are exchanged once, to meet the first row of their group. A new archive, with a dictionary
-    of its own in front, is begun as soon as one has ``archive_bytes`` of payload or of its own, so none has
-    more than that and one record. A very long payload is one record like any other. ``date`` is the WARC-Date of all records, by
+    of its own in front, is begun as soon as one has ``archive_bytes``, before or after compression, so
+    none has more than that and one record. A very long payload is one record like any other. ``date`` is the WARC-Date of all records, by
     default the time of writing. Further columns, whatever their names, play no part.
     """
     spark = pages.sparkSession
@@ -137,14 +137,15 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_c
         known = zstandard.ZstdCompressionDict(words) if words else None
         packer = zstandard.ZstdCompressor(level=3, dict_data=known, write_checksum=True)
         lead = struct.pack("<II", DICT_MAGIC, len(words)) + words
-        held, size, rows, full, told, begun = [lead], len(lead), 0, 0, 0, False  # of the next row; and what the archive has already, told: of payload
+        held, size, rows, full, told, begun = [lead], len(lead), 0, 0, 0, False  # of the next row; and what the archive has already, told: before compression
         for b in batches:
             out = []
             for i, u, x, n, sha1, r in zip(*b.to_pydict().values(), strict=True):
-                frame = packer.compress(record(i, u, x, n, base64.b32encode(sha1).decode(), r, date))
+                one = record(i, u, x, n, base64.b32encode(sha1).decode(), r, date)
+                frame = packer.compress(one)
                 held.append(frame)
                 size += len(frame)
-                told += len(x or b"")
+                told += len(one)
                 over = max(full + size + 8 * ARCHIVE_ROWS, told) >= archive_bytes
                 if over or size >= archive_bytes // ROW_SHARE:
                     out.append(b"".join(held))

@@ -46,7 +46,7 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, length:
     """One WARC/1.1 record; a revisit (without payload) has no block of its own, and a page without url its name as URI."""
     revisit, block = payload is None, payload or b""
     name = f"urn:page:{_number(page_id)}"
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{payload_digest}", f"X-Payload-Length: {length}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name}>", f"WARC-Payload-Digest: sha1:{payload_digest}", f"X-Payload-Length: {length}", f"WARC-Date: {date}"]
     head += [f"WARC-Target-URI: {name}", "X-No-Url: 1"] if url is None else [f"WARC-Target-URI: {_header_text(url)}"]
     if revisit:
         head += [f"WARC-Refers-To: <urn:page:{_number(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]

@@ -91,6 +91,53 @@ def training_batches(windows: DataFrame, keys: list[str], batch_size: int, shard
     return out.drop("_h", "_row")
 
 
+def interleaved_batches(windows: DataFrame, source: str, keys: list[str], batch_size: int, cycle: int = 32, seed: str = "7", drop_remainder: bool = True, epochs: int = 1, cells: int | None = None) -> DataFrame:
+    """``windows`` with batch and place, drawn in turn from at most ``cycle`` sources at a time.
+
+    Sources and the rows of each stand in seeded random order, end to end. This row of rows is cut into
+    ``cycle`` lanes of equal length, and a round takes the next row of every lane: where a source ends, the
+    next one begins in its lane. So each batch has rows of as many sources as ``cycle`` and its size allow, as
+    long as no source is longer than a lane; a longer one fills several lanes and is spread evenly. More than
+    one of ``epochs`` repeats all windows with a column epoch, sources and rows in another order each time.
+
+    A row's place is the sum of what comes before its cell plus its number in it; a cell is a range of hashes
+    of one source, so that a source with most of the rows is numbered in many tasks. Sums over sources take
+    one row a source and epoch. Unless given, ``cells`` a source are as many as ``SHARD_ROWS`` rows each ask
+    for. A null source is one of its own; rows with equal keys and source are in any order among themselves.
+    """
+    sizes = windows.groupBy(source).agg(F.count("*").alias("n")).agg(F.count("*").alias("sources"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    n = sizes["rows"]
+    lanes = max(1, min(cycle, sizes["sources"], n))
+    short, longer = max(1, n // lanes), n % lanes
+    cells = cells or max(1, -(-n // SHARD_ROWS))
+    hashed = lambda *names: F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), *[F.col(c).cast("string") for c in names]))
+    rows = windows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumns({"_s": hashed(source), "_r": hashed(*keys)})
+    rows = rows.withColumn("_cell", F.floor(F.conv(F.substring("_r", 1, 7), 16, 10).cast("long") * cells / (1 << 28)))
+    counts = rows.groupBy("epoch", "_s", "_cell").agg(F.count("*").alias("n"))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("epoch", "_s").agg(F.sum("n").alias("n"))
+    sums = sums.select("_s", F.coalesce(F.sum("n").over(before(["epoch"], "_s")), F.lit(0)).alias("_source"))
+    starts = counts.select("_s", "_cell", F.coalesce(F.sum("n").over(before(["_s"], "_cell")), F.lit(0)).alias("_inner"))
+    starts = starts.join(sums, "_s").select("_s", "_cell", (F.col("_source") + F.col("_inner")).alias("_start"))
+    inside = Window.partitionBy("_s", "_cell").orderBy("_r", *keys)
+    at = rows.withColumn("_i", F.row_number().over(inside) - 1).join(starts, ["_s", "_cell"]).withColumn("_at", F.col("_start") + F.col("_i"))
+    head = longer * (short + 1)  # rows in lanes that have one row more than others
+    rest = F.col("_at") - head
+    lane = F.when(rest < 0, F.floor(F.col("_at") / (short + 1))).otherwise(longer + F.floor(rest / short))
+    turn = F.when(rest < 0, F.col("_at") % (short + 1)).otherwise(rest % short)
+    out = at.withColumn("_at", turn * lanes + lane).withColumns({"batch": F.floor(F.col("_at") / batch_size), "place": F.col("_at") % batch_size})
+    if drop_remainder:
+        out = out.filter(F.col("batch") < n // batch_size)
+    return out.drop("_s", "_r", "_cell", "_i", "_start", "_at", *([] if epochs > 1 else ["epoch"]))
+
+
+def write_batches(batched: DataFrame, path: str) -> None:
+    """Parquet of batches for a trainer: files hold ranges of batches (of a shard and an epoch), in the order of reading."""
+    order = [*(c for c in ("epoch", "shard") if c in batched.columns), "batch"]
+    count = int(batched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batched.repartitionByRange(count, *order).sortWithinPartitions(*order, "place").write.parquet(path)
+
+
 def composition(sequences: DataFrame) -> DataFrame:
     """Bases of each channel in each sequence, long form."""
     codes = code_string(F.col("seq"))

@@ -423,6 +423,17 @@ def training_batches(spark, sf):
     return windows.training_batches(rows, ["seq_id", "pos"], 32, shards=8).withColumn("place", F.col("place").cast("long"))
 
 
+@query("""+ h AS (SELECT seq_id, pos, md5('7:0:' || seq_id) AS s, md5('7:0:' || seq_id || ':' || pos) AS r FROM logits),
+g AS (SELECT *, row_number() OVER (ORDER BY s, r, pos) - 1 AS g, count(*) OVER () AS n FROM h),
+l AS (SELECT *, least(32, n, (SELECT count(DISTINCT s) FROM h)) AS lanes FROM g),
+c AS (SELECT *, n // lanes AS short, (n % lanes) * (n // lanes + 1) AS head FROM l),
+p AS (SELECT *, CASE WHEN g < head THEN g % (short + 1) * lanes + g // (short + 1) ELSE (g - head) % short * lanes + n % lanes + (g - head) // short END AS p FROM c)
+SELECT seq_id, pos, p // 48 AS batch, p % 48 AS place FROM p WHERE p // 48 < n // 48""")
+def interleaved_batches(spark, sf):
+    rows = fx.logits(spark, sf).select("seq_id", "pos")
+    return windows.interleaved_batches(rows, "seq_id", ["seq_id", "pos"], 48)
+
+
 # Scoring and decoding
 
 

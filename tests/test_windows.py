@@ -183,6 +183,58 @@ def test_epochs_repeat_in_other_orders(spark):
     assert sorted(orders[0]) == sorted(orders[1]) == list(range(100)) and orders[0] != orders[1]
 
 
+def test_interleaved_batches_hold_many_sources(spark):
+    rng = random.Random(5)
+    sizes = {f"s{i:02}": rng.randint(1, 40) for i in range(70)} | {None: 25}
+    df = spark.createDataFrame([(s, i) for s, n in sizes.items() for i in range(n)], "source string, k long")
+    total = sum(sizes.values())
+
+    def order(**given):
+        got = windows.interleaved_batches(df, "source", ["k"], 16, drop_remainder=False, **{"cycle": 16, "cells": 3, **given}).collect()
+        out = {}
+        for r in got:
+            out.setdefault(r["epoch"] if given.get("epochs") else 0, []).append((r["batch"] * 16 + r["place"], r["source"], r["k"]))
+        return {e: sorted(v) for e, v in out.items()}
+
+    one = order()[0]
+    assert [p for p, *_ in one] == list(range(total))  # gapless
+    assert sorted(((s or "", k) for _, s, k in one)) == sorted((s or "", i) for s, n in sizes.items() for i in range(n))
+    assert total // 16 > max(sizes.values())  # no source is longer than a lane
+    for b in range(total // 16):
+        assert len({s for _, s, _ in one[16 * b : 16 * b + 16]}) == 16
+    # A source is open from its first row to its last; at most a cycle of them are open in a round.
+    place = {}
+    for p, s, _ in one:
+        place.setdefault(s, []).append(p // 16)
+    wrapped = sum(max(v) - min(v) + 1 > len(v) for v in place.values())
+    assert wrapped <= 15  # at most one source goes on in the next lane at each of the 15 cuts
+    assert order(cells=1)[0] == one == order(cells=50)[0] and order(seed="8")[0] != one
+    twice = order(epochs=2)
+    assert sorted(x[1:] for x in twice[0] if x[1]) == sorted(x[1:] for x in twice[1] if x[1]) and twice[0] == one != twice[1]
+    assert [s for _, s, _ in twice[0][:16]] != [s for _, s, _ in twice[1][:16]]
+    full = windows.interleaved_batches(df, "source", ["k"], 16, cycle=16).groupBy("batch").count().collect()
+    assert len(full) == total // 16 and {r["count"] for r in full} == {16}
+
+
+def test_interleaving_a_long_source_few_sources_and_none(spark, tmp_path):
+    rows = [("long", i) for i in range(600)] + [(f"s{j}", i) for j in range(30) for i in range(10)]
+    df = spark.createDataFrame(rows, "source string, k long").withColumn("batch_note", F.lit("x"))
+    got = windows.interleaved_batches(df, "source", ["k"], 30, cycle=10, cells=4)
+    windows.write_batches(got, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert back.count() == 900 and back.columns == got.columns
+    shares = [r["n"] for r in back.groupBy("batch").agg(F.count(F.when(F.col("source") == "long", 1)).alias("n")).collect()]
+    assert min(shares) >= 18 and max(shares) <= 21  # two thirds of each batch, in every batch
+    for f in sorted((tmp_path / "b").glob("*.parquet")):
+        read = [(r["batch"], r["place"]) for r in pq.read_table(f, columns=["batch", "place"]).to_pylist()]
+        assert read == sorted(read)
+    few = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "source string, k long")
+    rest = windows.interleaved_batches(few, "source", ["k"], 2, drop_remainder=False)
+    assert sorted((r["batch"], r["place"]) for r in rest.collect()) == [(0, 0), (0, 1), (1, 0)]
+    assert windows.interleaved_batches(few, "source", ["k"], 2).count() == 2
+    assert windows.interleaved_batches(few.limit(0), "source", ["k"], 2, epochs=2).count() == 0
+
+
 def test_loci_over_many_bins(spark):
     rng = random.Random(12)
     rows = [(i, rng.choice(["a", "b", None]), "+", s, s + rng.choice([3, 40, 900])) for i, s in enumerate(rng.randint(0, 5000) for _ in range(60))]

@@ -164,3 +164,40 @@ def test_windows_read_by_manifest(spark, tmp_path):
     got = windows.read_windows(spark, f"{tmp_path}/w", manifest=tables.read_manifest(spark, f"{tmp_path}/m.tsv"))
     assert sorted(r["species"] for r in got.collect()) == ["b", "d"]
     assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_bucketed_stores_join_and_stitch_without_an_exchange(spark, tmp_path):
+    """Equal ids in two species; the second species arrives later."""
+    import random
+
+    rng = random.Random(6)
+    names = {k: f"{k}_{tmp_path.name.replace('-', '_')}" for k in ("seqs", "labels", "windows")}
+    seqs = [(s, f"t{i}", "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 40)))) for s in ("a", "b") for i in range(60)] + [("a", None, "ACGT")]
+    found = [(s, t, "kept_single" if len(x) % 2 else "ir_only", len(x), *((1, len(x)) if len(x) % 2 else (None, None))) for s, t, x in seqs if t] + [("a", "dropped", "dropped_ref_partial", 4, None, None)]
+    plain = spark.createDataFrame(seqs, "species string, tx_id string, seq string")
+    labels = spark.createDataFrame(found, "species string, tid string, category string, length long, orf_start long, orf_end long")
+    for mode, s in (("errorifexists", "a"), ("append", "b")):
+        own = F.col("species") == s
+        tables.store_bucketed(plain.filter(own).repartition(7), names["seqs"], buckets=5, path=f"{tmp_path}/seqs", mode=mode)
+        tables.store_labels(labels.filter(own), names["labels"], 5, mode=mode)
+    assert len(list((tmp_path / "seqs").glob("*.parquet"))) <= 10  # a file a bucket and write
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        tiled = windows.tile_text(windows.pair_with_labels(spark.table(names["seqs"]), spark.table(names["labels"]))[0], 8)
+        rows = sorted(tuple(r) for r in tiled.collect())
+        assert "Exchange" not in tiled._jdf.queryExecution().executedPlan().toString()
+        want = windows.tile_text(windows.pair_with_labels(plain, labels.filter("category != 'dropped_ref_partial'").drop("category").withColumnRenamed("tid", "tx_id"))[0], 8)
+        assert rows == sorted(tuple(r) for r in want.collect()) and {r[0] for r in rows} == {"a", "b"}
+        tables.store_bucketed(tiled, names["windows"], buckets=5, order=("chunk_idx",))
+        stitched = windows.stitch(spark.table(names["windows"]).withColumn("x", F.expr("left(x, real_len)")), "tx_id", "chunk_idx", "x")
+        whole = {(r["species"], r["tx_id"]): "".join("ACGT"[int(c)] for c in r["x"]) for r in stitched.collect()}
+        assert "Exchange" not in stitched._jdf.queryExecution().executedPlan().toString()
+        assert whole == {(s, t): x for s, t, x in seqs if t}
+        tables.store_bucketed(plain.limit(0), names["seqs"], buckets=5, path=f"{tmp_path}/seqs", mode="append")
+        assert spark.table(names["seqs"]).filter("tx_id is null").count() == 1
+    finally:
+        spark.conf.set(key, before)
+        for name in names.values():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -47,10 +47,19 @@ def _chains(df: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("chain", F.when(F.size("_e") > 1, F.md5(F.array_join(introns, ","))).otherwise("")).drop("_e")
 
 
-def _rates(predicted: DataFrame, reference: DataFrame) -> DataFrame:
-    """Rates from rows (gene_set, species, hit) and (gene_set, species, hit)."""
-    rate = lambda df, name: df.groupBy("gene_set", "species").agg(F.round(100.0 * F.avg(F.col("hit").cast("double")), 2).alias(name))
-    return _both(rate(reference, "sn"), rate(predicted, "pr"))
+def _counted(df: DataFrame, name: str, *by: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count("*").alias(name))
+
+
+def _found(pairs: DataFrame, *unit: str) -> DataFrame:
+    """How many different units of each set and species are in ``pairs``."""
+    return _counted(pairs.select("gene_set", "species", *unit).distinct(), "k", "gene_set", "species")
+
+
+def _share(total: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Percent found of each (gene_set, species, n)."""
+    percent = F.round(100.0 * (F.coalesce("k", F.lit(0)) / F.col("n")), 2)
+    return total.join(found, ["gene_set", "species"], "left").select("gene_set", "species", percent.alias(name))
 
 
 def _both(sn: DataFrame, pr: DataFrame) -> DataFrame:
@@ -78,37 +87,46 @@ def exon_level(reference: DataFrame, predictions: DataFrame, tolerance: int = 3)
     b = r.withColumnsRenamed({c: f"ref_{c}" for c in own}).withColumn("_key", F.when(F.col("left_free"), F.floor(F.col("ref_start") / BIN)).otherwise(F.col("ref_start")))
     fits = lambda c, free: F.when(F.col(free), F.abs(F.col(c) - F.col(f"ref_{c}")) <= tolerance).otherwise(F.col(c) == F.col(f"ref_{c}"))
     pairs = a.join(b, ["species", *place, "_key"]).filter(fits("start", "left_free") & fits("end", "right_free"))
-    count = lambda df, *cols: df.select("gene_set", "species", *cols).distinct().groupBy("gene_set", "species").agg(F.count("*").alias("k"))
-    total = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n"))
-    share = lambda all_, hits, name: all_.join(hits, ["gene_set", "species"], "left").select("gene_set", "species", F.round(100.0 * (F.coalesce("k", F.lit(0)) / F.col("n")), 2).alias(name))
-    sn = share(_for_each_set(total(r, "species"), predictions), count(pairs, *place, "ref_start", "ref_end"), "sn")
-    return _both(sn, share(total(q, "gene_set", "species"), count(pairs, *place, *own), "pr"))
+    sn = _share(_for_each_set(_counted(r, "n", "species"), predictions), _found(pairs, *place, "ref_start", "ref_end"), "sn")
+    return _both(sn, _share(_counted(q, "n", "gene_set", "species"), _found(pairs, *place, *own), "pr"))
 
 
-def _matched(reference: DataFrame, predictions: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:
-    """Predicted and reference transcripts with hit: equal intron chains, free ends within tolerance."""
-    q, r = _chains(predictions, ["gene_set", "species"]), _for_each_set(_chains(reference, ["species"]), predictions)
-    keys = ["gene_set", "species", "contig", "strand", "chain"]
+def _chain_pairs(q: DataFrame, r: DataFrame, tolerance: int) -> DataFrame:
+    """Transcripts with equal intron chains and outer ends within tolerance, from one join for all sets.
+
+    Columns of ``r`` that are not keys come with the prefix ref_, so what is matched can be counted from the
+    pairs, without a join back.
+    """
+    keys = ["species", "contig", "strand", "chain"]
     a = q.withColumn("_bin", _near("span_start", tolerance))
-    b = r.select(*keys, F.col("tid").alias("ref_tid"), F.col("span_start").alias("ref_start"), F.col("span_end").alias("ref_end"), F.floor(F.col("span_start") / BIN).alias("_bin"))
-    pairs = a.join(b, [*keys, "_bin"]).filter((F.abs(F.col("span_start") - F.col("ref_start")) <= tolerance) & (F.abs(F.col("span_end") - F.col("ref_end")) <= tolerance))
-    mark = lambda df, tid: df.join(pairs.select("gene_set", "species", F.col(tid).alias("tid")).distinct().withColumn("hit", F.lit(True)), ["gene_set", "species", "tid"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return mark(q, "tid"), mark(r, "ref_tid")
+    b = r.select(*keys, *[F.col(c).alias(f"ref_{c}") for c in r.columns if c not in keys], F.floor(F.col("span_start") / BIN).alias("_bin"))
+    near = lambda c: F.abs(F.col(c) - F.col(f"ref_{c}")) <= tolerance
+    return a.join(b, [*keys, "_bin"]).filter(near("span_start") & near("span_end"))
 
 
 def transcript_level(reference: DataFrame, predictions: DataFrame, tolerance: int = 3) -> DataFrame:
-    return _rates(*_matched(reference, predictions, tolerance))
+    """gene_set, species, sn, pr, f1 over transcripts: equal intron chains, outer ends within tolerance."""
+    q, r = _chains(predictions, ["gene_set", "species"]), _chains(reference, ["species"])
+    pairs = _chain_pairs(q, r, tolerance)
+    sn = _share(_for_each_set(_counted(r, "n", "species"), predictions), _found(pairs, "ref_tid"), "sn")
+    return _both(sn, _share(_counted(q, "n", "gene_set", "species"), _found(pairs, "tid"), "pr"))
 
 
 def locus_level(reference: DataFrame, predictions: DataFrame, tolerance: int = 3) -> DataFrame:
-    """Loci (chains of overlapping transcripts on a strand) with at least one matched transcript."""
-    def loci(df: DataFrame) -> DataFrame:
-        place = F.concat_ws("|", "gene_set", "species", "contig")
-        tagged = locus_clusters(df.withColumn("_contig", F.col("contig")).withColumn("contig", place))
-        return tagged.groupBy("gene_set", "species", "contig", "strand", "locus").agg(F.bool_or("hit").alias("hit"))
-
-    q, r = _matched(reference, predictions, tolerance)
-    return _rates(loci(q), loci(r))
+    """gene_set, species, sn, pr, f1 over loci (chains of overlapping transcripts on a strand) with at least one matched transcript.
+
+    Loci of the reference are made once, whatever the number of sets.
+    """
+    def loci(df: DataFrame, *keys: str) -> DataFrame:
+        apart = F.concat_ws("|", *keys, "contig")  # one set's contig
+        found = locus_clusters(df.withColumn("_contig", F.col("contig")).withColumn("contig", apart))
+        return found.withColumn("contig", F.col("_contig")).drop("_contig")
+
+    q, r = loci(_chains(predictions, ["gene_set", "species"]), "gene_set", "species"), loci(_chains(reference, ["species"]), "species")
+    pairs, place = _chain_pairs(q, r, tolerance), ["contig", "strand"]
+    n_loci = lambda df, *by: _counted(df.select(*by, *place, "locus").distinct(), "n", *by)
+    sn = _share(_for_each_set(n_loci(r, "species"), predictions), _found(pairs, *place, "ref_locus"), "sn")
+    return _both(sn, _share(n_loci(q, "gene_set", "species"), _found(pairs, *place, "locus"), "pr"))
 
 
 def all_levels(reference: DataFrame, predictions: DataFrame, tolerance: int = 3) -> DataFrame:

@@ -7,8 +7,9 @@ windows that occur more than once.
 The first pass is the exchange. Its digit is not the window's first bytes but the window's least 64-byte
 gram (by hash): equal windows have equal grams there, and neighbouring windows mostly share it, so one
 record with its context stands for all windows of a run, about one record for 170 bytes. Grams that occur
-once in the corpus leave at once. The later passes take 200 bytes a digit (by hash, since only equality
-counts): inside tasks for the windows of most grams, and as exchanges for those of very frequent ones.
+once in the corpus leave at once. Inside tasks the next digit is the window's first eight bytes themselves,
+then each half by its hash, and groups that stay equal are compared by content: they are exact whatever the
+hashes. For the windows of very frequent grams the halves' hashes (128 bits) are the keys of exchanges.
 
 The same passes over words instead of bytes tell which texts hold a passage of so many words that occurs
 elsewhere, however short its words are.
@@ -17,6 +18,7 @@ elsewhere, however short its words are.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -116,18 +118,64 @@ def _anchors(data: np.ndarray, length: int, gram: int, offset: int) -> tuple[np.
     return value.view(np.int64), offset + np.repeat(first, pieces) + within, np.minimum(np.repeat(n, pieces) - within, RECORD), own
 
 
-def repeated(digits: np.ndarray, starts: np.ndarray, length: int, step: int) -> np.ndarray:
-    """Which of the windows at ``starts`` are equal to another of them; ``digits`` has the hash of each ``step`` bytes."""
-    alive, rank = np.arange(len(starts)), np.zeros(len(starts), dtype=np.int64)
-    for offset in range(0, length, step):
-        d = digits[starts[alive] + min(offset, length - step)]
-        order = np.lexsort((d, rank)) if offset else np.argsort(d, kind="stable")
+def _head(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The first digit of the windows at ``starts``: their first eight bytes as a number, or the first word's hash."""
+    if data.dtype != np.uint8:
+        return data[starts]
+    out = data[starts].astype(np.uint64)
+    for k in range(1, 8):
+        out = out << np.uint64(8) | data[starts + k]
+    return out
+
+
+def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Which windows at ``a`` may have other items than those at ``b``; never silent where they have.
+
+    Where both go on by one item from the pair before, only the last item is new. A run of such pairs is
+    marked as a whole.
+    """
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 1) | (np.diff(b) != 1)])) if len(a) else np.zeros(0, dtype=np.int64)
+    differ = data[a + length - 1] != data[b + length - 1]
+    every = np.lib.stride_tricks.sliding_window_view(data, length)
+    for at in range(0, len(begin), 8192):
+        some = begin[at : at + 8192]
+        differ[some] |= (every[a[some]] != every[b[some]]).any(axis=1)
+    if len(begin):
+        differ = np.repeat(np.logical_or.reduceat(differ, begin), np.diff(np.append(begin, len(a))))
+    out = np.zeros(len(a), dtype=bool)
+    out[order] = differ
+    return out
+
+
+def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows at ``starts`` are equal to another of their ``group`` (equal windows have equal groups).
+
+    Most significant digit first: eight bytes as they are, then the two halves by hash. Windows that are alone
+    in their group leave after each pass. What is left is compared by content with the first of its group, and a
+    group in which anything differs is told apart by its contents.
+    """
+    step = _step(length)
+    hashes = rolling(data, step)
+    alive, rank = np.arange(len(starts)), group
+    for digit in (lambda at: _head(data, at), lambda at: hashes[at], lambda at: hashes[at + length - step]):
+        d = digit(starts[alive])
+        order = np.lexsort((d, rank))
         d, r = d[order], rank[order]
         new = np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])]) if len(d) else np.zeros(0, dtype=bool)
         single = new & np.append(new[1:], True)[: len(new)]
         alive, rank = alive[order][~single], np.cumsum(new)[~single]
     out = np.zeros(len(starts), dtype=bool)
     out[alive] = True
+    if len(alive):
+        new = np.concatenate([[True], rank[1:] != rank[:-1]])
+        first = np.repeat(alive[new], np.diff(np.append(np.flatnonzero(new), len(alive))))
+        differ = _differ(data, starts[alive[~new]], starts[first[~new]], length)
+        unsure = alive[np.isin(rank, rank[~new][differ])]
+        contents = [data[at : at + length].tobytes() for at in starts[unsure]]
+        count = Counter(contents)
+        out[unsure] = [count[c] > 1 for c in contents]
     return out
 
 
@@ -269,11 +317,11 @@ def _step(length: int) -> int:
 
 def _runs(texts: DataFrame, found: DataFrame, length: int, unit: Unit, batch_bytes: int = 8 << 20) -> DataFrame:
     """Runs of repeated windows, group by group of equal grams."""
-    arrow, step, names = to_arrow(RUNS), _step(length), to_arrow(CONTEXTS).names
+    arrow, names = to_arrow(RUNS), to_arrow(CONTEXTS).names
 
     def solve(b: dict[str, list]) -> pa.RecordBatch:
         data, starts, row, place = _windows(b, unit)
-        same = repeated(rolling(data, step), starts, length, step)
+        same = repeated(data, starts, np.unique(b["gram"], return_inverse=True)[1][row], length)
         edge = np.concatenate([[True], (row[1:] != row[:-1]) | (same[1:] != same[:-1])])
         first = np.flatnonzero(edge)
         last = np.append(first[1:], len(same)) - 1

@@ -328,6 +328,22 @@ def test_repeats_of_odd_rows(odd, none):
     assert {r["doc_id"]: r["n_passage_words"] for r in suffix_dedup.remove_repeats(odd, passage_words=51).collect() if r["doc_id"] in (1, 6, 7)} == {1: 0, 6: 12_000, 7: 12_000}
 
 
+@pytest.mark.parametrize("mask", [0, 3])
+def test_equal_groups_are_told_by_content(monkeypatch, mask):
+    """With hashes that hardly tell anything apart, groups still hold equal windows only."""
+    rng, good = np.random.default_rng(8), suffix_dedup.rolling
+    monkeypatch.setattr(suffix_dedup, "rolling", lambda data, width: good(data, width) & np.uint64(mask))
+    passage = rng.integers(97, 99, 300)
+    data = np.concatenate([np.full(200, 97), passage, rng.integers(97, 99, 50), np.append(passage[:299], 99), passage[20:290], np.tile([97, 97, 98], 90)]).astype(np.uint8)
+    for items in (data, data.astype(np.uint64)):
+        starts = np.arange(len(items) - 128 + 1)
+        group = items[starts] % 2
+        count = Counter(items[at : at + 128].tobytes() for at in starts)
+        want = [count[items[at : at + 128].tobytes()] > 1 for at in starts]
+        assert suffix_dedup.repeated(items, starts, group.astype(np.int64), 128).tolist() == want and 0 < sum(want) < len(want)
+    assert suffix_dedup.repeated(data, starts[:0], group[:0].astype(np.int64), 128).tolist() == []
+
+
 def test_rolling_hashes_depend_on_content_only():
     data = np.frombuffer(b"abcdefgh" * 60, dtype=np.uint8)
     for width in (1, 7, 64, 200, 400):

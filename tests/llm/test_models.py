@@ -1,16 +1,19 @@
 """Classifiers, tokens, search, archives and the pipeline."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from compare import assert_same
+from pyspark.sql import functions as F
 
-from codonflow.llm import bpe, mixing, quality, queries, topk, toxicity, warc
+from codonflow.llm import bpe, quality, queries, topk, toxicity, warc
 
 TOP = "/root/testdata/sf0.001"
 
@@ -71,8 +74,8 @@ def test_op9_query_against_brute_force(spark):
         assert r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
 
 
-def plain_toxicity(weights, text):
-    """The logistic score over features written out one by one."""
+def plain_cells(text):
+    """Hashed features written out one by one."""
     from xxhash import xxh3_64_intdigest
 
     mask, mix, words = (1 << 64) - 1, [int(m) for m in toxicity.MIX], text.lower().split()
@@ -80,11 +83,42 @@ def plain_toxicity(weights, text):
     bare = [w.strip(toxicity.EDGES) or w for w in words]
     codes = [h(b) * mix[0] for b in bare] + [h(f"{b[:k]}~") * mix[0] for b in bare for k in (3, 4, 5, 7)]
     codes += [(h(a) * mix[0] & mask) ^ ((h(b) * mix[k] & mask) * mix[1] & mask) for k in (1, 2, 3) for a, b in zip(bare, bare[k:], strict=False)]
-    cells = {((((c & mask) ^ ((c & mask) >> 29)) * mix[2]) & mask) >> (64 - toxicity.BITS) for c in codes}
-    margin = sum(weights.get(c, 0.0) for c in cells) + weights.get(1 << toxicity.BITS, 0.0)
+    return {((((c & mask) ^ ((c & mask) >> 29)) * mix[2]) & mask) >> (64 - toxicity.BITS) for c in codes}
+
+
+def plain_toxicity(weights, text):
+    """The logistic score over such features."""
+    margin = sum(weights.get(c, 0.0) for c in plain_cells(text)) + weights.get(1 << toxicity.BITS, 0.0)
     return 1 / (1 + np.exp(-max(-35, min(35, margin))))
 
 
+def plain_ftrl(rows, alpha=1.0, beta=1.0, l1=3.0, l2=1.0):
+    """FTRL-proximal, coordinate by coordinate; nonzero weights."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for text, y in rows:
+        cells = [*plain_cells(text), 1 << toxicity.BITS]
+        w = [weight(i) for i in cells]
+        g = 1 / (1 + math.exp(-max(-35, min(35, sum(w))))) - y
+        for i, x in zip(cells, w, strict=True):
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * x
+            n[i] += g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_training_equals_plain_ftrl(spark):
+    d, labels = spark.read.parquet(f"{TOP}/documents.parquet"), spark.read.parquet(f"{TOP}/labels.parquet")
+    order = labels.join(d, "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id", "toxic").select("text", "toxic")
+    want = plain_ftrl([(r["text"] or "", r["toxic"]) for r in order.collect()], l1=0.5)
+    got = dict(zip(*(x.tolist() for x in toxicity.train(d, labels, shards=1, rounds=1, l1=0.5)), strict=True))
+    assert len(want) > 100
+    for i in want.keys() | got.keys():
+        assert got.get(i, 0.0) == pytest.approx(want.get(i, 0.0), abs=1e-5)
+
+
 def test_op4_query_against_brute_force(spark):
     d, labels = spark.read.parquet(f"{TOP}/documents.parquet"), spark.read.parquet(f"{TOP}/labels.parquet")
     learnt = {r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0}
@@ -252,6 +286,7 @@ def test_pipeline_stages(spark, official):
     """Each stage against a plain form on what it was given."""
     import corpus_pipeline as p
     from test_repeats import brute_components
+    from test_rows import plain_mix
 
     table = spark.read.parquet(f"{TOP}/documents.parquet")
     outs = []
@@ -270,7 +305,7 @@ def test_pipeline_stages(spark, official):
     assert sorted(r["doc_id"] for r in exact) == sorted(best.values())
     groups = brute_components([(r["doc_id"], r["text"]) for r in exact], 5, 80, True)
     assert sorted(r["doc_id"] for r in near) == sorted({c for *_, c in groups})
-    plan = {r["doc_id"]: r["epochs"] for r in mixing.mix(outs[2]).collect()}
+    plan = plain_mix(outs[2])
     assert sorted(r["doc_id"] for r in mixed) == sorted(i for i, n in plan.items() for _ in range(n))
     text = {r["doc_id"]: r["text"] for r in near}
     for r in tokens:

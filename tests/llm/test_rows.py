@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pytest
 from compare import assert_same
+from pyspark.sql import functions as F
 
 from codonflow.llm import exact_dedup, mixing, queries, sharding
 
@@ -122,8 +123,6 @@ def test_buckets_are_partitioned_again_until_they_fit(spark, monkeypatch):
 
 def test_op1_query_against_brute_force(spark):
     """Shards of the registered query cut the texts, in the order of their hash, into 40 runs of equal bytes."""
-    from pyspark.sql import functions as F
-
     rows = queries.op1_histogram_shards(spark, TOP).collect()
     plain = spark.read.parquet(f"{TOP}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
     sizes = check_shards(rows, [r["text"] for r in plain], 40)
@@ -160,6 +159,27 @@ def plain_targets(sizes):
     return target
 
 
+def plain_mix(df):
+    """Epochs of each document: whole epochs, then a walk in key order up to the budget of its source."""
+    key = F.xxhash64(F.lit(17), F.col("doc_id").cast("long"), "source", "text")
+    rows = [(r["source"], r["key"] % (1 << 64) >> 33, r["key"], r["doc_id"], len((r["text"] or "").encode().split())) for r in df.select("doc_id", "source", "text", key.alias("key")).collect()]
+    sizes = defaultdict(int)
+    for source, *_, n in rows:
+        sizes[source] += n
+    target, at, out = plain_targets(sizes), defaultdict(int), {}
+    for source, _, _, doc, n in sorted(rows, key=lambda r: r[1:]):
+        full = int(target[source] / sizes[source] + 1e-9) if sizes[source] else 0
+        budget = target[source] - full * sizes[source]
+        out[doc] = full + (budget > 1e-6 and at[source] + n / 2 <= budget)
+        at[source] += n
+    return out
+
+
+def test_mix_cuts_where_a_plain_walk_does(spark, docs):
+    got = {r["doc_id"]: r["epochs"] for r in mixing.mix(docs).collect()}
+    assert got == plain_mix(docs) and len(set(got.values())) > 1
+
+
 def test_op2_query_against_plain_targets(spark):
     rows = queries.op2_source_mix(spark, TOP).collect()
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{TOP}/documents.parquet").collect()}

@@ -1,9 +1,12 @@
 import random
 
+import pytest
+from compare import assert_same
 from pyspark.sql import functions as F
 
 from codonflow.functions import labels as fn
 from codonflow.operators import intervals, labeling, orf
+from codonflow.plans.queries import QUERIES, SQL
 
 
 def frames(spark, exons, cds, stops=()):
@@ -170,3 +173,43 @@ def test_interval_arrays_do_not_go_through_the_bins(spark):
     plan = labeling.candidates(labeling.transcripts(tx), labeling.references(ref), 50)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Generate explode" in line]
     assert len(joins) >= 2 and all("exons" not in line and "cds" not in line for line in joins)
+
+
+def test_overlapped_equals_brute_force(spark):
+    rng = random.Random(9)
+    place = lambda: rng.choice(["x", "y", None])
+    a = [(i, place(), s := rng.randint(0, 900), s + rng.randint(0, 60)) for i in range(200)]
+    b = [(place(), s := rng.randint(0, 900), s + (rng.randint(0, 30) if k % 10 else 300), k % 3 == 0) for k in range(60)]
+    left = spark.createDataFrame(a, "a int, contig string, s long, e long")
+    right = spark.createDataFrame(b, "contig string, s2 long, e2 long, odd boolean")
+    got = intervals.overlapped(left, right, ["contig"], ("s", "e", "s2", "e2"), {"any": F.lit(True), "some": F.col("odd")}, 64).collect()
+    meets = lambda c, s, e, odd: any(c == d and s < f and t < e and t < f and (o or not odd) for d, t, f, o in b if c)
+    assert sorted((r["a"], r["any"], r["some"]) for r in got) == [(i, meets(c, s, e, False), meets(c, s, e, True)) for i, c, s, e in a if s < e]
+    assert len({(r["any"], r["some"]) for r in got}) == 3
+
+
+def test_long_references_take_one_row(spark):
+    """A reference of 10^13 bases would be cut into 2 * 10^11 bins."""
+    far = 10**13
+    exons = [("t", "c", "+", 100, 200), ("u", "c", "-", 300, 400), ("v", "d", "+", 100, 200), ("w", "c", "+", 600, 700)]
+    cds = [("long", "c", "+", 0, 9), ("long", "c", "+", far, far + 10), ("in", "c", "+", 120, 135)]
+    got = {k: (v["category"], v["chosen_ref"]) for k, v in label(spark, exons, cds).items()}
+    assert got == {"t": ("kept_single", "in"), "u": ("dropped_antisense_only", None), "v": ("ir_only", None), "w": ("dropped_ref_partial", None)}
+
+
+@pytest.fixture(scope="module")
+def far_ids(spark, tmp_path_factory):
+    """Order keys so far apart that references a and b of the fixture share ids and reach over 20 million bases."""
+    top = tmp_path_factory.mktemp("far")
+    rows = [(t + far, n) for far in (0, 1_000_000) for t in range(300) if not far or (t + far) % 11 for n in range(1, 2 + t % 4)]
+    spark.createDataFrame(rows, "l_orderkey int, l_linenumber int").write.parquet(f"{top}/lineitem.parquet")
+    return str(top)
+
+
+@pytest.mark.parametrize("name", ["label_category", "label_stats_by_species", "longest_cds", "gtf_lines", "species_summary"])
+def test_shared_ids_equal_sql(spark, far_ids, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{far_ids}/lineitem.parquet/*.parquet'")
+    assert_same(QUERIES[name](spark, far_ids), con, SQL[name])

@@ -22,10 +22,11 @@ def read_features(spark: SparkSession, paths: str | list[str], root: str | None
 
 def parse_features(raw: DataFrame) -> DataFrame:
     """The same from lines (value, line_no) with any other columns, as path or species, which stay."""
-    line = F.rtrim(F.regexp_replace("value", "\r$", ""))
-    fields = F.split(line, "\t")
+    fields = F.split(F.rtrim(F.regexp_replace("value", "\r$", "")), "\t")
     kept = [c for c in raw.columns if c != "value"]
-    rows = raw.filter((F.trim("value") != "") & ~F.col("value").startswith("#")).withColumn("_f", fields).filter(F.size("_f") >= 9)
+    read = (F.trim("value") != "") & ~F.col("value").startswith("#")
+    # A generator is evaluated once a line; filters on plain columns would each split the line again.
+    rows = raw.select(*kept, F.explode(F.array(F.when(read, fields))).alias("_f")).filter(F.size("_f") >= 9)
     names = ["contig", "source", "feature", "start", "end", "score", "strand", "frame", "attrs"]
     out = rows.select(*[F.get("_f", F.lit(i)).alias(n) for i, n in enumerate(names)], *kept)
     return out.withColumns({"start": F.col("start").try_cast("long"), "end": F.col("end").try_cast("long")})
@@ -34,13 +35,11 @@ def parse_features(raw: DataFrame) -> DataFrame:
 def attribute(attrs: Column, key: str) -> Column:
     """The value of ``key`` in an attribute column, the first if it comes twice; null if absent.
 
-    A chunk with '=' and no space before it reads ``key=value``, any other ``key "value"``.
+    A chunk with '=' and no space before it reads ``key=value``, any other ``key "value"``. One expression
+    without a function over arrays, so that Spark compiles it.
     """
-    chunks = F.transform(F.split(attrs, ";"), lambda c: F.trim(c))
-    sep = lambda c: F.when(F.regexp_like(c, F.lit(r"^[^ =]*=")), F.lit("=")).otherwise(F.lit(" "))
-    name = lambda c: F.trim(F.split_part(c, sep(c), F.lit(1)))
-    hits = F.filter(chunks, lambda c: (c != "") & (name(c) == key) & (F.instr(c, " ") + F.instr(c, "=") > 0))
-    return F.get(F.transform(hits, lambda c: F.regexp_replace(F.trim(F.substring(c, F.length(F.split_part(c, sep(c), F.lit(1))) + 2, F.length(c))), '^"+|"+$', "")), F.lit(0))
+    tail = F.nullif(F.regexp_extract(attrs, rf"(?:^|;) *\Q{key}\E((?:=| +[^ ;])[^;]*)", 1), F.lit(""))
+    return F.btrim(F.trim(F.substring(tail, 2, 1 << 30)), F.lit('"'))
 
 
 def unplaced(features: DataFrame) -> DataFrame:

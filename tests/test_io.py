@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from codonflow.operators import labeling, species, windows
@@ -201,3 +203,24 @@ def test_bucketed_stores_join_and_stitch_without_an_exchange(spark, tmp_path):
         spark.conf.set(key, before)
         for name in names.values():
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_attribute_equals_a_walk_over_chunks_and_is_compiled(spark):
+    rng = random.Random(4)
+    parts = ["k", "k", "kk", "x", " ", " ", "=", ";", ";", '"', "v", "k=", "k ", '; k "a b"', "=v"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000)] + [None]
+
+    def walk(text):
+        for c in (text or "").split(";"):
+            c = c.strip(" ")
+            sep = "=" if "=" in c and " " not in c.split("=")[0] else " "
+            name, found, value = c.partition(sep)
+            if found and name.strip(" ") == "k":
+                return value.strip(" ").strip('"')
+        return None
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    out = df.select("i", "t", annotation.attribute(F.col("t"), "k").alias("k"))
+    got = {r["i"]: r["k"] for r in out.collect()}
+    assert got == {i: walk(t) for i, t in enumerate(texts)} and len(set(got.values())) > 20
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()

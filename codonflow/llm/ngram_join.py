@@ -35,6 +35,8 @@ COUNT_BITS, COUNT_SLICES = 18, 64
 FILTER_BITS = (16, 28)
 #: Members of a list that are compared with the same one, and rows of a block in which a list is compared in full.
 BLOCK = 2048
+#: Lists that a member of open ones names where it may be in many. Near duplicates share most of theirs, so few pairs meet in none of these.
+LEAST_LISTS = 16
 #: Least and most cells of a set's histogram.
 CELLS = (32, 1024)
 FIRST, SECOND = np.array([0]), np.array([1])
@@ -429,12 +431,13 @@ def _subset_links(light: DataFrame, percent: int) -> DataFrame:
     return subsets.join(met.select(*keys, "a"), keys).filter("rid != a").select("a", F.col("rid").alias("b"))
 
 
-def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | None, block: int = BLOCK) -> DataFrame:
-    """Pairs that meet in a list, may be similar, and are in different components: each class's ``nearest`` ones.
+def _meetings(postings: DataFrame, percent: int, light: int, nearest: int | None, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b, apart) that meet in a list, may be similar, and are in different components: each member's ``nearest`` ones in each list.
 
     ``postings``: token, members, n, rid, comp, sketch, lists. Lists of more than ``block`` members are
-    compared block against block, each two in a group of their own. Where ``lists`` has all the lists that a
-    member is in, a pair that meets in several comes out of the one with the least token only.
+    compared block against block, each two in a group of their own. ``lists`` has the tokens of lists that a
+    member is in, all or the least: a pair does not come out of a list if they tell that it meets in an
+    earlier one too. It always comes out of the first, which no token before it can hide.
     """
     spark = postings.sparkSession
     schema = "a long, b long, apart int"
@@ -481,8 +484,8 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
     def first_meeting(token: int, rows: list[tuple]) -> Callable[[int, int], bool] | None:
         if rows[0][5] is None:
             return None
-        lists = [frozenset(np.frombuffer(r[5], dtype=np.int64).tolist()) for r in rows]
-        return lambda i, j: min(lists[i] & lists[j]) == token
+        before = [{t for t in np.frombuffer(r[5], dtype=np.int64).tolist() if t < token} for r in rows]
+        return lambda i, j: before[i].isdisjoint(before[j])
 
     def mixed(rows: list[tuple]) -> bool:
         return any(r[4] != rows[0][4] for r in rows)
@@ -517,7 +520,12 @@ def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | No
     dealt = dealt.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
     dealt = dealt.select("token", "cell", "n", "rid", "comp", "sketch", F.col("own").alias("tag"), "lists")
     dealt = dealt.repartition(parts(spark), "token", "cell").sortWithinPartitions("token", "cell", "rid")
-    pairs = dealt.mapInArrow(run, schema).groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    return dealt.mapInArrow(run, schema)
+
+
+def _list_pairs(postings: DataFrame, percent: int, light: int, nearest: int | None, block: int = BLOCK) -> DataFrame:
+    """Different pairs of ``_meetings``: each class's ``nearest`` ones over all lists, or all."""
+    pairs = _meetings(postings, percent, light, nearest, block).groupBy("a", "b").agg(F.min("apart").alias("apart"))
     if nearest is None:
         return pairs.drop("apart")
     # The nearest over all lists.
@@ -557,9 +565,7 @@ def _open_lists(postings: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _with_lists(opened: DataFrame, few_lists: bool) -> DataFrame:
-    """``opened`` with the packed tokens of all its lists that a member is in, if those are few; else null."""
-    if not few_lists:
-        return opened.withColumn("lists", F.lit(None).cast("binary"))
+    """``opened`` with the packed tokens of its lists that a member is in: of all if those are few, else of the least."""
     schema = "rid long, lists binary"
     arrow = to_arrow(schema)
 
@@ -567,7 +573,8 @@ def _with_lists(opened: DataFrame, few_lists: bool) -> DataFrame:
         for b in batches:
             yield pack({"rid": b.column(0), "lists": [np.array(x, dtype=np.int64).tobytes() for x in b.column(1).to_pylist()]}, arrow)
 
-    lists = opened.groupBy("rid").agg(F.collect_list("token").alias("lists")).mapInArrow(run, schema)
+    tokens = F.collect_list("token")
+    lists = opened.groupBy("rid").agg((tokens if few_lists else F.slice(F.array_sort(tokens), 1, LEAST_LISTS)).alias("lists")).mapInArrow(run, schema)
     return opened.join(lists, "rid")
 
 
@@ -576,7 +583,7 @@ def group_lists(docs: DataFrame, words: int, lower: bool, percent: int, sets: Da
 
     Every pair is confirmed on the full sets, which are hashed again from the texts. ``keys_of``, the lists
     of a set by its size, is given where small sets may enumerate subsets; else only lists are scanned.
-    ``few_lists`` says that no set is in many lists, so that a pair can be told from its earlier meetings.
+    ``few_lists`` says that no set is in many lists, so that each can name all of them.
     """
     classes = stored(sets.filter("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     first = _first_pairs(posted)

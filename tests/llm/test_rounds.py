@@ -24,3 +24,18 @@ def test_full_round_runs_while_lists_hold_several_components(spark, monkeypatch)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert near(df, words=3, percent=90) == brute_components(rows, 3, 90, True)
     assert asked == [4, None]
+
+
+def test_pair_comes_out_of_few_of_its_lists(spark):
+    """Members just too different to be linked share hundreds of lists; a pair does not come out of each of them."""
+    rng = random.Random(5)
+    members, tokens = range(1, 31), [rng.randrange(-(2**63), 2**63) for _ in range(300)]
+    held = {t: [r for r in members if rng.random() < 0.9] for t in tokens}
+    rows = [(t, len(held[t]), 100, r, r, bytes(32)) for t in tokens for r in held[t]]
+    opened = spark.createDataFrame(rows, "token long, members long, n int, rid long, comp long, sketch binary")
+    expect = {(a, b) for own in held.values() for a in own for b in own if a < b}
+    for nearest in (None, 4):
+        found = ngram_join._meetings(ngram_join._with_lists(opened, False), 80, 0, nearest).collect()
+        pairs = {(r["a"], r["b"]) for r in found}
+        assert pairs == expect if nearest is None else pairs <= expect
+        assert len(found) <= 2 * len(expect), len(found)  # without the names of lists 104,000

@@ -1,19 +1,20 @@
 """Accuracy of gene sets against a reference on exon, transcript and locus level.
 
-Inputs are exon tables (species, tid, contig, strand, start, end), the predictions with a gene_set column.
+Inputs are exon tables (species, tid, contig, strand, start, end), the predictions with a gene_set column;
+each level also takes both as one table, in which the reference's gene_set is null. Names of
+sets are collected where they are not given.
 Free ends (those of a transcript's outer exons) may differ by up to ``tolerance`` bases, all other ends must
 be equal. Results are percent with two decimals.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonflow.functions.labels import f1_or_nan
-from codonflow.operators.intervals import locus_clusters
-
-BIN = 64
 
 
 def union_gene_sets(sets: dict[str, DataFrame], distinct: bool = False) -> DataFrame:
@@ -29,113 +30,161 @@ def union_gene_sets(sets: dict[str, DataFrame], distinct: bool = False) -> DataF
     return out.join(first.select("gene_set", "species", "tid"), ["gene_set", "species", "tid"], "left_semi")
 
 
-def _near(column: str, tolerance: int) -> Column:
-    return F.explode(F.array_distinct(F.array(F.floor((F.col(column) - tolerance) / BIN), F.floor((F.col(column) + tolerance) / BIN))))
-
-
-def _exons(df: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys, "tid")
-    ends = df.withColumns({"left_free": F.col("start") == F.min("start").over(w), "right_free": F.col("end") == F.max("end").over(w)})
-    return ends.select(*keys, "contig", "strand", "start", "end", "left_free", "right_free").distinct()
-
+PLACE = ["species", "contig", "strand"]
+UNIT = ["tid", "species", "mask"]
+#: Sets that share a mask; more are compared in several rounds.
+SETS = 60
+#: Bases of a part of a contig, which a task looks at together.
+PART = 100_000
 
-def _chains(df: DataFrame, keys: list[str]) -> DataFrame:
-    exons = F.sort_array(F.collect_list(F.struct("start", "end")))
-    out = df.groupBy(*keys, "tid").agg(F.first("contig").alias("contig"), F.first("strand").alias("strand"), exons.alias("_e"))
-    out = out.withColumns({"span_start": F.col("_e")[0]["start"], "span_end": F.array_max(F.transform("_e", lambda e: e["end"]))})
-    introns = F.transform(F.sequence(F.lit(1), F.size("_e") - 1), lambda i: F.concat_ws("-", F.col("_e")[i - 1]["end"], F.col("_e")[i]["start"]))
-    return out.withColumn("chain", F.when(F.size("_e") > 1, F.md5(F.array_join(introns, ","))).otherwise("")).drop("_e")
 
+def _bit(i: int) -> Column:
+    return F.lit(1 << i).cast("long")
 
-def _counted(df: DataFrame, name: str, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias(name))
 
-
-def _found(pairs: DataFrame, *unit: str) -> DataFrame:
-    """How many different units of each set and species are in ``pairs``."""
-    return _counted(pairs.select("gene_set", "species", *unit).distinct(), "k", "gene_set", "species")
-
-
-def _share(total: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """Percent found of each (gene_set, species, n)."""
-    percent = F.round(100.0 * (F.coalesce("k", F.lit(0)) / F.col("n")), 2)
-    return total.join(found, ["gene_set", "species"], "left").select("gene_set", "species", percent.alias(name))
+def _levels(reference: DataFrame, predictions: DataFrame | None, sets: list[str] | None, rates: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """``rates`` of the exons of all sets and of the reference as one table: bit 0 of mask is the reference, bit i the set i."""
+    both, cols = reference, ["species", "tid", "contig", "strand", "start", "end"]
+    if predictions is not None:
+        kind = predictions.schema["gene_set"].dataType
+        both = reference.select(F.lit(None).cast(kind).alias("gene_set"), *cols).unionByName(predictions.filter("gene_set is not null").select("gene_set", *cols))
+    if sets is None:
+        sets = sorted(r[0] for r in (both if predictions is None else predictions).select("gene_set").filter("gene_set is not null").distinct().collect())  # a handful of set names
+    out = None
+    for k in range(0, max(len(sets), 1), SETS):
+        names, mask = sets[k : k + SETS], F.when(F.col("gene_set").isNull(), _bit(0))
+        for i, name in enumerate(names, 1):
+            mask = mask.when(F.col("gene_set") == name, _bit(i))
+        rows = rates(both.select(mask.alias("mask"), *cols).filter("mask is not null"), names)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def _both(sn: DataFrame, pr: DataFrame) -> DataFrame:
-    out = sn.join(pr, ["gene_set", "species"], "full")
-    nan = F.lit(float("nan"))
-    out = out.withColumns({"sn": F.coalesce("sn", nan), "pr": F.coalesce("pr", nan)})
+def _rates(found: DataFrame, names: list[str]) -> DataFrame:
+    """gene_set, species, sn, pr, f1 from how many units n of each (species, mask) have partners in near, a mask too."""
+    counts = found.groupBy("species", "mask", "near").agg(F.sum("n").alias("n"))
+    has = lambda c, i: F.col(c).bitwiseAND(_bit(i)) != 0
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    one = lambda i, name: F.struct(F.lit(name).alias("gene_set"), total(has("mask", i)).alias("n"), total(has("mask", i) & has("near", 0)).alias("k"), total(has("mask", 0) & has("near", i)).alias("k_ref"))
+    rows = counts.groupBy("species").agg(total(has("mask", 0)).alias("n_ref"), F.array(*[one(i, name) for i, name in enumerate(names, 1)]).alias("_sets"))
+    rows = rows.select("species", "n_ref", F.inline("_sets")) if names else rows.select("species", "n_ref", F.lit("").alias("gene_set"), *[F.lit(0).cast("long").alias(c) for c in ("n", "k", "k_ref")]).limit(0)
+    occurs = F.sum("n").over(Window.partitionBy("gene_set")) > 0  # one row a species and set
+    rows = rows.withColumn("_occurs", occurs).filter("_occurs and (n_ref > 0 or n > 0)")
+    percent = lambda k, n: F.when(F.col(n) > 0, F.round(100.0 * (F.col(k) / F.nullif(F.col(n), F.lit(0))), 2)).otherwise(F.lit(float("nan")))
+    out = rows.select("gene_set", "species", percent("k_ref", "n_ref").alias("sn"), percent("k", "n").alias("pr"))
     return out.withColumn("f1", f1_or_nan(F.col("sn"), F.col("pr")))
 
 
-def _for_each_set(reference: DataFrame, predictions: DataFrame) -> DataFrame:
-    """What was made of the reference once, for each set."""
-    return reference.crossJoin(F.broadcast(predictions.select("gene_set").distinct()))  # a handful of set names
+def _known(near: Column) -> Column:
+    """Nothing is near what has no place."""
+    return F.when(F.col("species").isNotNull() & F.col("contig").isNotNull() & F.col("strand").isNotNull(), near).otherwise(_bit(0) * 0)
 
 
-def exon_level(reference: DataFrame, predictions: DataFrame, tolerance: int = 3) -> DataFrame:
-    """gene_set, species, sn, pr, f1 over distinct exons.
+def _exon_units(both: DataFrame, tolerance: int) -> DataFrame:
+    """species, mask, near, n of the distinct exons; mask tells where an exon is, near where a partner is.
 
-    One join finds all matches; what is matched is then counted, without a join back to the exons. A start
-    that must be equal is a key itself, a free one by its bin.
+    Exons are sorted by a free end, with the other end as a key, and masks are put together over a frame of
+    the tolerance. An exon with two free ends goes to each key in reach of its end, and is counted at its own.
     """
-    q, r = _exons(predictions, ["gene_set", "species"]), _exons(reference, ["species"])
-    own, place = ["start", "end"], ["contig", "strand", "left_free", "right_free"]
-    near = F.array_distinct(F.array(F.floor((F.col("start") - tolerance) / BIN), F.floor((F.col("start") + tolerance) / BIN)))
-    a = q.withColumn("_key", F.explode(F.when(F.col("left_free"), near).otherwise(F.array("start"))))
-    b = r.withColumnsRenamed({c: f"ref_{c}" for c in own}).withColumn("_key", F.when(F.col("left_free"), F.floor(F.col("ref_start") / BIN)).otherwise(F.col("ref_start")))
-    fits = lambda c, free: F.when(F.col(free), F.abs(F.col(c) - F.col(f"ref_{c}")) <= tolerance).otherwise(F.col(c) == F.col(f"ref_{c}"))
-    pairs = a.join(b, ["species", *place, "_key"]).filter(fits("start", "left_free") & fits("end", "right_free"))
-    sn = _share(_for_each_set(_counted(r, "n", "species"), predictions), _found(pairs, *place, "ref_start", "ref_end"), "sn")
-    return _both(sn, _share(_counted(q, "n", "gene_set", "species"), _found(pairs, *place, *own), "pr"))
-
-
-def _chain_pairs(q: DataFrame, r: DataFrame, tolerance: int) -> DataFrame:
-    """Transcripts with equal intron chains and outer ends within tolerance, from one join for all sets.
-
-    Columns of ``r`` that are not keys come with the prefix ref_, so what is matched can be counted from the
-    pairs, without a join back.
+    w = Window.partitionBy(*UNIT)
+    left, right = F.col("start") == F.min("start").over(w), F.col("end") == F.max("end").over(w)
+    exons = both.select("mask", *PLACE, "start", "end", left.alias("left_free"), right.alias("right_free"))
+    left, right = F.col("left_free"), F.col("right_free")
+    reach = F.when(left & right, F.sequence(F.lit(-tolerance).cast("long"), F.lit(tolerance).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    slide = F.when(left, F.col("start")).when(right, F.col("end")).otherwise(F.col("start") * (tolerance + 1))
+    fixed = F.when(right & ~left, F.col("start")).otherwise(F.col("end") + F.col("_off"))
+    keys = ["_fixed", *PLACE, "left_free", "right_free"]
+    copies = exons.withColumn("_off", F.explode(reach)).select("mask", *PLACE, "left_free", "right_free", "_off", fixed.alias("_fixed"), slide.alias("_slide"))
+    units = copies.repartition(*keys).groupBy(*keys, "_slide", "_off").agg(F.bit_or("mask").alias("mask"))
+    near = F.bit_or("mask").over(Window.partitionBy(*keys).orderBy("_slide").rangeBetween(-tolerance, tolerance))
+    return units.withColumn("near", _known(near)).filter("_off = 0").select("species", "mask", "near", F.lit(1).cast("long").alias("n"))
+
+
+def _chains(both: DataFrame) -> DataFrame:
+    """Each transcript's place, its span as start and end, and its introns: their number and a digest of 128 bits."""
+    w = Window.partitionBy(*UNIT).orderBy("start", "end")
+    rows = both.withColumns({"_before": F.lag("end").over(w), "_i": F.row_number().over(w)})
+    digest = lambda seed: F.coalesce(F.bit_xor(F.when(F.col("_i") > 1, F.xxhash64(F.lit(seed), "_i", "_before", "start"))), F.lit(0).cast("long"))
+    return rows.groupBy(*UNIT).agg(F.first("contig").alias("contig"), F.first("strand").alias("strand"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("_i").alias("_n"), digest(1).alias("_h"), digest(2).alias("_g"))
+
+
+def _matched(both: DataFrame, tolerance: int, reach: bool) -> DataFrame:
+    """species, contig, strand, _part, mask, start, end, n, near of transcripts, equal ones once with their number n.
+
+    Transcripts with equal intron chains and outer ends within tolerance are partners. All sets and the
+    reference are dealt once, by the part of a contig in which they start. With ``reach`` a transcript also
+    has a row, with a null start, in each later part into which it reaches.
     """
-    keys = ["species", "contig", "strand", "chain"]
-    a = q.withColumn("_bin", _near("span_start", tolerance))
-    b = r.select(*keys, *[F.col(c).alias(f"ref_{c}") for c in r.columns if c not in keys], F.floor(F.col("span_start") / BIN).alias("_bin"))
-    near = lambda c: F.abs(F.col(c) - F.col(f"ref_{c}")) <= tolerance
-    return a.join(b, [*keys, "_bin"]).filter(near("span_start") & near("span_end"))
-
-
-def transcript_level(reference: DataFrame, predictions: DataFrame, tolerance: int = 3) -> DataFrame:
+    tx, at = _chains(both), lambda x: F.floor(x / PART)
+    parts = F.sequence(at(F.col("start") - tolerance), at(F.col("start") + tolerance))
+    chain = ["_h", "_g", "_n"]
+    part = [*PLACE, "_part"]
+    no = lambda c: F.lit(None).cast(tx.schema[c].dataType).alias(c)
+    copies = F.transform(parts, lambda i: F.struct(*chain, "start", "end", i.alias("_part"), (i == at(F.col("start"))).alias("own")))
+    if reach:
+        more = F.sequence(at(F.col("start")) + 1, at(F.col("end") - 1))
+        beyond = F.transform(more, lambda i: F.struct(*[no(c) for c in (*chain, "start")], "end", i.alias("_part"), F.lit(True).alias("own")))
+        copies = F.when(at(F.col("end") - 1) > at(F.col("start")), F.concat(copies, beyond)).otherwise(copies)
+    copies = tx.select("mask", *PLACE, F.inline(copies))
+    kinds = copies.repartition(*part).groupBy(*chain, *part, "mask", "start", "end", "own").agg(F.count("*").alias("n"))
+    others = F.collect_list(F.struct("end", "mask")).over(Window.partitionBy(*chain, *part).orderBy("start").rangeBetween(-tolerance, tolerance))
+    here = kinds.withColumn("_others", others).filter("own")
+    near = F.aggregate(F.filter("_others", lambda o: F.abs(o["end"] - F.col("end")) <= tolerance), F.lit(0).cast("long"), lambda m, o: m.bitwiseOR(o["mask"]))
+    return here.withColumn("near", _known(near)).select(*part, "mask", "start", "end", "n", "near")
+
+
+def _transcripts(matched: DataFrame) -> DataFrame:
+    return matched.filter("start is not null").select("species", "mask", "near", "n")
+
+
+def _loci(matched: DataFrame) -> DataFrame:
+    """species, mask, near, n of the loci: those that end in their part are counted there, those that go on by the part in which they began.
+
+    A span without bases overlaps nothing after it, so each that is not inside a locus is one of its own.
+    """
+    part = ["_part", *PLACE, "mask"]
+    w = Window.partitionBy(*part).orderBy("start", "end")  # what reaches in from earlier parts, with a null start, comes first
+    new = F.col("start").isNotNull() & F.coalesce(F.col("start") >= F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    met = F.when(F.col("start").isNull(), 0).when(F.col("mask") == 1, F.shiftright("near", 1) * 2).otherwise(F.col("near").bitwiseAND(_bit(0)))
+    rows = matched.select(*part, "start", "end", "n", met.cast("long").alias("near"), new.cast("int").alias("_new"))
+    rows = rows.withColumn("_own", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = F.when(F.col("_new") == 0, 0).when(F.col("end") <= F.col("start"), F.col("n")).otherwise(1)
+    loci = rows.groupBy(*part, "_own").agg(F.max(begun).cast("long").alias("n"), F.bit_or("near").alias("near"), F.coalesce(F.max("end") <= F.min("start"), F.lit(False)).alias("_empty"))
+    last = F.max("_own").over(Window.partitionBy(*part))
+    role = F.when(F.col("_own") == 0, 0).when((F.col("_own") == last) & ~F.col("_empty"), 2).otherwise(1)  # goes on from before, goes on, ends here
+    ends = loci.withColumn("_role", role).groupBy(*part, "_role", "near").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("mask", *PLACE).orderBy("_part").rangeBetween(Window.unboundedPreceding, -1)
+    began = F.last(F.when(F.col("_role") > 0, F.col("_part")), True).over(earlier)
+    ends = ends.withColumn("_at", F.when(F.col("_role") == 0, began).when(F.col("_role") == 2, F.col("_part")))
+    whole = ends.groupBy("mask", *PLACE, "_at", F.when(F.col("_role") == 1, F.col("near")).alias("_kind")).agg(F.bit_or("near").alias("near"), F.sum("n").alias("n"))
+    return whole.select("species", "mask", "near", "n")
+
+
+def exon_level(reference: DataFrame, predictions: DataFrame | None = None, tolerance: int = 3, sets: list[str] | None = None) -> DataFrame:
+    """gene_set, species, sn, pr, f1 over distinct exons."""
+    return _levels(reference, predictions, sets, lambda both, names: _rates(_exon_units(both, tolerance), names))
+
+
+def transcript_level(reference: DataFrame, predictions: DataFrame | None = None, tolerance: int = 3, sets: list[str] | None = None) -> DataFrame:
     """gene_set, species, sn, pr, f1 over transcripts: equal intron chains, outer ends within tolerance."""
-    q, r = _chains(predictions, ["gene_set", "species"]), _chains(reference, ["species"])
-    pairs = _chain_pairs(q, r, tolerance)
-    sn = _share(_for_each_set(_counted(r, "n", "species"), predictions), _found(pairs, "ref_tid"), "sn")
-    return _both(sn, _share(_counted(q, "n", "gene_set", "species"), _found(pairs, "tid"), "pr"))
-
+    return _levels(reference, predictions, sets, lambda both, names: _rates(_transcripts(_matched(both, tolerance, reach=False)), names))
 
-def locus_level(reference: DataFrame, predictions: DataFrame, tolerance: int = 3) -> DataFrame:
-    """gene_set, species, sn, pr, f1 over loci (chains of overlapping transcripts on a strand) with at least one matched transcript.
 
-    Loci of the reference are made once, whatever the number of sets.
-    """
-    def loci(df: DataFrame, *keys: str) -> DataFrame:
-        apart = F.concat_ws("|", *keys, "contig")  # one set's contig
-        found = locus_clusters(df.withColumn("_contig", F.col("contig")).withColumn("contig", apart))
-        return found.withColumn("contig", F.col("_contig")).drop("_contig")
+def locus_level(reference: DataFrame, predictions: DataFrame | None = None, tolerance: int = 3, sets: list[str] | None = None) -> DataFrame:
+    """gene_set, species, sn, pr, f1 over loci (chains of overlapping transcripts on a strand) with at least one matched transcript."""
+    return _levels(reference, predictions, sets, lambda both, names: _rates(_loci(_matched(both, tolerance, reach=True)), names))
 
-    q, r = loci(_chains(predictions, ["gene_set", "species"]), "gene_set", "species"), loci(_chains(reference, ["species"]), "species")
-    pairs, place = _chain_pairs(q, r, tolerance), ["contig", "strand"]
-    n_loci = lambda df, *by: _counted(df.select(*by, *place, "locus").distinct(), "n", *by)
-    sn = _share(_for_each_set(n_loci(r, "species"), predictions), _found(pairs, *place, "ref_locus"), "sn")
-    return _both(sn, _share(n_loci(q, "gene_set", "species"), _found(pairs, *place, "locus"), "pr"))
 
+def all_levels(reference: DataFrame, predictions: DataFrame | None = None, tolerance: int = 3, sets: list[str] | None = None) -> DataFrame:
+    """Long table gene_set, species, level, sn, pr, f1. Transcripts and loci read the same exchange."""
+    def rates(both: DataFrame, names: list[str]) -> DataFrame:
+        matched, out = _matched(both, tolerance, reach=True), None
+        for level, found in (("exon", _exon_units(both, tolerance)), ("transcript", _transcripts(matched)), ("gene", _loci(matched))):
+            rows = _rates(found, names).withColumn("level", F.lit(level))
+            out = rows if out is None else out.unionByName(rows)
+        return out
 
-def all_levels(reference: DataFrame, predictions: DataFrame, tolerance: int = 3) -> DataFrame:
-    """Long table gene_set, species, level, sn, pr, f1."""
-    out = None
-    for level, f in (("exon", exon_level), ("transcript", transcript_level), ("gene", locus_level)):
-        rows = f(reference, predictions, tolerance).withColumn("level", F.lit(level))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return _levels(reference, predictions, sets, rates)
 
 
 def accuracy_average(levels: DataFrame) -> DataFrame:

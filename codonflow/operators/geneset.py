@@ -116,16 +116,16 @@ def _matched(both: DataFrame, tolerance: int, reach: bool) -> DataFrame:
     has a row, with a null start, in each later part into which it reaches.
     """
     tx, at = _chains(both), lambda x: F.floor(x / PART)
-    parts = F.sequence(at(F.col("start") - tolerance), at(F.col("start") + tolerance))
     chain = ["_h", "_g", "_n"]
     part = [*PLACE, "_part"]
-    no = lambda c: F.lit(None).cast(tx.schema[c].dataType).alias(c)
-    copies = F.transform(parts, lambda i: F.struct(*chain, "start", "end", i.alias("_part"), (i == at(F.col("start"))).alias("own")))
-    if reach:
-        more = F.sequence(at(F.col("start")) + 1, at(F.col("end") - 1))
-        beyond = F.transform(more, lambda i: F.struct(*[no(c) for c in (*chain, "start")], "end", i.alias("_part"), F.lit(True).alias("own")))
-        copies = F.when(at(F.col("end") - 1) > at(F.col("start")), F.concat(copies, beyond)).otherwise(copies)
-    copies = tx.select("mask", *PLACE, F.inline(copies))
+    # Even numbers are parts for partners, odd ones those into which a transcript reaches.
+    low, near, far = at(F.col("start") - tolerance), at(F.col("start") + tolerance), at(F.col("end") - 1)
+    high = F.greatest(near, far) if reach else near
+    numbers = F.when(low == high, F.array(2 * low)).otherwise(F.sequence(2 * low, 2 * high + 1))
+    rows = tx.withColumn("_number", F.explode(numbers)).withColumns({"_part": F.shiftright("_number", 1), "_beyond": F.col("_number").bitwiseAND(F.lit(1).cast("long")) == 1})
+    beyond, home = F.col("_beyond"), at(F.col("start"))
+    rows = rows.filter(F.when(beyond, F.lit(reach) & (F.col("_part") > home) & (F.col("_part") <= far)).otherwise(F.col("_part") <= near))
+    copies = rows.select("mask", *PLACE, *[F.when(~beyond, F.col(c)).alias(c) for c in (*chain, "start")], "end", "_part", (beyond | (F.col("_part") == home)).alias("own"))
     kinds = copies.repartition(*part).groupBy(*chain, *part, "mask", "start", "end", "own").agg(F.count("*").alias("n"))
     others = F.collect_list(F.struct("end", "mask")).over(Window.partitionBy(*chain, *part).orderBy("start").rangeBetween(-tolerance, tolerance))
     here = kinds.withColumn("_others", others).filter("own")
